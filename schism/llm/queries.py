@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, neighbours, packing, quality, token_counts, token_files
+from . import bpe, exact_dedup, jaccard_join, language, neighbours, packing, quality, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_token_ids(spark, sf_dir):
     return token_files.encode_and_check(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents"), n=4, threshold=(85, 100))
+
+
 def op5_neighbours(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -60,9 +64,20 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_ids, op5_neighbours, op6_token_counts, op7_quality, op8_language, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_ids, op4_ngram_jaccard, op5_neighbours, op6_token_counts, op7_quality, op8_language, op9_bpe, op10_exact_dedup)}
 
 ORACLES = {
+    "op4_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.m FROM reach r JOIN edges e ON e.x = r.doc_id)
+SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(m) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
