@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language, neighbours, packing, quality, token_counts, token_files
+from . import bpe, exact_dedup, jaccard_join, language, language_model, neighbours, packing, quality, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def _held(modulus: int, remainder: int):
     return (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder).alias("held_out")
 
 
+def op1_language_model(spark, sf_dir):
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_ids, op4_ngram_jaccard, op5_neighbours, op6_token_counts, op7_quality, op8_language, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_packing, op3_token_ids, op4_ngram_jaccard, op5_neighbours, op6_token_counts, op7_quality, op8_language, op9_bpe, op10_exact_dedup)}
 
 ORACLES = {
     "op4_ngram_jaccard": r"""
