@@ -58,7 +58,9 @@ def words(c) -> Column:
 
 def strip_punctuation(c) -> Column:
     """Punctuation to spaces; a hyphen between word characters goes without a trace of a gap."""
-    c = F.regexp_replace(_c(c), r"(?<=\w)-(?=\w)", "")
+    c = _c(c)
+    for _ in range(2):  # neighbouring matches share a character
+        c = F.regexp_replace(c, r"(\w)-(\w)", "$1$2")
     return F.regexp_replace(c, PUNCTUATION, " ")
 
 
@@ -122,8 +124,10 @@ def keyword_count(c, keywords) -> Column:
 def ngrams(tokens, n: int) -> Column:
     """N-grams of a token list, joined by spaces; none when it is shorter."""
     t = _c(tokens)
-    at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(t, i, n), " "))
+    out = t
+    for k in range(1, n):  # lists zipped with their shifts: the token list is worked out n times, not once per gram
+        out = F.zip_with(out, F.slice(t, k + 1, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(t) >= n, F.slice(out, 1, F.size(t) - (n - 1))).otherwise(F.array().cast("array<string>"))
 
 
 def first_span(text, target) -> Column:
@@ -151,23 +155,6 @@ def wiki_links(c) -> Column:
     return F.flatten(F.transform(inner, lambda x: F.split(x, r"\|")))
 
 
-def vocabulary_richness(c) -> dict[str, Column]:
-    """X17 on lower-case words: richness measures of a text; 0 for an empty one."""
-    w = words(F.lower(_c(c)))
-    kinds = F.array_distinct(w)
-    count = F.transform(kinds, lambda k: F.size(F.filter(w, lambda x: x == k)))
-    n, v = F.size(w).cast("double"), F.size(kinds).cast("double")
-    total = lambda f: F.aggregate(count, F.lit(0.0), lambda a, x: a + f(x).cast("double"))
-    once, twice = total(lambda x: (x == 1).cast("int")), total(lambda x: F.when(x == 2, 2).otherwise(0))
-    squares = total(lambda x: x * x)
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return {
-        "vr_hapax": once, "vr_dis_hapax": twice, "vr_ttr": zero(F.try_divide(v, n)),
-        "vr_brunet": F.when(n > 0, F.pow(n, F.pow(v, F.lit(-0.169)))).otherwise(0.0), "vr_sichel": zero(F.try_divide(total(lambda x: (x >= 2).cast("int")), n)),
-        "vr_yule": zero(F.try_divide(v * v, squares - v)), "vr_honore": zero(F.try_divide(100 * F.ln(F.greatest(n, F.lit(1.0))), 1 - F.try_divide(once, v))),
-    }
-
-
 def readability(c) -> dict[str, Column]:
     """Readability indices from counts of sentences, words, letters and vowel groups."""
     c = F.coalesce(_c(c), F.lit(""))

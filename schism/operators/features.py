@@ -13,6 +13,21 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, F.explode(words(F.lower(F.col(text)))).alias("word"))
 
 
+def vocabulary_richness(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Richness measures from word counts; 0 for texts without words.  A word of two occurrences counts both in dis-hapax."""
+    per_word = tokens(docs, key).groupBy(key, "word").agg(F.count("*").alias("k"))
+    when = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    k = F.col("k")
+    s = per_word.groupBy(key).agg(F.sum("k").alias("n"), F.count("*").alias("v"), when(k == 1, 1).alias("v1"), when(k == 2, 2).alias("dis"), when(k >= 2, 1).alias("v2"), F.sum(k * k).alias("m2"))
+    s = docs.select(key).distinct().join(s, key, "left")
+    z = lambda x: F.coalesce(x, F.lit(0.0))
+    n, v, v1, v2, m2 = (F.col(c).cast("double") for c in ("n", "v", "v1", "v2", "m2"))
+    return s.select(
+        key, z(v1).alias("vr_hapax"), z(F.col("dis").cast("double")).alias("vr_dis_hapax"), z(v / n).alias("vr_ttr"), z(F.pow(n, F.pow(v, F.lit(-0.169)))).alias("vr_brunet"),
+        z(F.try_divide(100 * F.ln(n), 1 - v1 / n)).alias("vr_honore"), z(v2 / n).alias("vr_sichel"), z(F.try_divide(v * v, m2 - v)).alias("vr_yule"),
+    )
+
+
 def lexicon_counts(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document and category tokens that the lexicon (term, category) lists, distinct terms, share of all tokens; pre-aggregated per word."""
     per_word = tokens(docs, key).groupBy(key, "word").agg(F.count("*").alias("k"))

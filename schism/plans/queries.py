@@ -1,4 +1,725 @@
-"""Queries of the library's operators and their DuckDB equivalents."""
+"""Queries of the library's operators over the test tables, and their DuckDB equivalents where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..functions import text as X
+from ..operators import attitudes, clustering, communities, entities, features, graph, knowledge_graph, metrics, moving, topics
+from ..sources import readers
+from . import tables as t
+from .tables import sql, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n) if not isinstance(c, str) else F.round(F.col(c), n).alias(c)
+
+
+# -- attitudes and the signed graph
+
+
+@query(sql("SELECT entity, pos, neg, round(2 * least(pos, neg) / CAST(pos + neg AS DOUBLE), 6) AS mu FROM seen", "seen"))
+def flagship_entity_polarity(spark, sf):
+    """J3, A8, G1, A17."""
+    return graph.polarity_mix(t.sag(spark, sf)).select("entity", "pos", "neg", _r("mu"))
+
+
+@query(sql("SELECT e1, e2, n, total, n_nonzero FROM sums", "sums"))
+def j3_a28_entity_pairs(spark, sf):
+    return t.pair_sums(spark, sf)
+
+
+@query(sql("SELECT entity, topic, count(*) AS n FROM (SELECT m.entity, p_type AS topic FROM mentions m JOIN mentions o USING (sent) JOIN part ON o.part = p_partkey) GROUP BY ALL", "mentions"))
+def j4_entity_phrases(spark, sf):
+    m = t.mentions(spark, sf)
+    phrases = m.select("sent", "part").join(table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("topic")), "part").select("sent", "topic")
+    return attitudes.entity_phrases(m.select("sent", "entity"), phrases, ["sent"]).groupBy("entity", "topic").agg(F.count("*").alias("n"))
+
+
+@query(sql(", c AS (SELECT sent, entity, count(*) AS k FROM mentions GROUP BY ALL)\nSELECT x.entity AS e1, y.entity AS e2, CAST(sum(x.k * y.k) AS BIGINT) AS weight FROM c x JOIN c y ON x.sent = y.sent AND x.entity < y.entity GROUP BY ALL", "mentions"))
+def j5_multiplicity(spark, sf):
+    m = t.mentions(spark, sf).groupBy("sent", "entity").agg(F.count("*").alias("k"))
+    pairs = attitudes.multiplicity(attitudes.entity_pairs(m, ["sent"]), "k_a", "k_b")
+    return pairs.groupBy("e1", "e2").agg(F.sum("weight").alias("weight"))
+
+
+@query(sql(""", m AS (SELECT least(a, b) AS e1, greatest(a, b) AS e2, tone2 FROM (SELECT CASE WHEN e1 % 7 = 0 THEN e1 - 1 ELSE e1 END AS a, CASE WHEN e2 % 7 = 0 THEN e2 - 1 ELSE e2 END AS b, tone2 FROM ee) WHERE a <> b),
+ok AS (SELECT s_suppkey AS s FROM supplier WHERE s_acctbal > 0)
+SELECT e1, e2, count(*) AS n, CAST(sum(tone2) AS BIGINT) AS total FROM m WHERE e1 IN (FROM ok) AND e2 IN (FROM ok) GROUP BY ALL""", "ee"))
+def f8_f9_merge_and_allow(spark, sf):
+    s = table(spark, sf, "supplier")
+    merge = s.filter("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("entity"), (F.col("s_suppkey") - 1).alias("target"))
+    pairs = attitudes.merge_entities(t.ee(spark, sf), merge)
+    return attitudes.allow_entities(pairs, s.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("entity"))).groupBy("e1", "e2").agg(F.count("*").alias("n"), F.sum("tone2").alias("total"))
+
+
+@query(sql("SELECT e1, e2, count(*) AS n, string_agg(CAST(tone2 AS VARCHAR), ',' ORDER BY tone2) AS attitudes FROM ee GROUP BY ALL", "ee"))
+def a3_pair_bag(spark, sf):
+    return attitudes.bag(t.ee(spark, sf), ["e1", "e2"], "tone2").withColumn("attitudes", F.array_join(F.col("attitudes").cast("array<string>"), ","))
+
+
+@query(sql("SELECT entity, topic, count(*) AS n, string_agg(CAST(tone AS VARCHAR), ',' ORDER BY tone) AS attitudes FROM et GROUP BY ALL", "et"))
+def a4_j6_entity_topic_bag(spark, sf):
+    m = t.mentions(spark, sf).withColumn("np", F.col("part"))
+    listed = table(spark, sf, "part").select(F.col("p_partkey").alias("clean_np"), F.col("p_type").alias("topic_id"))
+    rows = topics.phrase_topics(m, listed).withColumnRenamed("topic_id", "topic")
+    return attitudes.bag(rows, ["entity", "topic"], "tone").withColumn("attitudes", F.array_join(F.col("attitudes").cast("array<string>"), ","))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN u > greatest(n, p) THEN 0 WHEN p > n THEN p ELSE -n END AS attitude FROM
+(SELECT *, CAST(l_discount AS DOUBLE) AS n, CAST(l_tax AS DOUBLE) AS p, CAST(l_linenumber / 100.0 AS DOUBLE) AS u FROM lineitem)""")
+def a5_scalar_attitude(spark, sf):
+    proba = F.struct(F.col("l_tax").alias("positive"), (F.col("l_linenumber") / 100.0).alias("neutral"), F.col("l_discount").alias("negative"))
+    return attitudes.from_probabilities(table(spark, sf, "lineitem").withColumn("proba", proba)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "attitude")
+
+
+@query(sql(", s AS (SELECT min(mean) AS lo, max(mean) AS hi FROM means)\nSELECT CAST(least(floor((mean - lo) / ((hi - lo) / 10)) + 1, 10) AS INT) AS bin, count(*) AS n FROM means, s GROUP BY 1", "means"))
+def a6_a7_histogram(spark, sf):
+    return attitudes.histogram(t.labelled(spark, sf), "mean")
+
+
+@query(sql("SELECT e1, e2, n, total, round(mean, 6) AS mean, label FROM labelled", "labelled"))
+def a8_m1_signed_pairs(spark, sf):
+    return t.labelled(spark, sf).select("e1", "e2", "n", "total", _r("mean"), "label")
+
+
+@query(sql("SELECT round((median(tone2) FILTER (WHERE tone2 > 0) + median(tone2) FILTER (WHERE tone2 < 0)) / 20.0, 6) AS threshold FROM ee", "ee"))
+def a9_dynamic_threshold(spark, sf):
+    return attitudes.dynamic_threshold(t.ee(spark, sf), F.col("tone2")).select(F.round(F.col("threshold") / 10.0, 6).alias("threshold"))
+
+
+@query(sql("SELECT e1, e2, weight FROM sag", "sag"))
+def g1_f12_signed_edges(spark, sf):
+    return t.sag(spark, sf)
+
+
+@query(sql(", n AS (SELECT DISTINCT node AS entity FROM adj)\nSELECT CAST(row_number() OVER (ORDER BY entity) - 1 AS INT) AS id, entity FROM n", "adj"))
+def g1_node_ids(spark, sf):
+    return graph.node_ids(t.sag(spark, sf))
+
+
+@query(sql("SELECT greatest(e1, e2) AS hi, least(e1, e2) AS lo, weight FROM sag", "sag"))
+def s12_s13_edge_list(spark, sf):
+    return communities.edge_list(t.sag(spark, sf))
+
+
+@query(sql("SELECT entity, deg AS degree, pos - neg AS weighted_degree FROM seen", "seen"))
+def m8_degree(spark, sf):
+    return graph.degree(t.sag(spark, sf))
+
+
+@query(sql(""", reach(source, node, d) AS (SELECT DISTINCT node, node, 0 FROM adj UNION SELECT source, other, d + 1 FROM reach r JOIN adj a ON a.node = r.node WHERE d < 4),
+near AS (SELECT source, node, min(d) AS d FROM reach GROUP BY ALL)
+SELECT source AS entity, round(coalesce((count(*) - 1) / nullif(CAST(sum(d) AS DOUBLE), 0), 0), 6) AS closeness FROM near GROUP BY source""", "adj", recursive=True))
+def m8_closeness(spark, sf):
+    return graph.closeness(t.sag(spark, sf), rounds=4).select("entity", _r("closeness"))
+
+
+@query(sql("SELECT * FROM commons", "commons"))
+def j14_common_neighbours(spark, sf):
+    return graph.common_neighbours(t.sag(spark, sf))
+
+
+_N = "(SELECT count(*) FROM seen)"
+
+
+@query(sql(f"SELECT a, b, \"both\", round(coalesce((ln(greatest(x.deg, y.deg)) - ln(\"both\")) / nullif(ln({_N}) - ln(least(x.deg, y.deg)), 0), 0), 6) AS distance FROM commons JOIN seen x ON x.entity = a JOIN seen y ON y.entity = b", "commons", "seen"))
+def m2_semantic_distance(spark, sf):
+    return graph.semantic_distance(t.sag(spark, sf)).select("a", "b", "both", _r("distance"))
+
+
+@query(sql(f""", p AS (SELECT x.entity AS a, y.entity AS b, ln(greatest(x.deg, y.deg)) - coalesce(ln("both"), 0) AS up, nullif(ln({_N}) - ln(least(x.deg, y.deg)), 0) AS down FROM seen x JOIN seen y ON x.entity <> y.entity LEFT JOIN commons c ON c.a = least(x.entity, y.entity) AND c.b = greatest(x.entity, y.entity))
+SELECT a AS entity, round(sum(coalesce(up / down, 0)), 4) AS semantic_association FROM p GROUP BY a""", "commons", "seen"))
+def a24_semantic_totals(spark, sf):
+    return graph.semantic_totals(t.sag(spark, sf)).select("entity", F.round("semantic_association", 4).alias("semantic_association"))
+
+
+def _sa(a: str, b: str, c: str) -> str:
+    return f"CASE WHEN coalesce({a}, 0) > 0 AND coalesce({b}, 0) > 0 AND coalesce({c}, 0) > 0 THEN coalesce((ln(greatest({a}, {b})) - ln({c})) / nullif(ln({_N}) - ln(least({a}, {b})), 0), 0) ELSE 0 END"
+
+
+_SSA = f""", ssa AS (SELECT e1, e2, weight, CASE WHEN weight > 0 THEN {_sa("x.pos", "y.pos", "pp")} + {_sa("x.neg", "y.neg", "nn")} ELSE -({_sa("x.pos", "y.neg", "pn")}) - ({_sa("x.neg", "y.pos", "np")}) END AS ssa
+FROM sag JOIN seen x ON x.entity = e1 JOIN seen y ON y.entity = e2 LEFT JOIN commons ON a = e1 AND b = e2)
+"""
+
+
+@query(sql(_SSA + "SELECT e1, e2, weight, round(ssa, 6) AS ssa FROM ssa", "commons", "seen"))
+def m3_m4_signed_association(spark, sf):
+    return graph.signed_association(t.sag(spark, sf)).select("e1", "e2", "weight", _r("ssa"))
+
+
+@query(sql(_SSA + ", b AS (SELECT e1 AS entity, ssa FROM ssa UNION ALL SELECT e2, ssa FROM ssa)\nSELECT entity, round(sum(ssa), 5) AS ssa, round(sum(ssa) / (1 - any_value(2 * least(pos, neg) / CAST(pos + neg AS DOUBLE)) + 1e-9), 3) AS score FROM b JOIN seen USING (entity) WHERE pos <> neg GROUP BY entity", "commons", "seen"))
+def a18_a25_entity_score(spark, sf):
+    e = t.sag(spark, sf)
+    return graph.signed_association_totals(e).join(graph.polarity_mix(e).filter("pos <> neg"), "entity").select("entity", F.round("ssa", 5).alias("ssa"), F.round(N.entity_score("ssa", "mu"), 3).alias("score"))
+
+
+@query(sql(""", tri AS (SELECT (x.weight > 0)::INT + (y.weight > 0)::INT + (z.weight > 0)::INT AS p FROM sag x JOIN sag y ON x.e2 = y.e1 JOIN sag z ON z.e1 = x.e1 AND z.e2 = y.e2),
+k(p, kind) AS (VALUES (3, '+++'), (2, '++-'), (1, '+--'), (0, '---'))
+SELECT kind, count(tri.p) AS n, round(coalesce(count(tri.p) / nullif((SELECT CAST(count(*) AS DOUBLE) FROM tri), 0), 0), 6) AS share FROM k LEFT JOIN tri USING (p) GROUP BY kind""", "sag"))
+def a26_triads(spark, sf):
+    return graph.triads(t.sag(spark, sf)).select("kind", "n", _r("share"))
+
+
+@query(sql("SELECT entity, count(*) AS n FROM mentions GROUP BY entity ORDER BY n DESC, entity LIMIT 50", "mentions"))
+def a27_top_entities(spark, sf):
+    return entities.top_entities(t.mentions(spark, sf))
+
+
+@query(sql("SELECT entity, pos, neg, round(2 * least(pos, neg) / CAST(pos + neg AS DOUBLE), 6) AS mu FROM seen WHERE pos + neg > 5 ORDER BY 2 * least(pos, neg) / CAST(pos + neg AS DOUBLE) DESC, entity LIMIT 5", "seen"))
+def t3_most_polarized(spark, sf):
+    return graph.polarity_mix(t.sag(spark, sf)).filter("pos + neg > 5").orderBy(F.desc("mu"), "entity").limit(5).select("entity", "pos", "neg", _r("mu"))
+
+
+@query(sql(""", own AS (SELECT * FROM adj UNION ALL SELECT DISTINCT node, node, 1 FROM adj), sz AS (SELECT node, count(*) AS s FROM own GROUP BY node),
+net AS (SELECT s.e1, s.e2, sum(a.weight * b.weight) AS net, count(*) AS both FROM sag s JOIN own a ON a.node = e1 JOIN own b ON b.node = e2 AND b.other = a.other GROUP BY ALL)
+SELECT e1, e2, weight, round(coalesce(net, 0) / CAST(x.s + y.s - coalesce("both", 0) AS DOUBLE), 6) AS similarity FROM sag LEFT JOIN net USING (e1, e2) JOIN sz x ON x.node = e1 JOIN sz y ON y.node = e2""", "adj"))
+def u2_signed_jaccard(spark, sf):
+    return graph.signed_jaccard(t.sag(spark, sf)).select("e1", "e2", "weight", _r("similarity"))
+
+
+# -- fellowships and dipoles
+
+
+@query(sql("SELECT DISTINCT least(x, y) AS f1, greatest(x, y) AS f2 FROM crossed WHERE x <> y", "crossed"))
+def j7_j8_connected_groups(spark, sf):
+    return graph.connected_groups(t.sag(spark, sf), t.groups(spark, sf))
+
+
+@query(sql("SELECT x AS fid, e1, e2, weight FROM crossed WHERE x = y", "crossed"))
+def j10_group_edges(spark, sf):
+    return graph.group_edges(t.sag(spark, sf), t.groups(spark, sf))
+
+
+@query(sql("SELECT f1, f2, pos, neg, round(neg / CAST(pos + neg AS DOUBLE), 6) AS negative_ratio, round(pos / CAST(pos + neg AS DOUBLE), 6) AS positive_ratio FROM cand", "cand"))
+def a10_dipole_candidates(spark, sf):
+    return t.candidates(spark, sf).select("f1", "f2", "pos", "neg", _r("negative_ratio"), _r("positive_ratio"))
+
+
+@query(sql("SELECT f1, f2, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS net FROM dip JOIN crossed ON x IN (f1, f2) AND y IN (f1, f2) GROUP BY ALL", "dip", "crossed"))
+def j9_dipole_edges(spark, sf):
+    d = t.candidates(spark, sf).filter("negative_ratio >= 0.5")
+    return graph.dipole_edges(t.sag(spark, sf), t.groups(spark, sf), d).groupBy("f1", "f2").agg(F.count("*").alias("edges"), F.sum("weight").alias("net"))
+
+
+@query()
+def g4_g5_dipoles(spark, sf):
+    """Frustration of dense dipoles is a search; unit tests hold it against enumeration."""
+    return communities.dipoles(t.sag(spark, sf), t.groups(spark, sf), f_g_thr=0.2).select("f1", "f2", "pos", "neg", "f_g")
+
+
+@query()
+def g2_g3_fellowships(spark, sf):
+    """Seeded clustering runs and their consensus."""
+    return communities.fellowships(communities.cluster_runs(t.sag(spark, sf), runs=5), merge_iter=3)
+
+
+@query()
+def a29_comembership(spark, sf):
+    return communities.comembership(communities.cluster_runs(t.sag(spark, sf), runs=3))
+
+
+@query(sql(", c AS (SELECT fid, count(*) AS size, min(entity) AS first FROM fellows GROUP BY fid)\nSELECT fid, size, CAST(row_number() OVER (ORDER BY size DESC, first) - 1 AS INT) AS rank FROM c", "fellows"))
+def t2_groups_by_size(spark, sf):
+    return communities.by_size(t.groups(spark, sf))
+
+
+@query()
+def g7_label_propagation(spark, sf):
+    seeds = t.party(spark, sf).filter("label <> 'N'")
+    return communities.propagate_labels(graph.signed_jaccard(t.sag(spark, sf)), seeds)
+
+
+@query(sql(""", c AS (SELECT fid, label, count(*) AS k FROM fellows JOIN party USING (entity) GROUP BY ALL)
+SELECT fid, CAST(sum(k) AS BIGINT) AS population, round(coalesce(max(k) FILTER (WHERE label <> 'N'), 0) / CAST(sum(k) AS DOUBLE), 6) AS purity, min_by(label, (-k, label)) AS majority FROM c GROUP BY fid HAVING purity > 0.5 AND majority <> 'N'""", "fellows", "party"))
+def g8_a19_cohesive_groups(spark, sf):
+    return communities.cohesive(t.groups(spark, sf), t.party(spark, sf)).select("fid", "population", _r("purity"), "majority")
+
+
+@query(sql("SELECT DISTINCT fid FROM fellows JOIN party USING (entity) WHERE label = 'R' EXCEPT SELECT DISTINCT fid FROM fellows JOIN party USING (entity) WHERE label = 'D'", "fellows", "party"))
+def u6_exclusive_groups(spark, sf):
+    labelled = t.groups(spark, sf).join(t.party(spark, sf), "entity")
+    return labelled.filter("label = 'R'").select("fid").distinct().join(labelled.filter("label = 'D'").select("fid").distinct(), "fid", "left_anti")
+
+
+# -- topics
+
+
+@query(sql("SELECT f1, f2, topic, round(pi, 6) AS pi, round(pi_res, 6) AS pi_res, observations FROM dtop", "dtop"))
+def a11_a12_a16_topic_polarization(spark, sf):
+    return t.dipole_topics(spark, sf).select("f1", "f2", "topic", _r("pi"), _r("pi_res"), "observations")
+
+
+@query(sql("SELECT entity, topic, round(median(tone) / 5, 6) AS weight, count(*) AS observations FROM et GROUP BY ALL", "et"))
+def a13_entity_topic(spark, sf):
+    return topics.entity_topic_weights(t.et(spark, sf), "tone", 5).select("entity", "topic", _r("weight"), "observations")
+
+
+@query(sql("SELECT fid, topic, round(sum(tone) / (count(*) * 5.0), 6) AS weight, count(*) AS observations FROM et JOIN fellows USING (entity) GROUP BY ALL", "et", "fellows"))
+def a14_group_topic(spark, sf):
+    return topics.group_topic_weights(t.et(spark, sf), t.groups(spark, sf), "tone", 5.0).select("fid", "topic", _r("weight"), "observations")
+
+
+@query(sql(", s AS (SELECT min(pi) AS lo, max(pi) AS hi FROM dtop)\nSELECT f1, f2, topic, 'Polarization' || CASE WHEN pi < hi OR lo = hi THEN CAST(least(floor((pi - (CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END)) / ((CASE WHEN lo = hi THEN 1 ELSE hi - lo END) / 10)) + 1, 10) AS INT) ELSE 0 END AS label FROM dtop, s", "dtop"))
+def a15_polarization_labels(spark, sf):
+    return topics.polarization_labels(t.dipole_topics(spark, sf)).select("f1", "f2", "topic", "label")
+
+
+_LABEL_ET = ", lab AS (SELECT entity, topic, CASE WHEN w >= -1 AND w < CAST(-0.02 AS DOUBLE) THEN 'NEGATIVE' WHEN w >= CAST(0.02 AS DOUBLE) AND w < 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS label FROM (SELECT entity, topic, median(tone) / 5 AS w FROM et GROUP BY ALL)),\nlc AS (SELECT fid, topic, label, count(*) AS k FROM lab JOIN fellows USING (entity) GROUP BY ALL),\nsz AS (SELECT fid, count(*) AS size FROM fellows GROUP BY fid),\ncoh AS (SELECT fid, topic, CAST(sum(k) AS BIGINT) AS attitude_population, coalesce(max(k) FILTER (WHERE label <> 'NEUTRAL'), 0) / CAST(sum(k) AS DOUBLE) AS cohesiveness FROM lc GROUP BY ALL)\n"
+
+
+def _cohesiveness(spark, sf):
+    labels = topics.entity_topic_weights(t.et(spark, sf), "tone", 5).select("entity", "topic", N.sign_label("weight").alias("label"))
+    return topics.attitudinal_cohesiveness(labels, t.groups(spark, sf))
+
+
+@query(sql(_LABEL_ET + "SELECT fid, topic, attitude_population, round(cohesiveness, 6) AS cohesiveness, round(attitude_population / CAST(size AS DOUBLE), 6) AS member_ratio FROM coh JOIN sz USING (fid)", "et", "fellows"))
+def a20_cohesiveness(spark, sf):
+    return _cohesiveness(spark, sf).select("fid", "topic", "attitude_population", _r("cohesiveness"), _r("member_ratio"))
+
+
+@query(sql(_LABEL_ET + "SELECT fid, round(avg(cohesiveness), 6) AS avg_cohesiveness, round(stddev_pop(cohesiveness), 6) AS std_cohesiveness, round(max(cohesiveness), 6) AS max_cohesiveness, round(min(cohesiveness), 6) AS min_cohesiveness FROM coh GROUP BY fid", "et", "fellows"))
+def a21_cohesiveness_summary(spark, sf):
+    s = topics.cohesiveness_summary(_cohesiveness(spark, sf))
+    return s.select("fid", *(_r(c) for c in s.columns[1:]))
+
+
+@query(sql(_LABEL_ET + "SELECT fid, topic, attitude_population, round(attitude_population / CAST(size AS DOUBLE), 6) AS member_ratio FROM coh JOIN sz USING (fid) ORDER BY attitude_population DESC, attitude_population / CAST(size AS DOUBLE) DESC, fid, topic LIMIT 10", "et", "fellows"))
+def t4_cohesiveness_ranking(spark, sf):
+    return _cohesiveness(spark, sf).orderBy(F.desc("attitude_population"), F.desc("member_ratio"), "fid", "topic").limit(10).select("fid", "topic", "attitude_population", _r("member_ratio"))
+
+
+@query(sql(""", ge AS (SELECT x AS fid, e1, e2, weight FROM crossed WHERE x = y), ends AS (SELECT fid, e1 AS n, weight FROM ge UNION ALL SELECT fid, e2, weight FROM ge),
+sz AS (SELECT fid, count(DISTINCT entity) AS size FROM fellows GROUP BY fid), m AS (SELECT fid, count(*) AS m, count(*) FILTER (WHERE weight > 0) AS mp, count(*) FILTER (WHERE weight < 0) AS mn FROM ge GROUP BY fid),
+nn AS (SELECT fid, count(DISTINCT n) FILTER (WHERE weight > 0) AS np, count(DISTINCT n) FILTER (WHERE weight < 0) AS nn FROM ends GROUP BY fid)
+SELECT fid, size, 2 * coalesce(m, 0) AS edges, 2 * coalesce(mp, 0) AS positive, 2 * coalesce(mn, 0) AS negative, round(coalesce(2.0 * m / nullif(size * (size - 1), 0), 0), 6) AS density,
+round(coalesce(2.0 * mp / nullif(np * (np - 1), 0), 0), 6) AS positive_density, round(coalesce(2.0 * mn / nullif(nn * (nn - 1), 0), 0), 6) AS negative_density FROM sz LEFT JOIN m USING (fid) LEFT JOIN nn USING (fid)""", "crossed"))
+def a21_m9_group_density(spark, sf):
+    g = graph.group_density(t.sag(spark, sf), t.groups(spark, sf))
+    return g.select("fid", "size", "edges", "positive", "negative", *(_r(c) for c in ("density", "positive_density", "negative_density")))
+
+
+_RANK = ", rk AS (SELECT topic, count(*) AS dt, CAST(sum(observations) AS BIGINT) AS obst, median(pi) AS mt, max(pi) AS max_pi, min(pi) AS min_pi, stddev_pop(pi) AS std_pi, avg(pi) AS avg_pi FROM dtop GROUP BY topic)\n"
+
+
+@query(sql(_RANK + "SELECT topic, dt, obst, round(mt, 6) AS mt, round(max_pi, 6) AS max_pi, round(min_pi, 6) AS min_pi, round(std_pi, 6) AS std_pi, round(avg_pi, 6) AS avg_pi, round(CAST(obst AS DOUBLE) / dt * mt, 5) AS score FROM rk", "dtop"))
+def a22_topic_ranking(spark, sf):
+    k = topics.rank_topics(t.dipole_topics(spark, sf))
+    return k.select("topic", "dt", "obst", *(_r(c) for c in ("mt", "max_pi", "min_pi", "std_pi", "avg_pi")), F.round("score", 5).alias("score"))
+
+
+@query(sql("SELECT round(coalesce(sum(observations) / nullif(CAST(count(*) AS DOUBLE), 0) * median(pi), 0), 5) AS score FROM dtop WHERE topic = 'PROMO'", "dtop"))
+def a23_topic_score(spark, sf):
+    return topics.topic_score(t.dipole_topics(spark, sf), "PROMO").select(F.round("score", 5).alias("score"))
+
+
+@query(sql(_RANK + "SELECT topic, round(CAST(obst AS DOUBLE) / dt * mt, 5) AS score FROM rk WHERE topic IN (SELECT p_type FROM part WHERE p_size > 40) ORDER BY CAST(obst AS DOUBLE) / dt * mt DESC, topic LIMIT 25", "dtop"))
+def t5_f15_top_topics(spark, sf):
+    relevant = table(spark, sf, "part").filter("p_size > 40").select(F.col("p_type").alias("topic"))
+    return topics.top_topics(topics.rank_topics(t.dipole_topics(spark, sf)), relevant).select("topic", F.round("score", 5).alias("score"))
+
+
+@query("SELECT p_type AS topic, array_to_string(list_slice(list(DISTINCT p_name ORDER BY p_name), 1, 3), ', ') AS representation FROM part GROUP BY p_type")
+def t6_representation(spark, sf):
+    lists = table(spark, sf, "part").groupBy(F.col("p_type").alias("topic")).agg(F.array_sort(F.collect_set("p_name")).alias("nps"))
+    return lists.select("topic", X.representation("nps").alias("representation"))
+
+
+# -- vectors
+
+
+_UNNEST = ", e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+@query("WITH" + _UNNEST[1:] + " SELECT label, CAST(pos AS INT) AS pos, round(avg(x), 6) AS x FROM e GROUP BY ALL")
+def m6_centroids(spark, sf):
+    c = N.centroids(table(spark, sf, "embeddings"), "label", "embedding")
+    return c.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", _r("x"))
+
+
+@query("WITH" + _UNNEST[1:] + """, c AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL), cn AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label), sn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e WHERE vec_id % 50 = 0 GROUP BY vec_id)
+SELECT label AS topic, round(avg(d), 6) AS relevance FROM (SELECT c.label, s.vec_id, sum(c.x * s.x) / any_value(cn.n * sn.n) AS d FROM c JOIN e s ON s.pos = c.pos AND s.vec_id % 50 = 0 JOIN cn ON cn.label = c.label JOIN sn ON sn.vec_id = s.vec_id GROUP BY ALL) GROUP BY label""")
+def m7_t7_relevance(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return topics.relevance(e.withColumnRenamed("label", "topic"), e.filter("vec_id % 50 = 0")).select("topic", _r("relevance"))
+
+
+@query("SELECT a, b, round(similarity, 5) AS similarity FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE similarity >= 0.4")
+def m5_similar_pairs(spark, sf):
+    return clustering.similar_pairs(table(spark, sf, "embeddings"), 0.4).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query("WITH" + _UNNEST[1:] + """, c AS (SELECT label AS topic, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL) GROUP BY label), d AS (SELECT vec_id, topic, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS distance FROM embeddings, c)
+SELECT vec_id, arg_min(topic, distance) AS topic, round(min(distance), 5) AS distance FROM d WHERE distance <= 0.9 GROUP BY vec_id""")
+def j16_t9_nearest_topic(spark, sf):
+    e = table(spark, sf, "embeddings")
+    centres = N.centroids(e, "label", "embedding").withColumnRenamed("label", "topic")
+    return topics.nearest_topic(e, centres, 0.9, key="vec_id").select("vec_id", "topic", F.round("distance", 5).alias("distance"))
+
+
+@query()
+def g12_online_clusters(spark, sf):
+    return clustering.online_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), create=0.4, assign=0.35, iterations=3)
+
+
+@query()
+def g13_g14_t8_clusters(spark, sf):
+    pairs = clustering.similar_pairs(table(spark, sf, "embeddings"), 0.4)
+    return clustering.reorder(clustering.take_clusters(pairs), 0.4)
+
+
+@query("SELECT event_id, round(exp(value) / (exp(value) + exp(1) + exp(0)), 6) AS p FROM (SELECT event_id, value / 100 AS value FROM events)")
+def m12_softmax(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(N.softmax(F.array(F.col("value") / 100, F.lit(1.0), F.lit(0.0)))[0], 6).alias("p"))
+
+
+@query("SELECT strftime(unnest(generate_series(DATE '2023-11-16', DATE '2023-12-05', INTERVAL 1 DAY)), '%Y%m%d') AS day")
+def m10_s1_days(spark, sf):
+    return spark.range(1).select(F.explode(N.day_sequence("2023-11-16", "2023-12-05")).alias("day"))
+
+
+_TYPES = ", s AS (SELECT DISTINCT l_suppkey % 40 AS k, l_partkey % 97 AS p FROM lineitem), z AS (SELECT k, count(*) AS n FROM s GROUP BY k)"
+
+
+@query("WITH" + _TYPES[1:] + " SELECT x.k AS a, y.k AS b, round(count(*) FILTER (WHERE true) / CAST(any_value(zx.n + zy.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s x JOIN s y ON x.p = y.p AND x.k < y.k JOIN z zx ON zx.k = x.k JOIN z zy ON zy.k = y.k GROUP BY ALL")
+def u1_jaccard(spark, sf):
+    sets = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 40).alias("k"), (F.col("l_partkey") % 97).alias("p")).distinct().groupBy("k").agg(F.collect_set("p").alias("s"))
+    pairs = sets.alias("x").join(sets.alias("y"), F.col("x.k") < F.col("y.k"))  # 40 sets
+    return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.round(N.jaccard("x.s", "y.s"), 6).alias("jaccard")).filter("jaccard > 0")
+
+
+# -- knowledge graph
+
+
+def _graph(spark, sf):
+    labels = N.sign_label("weight").alias("label")
+    et = topics.entity_topic_weights(t.et(spark, sf), "tone", 5).select("*", labels)
+    gt = topics.group_topic_weights(t.et(spark, sf), t.groups(spark, sf), "tone", 5.0).select("*", labels)
+    d = t.candidates(spark, sf).filter("negative_ratio >= 0.5").withColumn("f_g", F.lit(None).cast("double"))
+    return knowledge_graph.assemble(t.sag(spark, sf), et, t.groups(spark, sf), gt, d, topics.polarization_labels(t.dipole_topics(spark, sf)))
+
+
+_GRAPH = """, ew AS (SELECT entity, topic, median(tone) / 5 AS w, count(*) AS o FROM et GROUP BY ALL), gw AS (SELECT fid, topic, sum(tone) / (count(*) * CAST(5 AS DOUBLE)) AS w, count(*) AS o FROM et JOIN fellows USING (entity) GROUP BY ALL),
+kg AS (SELECT CAST(node AS VARCHAR) AS src, CAST(other AS VARCHAR) AS dst, 'Attitude' AS type, CASE WHEN weight > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS predicate, CAST(weight AS DOUBLE) AS weight, NULL AS observations FROM adj
+UNION ALL SELECT CAST(entity AS VARCHAR), 'T:' || topic, 'Attitude', CASE WHEN w >= -1 AND w < CAST(-0.02 AS DOUBLE) THEN 'NEGATIVE' WHEN w >= CAST(0.02 AS DOUBLE) AND w < 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END, w, o FROM ew
+UNION ALL SELECT CAST(entity AS VARCHAR), 'F' || fid, 'MemberOf', NULL, NULL, NULL FROM fellows
+UNION ALL SELECT 'F' || fid, 'T:' || topic, 'Attitude', CASE WHEN w >= -1 AND w < CAST(-0.02 AS DOUBLE) THEN 'NEGATIVE' WHEN w >= CAST(0.02 AS DOUBLE) AND w < 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END, w, o FROM gw
+UNION ALL SELECT 'F' || f1, 'F' || f2, 'Conflict', NULL, NULL, NULL FROM dip
+UNION ALL SELECT 'F' || f1, 'D' || f1 || '_' || f2, 'PartOf', NULL, NULL, NULL FROM dip UNION ALL SELECT 'F' || f2, 'D' || f1 || '_' || f2, 'PartOf', NULL, NULL, NULL FROM dip
+UNION ALL SELECT 'D' || f1 || '_' || f2, 'T:' || topic, 'Polarization', '?', pi, observations FROM dtop)
+"""
+
+
+@query(sql(_GRAPH + "SELECT src, dst, type, CASE type WHEN 'Polarization' THEN NULL ELSE predicate END AS predicate, round(weight, 6) AS weight, CAST(observations AS BIGINT) AS observations FROM kg", "adj", "et", "fellows", "dtop"))
+def g9_j12_graph_edges(spark, sf):
+    return _graph(spark, sf).select("src", "dst", "type", F.when(F.col("type") != "Polarization", F.col("predicate")).alias("predicate"), _r("weight"), "observations")
+
+
+@query(sql(_GRAPH + ", ids AS (SELECT src AS id FROM kg UNION SELECT dst FROM kg)\nSELECT id, CASE WHEN id LIKE 'T:%' THEN 'Topic' WHEN id LIKE 'D%' THEN 'Dipole' WHEN id LIKE 'F%' THEN 'Fellowship' ELSE 'Entity' END AS type FROM ids", "adj", "et", "fellows", "dtop"))
+def g10_f16_graph_nodes(spark, sf):
+    return knowledge_graph.nodes(_graph(spark, sf))
+
+
+@query(sql(_GRAPH + ", n AS (SELECT src AS node, dst AS neighbour FROM kg UNION SELECT dst, src FROM kg)\nSELECT node, count(*) AS fellowships FROM n WHERE neighbour LIKE 'F%' GROUP BY node", "adj", "et", "fellows", "dtop"))
+def j13_neighbours(spark, sf):
+    g = _graph(spark, sf)
+    return knowledge_graph.neighbours(g, knowledge_graph.nodes(g), "Fellowship").groupBy("node").agg(F.count("*").alias("fellowships"))
+
+
+@query(sql(_GRAPH + "SELECT src AS subject, upper(coalesce(predicate, type)) AS predicate, dst AS object FROM kg WHERE type <> 'Polarization' AND upper(coalesce(predicate, type)) <> 'NEUTRAL'", "adj", "et", "fellows", "dtop"))
+def g16_triples(spark, sf):
+    return knowledge_graph.triples(_graph(spark, sf).filter("type <> 'Polarization'"))
+
+
+@query("""WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 50 AS VARCHAR) AS o, l_returnflag AS r FROM lineitem WHERE CAST(l_suppkey AS VARCHAR) <> CAST(l_partkey % 50 AS VARCHAR)), b AS (SELECT s, o, r FROM p UNION ALL SELECT o, s, r FROM p)
+SELECT s AS src, o AS dst, max(r) AS label, 1 AS weight FROM b GROUP BY ALL""")
+def g17_u4_generic_graph(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("subject"), F.col("l_returnflag").alias("predicate"), (F.col("l_partkey") % 50).cast("string").alias("object"))
+    return knowledge_graph.generic_graph(rows)
+
+
+@query("""SELECT l_suppkey AS subject, l_returnflag AS predicate, l_partkey AS object, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 1000) AND l_partkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 1000) AND l_returnflag <> 'N' GROUP BY ALL""")
+def j17_known_triples(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("object"))
+    names = table(spark, sf, "supplier").filter("s_acctbal > 1000").select(F.col("s_suppkey").alias("name"))
+    relations = spark.createDataFrame([("A",), ("R",)], "name string")
+    return knowledge_graph.known_triples(rows, names, relations).groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT sent AS uid, CAST(e1 AS VARCHAR) AS src, CAST(e2 AS VARCHAR) AS dst, round(sum(tone2) / (count(*) * 10.0), 6) AS weight FROM ee GROUP BY ALL
+UNION ALL SELECT sent, CAST(entity AS VARCHAR), 'T:' || topic, round(sum(tone * 2) / (count(*) * 10.0), 6) FROM et GROUP BY ALL""", "ee", "et"))
+def g15_article_graphs(spark, sf):
+    ee = t.ee(spark, sf).select(F.col("sent").alias("uid"), "e1", "e2", F.col("tone2").alias("num"))
+    et = t.et(spark, sf).select(F.col("sent").alias("uid"), "entity", "topic", (F.col("tone") * 2).alias("num"))
+    none = spark.createDataFrame([], knowledge_graph.EDGE)
+    return knowledge_graph.article_graphs(ee, et, none, 10.0).select("uid", "src", "dst", _r("weight"))
+
+
+_SAMPLE = """WITH s AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 50 AS VARCHAR) AS o FROM lineitem), n AS (SELECT path, s AS node FROM s UNION SELECT path, o FROM s), r AS (SELECT path, node, row_number() OVER (PARTITION BY path ORDER BY node) - 1 AS i FROM n)
+SELECT path, (SELECT string_agg(node, ',' ORDER BY node) FROM n WHERE n.path = p.path) AS nodes, (SELECT string_agg(e, ';' ORDER BY i, j) FROM (SELECT DISTINCT a.i, b.i AS j, a.i || '-' || b.i AS e FROM s JOIN r a ON a.path = s.path AND a.node = s.s JOIN r b ON b.path = s.path AND b.node = s.o WHERE s.path = p.path AND s.s <> s.o)) AS edges FROM (SELECT DISTINCT path FROM s) p"""
+
+
+@query(_SAMPLE)
+def g18_tensors(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.lit(1).alias("label"), F.col("l_suppkey").cast("string").alias("s"), (F.col("l_partkey") % 50).cast("string").alias("o"))
+    edges = F.array_join(F.transform("edge_index", lambda e: F.concat_ws("-", e["i"].cast("string"), e["j"].cast("string"))), ";")
+    return knowledge_graph.tensors(rows, size=4).select("path", F.array_join("nodes", ",").alias("nodes"), edges.alias("edges"))
+
+
+@query("SELECT url, CASE WHEN contains(url, 'e') THEN 1 WHEN contains(url, 'i') THEN 0 END AS label FROM (SELECT replace(replace(url, 'e', 'Unreliable'), 'i', 'Reliable') AS url0, url FROM pages)")
+def g19_label_from_path(spark, sf):
+    marked = F.when(F.col("url").contains("e"), "Unreliable").when(F.col("url").contains("i"), "Reliable").otherwise("")
+    return table(spark, sf, "pages").withColumn("path", marked).select("url", knowledge_graph.label_from_path().alias("label"))
+
+
+@query()
+def g20_balanced(spark, sf):
+    return knowledge_graph.stratified_split(knowledge_graph.balanced(table(spark, sf, "labels"), "quality", "doc_id"), "quality", "doc_id")
+
+
+# -- series
+
+
+_SERIES = "SELECT event_id, user_id, {} FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts, event_id{})"
+
+
+@query(_SERIES.format("round(avg(value) OVER s, 6) AS sma", " ROWS BETWEEN 6 PRECEDING AND CURRENT ROW"))
+def w1_simple_average(spark, sf):
+    return moving.simple(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 7).select("event_id", "user_id", _r("sma"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), e AS (SELECT event_id, user_id, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.user_id, o.i, CAST(2 AS DOUBLE) / 21 * o.value + (1 - CAST(2 AS DOUBLE) / 21) * e.ema FROM e JOIN o ON o.user_id = e.user_id AND o.i = e.i + 1)
+SELECT event_id, user_id, round(CAST(ema AS DOUBLE), 5) AS ema FROM e""")
+def w2_w5_exponential_average(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return moving.exponential(rows, ["user_id"], ["ts", "event_id"], "value", moving.days(20)).select("event_id", "user_id", F.round("ema", 5).alias("ema"))
+
+
+@query(_SERIES.format("CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER s AS DOUBLE) / count(*) OVER s AS cma", ""))
+def w3_cumulative_average(spark, sf):
+    cents = table(spark, sf, "events").withColumn("value", F.round(F.col("value") * 100).cast("long"))  # whole numbers: the same mean everywhere
+    return moving.cumulative(cents, ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "cma")
+
+
+@query("""WITH o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
+SELECT a.event_id, a.user_id, round(sum(b.value * (b.i - greatest(a.i - 5, 0))) / sum(b.i - greatest(a.i - 5, 0)), 6) AS wma FROM o a JOIN o b ON a.user_id = b.user_id AND b.i BETWEEN greatest(a.i - 4, 1) AND a.i GROUP BY ALL""")
+def w4_weighted_average(spark, sf):
+    return moving.weighted(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", "user_id", _r("wma"))
+
+
+# -- text
+
+
+def _java_to_sql(replacement: str) -> str:
+    return replacement.replace("$1$2", "\\1\\2")
+
+
+def _contractions(x: str) -> str:
+    for pattern, to in X.CONTRACTIONS:
+        quoted = pattern.replace("'", "''")
+        x = f"regexp_replace({x}, '{quoted}', '{_java_to_sql(to)}', 'g')"
+    return x
+
+
+_QUOTES = "translate(regexp_replace(replace(text, '``', ''''''), '[“”]', '\"', 'g'), '‘’–—', '''''--')"
+
+
+@query(f"SELECT conv_id, turn, regexp_replace({_contractions(_QUOTES)}, '[\\r\\n]', ' ', 'g') AS clean FROM conversations")
+def x1_x2_x3_preprocess(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.preprocess("text").alias("clean"))
+
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
+_PUNCT = X.PUNCTUATION.replace("'", "''")
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '(\\w)-(\\w)', '\\1\\2', 'g'), '(\\w)-(\\w)', '\\1\\2', 'g'), '{_PUNCT}', ' ', 'g')"
+
+
+_WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_filter({_WORDS.format(_stripped('p_name'))}, lambda x: NOT regexp_full_match(x, '\\d+') AND x NOT IN {_STOP}), ' ') AS clean FROM part")
+def x4_clean_phrase(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.clean_phrase("p_name").alias("clean"))
+
+
+@query(f"SELECT item_id, len(list_filter({_WORDS.format(_stripped('text'))}, lambda x: x NOT IN {_STOP})) > 0 AS has_content FROM benchmark")
+def x5_has_content(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", X.phrase_has_content("text").alias("has_content"))
+
+
+@query(f"SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM (SELECT {_WORDS.format('lower(text)')} AS w FROM benchmark)) GROUP BY g")
+def x7_ngrams(spark, sf):
+    return table(spark, sf, "benchmark").select(F.explode(X.ngrams(X.words(F.lower("text")), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed, regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g') AS marks, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS folded FROM benchmark")
+def x8_x13_x35_sequences(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", X.collapse("text").alias("collapsed"), X.punctuation_sequence("text").alias("marks"), X.ascii_fold("text").alias("folded"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({_WORDS.format('lower(text)')}, lambda x: x IN {_STOP}), ' ') AS stops FROM documents")
+def x14_stop_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.stop_word_sequence("text").alias("stops"))
+
+
+_MARKS = ".,;:!?"
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(text) - len(replace(text, '{m}', '')) AS pnc_{i}" for i, m in enumerate(_MARKS)) + ", 6 * len(text) - " + " - ".join(f"len(replace(text, '{m}', ''))" for m in _MARKS) + " AS pnc_total FROM documents")
+def x15_punctuation(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in X.punctuation_counts("text", _MARKS).items()))
+
+
+@query(f"""SELECT doc_id, len(w) AS sf_words, len(text) AS sf_chars, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS sf_begin_upper, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]{{2,}}$'))) AS sf_all_caps, len(text) - len(replace(text, chr(10), '')) + 1 AS sf_lines,
+greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sf_sentences, round(len(w) / CAST(greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS DOUBLE), 6) AS sf_words_per_sentence FROM (SELECT doc_id, text, {_WORDS.format('text')} AS w FROM documents)""")
+def x16_surface(spark, sf):
+    s = X.surface("text")
+    keep = ("sf_words", "sf_chars", "sf_begin_upper", "sf_all_caps", "sf_lines", "sf_sentences")
+    return table(spark, sf, "documents").select("doc_id", *(s[k].alias(k) for k in keep), F.round(s["sf_words_per_sentence"], 6).alias("sf_words_per_sentence"))
+
+
+@query(sql(""", s AS (SELECT doc_id, CAST(sum(k) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS v, CAST(count(*) FILTER (WHERE k = 1) AS DOUBLE) AS v1, CAST(count(*) FILTER (WHERE k = 2) AS DOUBLE) AS v2x, CAST(count(*) FILTER (WHERE k >= 2) AS DOUBLE) AS v2, CAST(sum(k * k) AS DOUBLE) AS m2 FROM counts GROUP BY doc_id)
+SELECT doc_id, coalesce(v1, 0) AS vr_hapax, coalesce(2 * v2x, 0) AS vr_dis_hapax, round(coalesce(v / n, 0), 6) AS vr_ttr, round(coalesce(pow(n, pow(v, -0.169)), 0), 4) AS vr_brunet, round(coalesce(100 * ln(n) / nullif(1 - v1 / n, 0), 0), 4) AS vr_honore, round(coalesce(v2 / n, 0), 6) AS vr_sichel, round(coalesce(v * v / nullif(m2 - v, 0), 0), 4) AS vr_yule FROM documents LEFT JOIN s USING (doc_id)""", "counts"))
+def x17_vocabulary_richness(spark, sf):
+    v = features.vocabulary_richness(table(spark, sf, "documents"))
+    return v.select("doc_id", "vr_hapax", "vr_dis_hapax", _r("vr_ttr"), *(F.round(c, 4).alias(c) for c in ("vr_brunet", "vr_honore")), _r("vr_sichel"), F.round("vr_yule", 4).alias("vr_yule"))
+
+
+@query(f"""SELECT doc_id, round(206.835 - 1.015 * n / s - 84.6 * coalesce(y / nullif(n, 0), 0), 7) AS ri_flesch_ease, round(4.71 * coalesce(l / nullif(n, 0), 0) + 0.5 * n / s - 21.43, 7) AS ri_ari FROM (SELECT doc_id, CAST(len({_WORDS.format('text')}) AS DOUBLE) AS n, CAST(greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS DOUBLE) AS s,
+CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS DOUBLE) AS l, CAST(len(regexp_extract_all(lower(text), '[aeiouy]+')) AS DOUBLE) AS y FROM documents)""")
+def x18_readability(spark, sf):
+    r = X.readability("text")
+    return table(spark, sf, "documents").select("doc_id", *(F.round(r[k], 7).alias(k) for k in ("ri_flesch_ease", "ri_ari")))
+
+
+_LEXICON = [("the", "function"), ("and", "function"), ("der", "function"), ("la", "function"), ("of", "relation"), ("de", "relation"), ("in", "relation"), ("and", "relation")]
+_LEX_SQL = ", lex(term, category) AS (VALUES " + ", ".join(map(str, _LEXICON)) + "), total AS (SELECT doc_id, sum(k) AS w FROM counts GROUP BY doc_id)\n"
+
+
+@query(sql(_LEX_SQL + "SELECT doc_id, category, CAST(sum(k) AS BIGINT) AS hits, count(*) AS terms, round(sum(k) / CAST(any_value(w) AS DOUBLE), 6) AS share FROM counts JOIN lex ON term = word JOIN total USING (doc_id) GROUP BY doc_id, category", "counts"))
+def x22_x25_x26_lexicon_counts(spark, sf):
+    lexicon = spark.createDataFrame(_LEXICON, "term string, category string")
+    return features.lexicon_counts(table(spark, sf, "documents"), lexicon).select("doc_id", "category", "hits", "terms", _r("share"))
+
+
+_SCORES = [("the", 1.0), ("and", 2.0), ("of", -1.0), ("is", -3.0), ("de", 0.5)]
+
+
+@query(sql(", lex(term, score) AS (VALUES " + ", ".join(map(str, _SCORES)) + ")\nSELECT doc_id, round(avg(CAST(score AS DOUBLE)), 6) AS score FROM counts JOIN lex ON term = word GROUP BY doc_id", "counts"))
+def x19_x23_lexicon_score(spark, sf):
+    return features.lexicon_score(table(spark, sf, "documents"), spark.createDataFrame(_SCORES, "term string, score double")).select("doc_id", _r("score"))
+
+
+_PATTERNS = [("th*", "th"), ("ther*", "ther"), ("the", "the"), ("and", "and"), ("an*", "an"), ("de", "de")]
+
+
+@query(sql(", pat(pattern, category) AS (VALUES " + ", ".join(map(str, _PATTERNS)) + """), total AS (SELECT doc_id, sum(k) AS w FROM counts GROUP BY doc_id),
+hit AS (SELECT word, category, rank() OVER (PARTITION BY word ORDER BY CASE WHEN pattern LIKE '%*' THEN len(pattern) - 1 ELSE 1000000 END) AS r FROM (SELECT DISTINCT word FROM counts) JOIN pat ON word = pattern OR (pattern LIKE '%*' AND starts_with(word, rtrim(pattern, '*'))))
+SELECT doc_id, category, round(sum(k) / CAST(any_value(w) AS DOUBLE) * 100, 6) AS percent FROM counts JOIN (SELECT DISTINCT word, category FROM hit WHERE r = 1) USING (word) JOIN total USING (doc_id) GROUP BY doc_id, category""", "counts"))
+def x21_pattern_categories(spark, sf):
+    return features.pattern_categories(table(spark, sf, "documents"), spark.createDataFrame(_PATTERNS, "pattern string, category string")).select("doc_id", "category", _r("percent"))
+
+
+_TFIDF = ", d AS (SELECT word, count(*) AS df, (SELECT count(*) FROM documents) AS n FROM counts GROUP BY word), w AS (SELECT doc_id, word, k * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM counts JOIN d USING (word) WHERE df >= 5 AND df <= n * CAST(0.8 AS DOUBLE)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id)\n"
+
+
+@query(sql(_TFIDF + "SELECT doc_id, count(*) AS terms, round(sum(w / l), 4) AS total FROM w JOIN z USING (doc_id) GROUP BY doc_id", "counts"))
+def a31_tfidf(spark, sf):
+    return features.tfidf(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("tfidf"), 4).alias("total"))
+
+
+@query()
+def a30_keywords(spark, sf):
+    """Terms of equal weight are ordered by name, which floating sums may split differently in another engine."""
+    return features.keywords(table(spark, sf, "documents"), 3)
+
+
+@query("SELECT l_returnflag AS k, round(quantile_cont(l_quantity, 0.25), 6) AS q25, round(quantile_cont(l_quantity, 0.75), 6) AS q75, round(median(l_quantity), 6) AS median, round(avg(l_quantity), 6) AS mean, max(l_quantity) AS max, min(l_quantity) AS min, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1")
+def a32_summary(spark, sf):
+    s = features.summary(table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "k"), ["k"], "l_quantity")
+    return s.select("k", *(c if c in ("max", "min") else _r(c) for c in s.columns[1:]))
+
+
+@query("SELECT page_id, coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '') AS host, lower(regexp_replace(regexp_replace(url, '" + _PUNCT + "', ' ', 'g'), ' +', '-', 'g')) AS slug FROM pages")
+def f1_f5_urls(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.url_host("url").alias("host"), X.title_slug("url").alias("slug"))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'd' || CAST(page_id % 4 AS VARCHAR) AS day, url AS sourceurl, len(regexp_extract_all(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), 'a|e|o')) AS n_keywords FROM pages)
+SELECT day, sourceurl, n_keywords FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n_keywords DESC, sourceurl) AS r FROM e WHERE n_keywords > 0) WHERE r <= 10""")
+def f3_u3_t1_select_articles(spark, sf):
+    events = table(spark, sf, "pages").select(F.concat(F.lit("d"), (F.col("page_id") % 4).cast("string")).alias("day"), F.col("url").alias("sourceurl"))
+    return readers.select_articles(events, keywords=("a", "e", "o"), n_articles=10)
+
+
+@query()
+def s4_html_articles(spark, sf):
+    """Parsing is a pandas function over the standard library's parser; unit tests hold it to small pages."""
+    return readers.parse_html(table(spark, sf, "pages"), "2023-11-16")
+
+
+@query()
+def x6_sentences(spark, sf):
+    return readers.sentences(table(spark, sf, "documents").withColumn("uid", F.col("doc_id").cast("string")))
+
+
+@query("SELECT p_partkey, list_transform(list_filter(regexp_extract_all(t, '\\[\\[[^\\]]*\\]\\]'), lambda x: true), lambda x: x)[1] AS first_link FROM (SELECT p_partkey, '[[' || p_name || '|' || p_brand || ']]' AS t FROM part)")
+def x30_wiki_links(spark, sf):
+    c = F.concat(F.lit("[["), "p_name", F.lit("|"), "p_brand", F.lit("]]"))
+    links = X.wiki_links(c)
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("[["), links[0], F.lit("|"), links[1], F.lit("]]")).alias("first_link"))
+
+
+@query("SELECT uid, sent_ix, title, begin, \"end\" FROM (SELECT l_orderkey AS uid, l_linenumber AS sent_ix, l_suppkey AS title, l_quantity AS begin, l_quantity + 3 AS \"end\", row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_quantity ORDER BY l_suppkey, l_partkey) AS r FROM lineitem) WHERE r = 1")
+def f11_first_per_span(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("sent_ix"), F.col("l_suppkey").alias("title"), F.col("l_quantity").alias("begin"), (F.col("l_quantity") + 3).alias("end"), F.struct("l_suppkey", "l_partkey").alias("pos"))
+    return entities.first_per_span(rows, ["uid", "sent_ix"]).select("uid", "sent_ix", "title", "begin", "end")
+
+
+_SPANS = "WITH a AS (SELECT l_orderkey AS uid, l_partkey AS title, l_quantity AS b, l_quantity + 3 AS e FROM lineitem WHERE l_linenumber <= 3), n AS (SELECT l_orderkey AS uid, l_suppkey AS np, l_quantity AS b, l_quantity + 2 AS e FROM lineitem WHERE l_linenumber > 3)\n"
+
+
+def _spans(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid"), "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").alias("begin"))
+    a = rows.filter("l_linenumber <= 3").select("uid", F.col("l_partkey").alias("title"), "begin", (F.col("begin") + 3).alias("end"))
+    return a, rows.filter("l_linenumber > 3").select("uid", F.col("l_suppkey").alias("np"), "begin", (F.col("begin") + 2).alias("end"))
+
+
+@query(_SPANS + "SELECT a.uid, title, np FROM a JOIN n ON a.uid = n.uid AND n.b < a.e AND a.b < n.e")
+def j1_overlapping_spans(spark, sf):
+    return entities.overlapping(*_spans(spark, sf), ["uid"]).select("uid", "title", F.col("np_b").alias("np"))
+
+
+@query(_SPANS + 'SELECT uid, np, b AS begin, e AS "end" FROM n WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.uid = n.uid AND n.b < a.e AND a.b < n.e)')
+def j2_phrases_without_entities(spark, sf):
+    a, n = _spans(spark, sf)
+    return entities.without_overlap(n, a, ["uid"])
+
+
+@query("SELECT count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn, round(avg(CAST(t = p AS INT)), 6) AS accuracy FROM (SELECT quality = 1 AS t, n_chars > 1000 AS p FROM labels JOIN documents USING (doc_id))")
+def l5_metrics(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("p", (F.col("n_chars") > 1000).cast("int"))
+    return metrics.binary_metrics(rows, "quality", "p").select("tp", "fp", "fn", "tn", _r("accuracy"))
+
+
+@query("WITH s AS (SELECT n_chars AS x, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality <> 1) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s) SELECT round(sum(p * (b + n / 2.0)) / (sum(p) * sum(n)), 6) AS auc FROM c")
+def l5_auc(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return metrics.auc(rows, "quality", "n_chars").select(_r("auc"))
