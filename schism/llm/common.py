@@ -43,6 +43,11 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, so a lost executor costs at most one stage."""
     spark = df.sparkSession

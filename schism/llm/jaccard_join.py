@@ -4,7 +4,8 @@ A document is the set of its n-word shingles.  Tokens (shingle hashes) are count
 two classes: rare, and frequent.  In the order rare first, then by hash, a set's prefix is extended until its
 guarantee holds:
 
-- enough rare tokens: the first e + 1 of them, one by one (e: tokens that a partner of least overlap may lack);
+- enough rare tokens: the first e + 1 + m of them, one by one (e: tokens that a partner of least overlap may lack;
+  m: up to 4); a pair has to share m + 1 of these to be compared;
 - fewer: all rare tokens one by one, and combinations of two neighbouring frequent tokens among the first
   (e - r) + (D - r) + 2, where D bounds the symmetric difference and r counts the rare ones.  If no rare token is
   shared, more frequent ones are shared than the unmatched ones can separate, so two stay neighbours in both sets.
@@ -29,14 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, few, lower_words, mix, narrow, pack, partitions, semi, stage, unpack
+from .common import blocks, drop_stage, exists, few, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
 #: each; if there are more, the most frequent ones).  Both steer the index only; no result depends on them.
 FREQUENT, LISTED = 16, 1_000_000
+#: Rare tokens by which a prefix is extended beyond the first e + 1, so that a pair has to share one more for each;
+#: bits of a token's hash that are counted in a shard.
+EXTRA, COUNTED_BITS = 4, 26
 #: Members of an index entry from which on it makes a family instead of pairs; sets in a tile.
 PAIRED, TILE = 256, 512
+#: In an entry: below this the extra tokens of a prefix, from it on a combination and the share of frequent tokens.
+FAMILY = 16
 _FLUSH = 2_000_000
 
 
@@ -107,13 +113,13 @@ class _Join:
     def scan(self) -> tuple[DataFrame, DataFrame]:
         """Documents (doc_id, n, node), and packed token counts by shard."""
         n, bits = self.n, self.bits
-        shift = np.uint64(64 - bits - 32)
+        shift = np.uint64(64 - bits - COUNTED_BITS)
 
         def counted(held):
             keys, times = np.unique(np.concatenate(held) >> shift, return_counts=True)
-            edges = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1).astype(np.uint64))
+            edges = np.searchsorted(keys >> np.uint64(COUNTED_BITS), np.arange((1 << bits) + 1).astype(np.uint64))
             full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
-            low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            low = (keys & np.uint64((1 << COUNTED_BITS) - 1)).astype(np.uint32)
             data = [pack(np.diff(low[edges[s] : edges[s + 1]], prepend=np.uint32(0))) for s in full]
             more = [pack(narrow(times[edges[s] : edges[s + 1]])) for s in full]
             none = pa.nulls(len(full), pa.int64())
@@ -136,8 +142,11 @@ class _Join:
                 yield counted(held)
 
         rows = self.docs.mapInArrow(run, "kind int, doc_id long, n long, node long, shard int, data binary, more binary")
-        self.scanned = stage(rows, "jaccard-scan")
-        return self.scanned.filter("kind = 0").select("doc_id", "n", "node"), self.scanned.filter("kind = 1").select("shard", "data", "more")
+        path = new_path(self.spark, "jaccard-scan")
+        rows.write.partitionBy("kind").parquet(path)
+        self.scanned_path = path
+        read = lambda kind, schema: self.spark.read.schema(schema).parquet(f"{path}/kind={kind}") if exists(self.spark, f"{path}/kind={kind}") else self.spark.createDataFrame([], schema)
+        return read(0, "doc_id long, n long, node long"), read(1, "shard int, data binary, more binary")
 
     def frequent(self, counts: DataFrame) -> np.ndarray:
         """Sorted leading bits of the tokens in the frequent class."""
@@ -150,7 +159,7 @@ class _Join:
             edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             total = np.add.reduceat(times, edge)
             often = total >= FREQUENT
-            return pd.DataFrame({"key": (int(frame["shard"].iloc[0]) << 32) | low[edge][often].astype(np.int64), "n": total[often]})
+            return pd.DataFrame({"key": (int(frame["shard"].iloc[0]) << COUNTED_BITS) | low[edge][often].astype(np.int64), "n": total[often]})
 
         found = counts.groupBy("shard").applyInPandas(run, "key long, n long").orderBy(F.desc("n"), "key").limit(LISTED).select("key")
         return np.sort(found.toArrow()["key"].to_numpy().astype(np.uint64))
@@ -161,7 +170,7 @@ class _Join:
         """Packed index entries by shard of their signature."""
         n, bits, num, den = self.n, self.bits, self.num, self.den
         shared = self.spark.sparkContext.broadcast(frequent)
-        shift = np.uint64(64 - bits - 32)
+        shift = np.uint64(64 - bits - COUNTED_BITS)
 
         def out(held):
             sig, node, size, share = (np.concatenate(x) for x in zip(*held))
@@ -189,16 +198,17 @@ class _Join:
                 use = np.zeros(len(size), bool)
                 use[fresh] = True
                 row = np.repeat(np.arange(len(size)), size)
-                pick = ~hit & use[row] & (rares[:-1] - rares[at[row]] <= lack[row])
+                extra = np.clip(r - lack - 1, 0, EXTRA)
+                pick = ~hit & use[row] & (rares[:-1] - rares[at[row]] <= (lack + extra)[row])
                 names = np.array([x or 0 for x in nodes], np.int64)
-                held.append((values[pick], names[row[pick]], size[row[pick]], np.zeros(pick.sum(), np.uint8)))
+                held.append((values[pick], names[row[pick]], size[row[pick]], extra[row[pick]].astype(np.uint8)))
                 for i in np.flatnonzero(use & (r <= lack)):
                     q = values[at[i] : at[i + 1]][hit[at[i] : at[i + 1]]]
                     most = int((lack[i] - r[i]) + ((den - num) * size[i] // num - r[i]) + 2)
                     q = q[:most]
                     if len(q) > 1:
                         pair = mix(q[:-1] * np.uint64(0xA24BAED4963EE407) + q[1:])
-                        held.append((pair, np.full(len(pair), names[i]), np.full(len(pair), size[i]), np.full(len(pair), 1 + int(254 * (size[i] - r[i]) / size[i]), np.uint8)))
+                        held.append((pair, np.full(len(pair), names[i]), np.full(len(pair), size[i]), np.full(len(pair), FAMILY + int((255 - FAMILY) * (size[i] - r[i]) / size[i]), np.uint8)))
                 total += sum(len(h[0]) for h in held[-1:])
                 if total > _FLUSH or len(held) > 20_000:
                     yield out(held)
@@ -209,7 +219,7 @@ class _Join:
         return self.docs.mapInArrow(run, "shard int, data binary")
 
     def matches(self, entries: DataFrame) -> DataFrame:
-        """kind 0: pairs to compare; kind 1: two members of a family and the share of frequent tokens of each."""
+        """kind 0: pairs, their extra tokens (share_a) and shared entries (times); kind 1: two members of a family and the share of frequent tokens of each."""
         num, den = self.num, self.den
 
         def parts(data: bytes):
@@ -232,7 +242,7 @@ class _Join:
             count = np.diff(np.append(edge, len(sig)))
             group = np.repeat(np.arange(len(edge)), count)
             several = (count > 1)[group]
-            family = several & ((share > 0) | (count > PAIRED)[group])
+            family = several & ((share >= FAMILY) | (count > PAIRED)[group])
             out = []
             paired = np.flatnonzero(several & ~family)
             k = 1
@@ -241,7 +251,7 @@ class _Join:
                 paired = paired[group[paired + k] == group[paired]]
                 near = np.minimum(size[paired], size[paired + k]) * den >= num * np.maximum(size[paired], size[paired + k])
                 i = paired[near]
-                out.append(np.stack([np.zeros(len(i), np.int64), node[i], node[i + k], np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)], 1))
+                out.append(np.stack([np.zeros(len(i), np.int64), node[i], node[i + k], np.minimum(share[i], share[i + k]).astype(np.int64), np.zeros(len(i), np.int64)], 1))
                 k += 1
             member = np.flatnonzero(family)
             if len(member):
@@ -249,29 +259,36 @@ class _Join:
                 lead = member[best][np.concatenate([[True], np.diff(group[member[best]]) > 0])]
                 head = lead[np.searchsorted(group[lead], group[member])]
                 out.append(np.stack([np.ones(len(member), np.int64), node[head], node[member], share[head].astype(np.int64), share[member].astype(np.int64)], 1))
-            rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
-            return pd.DataFrame(rows, columns=["kind", "a", "b", "share_a", "share_b"])
+            rows, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 5), np.int64), np.zeros(0, np.int64))
+            return pd.DataFrame(rows, columns=["kind", "a", "b", "share_a", "share_b"]).assign(times=times)
 
-        return entries.groupBy("shard").applyInPandas(run, "kind long, a long, b long, share_a long, share_b long")
+        return entries.groupBy("shard").applyInPandas(run, "kind long, a long, b long, share_a long, share_b long, times long")
 
     # -- comparison
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
-        """node, n, values (bytes of the sorted hashes) of these nodes."""
+        """node, n, values (bytes of the sorted hashes) of these nodes (node, first: the doc_id to take it from, or null)."""
         n, listed = self.n, few(nodes)
-        wanted = self.spark.sparkContext.broadcast(np.sort(nodes.toArrow()["node"].to_numpy())) if listed else None  # few: checked
+        wanted = None
+        if listed:  # checked: a bounded list of 17 bytes a node
+            table = nodes.toArrow().sort_by("node")
+            first = table["first"].combine_chunks()
+            wanted = self.spark.sparkContext.broadcast((table["node"].to_numpy(), first.fill_null(0).to_numpy(), first.is_null().to_numpy(zero_copy_only=False)))
 
         @_errstate
         def run(batches):
-            for _, names, fresh, values, at in _sets(batches, n):
-                if wanted is not None and len(fresh):
-                    mine = np.array([names[i] for i in fresh], np.int64)
-                    place = np.minimum(np.searchsorted(wanted.value, mine), max(len(wanted.value) - 1, 0))
-                    fresh = [i for i, ok in zip(fresh, wanted.value[place] == mine if len(wanted.value) else []) if ok]
+            for block, names, fresh, values, at in _sets(batches, n):
+                if wanted is not None:
+                    known, first, free = wanted.value
+                    docs = block.column("doc_id").fill_null(0).to_numpy()
+                    mine = np.array([x or 0 for x in names], np.int64)
+                    place = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+                    ok = (known[place] == mine) & (free[place] | (first[place] == docs)) & (np.diff(at) > 0) if len(known) else np.zeros(len(mine), bool)
+                    fresh = np.flatnonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in fresh], pa.int64()), pa.array([int(at[i + 1] - at[i]) for i in fresh], pa.int64()), pa.array([values[at[i] : at[i + 1]].tobytes() for i in fresh], pa.binary())], ["node", "n", "values"])
 
         rows = self.docs.mapInArrow(run, "node long, n long, values binary")
-        return rows.dropDuplicates(["node"]) if listed else rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return rows if listed else rows.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold."""
@@ -321,8 +338,11 @@ class _Join:
 
     def run(self) -> DataFrame:
         documents, counts = self.scan()
-        entries = self.entries(self.frequent(counts))
-        found = stage(self.matches(entries).distinct(), "jaccard-matches")
+        frequent = self.frequent(counts)
+        entries = self.entries(frequent)
+        remove(self.spark, f"{self.scanned_path}/kind=1")
+        found = self.matches(entries).groupBy("kind", "a", "b", "share_a", "share_b").agg(F.sum("times").alias("times"))
+        found = stage(found.filter("kind = 1 or times > share_a"), "jaccard-matches")
         pairs, kin = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1")
         family = components(kin.select("a", "b"))  # node, root
         share = kin.select(F.col("b").alias("node"), F.col("share_b").alias("share")).union(kin.select("a", "share_a")).groupBy("node").agg(F.max("share").alias("share"))
@@ -330,7 +350,8 @@ class _Join:
         heads = members.groupBy("family").agg(F.max_by("node", F.struct("share", (-F.col("node")).alias("o"))).alias("head"))
         stars = members.join(heads, "family").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
         todo = stage(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-        nodes = stage(todo.select(F.col("a").alias("node")).union(todo.select("b")).distinct(), "jaccard-nodes")
+        nodes = todo.select(F.col("a").alias("node")).union(todo.select("b")).distinct()
+        nodes = stage(documents.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-nodes")
         sets = stage(self.whole_sets(nodes), "jaccard-sets")
         links = stage(self.linked(todo, sets), "jaccard-links")
         roots = components(links)
