@@ -1,7 +1,7 @@
 """Exact dedup (10): stateful streaming deduplication.
 
-Keyed state on disk (RocksDB state store, no expiry) holds for every digest the stable identifier to keep,
-the number of rows and a content locator (the smallest doc_id, by which the text can be read again).  A digest
+Keyed state on disk (RocksDB state store, no expiry; keys are buckets of digests) holds for every digest the
+stable identifier to keep, the number of rows and a content locator (the smallest doc_id, by which the text can be read again).  A digest
 seen more than once is a hit; the full normalised bytes of all hit rows are then compared.  Digests whose bytes
 differ (possible only with a shortened digest) are grouped again by their bytes.
 
@@ -13,13 +13,17 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, few, new_path, remove, semi, stage
+from .common import blocks, few, new_path, partitions, remove, semi, stage
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of digests per shuffle partition: the grain of the keyed state, which so follows the size of the job.
+BUCKETS = 32
 _DIGESTS = "doc_id long, digest binary, text_sha256 string"
 _GROUPS = "digest binary, keep_id long, locator long, n long"
 
@@ -64,35 +68,54 @@ def _smallest(a, b):
     return b if a is None or (b is not None and b < a) else a
 
 
-def _update(key, frames, state):
-    """Fold the new rows of one digest into its state and emit the state as it now is."""
-    import pandas as pd
+_NONE = -(1 << 63)  # a null id within a packed state
 
-    keep, locator, n = state.get if state.exists else (None, None, 0)
-    for frame in frames:
-        for k, loc, count in zip(frame["keep_id"], frame["locator"], frame["n"]):
-            keep = _largest(keep, None if pd.isna(k) else int(k))
-            locator = _smallest(locator, None if pd.isna(loc) else int(loc))
-            n += int(count)
-    state.update((keep, locator, n))
-    yield pd.DataFrame({"digest": [key[0]], "keep_id": pd.array([keep], "Int64"), "locator": pd.array([locator], "Int64"), "n": [n]})
 
+def _unpack_state(packed: bytes, width: int) -> dict:
+    n = len(packed) // (width + 24)
+    ids = np.frombuffer(packed, "<i8", 3 * n, n * width).reshape(3, n).tolist()
+    return {packed[i * width : (i + 1) * width]: row for i, row in enumerate(zip(*ids))}
 
-def stream_groups(digests: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+
+def _pack_state(held: dict) -> bytes:
+    return b"".join(held) + np.array(list(held.values()), "<i8").reshape(-1, 3).T.tobytes()
+
+
+def _updater(width: int):
+    def update(key, frames, state):
+        """Fold new rows into the digests of one bucket and emit the touched digests as they now are."""
+        held = _unpack_state(state.get[0], width) if state.exists else {}
+        touched = {}
+        for frame in frames:
+            whole = lambda c: frame[c].fillna(_NONE).astype("int64").tolist()
+            for digest, new, place, count in zip(frame["digest"], whole("keep_id"), whole("locator"), whole("n")):
+                keep, locator, n = held.get(digest, (_NONE, _NONE, 0))
+                touched[digest] = held[digest] = (max(keep, new), place if locator == _NONE or _NONE < place < locator else locator, n + count)
+        state.update((_pack_state(held),))
+        keep, locator, n = (pd.array(c, "Int64") for c in zip(*touched.values()))
+        yield pd.DataFrame({"digest": list(touched), "keep_id": keep.astype("Int64").to_numpy(object), "locator": locator.to_numpy(object), "n": n.to_numpy("int64")}).replace({_NONE: None})
+
+    return update
+
+
+def stream_groups(digests: DataFrame, width: int = 32, files_per_trigger: int | None = None) -> DataFrame:
     """Run the stateful stream over a staged digest table (or any folder of its schema) and return one row per digest."""
     spark = digests.sparkSession
     source = spark.readStream.schema(digests.schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
     updates = source.parquet(digests._staged_path).select("doc_id", "digest").mapInArrow(_combine, _GROUPS)
-    state = updates.groupBy("digest").applyInPandasWithState(_update, _GROUPS, "keep_id long, locator long, n long", "update", "NoTimeout")
+    buckets = BUCKETS * partitions(spark)  # each holds some digests, so a call to Python serves many of them
+    updates = updates.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    state = updates.groupBy("bucket").applyInPandasWithState(_updater(width), _GROUPS, "packed binary", "update", "NoTimeout")
     out, checkpoint = new_path(spark, "dedup-state-rows"), new_path(spark, "dedup-stream")
     spark.createDataFrame([], _GROUPS).write.parquet(out)
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated epoch replaces itself
 
-    names = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    store = "spark.sql.streaming.stateStore."
+    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "256", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
@@ -122,7 +145,7 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = stage(texts.mapInArrow(_digests(digest_bytes), _DIGESTS), "dedup-digests")
-    groups = stream_groups(digests, files_per_trigger)
+    groups = stream_groups(digests, digest_bytes, files_per_trigger)
     hits = stage(digests.join(groups.filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", "digest").distinct(), "dedup-hits")
     same_id = F.expr("doc_id <=> hit_id")
     keys = hits.select(F.col("doc_id").alias("hit_id"), "digest")
