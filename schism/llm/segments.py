@@ -19,9 +19,9 @@ class SegmentCache:
             self.old, self.young = self.young, {}
         missing = segments.difference(self.young)
         if missing and self.old:
-            again = missing.intersection(self.old)
-            self.young.update((s, self.old[s]) for s in again)
-            missing -= again
+            again = {s: self.old[s] for s in missing if s in self.old}
+            self.young.update(again)
+            missing = missing.difference(again)
         if missing:
             listed = list(missing)
             self.young.update(zip(listed, self.work(listed)))
