@@ -116,8 +116,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, buckets: int, max_rows: in
     return lists, table["label"].to_numpy().astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 17, rank: int = 6, max_rows: int = 12_000, epochs: int = 4, rate: float = 0.15, seed: int = 7) -> Machine:
-    """Adagrad over the logistic loss of at most max_rows labelled rows whose crc32(doc_id) mod 5 is not 0."""
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 17, rank: int = 6, max_rows: int = 12_000, epochs: int = 4, batch: int = 64, steps: int = 800, rate: float = 0.2, seed: int = 7) -> Machine:
+    """Adagrad over the logistic loss of at most max_rows labelled rows whose crc32(doc_id) mod 5 is not 0.
+
+    At least `epochs` passes, and more over few rows until `steps` steps are made."""
     lists, labels_ = training_rows(docs, labels, buckets, max_rows)
     random = np.random.default_rng(seed)
     size = buckets + len(STATS) * _BINS
@@ -127,10 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 17, rank: int =
         return model
     seen_w, seen_v = np.full(size, 1e-3, np.float32), np.full((size, rank), 1e-3, np.float32)
     seen_b = 1e-3
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(lists)))):
         order = random.permutation(len(lists))
-        for at in range(0, len(order), 128):
-            part = order[at : at + 128]
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
             feature = np.concatenate([lists[i][0] for i in part])
             value = np.concatenate([lists[i][1] for i in part])
             row = np.repeat(np.arange(len(part)), [len(lists[i][0]) for i in part])
@@ -166,21 +168,20 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 def keep(docs: DataFrame, model: Machine, least: float = 0.3) -> DataFrame:
     """Rows of docs, all columns, whose text scores at least `least`; scored in place, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda block: shared.value.score(*features(block.column("text"), shared.value.buckets), block.num_rows) >= least)
 
-    def run(batches):
-        for block in blocks(batches):
-            found = shared.value.score(*features(block.column("text"), shared.value.buckets), block.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found >= least)] + block.columns, ["__keep"] + block.schema.names)
 
-    return filtered(docs, run)
+def filtered(docs: DataFrame, wanted) -> DataFrame:
+    """Rows of docs, all columns as they were, for which `wanted` (a block of rows to a boolean array) holds."""
+    keep, null = (next(n for n in (f"{base}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("keep_", "null_"))
+    plain = docs.withColumn(null, F.col("text").isNull())
 
+    def run(batches):
+        for block in blocks(batches):
+            yield _utf8(pa.RecordBatch.from_arrays([pa.array(wanted(block))] + block.columns, [keep] + block.schema.names))
 
-def filtered(docs: DataFrame, run) -> DataFrame:
-    """docs with `run` over it, which puts a boolean __keep in front: the rows where it is true, their nulls as they were."""
-    plain = docs.withColumn("__null", F.col("text").isNull())
-    schema = "__keep boolean, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    kept = plain.mapInArrow(lambda batches: (_utf8(b) for b in run(batches)), schema).filter("__keep")
-    return kept.withColumn("text", F.expr("if(__null, null, text)")).select(*docs.columns)
+    schema = f"`{keep}` boolean, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(run, schema).filter(F.col(keep)).withColumn("text", F.when(~F.col(null), F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _utf8(batch: pa.RecordBatch) -> pa.RecordBatch:
