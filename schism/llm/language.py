@@ -121,6 +121,7 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, size: int = 12, per_language: i
     weight, bias = (random.standard_normal((size, len(languages))) * 0.5).astype(np.float32), np.zeros(len(languages), np.float32)
     order = random.permutation(len(lists))
     held, learn = order[: len(order) // 5], order[len(order) // 5 :]
+    epochs = max(epochs, -(-300 // (len(learn) // 32 + 1)))  # more passes over a small sample
     steps, step = max(1, epochs * (len(learn) // 32 + 1)), 0
     for _ in range(epochs):
         for at in range(0, len(learn), 32):
@@ -183,9 +184,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of docs, all columns, that aren't rejected; scored in place, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(~_predict(block, shared.value)[2])] + block.columns, ["__keep"] + block.schema.names)
-
-    return filtered(docs, run)
+    return filtered(docs, lambda block: ~_predict(block, shared.value)[2])
