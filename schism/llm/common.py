@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at a time; a longer single text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Rows below which a list of keys may be broadcast (8 to 16 bytes each); larger lists are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

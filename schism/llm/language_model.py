@@ -179,7 +179,7 @@ class _Model:
             seen = np.concatenate([[0], c[:-1]]) > 0
             seen[first] = learned[number[ends[0] - 1]] > 0
             alone = ~seen
-            own = np.bincount(doc[alone], np.log10(base(w[alone])), len(ids))
+            own = np.bincount(doc[alone], np.log10(base(w[alone])), len(ids)).astype(np.float64)
             rest = [ids, null, lengths, train, known.astype(np.int64), basis, own]
             out = [(-1, int(block["block"].iloc[0]), _join([pack(x) for x in rest]))]
             parts = -(-weight // hot)
