@@ -141,7 +141,7 @@ def replace_spans(text, spans, by) -> Column:
 
     `by` is a column function of the span."""
     ordered = F.reverse(F.array_sort(_c(spans)))
-    return F.aggregate(ordered, _c(text), lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["begin"]), by(s), F.substring(acc, s["end"] + 1, F.length(acc))))
+    return F.aggregate(ordered, _c(text), lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["begin"]), by(s), F.substr(acc, s["end"] + 1, F.length(acc))))
 
 
 def representation(phrases, n: int = 3) -> Column:

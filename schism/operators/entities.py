@@ -32,14 +32,20 @@ def transform_entities(column, operations: list[dict]):
     c = F.col(column) if isinstance(column, str) else column
     for op in operations:
         if op.get("replace"):
-            table = F.create_map(*(F.lit(x) for pair in op["replace"].items() for x in pair))
-            c = F.transform(c, lambda e, t=table: F.when(t[e["title"]].isNotNull(), e.withField("title", t[e["title"]]).withField("dbpedia", t[e["title"]])).otherwise(e))
+            c = _replaced(c, F.create_map(*(F.lit(x) for pair in op["replace"].items() for x in pair)))
         if op.get("delete"):
-            gone = op["delete"]
-            c = F.filter(c, lambda e, g=gone: ~F.coalesce(e["dbpedia"].isin(*g), F.lit(False)))
+            c = _without(c, op["delete"])
     return c
 
 
+def _replaced(c, table):
+    return F.transform(c, lambda e: F.when(table[e["title"]].isNotNull(), e.withField("title", table[e["title"]]).withField("dbpedia", table[e["title"]])).otherwise(e))
+
+
+def _without(c, gone):
+    return F.filter(c, lambda e: ~F.coalesce(e["dbpedia"].isin(*gone), F.lit(False)))
+
+
 def top_entities(mentions: DataFrame, entity: str = "entity", n: int = 50) -> DataFrame:
     """Most frequent entities, ties by name."""
     return mentions.groupBy(entity).agg(F.count("*").alias("n")).orderBy(F.desc("n"), entity).limit(n)
@@ -50,7 +56,7 @@ def resolve_coreference(articles: DataFrame, clusters: DataFrame) -> DataFrame:
     w = Window.partitionBy("uid", "cluster").orderBy("begin", "end")
     head = clusters.withColumn("r", F.row_number().over(w)).withColumns({"hb": F.first("begin").over(w), "he": F.first("end").over(w)}).filter("r > 1")
     spans = head.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "hb", "he"))).alias("spans"))
-    text = F.aggregate(F.reverse("spans"), F.col("text"), lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["begin"]), F.substring(F.col("text"), s["hb"] + 1, s["he"] - s["hb"]), F.substring(acc, s["end"] + 1, F.length(acc))))
+    text = F.aggregate(F.reverse(F.col("spans")), F.col("text"), lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["begin"]), F.substr(F.col("text"), s["hb"] + 1, s["he"] - s["hb"]), F.substr(acc, s["end"] + 1, F.length(acc))))
     return articles.join(spans, "uid", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)).drop("spans")
 
 
