@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import association, density, entity_mu
@@ -14,9 +14,11 @@ def signed_edges(labelled: DataFrame) -> DataFrame:
 
 
 def node_ids(edges: DataFrame) -> DataFrame:
-    """G1: ids 0.. by name, for exports; shuffled once, numbered per range with offsets of whole ranges."""
-    nodes = edges.select(F.col("e1").alias("entity")).union(edges.select("e2")).distinct()
-    return nodes.select(F.row_number().over(Window.orderBy("entity")).alias("i"), "entity").select((F.col("i") - 1).cast("int").alias("id"), "entity")
+    """G1: ids 0.. by name, for exports; numbered range by range."""
+    from .ranges import running_sum
+
+    nodes = edges.select(F.col("e1").alias("entity")).union(edges.select("e2")).distinct().withColumn("one", F.lit(1))
+    return running_sum(nodes, ["entity"], "one", "id").select(F.col("id").cast("int").alias("id"), "entity")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

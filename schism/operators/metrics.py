@@ -23,11 +23,10 @@ def binary_metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve from counts per distinct score, ties half."""
-    from pyspark.sql import Window
+    from .ranges import running_sum
 
     per = rows.groupBy(score).agg(F.sum((F.col(truth) == 1).cast("int")).alias("p"), F.sum((F.col(truth) != 1).cast("int")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return running_sum(per, [score], "n", "below").agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def lookup(names: DataFrame, vectors: DataFrame, key: str = "name") -> DataFrame:
