@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import attitudes, clustering, communities, entities, features, graph, knowledge_graph, metrics, moving, topics
+from ..operators import affect, attitudes, clustering, communities, entities, features, graph, ideology, knowledge_graph, learning, metrics, moving, syntax, topics
 from ..sources import readers
 from . import tables as t
 from .tables import sql, table
@@ -723,3 +723,107 @@ def l5_metrics(spark, sf):
 def l5_auc(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     return metrics.auc(rows, "quality", "n_chars").select(_r("auc"))
+
+
+# -- hierarchies, affiliations, syntax, spans
+
+
+def _tree(spark, sf):
+    regions = table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("WORLD").alias("parent"))
+    joined = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select(F.concat(F.lit("n:"), "n_name").alias("name"), F.col("r_name").alias("parent")).union(regions).union(spark.range(1).select(F.lit("WORLD"), F.lit(None).cast("string")))
+
+
+@query("SELECT 'n:' || n_name AS name, r_name AS emotion FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name FROM region UNION ALL SELECT 'WORLD', 'WORLD'")
+def x28_level(spark, sf):
+    return affect.at_level(_tree(spark, sf), 1)
+
+
+@query("SELECT r_name AS name, count(*) AS below FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT 'WORLD', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) UNION ALL SELECT 'n:' || n_name, 0 FROM nation")
+def x28_subtree_sizes(spark, sf):
+    return affect.subtree_sizes(_tree(spark, sf))
+
+
+@query("SELECT DISTINCT l_suppkey AS word, 'n' AS pos, min_by(l_returnflag, (l_linenumber, l_partkey)) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS emotion FROM (SELECT l_suppkey, l_linenumber, l_partkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL)")
+def x29_word_emotions(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_partkey").agg(F.min("l_returnflag").alias("emotion"))
+    key = F.concat_ws("-", "l_suppkey", "l_linenumber", "l_partkey")
+    senses = rows.select(F.col("l_suppkey").alias("word"), F.lit("n").alias("pos"), F.struct("l_linenumber", "l_partkey").alias("rank"), key.alias("synset"))
+    return affect.word_emotions(senses.select("word", "pos").distinct(), senses, rows.select(key.alias("synset"), "emotion"))
+
+
+def _infobox(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    links = F.concat(F.lit("[["), "n_name", F.lit("]] [[R"), F.col("n_regionkey").cast("string"), F.lit("|x]]"))
+    return table(spark, sf, "supplier").join(n, "s_nationkey").select(F.col("s_name").alias("entity"), F.create_map(F.lit("party"), links).alias("fields"))
+
+
+@query("SELECT s_name AS entity, n_name AS party FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, 'R' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, 'x' FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def x30_s22_parties(spark, sf):
+    return ideology.parties(ideology.nonempty(_infobox(spark, sf)))
+
+
+@query("SELECT s_name AS entity, CASE n_regionkey WHEN 0 THEN 'R' ELSE 'D' END AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (0, 1)")
+def x32_u6_affiliations(spark, sf):
+    return ideology.affiliations(ideology.parties(_infobox(spark, sf)), {"R": ("R0",), "D": ("R1",)})
+
+
+@query("SELECT s_name AS party, n_name || ' R' || n_regionkey || ' x' AS ideology FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def x31_ideology_text(spark, sf):
+    return ideology.ideology_text(_infobox(spark, sf), fields=("party", "none"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type = 'STANDARD' THEN 'PLAIN' ELSE p_type END AS title FROM part WHERE p_brand <> 'Brand#11'")
+def f10_transform_entities(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.array(F.struct(F.col("p_type").alias("title"), F.col("p_brand").alias("dbpedia"))).alias("e"))
+    kept = rows.withColumn("e", entities.transform_entities("e", [{"delete": ["Brand#11"]}, {"replace": {"STANDARD": "PLAIN"}}]))
+    return kept.select("p_partkey", F.explode("e").alias("x")).select("p_partkey", "x.title")
+
+
+@query("SELECT item_id, '[SOURCE]' || substring(text, 4, 5) || '[TARGET]' || substring(text, 12) AS masked FROM benchmark WHERE len(text) >= 20")
+def f17_x9_masked(spark, sf):
+    spans = F.array(F.struct(F.lit(0).alias("begin"), F.lit(3).alias("end"), F.lit("[SOURCE]").alias("by")), F.struct(F.lit(8).alias("begin"), F.lit(11).alias("end"), F.lit("[TARGET]").alias("by")))
+    return table(spark, sf, "benchmark").filter(F.length("text") >= 20).select("item_id", X.replace_spans("text", spans, lambda s: s["by"]).alias("masked"))
+
+
+@query("SELECT item_id, instr(text, 'the') - 1 AS begin, instr(text, 'the') + 2 AS \"end\" FROM benchmark WHERE instr(text, 'the') > 0")
+def x10_first_span(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", X.first_span("text", "the").alias("s")).filter("s is not null").select("item_id", "s.begin", "s.end")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 3")
+def f2_country_disjunction(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("actor1countrycode"), F.col("c_nationkey").cast("string").alias("actor2countrycode"), F.lit("20231116").alias("day"), F.concat(F.lit("http://x/"), F.col("c_custkey").cast("string")).alias("sourceurl"))
+    return readers.select_articles(rows, country1="BUILDING", country2="3", n_articles=None).select(F.regexp_extract("sourceurl", r"(\d+)$", 1).cast("long").alias("c_custkey"))
+
+
+@query(sql("SELECT 'F' || f1 AS f1, 'F' || f2 AS f2, pos AS positive_edges, neg AS negative_edges FROM cand WHERE neg / CAST(pos + neg AS DOUBLE) >= 0.5", "cand"))
+def g10_conflicts(spark, sf):
+    return knowledge_graph.conflicts(_graph(spark, sf)).select("f1", "f2", "positive_edges", "negative_edges")
+
+
+@query(sql("SELECT 'D' || f1 || '_' || f2 AS dipole, 'T:' || topic AS topic, round(pi, 6) AS pi, observations FROM dtop", "dtop"))
+def g10_polarization_edges(spark, sf):
+    return knowledge_graph.polarization_edges(_graph(spark, sf)).select("dipole", "topic", _r("pi"), "observations")
+
+
+@query()
+def x20_pos_counts(spark, sf):
+    """By the default tagger; any other can be plugged in."""
+    return syntax.pos_counts(syntax.parse(table(spark, sf, "benchmark"), column="text"), ["item_id"])
+
+
+@query()
+def x34_attitude_paths(spark, sf):
+    rows = syntax.parse(table(spark, sf, "benchmark"), column="text").filter(F.size("tokens") > 8)
+    return syntax.attitude_paths(rows.withColumns({"source": F.array(F.lit(1)), "target": F.array(F.lit(7))})).select("item_id", "paths")
+
+
+@query()
+def l1_triple_embeddings(spark, sf):
+    return learning.embed_triples(knowledge_graph.triples(_graph(spark, sf).filter("type = 'MemberOf'")), 8, 2)[0]
+
+
+@query()
+def s26_noun_phrases(spark, sf):
+    return readers.noun_phrases(readers.sentences(table(spark, sf, "benchmark").withColumn("uid", F.col("item_id").cast("string"))))
