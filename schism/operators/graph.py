@@ -17,13 +17,19 @@ def node_ids(edges: DataFrame) -> DataFrame:
     """G1: ids 0.. by name, for exports; numbered range by range."""
     from .ranges import running_sum
 
-    nodes = edges.select(F.col("e1").alias("entity")).union(edges.select("e2")).distinct().withColumn("one", F.lit(1))
+    nodes = edges.select(F.explode(F.array("e1", "e2")).alias("entity")).distinct().withColumn("one", F.lit(1))
     return running_sum(nodes, ["entity"], "one", "id").select(F.col("id").cast("int").alias("id"), "entity")
 
 
+def both_ways(df: DataFrame, a: str, b: str, first: str, second: str, *columns: str) -> DataFrame:
+    """U4: each row in both directions, in one pass over df (a union would work its plan out twice)."""
+    ends = F.array(F.struct(F.col(a).alias(first), F.col(b).alias(second)), F.struct(F.col(b).alias(first), F.col(a).alias(second)))
+    return df.select(F.explode(ends).alias("__ends"), *columns).select("__ends.*", *columns)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """U4: both directions: node, other, weight."""
-    return edges.select(F.col("e1").alias("node"), F.col("e2").alias("other"), "weight").union(edges.select("e2", "e1", "weight"))
+    return both_ways(edges, "e1", "e2", "node", "other", "weight")
 
 
 def polarity_mix(edges: DataFrame) -> DataFrame:
@@ -81,7 +87,7 @@ def semantic_totals(edges: DataFrame) -> DataFrame:
     by_degree = by_degree.groupBy("deg").agg(F.sum(apart * (F.col("k2") - (F.col("deg") == F.col("d2")).cast("int"))).alias("base"))
     near = common_neighbours(edges).join(size.select(F.col("entity").alias("a"), F.col("deg").alias("deg")), "a").join(size.select(F.col("entity").alias("b"), F.col("deg").alias("d2")), "b").crossJoin(F.broadcast(n))
     near = near.select("a", "b", (association("deg", "d2", "both", "n") - apart).alias("gain"))
-    gains = near.select(F.col("a").alias("entity"), "gain").union(near.select("b", "gain")).groupBy("entity").agg(F.sum("gain").alias("gain"))
+    gains = both_ways(near, "a", "b", "entity", "other", "gain").groupBy("entity").agg(F.sum("gain").alias("gain"))
     return size.join(by_degree, "deg").join(gains, "entity", "left").select("entity", (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("semantic_association"))
 
 
@@ -142,9 +148,9 @@ def dipole_edges(edges: DataFrame, groups: DataFrame, dipoles: DataFrame) -> Dat
     d = dipoles.select("f1", "f2")
     across = e.filter("x <> y").join(d, (F.col("lo") == F.col("f1")) & (F.col("hi") == F.col("f2")))
     inside = e.filter("x = y")
-    first, second = inside.join(d, F.col("x") == F.col("f1")), inside.join(d, F.col("x") == F.col("f2"))
+    sides = d.select("f1", "f2", F.explode(F.array("f1", "f2")).alias("x"))
     cols = ["f1", "f2", "e1", "e2", "weight"]
-    return across.select(cols).unionByName(first.select(cols)).unionByName(second.select(cols))
+    return across.select(cols).unionByName(inside.join(sides, "x").select(cols))
 
 
 def signed_jaccard(edges: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def closeness(edges: DataFrame, rounds: int = 30) -> DataFrame:
 def group_density(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """A21 (structure): per fellowship, edges in both directions, densities of all, positive and negative edges."""
     e = group_edges(edges, groups)
-    ends = e.select("fid", F.col("e1").alias("node"), "weight").union(e.select("fid", "e2", "weight"))
+    ends = both_ways(e, "e1", "e2", "node", "other", "fid", "weight")
     nodes = groups.groupBy("fid").agg(F.count_distinct("entity").alias("size"))
     signs = e.groupBy("fid").agg(F.count("*").alias("m"), F.sum((F.col("weight") > 0).cast("int")).alias("mp"), F.sum((F.col("weight") < 0).cast("int")).alias("mn"))
     own = ends.groupBy("fid").agg(F.count_distinct(F.when(F.col("weight") > 0, F.col("node"))).alias("np"), F.count_distinct(F.when(F.col("weight") < 0, F.col("node"))).alias("nn"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import both_ways
+
 EDGE = "src string, dst string, type string, predicate string, label string, weight double, observations bigint, positive_edges bigint, negative_edges bigint, frustration double"
 _COLUMNS = [c.strip().split(" ")[0] for c in EDGE.split(",")]
 _TYPES = dict(c.strip().split(" ") for c in EDGE.split(","))
@@ -25,14 +27,14 @@ def assemble(sag: DataFrame, entity_topics: DataFrame, groups: DataFrame, group_
     fellowship = lambda c: F.concat(F.lit("F"), text(c))
     dipole = F.concat(F.lit("D"), text("f1"), F.lit("_"), text("f2"))
     sign = F.when(F.col("weight") > 0, "POSITIVE").otherwise("NEGATIVE")
-    both = sag.select(text("e1").alias("s"), text("e2").alias("d"), "weight").union(sag.select(text("e2"), text("e1"), "weight"))
+    both = both_ways(sag.select(text("e1").alias("e1"), text("e2").alias("e2"), "weight"), "e1", "e2", "s", "d", "weight")
     parts = [
         _edges(both, 1, src=F.col("s"), dst=F.col("d"), type=F.lit("Attitude"), predicate=sign, label=sign, weight=F.col("weight")),
         _edges(entity_topics, 2, src=text("entity"), dst=F.concat(F.lit("T:"), text("topic")), type=F.lit("Attitude"), predicate=F.col("label"), label=F.col("label"), weight=F.col("weight"), observations=F.col("observations")),
         _edges(groups, 3, src=text("entity"), dst=fellowship("fid"), type=F.lit("MemberOf")),
         _edges(group_topics, 3, src=fellowship("fid"), dst=F.concat(F.lit("T:"), text("topic")), type=F.lit("Attitude"), predicate=F.col("label"), label=F.col("label"), weight=F.col("weight"), observations=F.col("observations")),
         _edges(dipoles, 4, src=fellowship("f1"), dst=fellowship("f2"), type=F.lit("Conflict"), positive_edges=F.col("pos"), negative_edges=F.col("neg"), frustration=F.col("f_g")),
-        _edges(dipoles.select("f1", "f2", F.col("f1").alias("f")).union(dipoles.select("f1", "f2", "f2")), 4, src=fellowship("f"), dst=dipole, type=F.lit("PartOf")),
+        _edges(dipoles.select("f1", "f2", F.explode(F.array("f1", "f2")).alias("f")), 4, src=fellowship("f"), dst=dipole, type=F.lit("PartOf")),
         _edges(dipole_topics, 5, src=dipole, dst=F.concat(F.lit("T:"), text("topic")), type=F.lit("Polarization"), predicate=F.col("label"), label=F.col("label"), weight=F.col("pi"), observations=F.col("observations")),
     ]
     union = parts[0]
@@ -44,7 +46,7 @@ def assemble(sag: DataFrame, entity_topics: DataFrame, groups: DataFrame, group_
 
 def nodes(edges: DataFrame) -> DataFrame:
     """id and type: Fellowship, Dipole, Topic or Entity, by the roles of the edges they occur in."""
-    ends = edges.select(F.col("src").alias("id"), "type", F.lit(True).alias("out")).union(edges.select("dst", "type", F.lit(False)))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(False).alias("out")))).alias("e"), "type").select("e.*", "type")
     kind = (
         F.when(((F.col("type") == "PartOf") & ~F.col("out")) | ((F.col("type") == "Polarization") & F.col("out")), 3)
         .when(F.col("id").startswith("T:"), 2)
@@ -61,7 +63,7 @@ def of_type(node_table: DataFrame, kind: str) -> DataFrame:
 
 def neighbours(edges: DataFrame, node_table: DataFrame, kind: str | None = None) -> DataFrame:
     """Neighbours in the undirected view, by type."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("id")).union(edges.select("dst", "src")).distinct()
+    both = both_ways(edges, "src", "dst", "node", "id").distinct()
     found = both.join(node_table, "id")
     return (found.filter(F.col("type") == kind) if kind else found).select("node", F.col("id").alias("neighbour"), "type")
 
@@ -93,7 +95,7 @@ def triples(edges: DataFrame, schema=None) -> DataFrame:
 def generic_graph(triple_table: DataFrame) -> DataFrame:
     """Both directions, weight 1, label = relation; the last label of a repeated edge by name."""
     t = triple_table.filter("subject <> object") if "subject" in triple_table.columns else triple_table
-    both = t.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.col("predicate").alias("label")).union(t.select("object", "subject", "predicate"))
+    both = both_ways(t, "subject", "object", "src", "dst", "predicate").withColumnRenamed("predicate", "label")
     return both.groupBy("src", "dst").agg(F.max("label").alias("label")).withColumn("weight", F.lit(1))
 
 

@@ -24,10 +24,8 @@ def side_values(obs: DataFrame, groups: DataFrame, dipoles: DataFrame, value: st
     obs: entity, topic, value; the long form of the attitude bags.
     """
     per_group = obs.join(groups, "entity").groupBy("fid", "topic", F.col(value).alias("v")).agg(F.count("*").alias("k")).filter("v <> 0")
-    d = dipoles.select("f1", "f2")
-    left = d.join(per_group, F.col("f1") == F.col("fid")).select("f1", "f2", "topic", F.lit(1).alias("side"), "v", "k")
-    right = d.join(per_group, F.col("f2") == F.col("fid")).select("f1", "f2", "topic", F.lit(2).alias("side"), "v", "k")
-    both = left.unionByName(right)
+    d = dipoles.select("f1", "f2", F.posexplode(F.array("f1", "f2")).alias("side", "fid")).withColumn("side", F.col("side") + 1)
+    both = d.join(per_group, "fid").select("f1", "f2", "topic", "side", "v", "k")
     sides = both.groupBy("f1", "f2", "topic").agg(F.sum(F.when(F.col("side") == 1, F.col("k")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("side") == 2, F.col("k")).otherwise(0)).alias("n2"))
     return both.join(sides.filter("n1 > 0 and n2 > 0"), ["f1", "f2", "topic"])
 

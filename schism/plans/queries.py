@@ -8,6 +8,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import affect, attitudes, clustering, communities, entities, features, graph, ideology, knowledge_graph, learning, metrics, moving, syntax, topics
 from ..sources import readers
+from ..sources.stages import stage
 from . import tables as t
 from .tables import sql, table
 
@@ -126,12 +127,12 @@ def m8_degree(spark, sf):
 near AS (SELECT source, node, min(d) AS d FROM reach GROUP BY ALL)
 SELECT source AS entity, round(coalesce((count(*) - 1) / nullif(CAST(sum(d) AS DOUBLE), 0), 0), 6) AS closeness FROM near GROUP BY source""", "adj", recursive=True))
 def m8_closeness(spark, sf):
-    return graph.closeness(t.sag(spark, sf), rounds=4).select("entity", _r("closeness"))
+    return graph.closeness(t.sag_table(spark, sf), rounds=4).select("entity", _r("closeness"))
 
 
 @query(sql("SELECT * FROM commons", "commons"))
 def j14_common_neighbours(spark, sf):
-    return graph.common_neighbours(t.sag(spark, sf))
+    return graph.common_neighbours(t.sag_table(spark, sf))
 
 
 _N = "(SELECT count(*) FROM seen)"
@@ -139,13 +140,13 @@ _N = "(SELECT count(*) FROM seen)"
 
 @query(sql(f"SELECT a, b, \"both\", round(coalesce((ln(greatest(x.deg, y.deg)) - ln(\"both\")) / nullif(ln({_N}) - ln(least(x.deg, y.deg)), 0), 0), 6) AS distance FROM commons JOIN seen x ON x.entity = a JOIN seen y ON y.entity = b", "commons", "seen"))
 def m2_semantic_distance(spark, sf):
-    return graph.semantic_distance(t.sag(spark, sf)).select("a", "b", "both", _r("distance"))
+    return graph.semantic_distance(t.sag_table(spark, sf)).select("a", "b", "both", _r("distance"))
 
 
 @query(sql(f""", p AS (SELECT x.entity AS a, y.entity AS b, ln(greatest(x.deg, y.deg)) - coalesce(ln("both"), 0) AS up, nullif(ln({_N}) - ln(least(x.deg, y.deg)), 0) AS down FROM seen x JOIN seen y ON x.entity <> y.entity LEFT JOIN commons c ON c.a = least(x.entity, y.entity) AND c.b = greatest(x.entity, y.entity))
 SELECT a AS entity, round(sum(coalesce(up / down, 0)), 4) AS semantic_association FROM p GROUP BY a""", "commons", "seen"))
 def a24_semantic_totals(spark, sf):
-    return graph.semantic_totals(t.sag(spark, sf)).select("entity", F.round("semantic_association", 4).alias("semantic_association"))
+    return graph.semantic_totals(t.sag_table(spark, sf)).select("entity", F.round("semantic_association", 4).alias("semantic_association"))
 
 
 def _sa(a: str, b: str, c: str) -> str:
@@ -159,12 +160,12 @@ FROM sag JOIN seen x ON x.entity = e1 JOIN seen y ON y.entity = e2 LEFT JOIN com
 
 @query(sql(_SSA + "SELECT e1, e2, weight, round(ssa, 6) AS ssa FROM ssa", "commons", "seen"))
 def m3_m4_signed_association(spark, sf):
-    return graph.signed_association(t.sag(spark, sf)).select("e1", "e2", "weight", _r("ssa"))
+    return graph.signed_association(t.sag_table(spark, sf)).select("e1", "e2", "weight", _r("ssa"))
 
 
 @query(sql(_SSA + ", b AS (SELECT e1 AS entity, ssa FROM ssa UNION ALL SELECT e2, ssa FROM ssa)\nSELECT entity, round(sum(ssa), 5) AS ssa, round(sum(ssa) / (1 - any_value(2 * least(pos, neg) / CAST(pos + neg AS DOUBLE)) + 1e-9), 3) AS score FROM b JOIN seen USING (entity) WHERE pos <> neg GROUP BY entity", "commons", "seen"))
 def a18_a25_entity_score(spark, sf):
-    e = t.sag(spark, sf)
+    e = t.sag_table(spark, sf)
     return graph.signed_association_totals(e).join(graph.polarity_mix(e).filter("pos <> neg"), "entity").select("entity", F.round("ssa", 5).alias("ssa"), F.round(N.entity_score("ssa", "mu"), 3).alias("score"))
 
 
@@ -172,7 +173,7 @@ def a18_a25_entity_score(spark, sf):
 k(p, kind) AS (VALUES (3, '+++'), (2, '++-'), (1, '+--'), (0, '---'))
 SELECT kind, count(tri.p) AS n, round(coalesce(count(tri.p) / nullif((SELECT CAST(count(*) AS DOUBLE) FROM tri), 0), 0), 6) AS share FROM k LEFT JOIN tri USING (p) GROUP BY kind""", "sag"))
 def a26_triads(spark, sf):
-    return graph.triads(t.sag(spark, sf)).select("kind", "n", _r("share"))
+    return graph.triads(t.sag_table(spark, sf)).select("kind", "n", _r("share"))
 
 
 @query(sql("SELECT entity, count(*) AS n FROM mentions GROUP BY entity ORDER BY n DESC, entity LIMIT 50", "mentions"))
@@ -189,7 +190,7 @@ def t3_most_polarized(spark, sf):
 net AS (SELECT s.e1, s.e2, sum(a.weight * b.weight) AS net, count(*) AS both FROM sag s JOIN own a ON a.node = e1 JOIN own b ON b.node = e2 AND b.other = a.other GROUP BY ALL)
 SELECT e1, e2, weight, round(coalesce(net, 0) / CAST(x.s + y.s - coalesce("both", 0) AS DOUBLE), 6) AS similarity FROM sag LEFT JOIN net USING (e1, e2) JOIN sz x ON x.node = e1 JOIN sz y ON y.node = e2""", "adj"))
 def u2_signed_jaccard(spark, sf):
-    return graph.signed_jaccard(t.sag(spark, sf)).select("e1", "e2", "weight", _r("similarity"))
+    return graph.signed_jaccard(t.sag_table(spark, sf)).select("e1", "e2", "weight", _r("similarity"))
 
 
 # -- fellowships and dipoles
@@ -212,25 +213,25 @@ def a10_dipole_candidates(spark, sf):
 
 @query(sql("SELECT f1, f2, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS net FROM dip JOIN crossed ON x IN (f1, f2) AND y IN (f1, f2) GROUP BY ALL", "dip", "crossed"))
 def j9_dipole_edges(spark, sf):
-    d = t.candidates(spark, sf).filter("negative_ratio >= 0.5")
-    return graph.dipole_edges(t.sag(spark, sf), t.groups(spark, sf), d).groupBy("f1", "f2").agg(F.count("*").alias("edges"), F.sum("weight").alias("net"))
+    e, groups = t.sag_table(spark, sf), t.groups(spark, sf)
+    return graph.dipole_edges(e, groups, graph.dipole_candidates(e, groups).filter("negative_ratio >= 0.5")).groupBy("f1", "f2").agg(F.count("*").alias("edges"), F.sum("weight").alias("net"))
 
 
 @query()
 def g4_g5_dipoles(spark, sf):
     """Frustration of dense dipoles is a search; unit tests hold it against enumeration."""
-    return communities.dipoles(t.sag(spark, sf), t.groups(spark, sf), f_g_thr=0.2).select("f1", "f2", "pos", "neg", "f_g")
+    return communities.dipoles(t.sag_table(spark, sf), t.groups(spark, sf), f_g_thr=0.2).select("f1", "f2", "pos", "neg", "f_g")
 
 
 @query()
 def g2_g3_fellowships(spark, sf):
     """Seeded clustering runs and their consensus."""
-    return communities.fellowships(communities.cluster_runs(t.sag(spark, sf), runs=5), merge_iter=3)
+    return communities.fellowships(communities.cluster_runs(t.sag_table(spark, sf), runs=5), merge_iter=3)
 
 
 @query()
 def a29_comembership(spark, sf):
-    return communities.comembership(communities.cluster_runs(t.sag(spark, sf), runs=3))
+    return communities.comembership(communities.cluster_runs(t.sag_table(spark, sf), runs=3))
 
 
 @query(sql(", c AS (SELECT fid, count(*) AS size, min(entity) AS first FROM fellows GROUP BY fid)\nSELECT fid, size, CAST(row_number() OVER (ORDER BY size DESC, first) - 1 AS INT) AS rank FROM c", "fellows"))
@@ -241,7 +242,7 @@ def t2_groups_by_size(spark, sf):
 @query()
 def g7_label_propagation(spark, sf):
     seeds = t.party(spark, sf).filter("label <> 'N'")
-    return communities.propagate_labels(graph.signed_jaccard(t.sag(spark, sf)), seeds)
+    return communities.propagate_labels(graph.signed_jaccard(t.sag_table(spark, sf)), seeds)
 
 
 @query(sql(""", c AS (SELECT fid, label, count(*) AS k FROM fellows JOIN party USING (entity) GROUP BY ALL)
@@ -276,7 +277,7 @@ def a14_group_topic(spark, sf):
 
 @query(sql(", s AS (SELECT min(pi) AS lo, max(pi) AS hi FROM dtop)\nSELECT f1, f2, topic, 'Polarization' || CASE WHEN pi < hi OR lo = hi THEN CAST(least(floor((pi - (CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END)) / ((CASE WHEN lo = hi THEN 1 ELSE hi - lo END) / 10)) + 1, 10) AS INT) ELSE 0 END AS label FROM dtop, s", "dtop"))
 def a15_polarization_labels(spark, sf):
-    return topics.polarization_labels(t.dipole_topics(spark, sf)).select("f1", "f2", "topic", "label")
+    return topics.polarization_labels(stage(t.dipole_topics(spark, sf), "dipole-topics")).select("f1", "f2", "topic", "label")
 
 
 _LABEL_ET = ", lab AS (SELECT entity, topic, CASE WHEN w >= -1 AND w < CAST(-0.02 AS DOUBLE) THEN 'NEGATIVE' WHEN w >= CAST(0.02 AS DOUBLE) AND w < 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS label FROM (SELECT entity, topic, median(tone) / 5 AS w FROM et GROUP BY ALL)),\nlc AS (SELECT fid, topic, label, count(*) AS k FROM lab JOIN fellows USING (entity) GROUP BY ALL),\nsz AS (SELECT fid, count(*) AS size FROM fellows GROUP BY fid),\ncoh AS (SELECT fid, topic, CAST(sum(k) AS BIGINT) AS attitude_population, coalesce(max(k) FILTER (WHERE label <> 'NEUTRAL'), 0) / CAST(sum(k) AS DOUBLE) AS cohesiveness FROM lc GROUP BY ALL)\n"
@@ -309,7 +310,7 @@ nn AS (SELECT fid, count(DISTINCT n) FILTER (WHERE weight > 0) AS np, count(DIST
 SELECT fid, size, 2 * coalesce(m, 0) AS edges, 2 * coalesce(mp, 0) AS positive, 2 * coalesce(mn, 0) AS negative, round(coalesce(2.0 * m / nullif(size * (size - 1), 0), 0), 6) AS density,
 round(coalesce(2.0 * mp / nullif(np * (np - 1), 0), 0), 6) AS positive_density, round(coalesce(2.0 * mn / nullif(nn * (nn - 1), 0), 0), 6) AS negative_density FROM sz LEFT JOIN m USING (fid) LEFT JOIN nn USING (fid)""", "crossed"))
 def a21_m9_group_density(spark, sf):
-    g = graph.group_density(t.sag(spark, sf), t.groups(spark, sf))
+    g = graph.group_density(t.sag_table(spark, sf), t.groups(spark, sf))
     return g.select("fid", "size", "edges", "positive", "negative", *(_r(c) for c in ("density", "positive_density", "negative_density")))
 
 
@@ -407,10 +408,14 @@ def u1_jaccard(spark, sf):
 
 def _graph(spark, sf):
     labels = N.sign_label("weight").alias("label")
-    et = topics.entity_topic_weights(t.et(spark, sf), "tone", 5).select("*", labels)
-    gt = topics.group_topic_weights(t.et(spark, sf), t.groups(spark, sf), "tone", 5.0).select("*", labels)
-    d = t.candidates(spark, sf).filter("negative_ratio >= 0.5").withColumn("f_g", F.lit(None).cast("double"))
-    return knowledge_graph.assemble(t.sag(spark, sf), et, t.groups(spark, sf), gt, d, topics.polarization_labels(t.dipole_topics(spark, sf)))
+    sag, groups = t.sag_table(spark, sf), t.groups(spark, sf)
+    obs = stage(t.et(spark, sf).groupBy("entity", "topic", "tone").agg(F.count("*").alias("k")), "observed")
+    long = obs.select("entity", "topic", "tone", F.explode(F.array_repeat(F.lit(1), F.col("k").cast("int"))))
+    et = topics.entity_topic_weights(long, "tone", 5).select("*", labels)
+    gt = topics.group_topic_weights(long, groups, "tone", 5.0).select("*", labels)
+    d = stage(graph.dipole_candidates(sag, groups).filter("negative_ratio >= 0.5").withColumn("f_g", F.lit(None).cast("double")), "dipoles")
+    scores = stage(t.dipole_topics(spark, sf, d), "dipole-topics")
+    return stage(knowledge_graph.assemble(sag, et, groups, gt, d, topics.polarization_labels(scores)), "graph")
 
 
 _GRAPH = """, ew AS (SELECT entity, topic, median(tone) / 5 AS w, count(*) AS o FROM et GROUP BY ALL), gw AS (SELECT fid, topic, sum(tone) / (count(*) * CAST(5 AS DOUBLE)) AS w, count(*) AS o FROM et JOIN fellows USING (entity) GROUP BY ALL),

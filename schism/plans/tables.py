@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attitudes, graph, topics
+from ..sources.stages import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,11 @@ def sag(spark, sf) -> DataFrame:
     return graph.signed_edges(labelled(spark, sf))
 
 
+def sag_table(spark, sf) -> DataFrame:
+    """The graph as a stage table: for steps that read it several times, so that the pair join runs once."""
+    return stage(sag(spark, sf), "sag")
+
+
 def groups(spark, sf) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("fid"), F.col("s_suppkey").alias("entity"))
 
@@ -56,8 +62,9 @@ def candidates(spark, sf) -> DataFrame:
     return graph.dipole_candidates(sag(spark, sf), groups(spark, sf))
 
 
-def dipole_topics(spark, sf) -> DataFrame:
-    values = topics.side_values(et(spark, sf), groups(spark, sf), candidates(spark, sf).filter("negative_ratio >= 0.5"), "tone")
+def dipole_topics(spark, sf, dipoles: DataFrame | None = None) -> DataFrame:
+    dipoles = candidates(spark, sf).filter("negative_ratio >= 0.5") if dipoles is None else dipoles
+    values = stage(topics.side_values(et(spark, sf), groups(spark, sf), dipoles, "tone"), "sides")
     return topics.topic_polarization(values, scale=5.0)
 
 
