@@ -10,21 +10,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
-from .segments import SegmentCache, cached, split_texts
-
-
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: itself if visible in Latin-1, else the next from U+0100 on."""
-    visible = set(range(33, 127)) | set(range(161, 173)) | set(range(174, 256))
-    spare = iter(range(256, 512))
-    return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
+from .common import blocks, texts
+from .segments import SegmentCache, byte_alphabet, cached, normal_form, pretokens, split_column, split_texts
 
 
 class Bpe:
@@ -45,7 +37,7 @@ class Bpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[self.vocab[left], self.vocab[right]] = rank, self.vocab[left + right]
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.find = regex.compile(patterns[0]).findall
+        self.pattern = regex.compile(patterns[0])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else lambda s: [s]
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
@@ -77,16 +69,13 @@ class Bpe:
                 heapq.heappush(queue, (r[0], start, r[1], ids[start], new))
         return tuple(i for i in ids if i >= 0)
 
-    def normalise(self, text: str) -> str:
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
-
     def encode_segment(self, segment: str) -> list[int]:
         out: list[int] = []
         for part in self.cut(segment):
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
-                words = self.find(self.normalise(part))
+                words = pretokens(self.pattern, normal_form(part))
                 known = self.words.load(set(words))
                 for w in words:
                     out.extend(known[w])
@@ -110,8 +99,8 @@ def _digests(path: str):
     def run(batches):
         cache = cached(("bpe", path), lambda: SegmentCache(Bpe(path).both))
         for block in blocks(batches):
-            texts = split_texts(block.column("text").to_pylist())
-            known = cache.load({s for t in texts for s in t})
+            texts = split_column(block.column("text"))
+            known = cache.load(set().union(*texts))
             counts, ids, decoded = [], [], []
             for segments in texts:
                 pairs = [known[s] for s in segments]
@@ -126,7 +115,7 @@ def _digests(path: str):
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, and sums of the ids and of the decoded text.  No shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -138,4 +127,4 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [bpe.encode(t) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids])], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

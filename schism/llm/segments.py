@@ -6,6 +6,9 @@ results of its segments one after another, and each different segment needs to b
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 
 class SegmentCache:
     """segment (bytes) -> value, two generations of at most `most` entries each; what was used lately stays."""
@@ -28,6 +31,49 @@ class SegmentCache:
         return self.young
 
 
+@functools.cache
+def _unassigned() -> frozenset:
+    """Letters and digits of the regex module that the tokenizers library's older Unicode tables don't have.
+
+    Both are asked, for the characters that are new enough for Python not to know them either."""
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    new = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]
+    new = regex.findall(r"[\p{L}\p{N}]", "".join(new))
+    asked = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "isolated")
+    return frozenset(c for c in new if len(asked.pre_tokenize_str(f"!{c}!")) == 1)
+
+
+def pretokens(pattern, text: str) -> list[str]:
+    """All matches of a compiled pattern, by the tokenizers library's notion of letters and digits."""
+    if not text.isascii() and not _unassigned().isdisjoint(text):
+        known = "".join("\ufffd" if c in _unassigned() else c for c in text)
+        return [text[m.start() : m.end()] for m in pattern.finditer(known)]
+    return pattern.findall(text)
+
+
+def normal_form(text: str) -> str:
+    """NFC and lower case, each character by itself (no final sigma)."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: itself if visible in Latin-1, else the next from U+0100 on."""
+    visible = set(range(33, 127)) | set(range(161, 173)) | set(range(174, 256))
+    spare = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
+
+
+def split_column(col) -> list[list[bytes]]:
+    """As split_texts, from the bytes of a large_string column without nulls."""
+    from .common import text_bytes
+
+    raw, ends = text_bytes(col)
+    raw, ends = raw.tobytes(), ends.tolist()
+    return [raw[a:b].split() for a, b in zip(ends, ends[1:])]
+
+
 def split_texts(texts: list) -> list[list[bytes]]:
     """Runs of bytes other than space and 09-0D of each text; None is empty."""
     return [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]

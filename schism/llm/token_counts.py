@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
-from .segments import SegmentCache, cached, split_texts
+from .common import blocks, texts
+from .segments import SegmentCache, cached, split_column
 
 
 class LongestMatch:
@@ -89,8 +89,8 @@ def counts(docs: DataFrame, model_file: str) -> DataFrame:
 
         cache = cached(("pieces", model_file), make)
         for block in blocks(batches):
-            texts = split_texts(block.column("text").to_pylist())
-            known = cache.load({s for t in texts for s in t})
+            texts = split_column(block.column("text"))
+            known = cache.load(set().union(*texts))
             found = [[known[s] for s in t] for t in texts]
             unknown = [f.count(-1) for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -98,4 +98,4 @@ def counts(docs: DataFrame, model_file: str) -> DataFrame:
                 ["doc_id", "n_words", "n_tokens", "n_unknown"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return texts(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")

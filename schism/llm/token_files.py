@@ -10,6 +10,8 @@ as often as they occur, in any order among themselves; an empty table leaves one
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import zlib
 
@@ -19,15 +21,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, new_path
-from .segments import SegmentCache, cached, split_texts
+from .common import blocks, new_path, spans, text_bytes, texts, word_hashes
+from .segments import byte_alphabet, cached, normal_form, pretokens
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
-_CHUNK = 20_000
 
 
 class Encoder:
-    """The tokenizers library over segments: value is the little-endian 32-bit ids."""
+    """The tokenizers library over segments: value is the little-endian 32-bit ids.
+
+    A segment is cut into the pre-tokens that the library would cut it into, and the library's BPE model encodes
+    each, most of them but once.  A segment with an added token, or a tokenizer of another make, goes to the library
+    as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,29 +42,106 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = tuple(t["content"] for t in spec["added_tokens"])
+        self.pattern, self.known, self.alphabet = self._cut(spec), {}, byte_alphabet()
+        self.model = self.tokenizer.model
+
+    @staticmethod
+    def _cut(spec: dict):
+        """The pattern of pre-tokens, if the file has the parts that this class stands in for."""
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if kinds != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in parts] != ["Split", "ByteLevel"] or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
+            return None
+        import regex
+
+        return regex.compile(parts[0]["pattern"]["Regex"])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.known.get(word)
+        if ids is None:
+            symbols = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
+            ids = array.array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
 
     def __call__(self, segments: list[bytes]):
-        for at in range(0, len(segments), _CHUNK):
-            texts = [s.decode("utf-8", "surrogatepass") for s in segments[at : at + _CHUNK]]
-            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        tokenize, new = self.model.tokenize, array.array
+        for s in segments:
+            if self.pattern is not None and s.isalpha():  # ASCII letters: one pre-token
+                yield new("I", [t.id for t in tokenize(s.decode().lower())]).tobytes()
+                continue
+            text = s.decode("utf-8", "surrogatepass")
+            if self.pattern is None or any(a in text for a in self.added):
+                yield new("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                yield b"".join(map(self._word, pretokens(self.pattern, normal_form(text))))
+
+
+class IdTable:
+    """Ids of the segments seen so far, by their 64-bit hash: sorted arrays, 25 bytes and the ids a segment.
+
+    All segments of a block are looked up at once; of each new one the encoder is asked once.  At `most` segments the
+    table starts anew.
+    """
+
+    def __init__(self, encoder, most: int = 1_500_000):
+        self.encoder, self.most = encoder, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, at: np.ndarray, keys: np.ndarray, segments: list[bytes]) -> None:
+        values = list(self.encoder(segments))
+        sizes = np.fromiter((len(v) // 4 for v in values), np.int32, len(values))
+        new = np.frombuffer(b"".join(values), "<u4")
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(new)), np.uint32)])
+        self.ids[self.used : self.used + len(new)] = new
+        slots = np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += len(new)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind it, and the borders between texts."""
+        starts, ends, first = spans(raw, offsets)
+        kinds, index, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self.clear()
+        at = np.searchsorted(self.keys, kinds)
+        new = np.ones(len(kinds), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != kinds[inside]
+        if new.any():
+            data, which = raw.tobytes(), index[new]
+            self._add(at[new], kinds[new], [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())])
+            at = np.searchsorted(self.keys, kinds)
+        slot = self.slots[at][inverse]
+        size = self.sizes[slot].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.starts[slot] - upto[:-1], size) + np.arange(upto[-1])]
+        borders = upto[first]
+        return np.insert(ids, borders[1:], end_id), borders + np.arange(len(borders))
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        cache = cached(("ids", path), lambda: SegmentCache(Encoder(path)))
+        table = cached(("ids", path), lambda: IdTable(Encoder(path)))
         part, start = TaskContext.get().partitionId(), 0
         for block in blocks(batches):
-            texts = split_texts(block.column("text").to_pylist())
-            known = cache.load({s for t in texts for s in t})
-            rows = [b"".join([known[s] for s in t]) + end for t in texts]
-            sizes = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
+            ids, first = table.encode(*text_bytes(block.column("text")), end_id)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(start + first[:-1]), pa.array(sizes), ids],
+                [block.column("doc_id"), pa.array(np.full(block.num_rows, part, np.int32)), pa.array(start + first[:-1]), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))],
                 ["doc_id", "part", "local_start", "n_tokens", "tokens"],
             )
             start += int(first[-1])
@@ -68,7 +151,7 @@ def _encode(path: str, end_id: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, row_group: int = 16 << 20, page: int = 256 << 10, page_rows: int = 2_000) -> None:
     """Encode docs (doc_id, text) and write the files under path.  The texts, smaller than their ids, are what is shuffled."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(
         **{
             "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),

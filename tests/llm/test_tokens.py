@@ -5,18 +5,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from schism.llm import bpe, packing, token_counts, token_files
-from schism.llm.segments import SegmentCache, split_texts
+from schism.llm.common import text_bytes
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(WORD_BPE)
 OWN = bpe.Bpe(WORD_BPE)
-ENCODER = SegmentCache(token_files.Encoder(WORD_BPE))
+TABLE = token_files.IdTable(token_files.Encoder(WORD_BPE), 200)
 TEXT = st.text(st.one_of(st.characters(blacklist_categories=("Cs",)), st.sampled_from(list("abcdeéßÀ '’.,!0123 \n\tΣσİ"))), max_size=60)
 
 
@@ -29,9 +30,9 @@ def ids_of(text):
 def test_bpe_round(text):
     assert OWN.encode(text) == ids_of(text)
     assert OWN.decode(OWN.encode(text)) == LIBRARY.decode(ids_of(text), skip_special_tokens=False)
-    segments = split_texts([text])[0]
-    known = ENCODER.load(set(segments))
-    assert np.frombuffer(b"".join(known[s] for s in segments), "<u4").tolist() == ids_of(text)
+    both = pa.array([text, "", text], pa.large_string())
+    found, borders = TABLE.encode(*text_bytes(both), 2)
+    assert found.tolist() == [*ids_of(text), 2, 2, *ids_of(text), 2] and borders.tolist() == [0, len(ids_of(text)) + 1, len(ids_of(text)) + 2, len(found)]
 
 
 def test_bpe_digests(odd, none, small):
@@ -104,8 +105,8 @@ def test_pack(sizes):
         assert capacity[b] == min(c for c in (16, 32, 64) if c >= u)
     taken = sorted((b, s, s + n) for b, s, n in zip(place, start, sizes))
     assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(taken, taken[1:]))
-    # best fit: fewer bins of the largest length than first-fit needs at worst, and never more slack than opening alone
-    assert sum(capacity) <= sum(min(c for c in (16, 32, 64) if c >= n) for n in sizes)
+    alone = [min(c for c in (16, 32, 64) if c >= n) for n in sizes]
+    assert sum(map(packing.cost, capacity)) <= sum(map(packing.cost, alone))
 
 
 def test_pack_documents(odd, none, small):
