@@ -42,7 +42,7 @@ class Bpe:
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.final = [self.vocab.get(c + self.suffix) for c in alphabet]
-        self.words = SegmentCache(lambda words: map(self.merge, words), 150_000)
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -69,16 +69,25 @@ class Bpe:
                 heapq.heappush(queue, (r[0], start, r[1], ids[start], new))
         return tuple(i for i in ids if i >= 0)
 
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of one pre-token, from a bounded memory of late ones if it is there."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > 60_000:
+                self.words.clear()
+            ids = self.words[word] = self.merge(word)
+        return ids
+
     def encode_segment(self, segment: str) -> list[int]:
+        if segment.isascii() and segment.isalpha():  # a single pre-token, that comes but once this way
+            return list(self.merge(segment.lower()))
         out: list[int] = []
         for part in self.cut(segment):
             if part in self.specials:
                 out.append(self.specials[part])
             elif part:
-                words = pretokens(self.pattern, normal_form(part))
-                known = self.words.load(set(words))
-                for w in words:
-                    out.extend(known[w])
+                for w in pretokens(self.pattern, normal_form(part)):
+                    out.extend(self.word(w))
         return out
 
     def encode(self, text: str | None) -> list[int]:

@@ -77,8 +77,23 @@ def semi(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> D
     return left.join(F.broadcast(keys) if few(keys) else keys.hint("merge"), on, how)
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Most bytes and rows of an Arrow batch: both sides hold a batch at a time outside the heap, whole texts in it.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they already are smaller."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, to go to Python in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def blocks(batches, column: str = "text", most: int = BLOCK_BYTES):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, exists, few, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, unpack
+from .common import blocks, drop_stage, exists, few, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, texts, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
@@ -43,7 +43,7 @@ EXTRA, COUNTED_BITS = 4, 26
 PAIRED, TILE = 256, 512
 #: In an entry: below this the extra tokens of a prefix, from it on a combination and the share of frequent tokens.
 FAMILY = 16
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def _errstate(fn):
 
 class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: tuple[int, int]):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = texts(docs)
         self.spark, self.n = docs.sparkSession, n
         self.num, self.den = threshold
         self.bits = max(4, (partitions(self.spark) - 1).bit_length())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _power_tables, blocks, mix, spans, text_bytes, word_hashes
+from .common import _LOWER, _power_tables, blocks, mix, spans, text_bytes, texts, word_hashes
 from .quality import filtered
 
 _NGRAMS = (2, 3, 4)
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, best, rejected = _predict(block, shared.value)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, stage, unpack
+from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, stage, texts, unpack
 from .elias_fano import Trie
 
 _END = np.uint64(0x5EED0E0D0E0D5EED)
@@ -58,7 +58,7 @@ def _rows(names: str, rows: list[tuple]) -> pd.DataFrame:
 
 class _Model:
     def __init__(self, docs: DataFrame, held_modulus: int, held_remainder: int, mu2: float, mu3: float, shard_positions: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = texts(docs)
         self.spark = docs.sparkSession
         self.held, self.mu2, self.mu3, self.shard_positions = (held_modulus, held_remainder), mu2, mu3, shard_positions
         self.bits = max(1, min((partitions(self.spark) - 1).bit_length(), VOCABULARY_SHARDS.bit_length() - 1))
@@ -190,7 +190,7 @@ class _Model:
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(edges)):
                 i = order[edges[s] : edges[s + 1]]
-                sent = [v[i].astype(np.uint32), u[i].astype(np.uint32), w[i].astype(np.uint32), narrow(np.diff(doc[i], prepend=0)), klass[i].astype(np.uint16), np.packbits(train.astype(bool)), np.array([len(ids)])]
+                sent = [v[i].astype(np.uint32), u[i].astype(np.uint32), w[i].astype(np.uint32), narrow(np.diff(doc[i], prepend=0)), narrow(klass[i]), np.packbits(train.astype(bool)), np.array([len(ids)])]
                 out.append((int(s), int(block["block"].iloc[0]), _join([pack(x) for x in sent])))
             return _rows("shard block data", out)
 
@@ -212,7 +212,7 @@ class _Model:
                 spans.append(len(v))
             v, u, w, doc, klass, train = (np.concatenate(x) for x in zip(*columns))
             del columns
-            roots, v = np.unique(v * (1 << 16) + klass, return_inverse=True)  # a context word and its class of documents
+            roots, v = np.unique(v * (1 << 24) + klass, return_inverse=True)  # a context word and its class of documents
             trie = Trie.build(u[train], v[train], w[train], mu2, mu3)
             fd, path = tempfile.mkstemp(suffix=".trie")
             os.close(fd)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 class VantageTree:
     """Points halved by their distance to a vantage point until `leaf` remain."""
@@ -102,6 +104,7 @@ def _matrix(cells: pd.Series) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 0.5, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: k nearest rows of vectors for each row of queries (both vec_id, embedding), itself apart."""
+    small_batches(vectors.sparkSession)
     rows, asked = usable(vectors), usable(queries)
     shards = max(1, -(-rows.count() // shard_rows))
     parts = max(1, -(-asked.count() // query_rows))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, spans, stage, text_bytes
+from .common import blocks, spans, stage, text_bytes, texts
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 #: Fixed cost of a sequence beside its tokens, in tokens.
@@ -74,7 +74,7 @@ def word_lengths(docs: DataFrame) -> DataFrame:
             _, _, first = spans(*text_bytes(block.column("text")))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(first).astype(np.int64) + 1)], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def pack_lengths(lengths: DataFrame, capacities=CAPACITIES, cost=cost, shard_rows: int = 50_000) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, spans, text_bytes, word_hashes
+from .common import _LOWER, blocks, small_batches, spans, text_bytes, texts, word_hashes
 
 #: Upper edges of the bins of each structure statistic.
 _SHARES = (0.001, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.55, 0.7, 0.85, 0.95)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
             found = shared.value.score(*features(block.column("text"), shared.value.buckets), block.num_rows)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(found.astype(np.float64))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Machine, least: float = 0.3) -> DataFrame:
@@ -173,6 +173,7 @@ def keep(docs: DataFrame, model: Machine, least: float = 0.3) -> DataFrame:
 
 def filtered(docs: DataFrame, wanted) -> DataFrame:
     """Rows of docs, all columns as they were, for which `wanted` (a block of rows to a boolean array) holds."""
+    small_batches(docs.sparkSession)
     keep, null = (next(n for n in (f"{base}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("keep_", "null_"))
     plain = docs.withColumn(null, F.col("text").isNull())
 
