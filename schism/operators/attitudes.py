@@ -77,6 +77,12 @@ def bag(df: DataFrame, keys: list[str], value: str = "attitude") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("attitudes"))
 
 
+def aggregate(df: DataFrame, keys: list[str], value: str, func=F.avg, drop: tuple = ()) -> DataFrame:
+    """A6/A8 with a function of the caller's (Column -> Column, a pandas aggregate included) over values other than `drop`; n counts all."""
+    used = F.when(~F.col(value).isin(*drop), F.col(value)) if drop else F.col(value)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), func(used).alias("value"))
+
+
 def pair_sums(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Per pair: n (mentions), total, n_used and total over non-zero values (A28); partial sums before the shuffle."""
     w = F.lit(1) if weight is None else weight

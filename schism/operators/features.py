@@ -36,6 +36,13 @@ def lexicon_counts(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") ->
     return found.join(size, key).select(key, "category", "hits", "terms", (F.col("hits") / F.col("words")).alias("share"))
 
 
+def phrase_presence(text, terms, whole_words: bool = True):
+    """X22/X24 for short fixed lists, phrases included: number of terms that occur in a text, as " term " (so neither as first nor as last word) or anywhere."""
+    c = F.lower(F.col(text) if isinstance(text, str) else text)
+    marks = [f" {t} " if whole_words else t for t in terms]
+    return sum((F.coalesce(c.contains(m), F.lit(False)).cast("int") for m in marks), F.lit(0))
+
+
 def lexicon_score(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean score of the lexicon terms (term, score) that occur in a document."""
     present = tokens(docs, key).distinct().join(lexicon.select(F.col("term").alias("word"), "score"), "word")

@@ -832,3 +832,16 @@ def l1_triple_embeddings(spark, sf):
 @query()
 def s26_noun_phrases(spark, sf):
     return readers.noun_phrases(readers.sentences(table(spark, sf, "benchmark").withColumn("uid", F.col("item_id").cast("string"))))
+
+
+_PHRASES = ("of the", "and", "the", "in the", "de la")
+
+
+@query("SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), ' {p} ') AS INT)" for p in _PHRASES) + " AS whole, " + " + ".join(f"CAST(contains(lower(text), '{p}') AS INT)" for p in _PHRASES) + " AS anywhere FROM documents")
+def x22_x24_phrase_presence(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", features.phrase_presence("text", _PHRASES).alias("whole"), features.phrase_presence("text", _PHRASES, whole_words=False).alias("anywhere"))
+
+
+@query(sql("SELECT e1, e2, count(*) AS n, max(tone2) FILTER (WHERE tone2 NOT IN (0, 10)) AS value FROM ee GROUP BY ALL", "ee"))
+def a6_caller_aggregate(spark, sf):
+    return attitudes.aggregate(t.ee(spark, sf), ["e1", "e2"], "tone2", F.max, (0, 10))
