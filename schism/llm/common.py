@@ -58,6 +58,11 @@ def stage(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
+def stage_small(df: DataFrame, name: str) -> DataFrame:
+    """As stage, for tables of ids and links: an eighth of the shuffle's partitions, so fewer and larger files."""
+    return stage(df.coalesce(max(8, partitions(df.sparkSession) // 8)), name)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     remove(df.sparkSession, df._staged_path)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage
+from .common import drop_stage, stage_small
 
 _FLUSH = 200_000
 
@@ -49,13 +49,13 @@ def _contract(batches):
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for every node of links (a, b: long, not null)."""
     edges = links.select("a", "b").filter("a <> b").mapInArrow(_contract, "a long, b long").distinct()
-    both = stage(edges.union(edges.select("b", "a")), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    both = stage_small(edges.union(edges.select("b", "a")), "links")
+    labels = stage_small(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         step = labels.join(near, "node").select("node", "root", F.least("root", "m").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("far"))  # the label's own label
-        after = stage(step.join(jump, "to").select("node", F.least("to", "far").alias("root"), (F.least("to", "far") < F.col("root")).alias("changed")), "labels")
+        after = stage_small(step.join(jump, "to").select("node", F.least("to", "far").alias("root"), (F.least("to", "far") < F.col("root")).alias("changed")), "labels")
         more = not after.filter("changed").isEmpty()
         drop_stage(labels)
         path, labels = after._staged_path, after.select("node", "root")

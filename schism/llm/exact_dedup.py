@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, few, new_path, partitions, remove, semi, stage, texts
+from .common import blocks, few, new_path, partitions, remove, semi, stage, stage_small, texts
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Buckets of digests per shuffle partition: the grain of the keyed state, which so follows the size of the job.
@@ -146,13 +146,13 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None
     rows = texts(docs)
     digests = stage(rows.mapInArrow(_digests(digest_bytes), _DIGESTS), "dedup-digests")
     groups = stream_groups(digests, digest_bytes, files_per_trigger)
-    hits = stage(digests.join(groups.filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", "digest").distinct(), "dedup-hits")
+    hits = stage_small(digests.join(groups.filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", "digest").distinct(), "dedup-hits")
     same_id = F.expr("doc_id <=> hit_id")
     keys = hits.select(F.col("doc_id").alias("hit_id"), "digest")
     hit_texts = rows.join(F.broadcast(keys) if few(keys) else keys, same_id).select("doc_id", "digest", "text")
     contents = hit_texts.mapInArrow(_normalised, "doc_id long, digest binary, bytes binary")
     clash = contents.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a <> b").select("digest")
-    clash = stage(clash, "dedup-clashes")
+    clash = stage_small(clash, "dedup-clashes")
     if not clash.isEmpty():
         return _regroup(digests, groups, contents, clash)
     return _labelled(digests.join(groups, "digest"))
@@ -176,5 +176,5 @@ def _regroup(digests: DataFrame, groups: DataFrame, contents: DataFrame, clash:
 
 def keep_unique(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs with the columns of docs, without those whose text an equal text with a larger doc_id replaces."""
-    dropped = stage(dedup(docs, **options).filter("not kept").select("doc_id").distinct(), "dedup-dropped")
+    dropped = stage_small(dedup(docs, **options).filter("not kept").select("doc_id").distinct(), "dedup-dropped")
     return semi(docs, dropped, "doc_id", "left_anti")

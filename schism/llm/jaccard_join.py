@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, exists, few, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, texts, unpack
+from .common import blocks, drop_stage, exists, few, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, stage_small, texts, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
@@ -342,22 +342,22 @@ class _Join:
         entries = self.entries(frequent)
         remove(self.spark, f"{self.scanned_path}/kind=1")
         found = self.matches(entries).groupBy("kind", "a", "b", "share_a", "share_b").agg(F.sum("times").alias("times"))
-        found = stage(found.filter("kind = 1 or times > share_a"), "jaccard-matches")
+        found = stage_small(found.filter("kind = 1 or times > share_a"), "jaccard-matches")
         pairs, kin = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1")
         family = components(kin.select("a", "b"))  # node, root
         share = kin.select(F.col("b").alias("node"), F.col("share_b").alias("share")).union(kin.select("a", "share_a")).groupBy("node").agg(F.max("share").alias("share"))
-        members = stage(family.join(share, "node").withColumnRenamed("root", "family"), "jaccard-families")
+        members = stage_small(family.join(share, "node").withColumnRenamed("root", "family"), "jaccard-families")
         heads = members.groupBy("family").agg(F.max_by("node", F.struct("share", (-F.col("node")).alias("o"))).alias("head"))
         stars = members.join(heads, "family").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        todo = stage(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+        todo = stage_small(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
         nodes = todo.select(F.col("a").alias("node")).union(todo.select("b")).distinct()
-        nodes = stage(documents.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-nodes")
+        nodes = stage_small(documents.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-nodes")
         sets = stage(self.whole_sets(nodes), "jaccard-sets")
-        links = stage(self.linked(todo, sets), "jaccard-links")
+        links = stage_small(self.linked(todo, sets), "jaccard-links")
         roots = components(links)
-        placed = stage(members.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")), "jaccard-members")
+        placed = stage_small(members.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")), "jaccard-members")
         if not placed.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").isEmpty():
-            more = stage(self.across(placed, sets), "jaccard-links")
+            more = stage_small(self.across(placed, sets), "jaccard-links")
             roots = components(links.union(more))
         drop_stage(sets)
         classes = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -396,4 +396,4 @@ def join_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs, all columns, without those that are linked with a smaller doc_id."""
     found = join_components(docs, **options).filter("component_id < doc_id").select("doc_id").distinct()
-    return semi(docs, stage(found, "jaccard-dropped"), "doc_id", "left_anti")
+    return semi(docs, stage_small(found, "jaccard-dropped"), "doc_id", "left_anti")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, stage, texts, unpack
+from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, stage, stage_small, texts, unpack
 from .elias_fano import Trie
 
 _END = np.uint64(0x5EED0E0D0E0D5EED)
@@ -120,7 +120,7 @@ class _Model:
             out.append((None, shard, pack(narrow(sizes)), int((learned > 0).sum()), int(learned.sum())))
             return _rows("block shard data kinds tokens", out)
 
-        return stage(questions.groupBy("shard").applyInPandas(run, "block long, shard int, data binary, kinds long, tokens long"), "lm-vocabulary")
+        return stage_small(questions.groupBy("shard").applyInPandas(run, "block long, shard int, data binary, kinds long, tokens long"), "lm-vocabulary")
 
     def numbering(self, answers: DataFrame) -> None:
         """First word number of every count code and shard (a table of fixed most size), corpus totals."""
