@@ -82,6 +82,21 @@ def semi(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> D
     return left.join(F.broadcast(keys) if few(keys) else keys.hint("merge"), on, how)
 
 
+#: Parts into which the rows of a hot key are split in a lookup too large to broadcast.
+SALTS = 32
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str, row: str = "doc_id") -> DataFrame:
+    """Left join with a staged table whose keys are unique, without gathering a hot key's rows in one task.
+
+    Few keys (counted) are broadcast, so left isn't shuffled at all; else left's rows are split by a hash of `row`
+    and right is repeated for each part."""
+    if few(right):
+        return left.join(F.broadcast(right), on, "left")
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"], "left").drop("__salt")
+
+
 #: Most bytes and rows of an Arrow batch: both sides hold a batch at a time outside the heap, whole texts in it.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, few, new_path, partitions, remove, semi, stage, stage_small, texts
+from .common import blocks, few, lookup, new_path, partitions, remove, semi, stage, stage_small, texts
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Buckets of digests per shuffle partition: the grain of the keyed state, which so follows the size of the job.
@@ -146,7 +146,9 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None
     rows = texts(docs)
     digests = stage(rows.mapInArrow(_digests(digest_bytes), _DIGESTS), "dedup-digests")
     groups = stream_groups(digests, digest_bytes, files_per_trigger)
-    hits = stage_small(digests.join(groups.filter("n > 1").select("digest"), "digest", "left_semi").select("doc_id", "digest").distinct(), "dedup-hits")
+    several = stage_small(groups.filter("n > 1"), "dedup-groups")
+    placed = lookup(digests, several, "digest")  # a digest of a single row keeps that row
+    hits = stage_small(placed.filter("n > 1").select("doc_id", "digest").distinct(), "dedup-hits")
     same_id = F.expr("doc_id <=> hit_id")
     keys = hits.select(F.col("doc_id").alias("hit_id"), "digest")
     hit_texts = rows.join(F.broadcast(keys) if few(keys) else keys, same_id).select("doc_id", "digest", "text")
@@ -155,7 +157,8 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None
     clash = stage_small(clash, "dedup-clashes")
     if not clash.isEmpty():
         return _regroup(digests, groups, contents, clash)
-    return _labelled(digests.join(groups, "digest"))
+    alone = F.col("n").isNull()
+    return _labelled(placed.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "n": F.when(alone, 1).otherwise(F.col("n")).cast("long")}))
 
 
 def _labelled(rows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, exists, few, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, stage_small, texts, unpack
+from .common import blocks, drop_stage, exists, few, lookup, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, stage_small, texts, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
@@ -101,6 +101,19 @@ def _errstate(fn):
     return run
 
 
+def _join(parts) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
 class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: tuple[int, int]):
         self.docs = texts(docs)
@@ -174,12 +187,22 @@ class _Join:
 
         def out(held):
             sig, node, size, share = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(sig)
+            order = np.lexsort((node, 255 - share, sig))
             sig, node, size, share = sig[order], node[order], size[order], share[order]
+            kin, kin_rows = (share >= FAMILY), []
+            group = np.cumsum(np.concatenate([[True], (sig[1:] != sig[:-1]) | (kin[1:] != kin[:-1])])) - 1 if len(sig) else np.zeros(0, int)
+            head = np.searchsorted(group, group)  # of a combination's local members only the first goes on to the shard
+            more = kin & (head != np.arange(len(sig))) & (node[head] != node)
+            if more.any():
+                rows = np.unique(np.stack([node[head[more]], node[more], share[head[more]].astype(np.int64), share[more].astype(np.int64)], 1), axis=0)
+                kin_rows = [_join([pack(np.ascontiguousarray(c)) for c in rows.T])]
+            keep = ~kin | (head == np.arange(len(sig)))
+            sig, node, size, share = sig[keep], node[keep], size[keep], share[keep]
             edges = np.searchsorted(sig >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
             full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
-            data = [b"".join(len(x).to_bytes(8, "little") + x for a in (np.diff(sig[i:j], prepend=np.uint64(0)), node[i:j], narrow(size[i:j]), share[i:j]) for x in [pack(a)]) for i, j in ((edges[s], edges[s + 1]) for s in full)]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], ["shard", "data"])
+            data = [_join([pack(a) for a in (np.diff(sig[i:j], prepend=np.uint64(0)), node[i:j], narrow(size[i:j]), share[i:j])]) for i, j in ((edges[s], edges[s + 1]) for s in full)]
+            local = [-1 - int(k) for k in np.random.default_rng(int(node[0]) & 0xFFFF).integers(0, 1 << 16, len(kin_rows))]  # any task will do
+            return pa.RecordBatch.from_arrays([pa.array(full + local, pa.int32()), pa.array(data + kin_rows, pa.binary())], ["shard", "data"])
 
         @_errstate
         def run(batches):
@@ -222,15 +245,11 @@ class _Join:
         """kind 0: pairs, their extra tokens (share_a) and shared entries (times); kind 1: two members of a family and the share of frequent tokens of each."""
         num, den = self.num, self.den
 
-        def parts(data: bytes):
-            at = 0
-            while at < len(data):
-                size = int.from_bytes(data[at : at + 8], "little")
-                yield unpack(data[at + 8 : at + 8 + size])
-                at += 8 + size
-
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            cols = list(zip(*(tuple(parts(d)) for d in frame["data"])))
+            cols = list(zip(*([unpack(x) for x in _split(d)] for d in frame["data"])))
+            if frame["shard"].iloc[0] < 0:
+                rows = np.unique(np.stack([np.concatenate(c) for c in cols], 1), axis=0)
+                return pd.DataFrame(rows, columns=["a", "b", "share_a", "share_b"]).assign(kind=1, times=1)[["kind", "a", "b", "share_a", "share_b", "times"]]
             with np.errstate(over="ignore"):
                 sig = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in cols[0]])
             node, size, share = np.concatenate(cols[1]), np.concatenate([c.astype(np.int64) for c in cols[2]]), np.concatenate(cols[3])
@@ -360,10 +379,12 @@ class _Join:
             more = stage_small(self.across(placed, sets), "jaccard-links")
             roots = components(links.union(more))
         drop_stage(sets)
-        classes = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-        least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = classes.join(least, "root").select("node", "component_id")
-        out = documents.join(named, "node", "left")
+        classes = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+        classes = stage_small(classes.join(roots, "node", "left").filter("rows > 1 or root is not null"), "jaccard-classes")  # the others are their own
+        linked = classes.filter("root is not null")
+        least = stage_small(linked.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-least")
+        named = lookup(classes, least, "root", "node").select("node", F.coalesce("component_id", "first").alias("component_id"))
+        out = lookup(documents, stage_small(named, "jaccard-named"), "node")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
