@@ -112,10 +112,11 @@ def stream_groups(digests: DataFrame, width: int = 32, files_per_trigger: int |
     spark.createDataFrame([], _GROUPS).write.parquet(out)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated epoch replaces itself
+        few_files = max(8, partitions(spark) // 8)
+        batch.coalesce(few_files).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated epoch replaces itself
 
     store = "spark.sql.streaming.stateStore."
-    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "256", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s"}
+    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "256", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s", "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
