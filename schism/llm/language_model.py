@@ -3,12 +3,14 @@
 1. One scan turns texts into blocks of local word numbers and asks vocabulary shards for counts.
 2. A vocabulary shard adds up counts; words are numbered by descending count code, so a word's number gives its
    (quantised) count anywhere without a table of words.
-3. Each block sends its positions (u, v, w, document) to the shard of the context word v; a context with over
-   `shard_positions / 4` positions is split by a hash of the document, each class being a model of its own, so no
-   shard grows with one word or word pair.  Positions whose context word isn't in the training text have the
-   unigram probability and stay.
-4. A shard builds the trie of its training positions, writes it to a file, maps that file, answers all its
-   positions and returns one sum per document.
+3. Each block sends its positions (u, v, w, document) to the shard of the context word v.  Positions whose context
+   word isn't in the training text have the unigram probability and stay.  So do those of a hot context, with over
+   `shard_positions / 4` positions: the block asks for the counts of their different (u, v, w), (u, v) and (v, w), each
+   at the shard of its own hash with what the block adds to it.  A shard has at most one row per n-gram and block, so
+   none grows with one word, pair or triple, and every probability uses all training rows.
+4. A shard of positions builds the trie of its training positions, writes it to a file, maps that file, answers all
+   its positions and returns one sum per document; a shard of n-grams adds up the counts and returns them to each block.
+5. A block, met once more with its word numbers, adds the parts.
 
 Trigram model with Dirichlet smoothing: p(w|u,v) = (c(uvw) + m3 p(w|v)) / (c(uv) + m3), p(w|v) likewise with m2,
 p(w) = (c(w) + 1) / (N + V + 1).  Parts of probabilities are quantised in steps of 0.0005 in log10.
@@ -19,6 +21,7 @@ documents each; with no training row every token has probability 1 / (0 + 0 + 1)
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
@@ -52,10 +55,76 @@ def _split(data: bytes) -> list[bytes]:
     return out
 
 
+def _release() -> None:
+    """Give freed memory back: a worker outlives its stage, and what its allocators hold counts beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _rows(names: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names.split())
 
 
+_TOP = np.int64(1) << np.int64(32)
+
+
+def _grams(u: np.ndarray, v: np.ndarray, w: np.ndarray, train: np.ndarray, shards: int):
+    """Different n-grams of positions as pair and third (w + 2 of (u, v, w), 0 of (u, v), 1 of (v, w)), training counts, order by
+    shard, shards' edges in it, and for each position the places of its (u, v, w), (u, v) and (v, w)."""
+    befores, ctx = np.unique(v * _TOP + u, return_inverse=True)
+    pairs, succ = np.unique(v * _TOP + w, return_inverse=True)
+    triples, leaf = np.unique(ctx * _TOP + w, return_inverse=True)
+    pair = np.concatenate([befores[triples // _TOP], befores, pairs])
+    third = np.concatenate([triples % _TOP + 2, np.zeros(len(befores), np.int64), np.ones(len(pairs), np.int64)])
+    learned = np.concatenate([np.bincount(i[train], minlength=len(k)) for i, k in ((leaf, triples), (ctx, befores), (succ, pairs))])
+    shard = (mix(mix(pair.astype(np.uint64)) + third.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable").astype(np.int32)
+    return pair, third, learned, order, np.searchsorted(shard[order], np.arange(shards + 1)), (leaf, len(triples) + ctx, len(triples) + len(befores) + succ)
+
+
+class _Block:
+    """A block's positions with their word numbers and counts."""
+
+    def __init__(self, data: bytes, replies: pd.DataFrame, starts: np.ndarray, hot: int):
+        self.ids, self.null, self.lengths, train, number = (unpack(p) for p in _split(data))
+        learned, total, place = [], [], []
+        for shard, reply in sorted(zip(replies["shard"], replies["data"])):
+            c, t, p = (unpack(x).astype(np.int64) for x in _split(reply))
+            learned.append(c)
+            total.append(t)
+            place.append(p + starts[np.searchsorted(_COUNTS, c, "right") - 1, shard])
+        learned, total, place = np.concatenate(learned), np.concatenate(total), np.concatenate(place)
+        self.train = train.astype(bool)
+        ends = np.cumsum(self.lengths)
+        self.first = first = ends - self.lengths
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
+        self.count = learned[number]
+        self.w = place[number].astype(np.uint32)
+        end = number[ends[0] - 1]  # documents in all: positions with number 0 before them
+        before = lambda x, start: self._before(x, start, first)
+        self.v = before(self.w, 0)
+        self.u = before(self.v, 0)
+        self.context_count = before(self.count, learned[end])
+        seen = self.context_count > 0
+        self.alone = np.flatnonzero(~seen)
+        often = seen & (before(total[number], total[end]) > hot)
+        self.hot, self.cold = np.flatnonzero(often), np.flatnonzero(seen & ~often)
+
+    @staticmethod
+    def _before(x: np.ndarray, start: int, first: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[first] = start
+        return out
+
+    def grams(self, shards: int):
+        i = self.hot
+        u, v, w = (x[i].astype(np.int64) for x in (self.u, self.v, self.w))
+        return _grams(u, v, w, self.train[self.doc[i]], shards)
+
+
 class _Model:
     def __init__(self, docs: DataFrame, held_modulus: int, held_remainder: int, mu2: float, mu3: float, shard_positions: int):
         self.docs = texts(docs)
@@ -152,67 +221,50 @@ class _Model:
             return (_COUNTS[np.clip(code, 0, len(_COUNTS) - 1)] + 1) / denominator
 
         def ask(block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-            """A block's own results (shard -1) and its positions for each trie shard."""
-            starts = shared.value[0]
-            ids, null, lengths, train, number = (unpack(p) for p in _split(block["data"].iloc[0]))
-            learned, total, place = [], [], []
-            for shard, data in sorted(zip(replies["shard"], replies["data"])):
-                c, t, p = (unpack(x).astype(np.int64) for x in _split(data))
-                learned.append(c)
-                total.append(t)
-                place.append(p + starts[np.searchsorted(_COUNTS, c, "right") - 1, shard])
-            learned, total, place = np.concatenate(learned), np.concatenate(total), np.concatenate(place)
-            ends = np.cumsum(lengths)
-            first = ends - lengths
-            doc = np.repeat(np.arange(len(ids)), lengths)
-            c = learned[number]
-            known = np.add.reduceat(c > 0, first)
-            basis = np.add.reduceat(np.log10(c + 1.0), first) - lengths * np.log10(denominator)
-            w = place[number]
-            v = np.concatenate([[0], w[:-1]])
-            v[first] = 0
-            u = np.concatenate([[0], v[:-1]])
-            u[first] = 0
-            end_total = int(total[number[ends[0] - 1]])  # documents in all: positions with number 0 before them
-            weight = np.concatenate([[0], total[number[:-1]]])
-            weight[first] = end_total
-            seen = np.concatenate([[0], c[:-1]]) > 0
-            seen[first] = learned[number[ends[0] - 1]] > 0
-            alone = ~seen
-            own = np.bincount(doc[alone], np.log10(base(w[alone])), len(ids)).astype(np.float64)
-            rest = [ids, null, lengths, train, known.astype(np.int64), basis, own]
-            out = [(-1, int(block["block"].iloc[0]), _join([pack(x) for x in rest]))]
-            parts = -(-weight // hot)
-            klass = (mix((ids + null.astype(np.int64)).astype(np.uint64))[doc] % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
-            shard = (mix((v * 1_000_003 + klass).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            shard[alone] = shards
+            """A block's positions for each trie shard, its n-grams of hot contexts for each n-gram shard (numbered after those)."""
+            at, b = int(block["block"].iloc[0]), _Block(block["data"].iloc[0], replies, shared.value[0], hot)
+            out = []
+            shard = (mix(b.v[b.cold].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(edges)):
+                i = b.cold[order[edges[s] : edges[s + 1]]]
+                sent = [b.v[i], b.u[i], b.w[i], narrow(np.diff(b.doc[i], prepend=0)), np.packbits(b.train), np.array([len(b.ids)])]
+                out.append((int(s), at, _join([pack(x) for x in sent])))
+            pair, third, learned, order, edges, _ = b.grams(shards)
             for s in np.flatnonzero(np.diff(edges)):
                 i = order[edges[s] : edges[s + 1]]
-                sent = [v[i].astype(np.uint32), u[i].astype(np.uint32), w[i].astype(np.uint32), narrow(np.diff(doc[i], prepend=0)), narrow(klass[i]), np.packbits(train.astype(bool)), np.array([len(ids)])]
-                out.append((int(s), int(block["block"].iloc[0]), _join([pack(x) for x in sent])))
+                out.append((shards + int(s), at, _join([pack(pair[i]), pack(narrow(third[i])), pack(narrow(learned[i]))])))
             return _rows("shard block data", out)
 
         def ask_block(block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
             with np.errstate(over="ignore"):
-                return ask(block, replies)
+                out = ask(block, replies)
+            _release()
+            return out
+
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            """Counts of n-grams over all blocks, for each block that asked."""
+            parts = [[unpack(p) for p in _split(d)] for d in frame["data"]]
+            pair, third, learned = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in range(3))
+            number = np.unique(pair, return_inverse=True)[1]
+            number = np.unique(number * (2 * _TOP) + third, return_inverse=True)[1]
+            total = np.bincount(number, learned).astype(np.int64)[number]
+            ends = np.cumsum([len(p[0]) for p in parts])
+            return frame[["block", "shard"]].assign(data=[pack(narrow(x)) for x in np.split(total, ends[:-1])])
 
         def answer(frame: pd.DataFrame) -> pd.DataFrame:
             """Sums of log10 probabilities per document, for each block with positions in this shard."""
-            if frame["shard"].iloc[0] < 0:
-                return frame[["block", "data"]].assign(kind=0)
             columns, sizes, spans = [], [], []
             for data in frame["data"]:
-                v, u, w, doc, klass, train, n = (unpack(p) for p in _split(data))
+                v, u, w, doc, train, n = (unpack(p) for p in _split(data))
                 doc = np.cumsum(doc.astype(np.int64))
                 train = np.unpackbits(train)[: int(n[0])].astype(bool)[doc]
-                columns.append((v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), doc, klass.astype(np.int64), train))
+                columns.append((v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), doc, train))
                 sizes.append(int(n[0]))
                 spans.append(len(v))
-            v, u, w, doc, klass, train = (np.concatenate(x) for x in zip(*columns))
+            v, u, w, doc, train = (np.concatenate(x) for x in zip(*columns))
             del columns
-            roots, v = np.unique(v * (1 << 24) + klass, return_inverse=True)  # a context word and its class of documents
             trie = Trie.build(u[train], v[train], w[train], mu2, mu3)
             fd, path = tempfile.mkstemp(suffix=".trie")
             os.close(fd)
@@ -226,26 +278,48 @@ class _Model:
             finally:
                 os.unlink(path)
             out, at = [], 0
-            for block, n, span in zip(frame["block"], sizes, spans):
+            for block, shard, n, span in zip(frame["block"], frame["shard"], sizes, spans):
                 sums = np.bincount(doc[at : at + span], log[at : at + span], n).astype(np.float32)
                 at += span
-                out.append((block, pack(sums), 1))
-            return _rows("block data kind", out)
-
-        def finish(frame: pd.DataFrame) -> pd.DataFrame:
-            ids, null, lengths, train, known, basis, own = (unpack(p) for p in _split(frame["data"][frame["kind"] == 0].iloc[0]))
-            score = own.copy()
-            for data in frame["data"][frame["kind"] == 1]:
+                out.append((block, shard, pack(sums)))
+            return _rows("block shard data", out)
+
+        def finish(block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            b = _Block(block["data"].iloc[0], parts[parts["kind"] == 0], shared.value[0], hot)
+            parts = parts[parts["kind"] == 1].sort_values("shard")
+            logs = np.log10(b.count + 1.0)
+            basis = np.add.reduceat(logs, b.first) - b.lengths * np.log10(denominator)
+            known = np.add.reduceat((b.count > 0).astype(np.int64), b.first)
+            n = len(b.ids)
+            score = np.bincount(b.doc[b.alone], logs[b.alone] - np.log10(denominator), n).astype(np.float64)
+            for data in parts["data"][parts["shard"] < shards]:
                 score += unpack(data)
-            doc_id = pd.Series(ids).astype("Int64").mask(null > 0)
-            return pd.DataFrame({"doc_id": doc_id.astype(object).where(null == 0, None), "held_out": train == 0, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(len(ids), tokens), "base_score": basis, "score": score})
+            if len(b.hot):
+                *_, order, _, (leaf, ctx, succ) = b.grams(shards)
+                found = np.empty(len(order))
+                found[order] = np.concatenate([unpack(d) for d in parts["data"][parts["shard"] >= shards]])
+                low = (found[succ] + mu2 * (b.count[b.hot] + 1) / denominator) / (b.context_count[b.hot] + mu2)
+                score += np.bincount(b.doc[b.hot], np.log10((found[leaf] + mu3 * low) / (found[ctx] + mu3)), n)
+            doc_id = pd.Series(b.ids).astype("Int64").mask(b.null > 0)
+            return pd.DataFrame({"doc_id": doc_id.astype(object).where(b.null == 0, None), "held_out": ~b.train, "n_tokens": b.lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(n, tokens), "base_score": basis, "score": score})
+
+        def finish_block(block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            with np.errstate(over="ignore"):
+                out = finish(block, parts)
+            _release()
+            return out
+
+        def answer_shard(frame: pd.DataFrame) -> pd.DataFrame:
+            out = add(frame) if frame["shard"].iloc[0] >= shards else answer(frame)
+            _release()
+            return out
 
         own = scanned.filter("kind = 0").select("block", "data")
         replies = answers.filter("block is not null").select("block", "shard", "data")
         asked = own.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(ask_block, "shard int, block long, data binary")
-        asked = asked.withColumn("key", F.when(F.col("shard") < 0, -1 - F.pmod("block", F.lit(1_000_003))).otherwise(F.col("shard")))
-        sums = asked.groupBy("key").applyInPandas(answer, "block long, data binary, kind int")
-        return sums.groupBy("block").applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        sums = asked.groupBy("shard").applyInPandas(answer_shard, "block long, shard int, data binary")
+        parts = replies.withColumn("kind", F.lit(0)).unionByName(sums.withColumn("kind", F.lit(1)))
+        return own.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(finish_block, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, mu2: float = 200.0, mu3: float = 4.0, shard_positions: int = 1_000_000) -> DataFrame:

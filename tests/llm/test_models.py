@@ -63,6 +63,14 @@ def test_language_model_hot_context(spark):
     assert len(out) == 60 and (out["score"] > out["base_score"]).mean() > 0.9 and (out["score"] < 0).all()
 
 
+def test_language_model_hot_context_counts(spark):
+    """Hot contexts, pairs and triples learn from all training rows, however many documents hold them."""
+    rows = [(i, " ".join(f"one of the w{(i * 7 + k) % 50} the a{k % 3}" for k in range(30))) for i in range(60)]
+    c = Counts(rows)
+    out = language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shard_positions=400).collect()
+    assert len(out) == 60 and all(math.isclose(r.score, c.score(rows[r.doc_id][1]), rel_tol=1e-3) for r in out)
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, top in ((0, 4), (1, 1), (300, 200), (70_000, 1 << 40), (70_000, 100_000)):
