@@ -45,7 +45,7 @@ def op5_neighbours(spark, sf_dir):
 
 
 def op6_token_counts(spark, sf_dir):
-    return token_counts.counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), cover=True)
 
 
 def op7_quality(spark, sf_dir):

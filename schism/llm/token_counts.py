@@ -2,7 +2,9 @@
 
 The vocabulary is a trie with failure links; each node knows how many pieces are popped when its link is taken, so
 the number of greedy longest-match word pieces comes from one pass over a word's characters, no piece being built.
-A word (a run of bytes other than space and 09-0D) that the vocabulary can't cover counts as one unknown piece.
+A word is a run of bytes other than space and 09-0D.  With `cover` (op6) it is read behind its word mark over the whole
+vocabulary: the lone mark begins words without a marked piece, and a character outside the vocabulary counts its byte
+pieces.  Without, only marked pieces begin a word, and a word that they can't cover counts as one unknown piece.
 Null and empty texts count nothing.
 """
 
@@ -17,11 +19,11 @@ from .segments import SegmentCache, cached, split_column
 
 
 class LongestMatch:
-    """initial: pieces that begin a word; inner: pieces that continue one."""
+    """initial: pieces that begin a word; inner: pieces that continue one; costs: of pieces that count other than one."""
 
-    def __init__(self, initial, inner):
+    def __init__(self, initial, inner, costs=None):
         self.step: list[dict[str, int]] = [{}, {}]  # 0: word start, 1: after a piece
-        whole = [False, False]
+        whole = [0, 0]
         for root, pieces in ((0, initial), (1, inner)):
             for piece in pieces:
                 node = root
@@ -29,10 +31,10 @@ class LongestMatch:
                     if c not in self.step[node]:
                         self.step[node][c] = len(self.step)
                         self.step.append({})
-                        whole.append(False)
+                        whole.append(0)
                     node = self.step[node][c]
                 if node > 1:
-                    whole[node] = True
+                    whole[node] = (costs or {}).get(piece, 1)
         self.fail, self.pops = [-1] * len(self.step), [0] * len(self.step)
         level = [0, 1]
         while level:
@@ -41,7 +43,7 @@ class LongestMatch:
                 for c, node in self.step[parent].items():
                     below.append(node)
                     if whole[node]:
-                        self.fail[node], self.pops[node] = 1, 1
+                        self.fail[node], self.pops[node] = 1, whole[node]
                         continue
                     link, popped = self.fail[parent], self.pops[parent]
                     while link >= 0 and c not in self.step[link]:
@@ -70,6 +72,44 @@ class LongestMatch:
         return found
 
 
+class WholeMatch(LongestMatch):
+    """All pieces, marked ones among them, over a word behind its mark; other characters are their UTF-8 bytes (one unknown piece without byte pieces)."""
+
+    def __init__(self, own, has_bytes: bool = True):
+        own, self.has_bytes = set(own), has_bytes
+        self.outside = {c for piece in own for c in piece} - own
+        super().__init__((), own | self.outside, {c: self.cost(c) for c in self.outside})
+
+    def cost(self, c: str) -> int:
+        return len(c.encode("utf-8", "surrogatepass")) if self.has_bytes else 1
+
+    def count(self, word: str) -> int:
+        """Number of pieces, negative if the word has a character that is no piece."""
+        step, fail, pops = self.step, self.fail, self.pops
+        node, found, known = 1, 0, True
+        for c in "▁" + word:
+            while (to := step[node].get(c)) is None:
+                if node == 1:
+                    found, known, to = found + self.cost(c), False, 1
+                    break
+                found += pops[node]
+                node = fail[node]
+            node = to
+        while node > 1:
+            found += pops[node]
+            node = fail[node]
+        return found if known and self.outside.isdisjoint(word) else -found
+
+
+def whole_pieces(model_file: str) -> tuple[list[str], bool]:
+    """All text pieces of a sentencepiece vocabulary, the lone word mark among them, and whether it has the byte pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
+    return [model.id_to_piece(i) for i in ids if not model.is_byte(i)], sum(map(model.is_byte, ids)) == 256
+
+
 def pieces(model_file: str) -> tuple[list[str], list[str]]:
     """Word-starting and word-continuing pieces of a sentencepiece vocabulary (control and byte pieces left out)."""
     import sentencepiece
@@ -79,22 +119,25 @@ def pieces(model_file: str) -> tuple[list[str], list[str]]:
     return [p[1:] for p in own if p[0] == "▁" and len(p) > 1], [p for p in own if p[0] != "▁"]
 
 
-def counts(docs: DataFrame, model_file: str) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_tokens (unknown words count one), n_unknown.  No shuffle."""
+def counts(docs: DataFrame, model_file: str, cover: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, n_tokens, n_unknown.  No shuffle.
+
+    n_unknown: words that the vocabulary can't cover, counting one each; with cover, words with a character outside it.
+    """
 
     def run(batches):
         def make():
-            automaton = LongestMatch(*pieces(model_file))
+            automaton = WholeMatch(*whole_pieces(model_file)) if cover else LongestMatch(*pieces(model_file))
             return SegmentCache(lambda segments: [automaton.count(s.decode("utf-8", "surrogatepass")) for s in segments])
 
-        cache = cached(("pieces", model_file), make)
+        cache = cached(("pieces", model_file, cover), make)
         for block in blocks(batches):
             texts = split_column(block.column("text"))
             known = cache.load(set().union(*texts))
             found = [[known[s] for s in t] for t in texts]
-            unknown = [f.count(-1) for f in found]
+            unknown = [sum(n < 0 for n in f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(f) + 2 * u for f, u in zip(found, unknown)], pa.int64()), pa.array(unknown, pa.int64())],
+                [block.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(map(abs, f)) for f in found], pa.int64()), pa.array(unknown, pa.int64())],
                 ["doc_id", "n_words", "n_tokens", "n_unknown"],
             )
 

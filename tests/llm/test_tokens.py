@@ -94,6 +94,43 @@ def test_token_counts(odd, none):
     assert token_counts.counts(none, model).count() == 0
 
 
+def slow_whole(word, own):
+    word, n, known = "▁" + word, 0, True
+    while word:
+        size = next((k for k in range(len(word), 0, -1) if word[:k] in own), 0)
+        n += 1 if size else len(word[0].encode())
+        known &= size > 0
+        word = word[size or 1 :]
+    return n, known
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.text("abé▁", min_size=1, max_size=4)), st.lists(st.text("abcé日▁", min_size=1, max_size=12), max_size=20))
+def test_whole_match(own, words):
+    automaton = token_counts.WholeMatch(own)
+    for w in words:
+        assert abs(automaton.count(w)) == slow_whole(w, own)[0]
+
+
+def test_whole_token_counts(spark, odd):
+    """No word collapses to one token: the lone mark and byte pieces are used, in the registered query too."""
+    from schism.llm import queries
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    own = set(token_counts.whole_pieces(model)[0])
+    assert "▁" in own and token_counts.whole_pieces(model)[1]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(20, "ñandú \U00010330"), (21, "日" * 3500)], "doc_id long, text string"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in token_counts.counts(docs, model, cover=True).collect()}
+    for doc, r in got.items():
+        found = [slow_whole(w.decode(), own) for w in (text[doc] or "").encode().split()]
+        assert (r.n_words, r.n_tokens, r.n_unknown) == (len(found), sum(n for n, _ in found), sum(not known for _, known in found))
+    assert (got[20].n_tokens, got[20].n_unknown, got[21].n_tokens, got[21].n_unknown) == (9, 1, 3501, 0)
+    sf = "/root/testdata/sf0.001"
+    want = sum(slow_whole(w.decode(), own)[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() for w in (r.text or "").encode().split())
+    assert sum(r.n_tokens for r in queries.op6_token_counts(spark, sf).collect()) == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_pack(sizes):
