@@ -157,6 +157,15 @@ def test_ward():
     assert communities.ward(d, 0.5).tolist() == [0, 0, 1] and communities.ward(np.zeros((1, 1)), 0.5).tolist() == [0] and communities.consensus([], 1) == []
 
 
+def test_comembership(spark):
+    """x is with a, b, c in two runs of four and with d, e, f in the other two; g is alone in one of them."""
+    runs = [["abcx", "def"], ["abcx", "def"], ["abc", "defx"], ["abc", "defx", "g"]]
+    rows = [(r, c, e) for r, communities_ in enumerate(runs) for c, members in enumerate(communities_) for e in members]
+    out = communities.comembership(spark.createDataFrame(rows, "run int, community int, entity string")).collect()
+    assert {r.entity: r.frequency for r in out} == {**dict.fromkeys("abcdef", 4), "x": 2, "g": 1}
+    assert communities.comembership(spark.createDataFrame([], "run int, community int, entity string")).count() == 0
+
+
 def test_topic_rank(spark):
     df = spark.createDataFrame([("t", 4, 0.2), ("t", 6, 0.4)], "topic string, observations long, pi double")
     r = topics.rank_topics(df).first()
