@@ -226,12 +226,12 @@ def g4_g5_dipoles(spark, sf):
 @query()
 def g2_g3_fellowships(spark, sf):
     """Seeded clustering runs and their consensus."""
-    return communities.fellowships(communities.cluster_runs(t.sag_table(spark, sf), runs=5), merge_iter=3)
+    return communities.fellowships(communities.cluster_runs(t.sag_table(spark, sf)))
 
 
 @query()
 def a29_comembership(spark, sf):
-    return communities.comembership(communities.cluster_runs(t.sag_table(spark, sf), runs=3))
+    return communities.comembership(communities.cluster_runs(t.sag_table(spark, sf)))
 
 
 @query(sql(", c AS (SELECT fid, count(*) AS size, min(entity) AS first FROM fellows GROUP BY fid)\nSELECT fid, size, CAST(row_number() OVER (ORDER BY size DESC, first) - 1 AS INT) AS rank FROM c", "fellows"))
@@ -374,7 +374,7 @@ def j16_t9_nearest_topic(spark, sf):
 
 @query()
 def g12_online_clusters(spark, sf):
-    return clustering.online_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), create=0.4, assign=0.35, iterations=3)
+    return clustering.online_clusters(table(spark, sf, "embeddings").select("vec_id", "embedding"), create=0.4, assign=0.35)
 
 
 @query()

@@ -38,5 +38,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
 
 
+def test_registered_with_defaults(spark, monkeypatch):
+    """Clustering queries run as many runs, merges and iterations as their operators do by themselves."""
+    from schism.operators import clustering, communities
+
+    given = []
+    for module, name in ((communities, "cluster_runs"), (communities, "fellowships"), (clustering, "online_clusters")):
+        own = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, own=own, **k: given.append((len(a), set(k))) or own(*a, **k))
+    for name in ("g2_g3_fellowships", "a29_comembership", "g12_online_clusters"):
+        assert QUERIES[name](spark, SF).columns
+    assert len(given) == 4 and all(n == 1 and not k & {"runs", "merge_iter", "iterations"} for n, k in given)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
