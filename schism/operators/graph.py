@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,14 +167,14 @@ def signed_jaccard(edges: DataFrame) -> DataFrame:
     return out.select("e1", "e2", "weight", (F.coalesce("net", F.lit(0)) / (F.col("s1") + F.col("s2") - F.coalesce("both", F.lit(0)))).alias("similarity"))
 
 
-def closeness(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def closeness(edges: DataFrame) -> DataFrame:
     """M8: (reached - 1) / sum of distances, by a frontier join per distance; stops when no pair is new."""
     from ..sources.stages import stage
 
     step = adjacency(edges).select("node", "other")
     seen = stage(step.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("d")), "closeness")
     front = seen
-    for d in range(1, rounds + 1):
+    for d in itertools.count(1):
         front = front.select("source", "node").join(step, "node").select("source", F.col("other").alias("node")).distinct()
         front = stage(front.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("d", F.lit(d)), "closeness")
         if front.isEmpty():

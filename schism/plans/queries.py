@@ -127,7 +127,7 @@ def m8_degree(spark, sf):
 near AS (SELECT source, node, min(d) AS d FROM reach GROUP BY ALL)
 SELECT source AS entity, round(coalesce((count(*) - 1) / nullif(CAST(sum(d) AS DOUBLE), 0), 0), 6) AS closeness FROM near GROUP BY source""", "adj", recursive=True))
 def m8_closeness(spark, sf):
-    return graph.closeness(t.sag_table(spark, sf), rounds=4).select("entity", _r("closeness"))
+    return graph.closeness(t.sag_table(spark, sf)).select("entity", _r("closeness"))
 
 
 @query(sql("SELECT * FROM commons", "commons"))

@@ -157,6 +157,13 @@ def test_ward():
     assert communities.ward(d, 0.5).tolist() == [0, 0, 1] and communities.ward(np.zeros((1, 1)), 0.5).tolist() == [0] and communities.consensus([], 1) == []
 
 
+def test_closeness_of_a_long_path(spark):
+    """Distances over the 30 that closeness once stopped at: the end of a path of 34 nodes reaches all of them."""
+    path = spark.createDataFrame([(i, i + 1, 1) for i in range(33)], "e1 long, e2 long, weight long")
+    got = {r.entity: r.closeness for r in graph.closeness(path).collect()}
+    assert math.isclose(got[0], 33 / sum(range(34))) and math.isclose(got[33], got[0])
+
+
 def test_comembership(spark):
     """x is with a, b, c in two runs of four and with d, e, f in the other two; g is alone in one of them."""
     runs = [["abcx", "def"], ["abcx", "def"], ["abc", "defx"], ["abc", "defx", "g"]]
