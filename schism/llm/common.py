@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -15,15 +16,17 @@ BLOCK_BYTES = 1 << 20
 #: Rows below which a list of keys may be broadcast (8 to 16 bytes each); larger lists are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_MULTIPLIER = 0x9E3779B97F4A7C55 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+#: Longest word, in bytes, that is hashed eight bytes at a time; longer ones are hashed as a whole by BLAKE2b.
+CHUNKED = 64
+_HASH_KEY = b"schism word hash"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a new local one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a new local one in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="schism-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -77,9 +80,28 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def semi(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join that broadcasts the keys only when a count has shown them to be few; else it shuffles."""
-    return left.join(F.broadcast(keys) if few(keys) else keys.hint("merge"), on, how)
+def mark(column: str = "text"):
+    """A column that tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(column)
+
+
+def rows_kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of docs with all columns of docs, as a staged table of (doc_id, mark, stays, rows) decides; the others stay.
+
+    Of rows that stay and repeat both doc_id and text (rows > 1) one is kept.  A null doc_id is like any other."""
+    name = next(n for n in (f"mark_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    marked = docs.withColumn(name, mark())
+
+    def matched(rows: DataFrame, which: str, how: str) -> DataFrame:
+        keys = decided.filter(which).select(F.col("doc_id").alias("decided_id"), F.col("mark").alias("decided_mark"))
+        keys = F.broadcast(keys) if few(keys) else keys.hint("merge")
+        return rows.join(keys, rows["doc_id"].cast("long").eqNullSafe(keys["decided_id"]) & (rows[name] == keys["decided_mark"]), how)
+
+    out = matched(marked, "not stays", "left_anti")
+    if not decided.filter("stays and rows > 1").isEmpty():
+        once = matched(out, "stays and rows > 1", "left_semi").dropDuplicates(["doc_id", name])
+        out = matched(out, "stays and rows > 1", "left_anti").unionByName(once)
+    return out.select(*(out[f"`{c}`"] for c in docs.columns))
 
 
 #: Parts into which the rows of a hot key are split in a lookup too large to broadcast.
@@ -148,21 +170,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            table = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    tables = _powers[0], _powers[1]
-    if n > 4 * BLOCK_BYTES:  # a very long text's tables aren't kept
-        _powers[:] = [tables[0][: BLOCK_BYTES + 1].copy(), tables[1][: BLOCK_BYTES + 1].copy()]
-    return tables
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit (finaliser of a well-known hash)."""
     x = x ^ (x >> np.uint64(33))
@@ -187,15 +194,48 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as an integer (zeros behind the end), a view of a padded copy."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def leading(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first `left` bytes, eight at most, at each place of a view by `eights`."""
+    return view[at] & _LEADING[np.clip(left, 0, 8)]
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial modulo 2**64 from running sums, then mixed; equal bytes, equal hash."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte span: its bytes are mixed in by eights, so no regularity of a text makes words collide."""
+    size = ends - starts
+    found = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return found
+    view, which = eights(raw), np.arange(len(size))
+    for at in range(0, min(int(size.max()), CHUNKED), 8):
+        if at:
+            which = which[size[which] > at]
+        left = size[which] - at
+        found[which] = mix(found[which] ^ leading(view, starts[which] + at, left))
+    for i in np.flatnonzero(size > CHUNKED):
+        found[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=_HASH_KEY).digest(), "little")
+    return found
+
+
+def same_bytes(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether `size` bytes from a in one array are those from b in the other, for each of a and b."""
+    found, which = np.ones(len(size), bool), np.arange(len(size))
+    x, y = eights(one), eights(other)
+    for at in range(0, min(int(size.max()), CHUNKED) if len(size) else 0, 8):
+        if at:
+            which = which[size[which] > at]
+        left = size[which] - at
+        found[which] &= leading(x, a[which] + at, left) == leading(y, b[which] + at, left)
+    for i in np.flatnonzero(size > CHUNKED):
+        found[i] = bool((one[a[i] : a[i] + size[i]] == other[b[i] : b[i] + size[i]]).all())
+    return found
 
 
 def lower_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

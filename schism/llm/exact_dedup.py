@@ -1,31 +1,33 @@
 """Exact dedup (10): stateful streaming deduplication.
 
-Keyed state on disk (RocksDB state store, no expiry; keys are buckets of digests) holds for every digest the
-stable identifier to keep, the number of rows and a content locator (the smallest doc_id, by which the text can be read again).  A digest
+Keyed state on disk (a streaming aggregation in RocksDB, without expiry) holds for every digest the stable identifier
+to keep, the number of rows and a content locator (run and smallest doc_id, by which the text can be read again).
+Rows of a partition are combined before they reach the state, so no hot digest goes there row by row.  A digest
 seen more than once is a hit; the full normalised bytes of all hit rows are then compared.  Digests whose bytes
 differ (possible only with a shortened digest) are grouped again by their bytes.
 
+With a `state` folder the state outlives the call: checkpoint, digests, updates and the texts at the locators stay
+there, and a later run (under a name of its own) is deduplicated against all earlier ones.  Calling again with the
+name of a run that failed goes on with it.
+
 Defined cases: null text counts as empty; a null doc_id sorts below all others; of equal texts the largest
-doc_id stays; rows that repeat a doc_id and text all carry the same result; other columns are ignored.
+doc_id stays; rows that repeat a doc_id and text all carry the same result, and one of them stays in keep_unique;
+a doc_id on several texts is dropped only where its text is a copy; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, few, lookup, new_path, partitions, remove, semi, stage, stage_small, texts
+from .common import blocks, exists, few, lookup, mark, new_path, partitions, remove, rows_kept, small_batches, stage, stage_small
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Buckets of digests per shuffle partition: the grain of the keyed state, which so follows the size of the job.
-BUCKETS = 32
-_DIGESTS = "doc_id long, digest binary, text_sha256 string"
-_GROUPS = "digest binary, keep_id long, locator long, n long"
+_DIGESTS = "doc_id long, mark long, digest binary, text_sha256 string"
+_UPDATES = "digest binary, keep_id long, locator struct<run: string, doc_id: long>, n long"
 
 
 def _digests(width: int):
@@ -33,90 +35,34 @@ def _digests(width: int):
         for block in blocks(batches):
             sums = [hashlib.sha256(t.encode("utf-8", "surrogatepass").lower()) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([s.digest()[:width] for s in sums], pa.binary()), pa.array([s.hexdigest() for s in sums])],
-                ["doc_id", "digest", "text_sha256"],
+                [block.column("doc_id"), block.column("mark"), pa.array([s.digest()[:width] for s in sums], pa.binary()), pa.array([s.hexdigest() for s in sums])],
+                ["doc_id", "mark", "digest", "text_sha256"],
             )
 
     return run
 
 
-def _combine(batches):
-    """Rows of one micro-batch partition, at most one per digest among each 100,000: no hot digest reaches the shuffle row by row."""
-    held: dict = {}
-
-    def out():
-        keys = list(held)
-        cols = list(zip(*held.values())) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in cols)], ["digest", "keep_id", "locator", "n"])
-
-    for batch in batches:
-        for digest, doc in zip(batch.column("digest").to_pylist(), batch.column("doc_id").to_pylist()):
-            keep, locator, n = held.get(digest, (None, None, 0))
-            held[digest] = (_largest(keep, doc), _smallest(locator, doc), n + 1)
-        if len(held) >= 100_000:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
-
-
-def _largest(a, b):
-    return b if a is None or (b is not None and b > a) else a
-
-
-def _smallest(a, b):
-    return b if a is None or (b is not None and b < a) else a
-
-
-_NONE = -(1 << 63)  # a null id within a packed state
-
-
-def _unpack_state(packed: bytes, width: int) -> dict:
-    n = len(packed) // (width + 24)
-    ids = np.frombuffer(packed, "<i8", 3 * n, n * width).reshape(3, n).tolist()
-    return {packed[i * width : (i + 1) * width]: row for i, row in enumerate(zip(*ids))}
-
-
-def _pack_state(held: dict) -> bytes:
-    return b"".join(held) + np.array(list(held.values()), "<i8").reshape(-1, 3).T.tobytes()
+def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark().alias("mark"))
 
 
-def _updater(width: int):
-    def update(key, frames, state):
-        """Fold new rows into the digests of one bucket and emit the touched digests as they now are."""
-        held = _unpack_state(state.get[0], width) if state.exists else {}
-        touched = {}
-        for frame in frames:
-            whole = lambda c: frame[c].fillna(_NONE).astype("int64").tolist()
-            for digest, new, place, count in zip(frame["digest"], whole("keep_id"), whole("locator"), whole("n")):
-                keep, locator, n = held.get(digest, (_NONE, _NONE, 0))
-                touched[digest] = held[digest] = (max(keep, new), place if locator == _NONE or _NONE < place < locator else locator, n + count)
-        state.update((_pack_state(held),))
-        keep, locator, n = (pd.array(c, "Int64") for c in zip(*touched.values()))
-        yield pd.DataFrame({"digest": list(touched), "keep_id": keep.astype("Int64").to_numpy(object), "locator": locator.to_numpy(object), "n": n.to_numpy("int64")}).replace({_NONE: None})
-
-    return update
-
-
-def stream_groups(digests: DataFrame, width: int = 32, files_per_trigger: int | None = None) -> DataFrame:
-    """Run the stateful stream over a staged digest table (or any folder of its schema) and return one row per digest."""
-    spark = digests.sparkSession
-    source = spark.readStream.schema(digests.schema)
+def _stream(spark: SparkSession, digests: str, updates: str, checkpoint: str, files_per_trigger: int | None) -> DataFrame:
+    """Feed the digests that the stream hasn't seen to the state; every digest's latest row of all updates."""
+    source = spark.readStream.schema(_DIGESTS + ", run string")
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    updates = source.parquet(digests._staged_path).select("doc_id", "digest").mapInArrow(_combine, _GROUPS)
-    buckets = BUCKETS * partitions(spark)  # each holds some digests, so a call to Python serves many of them
-    updates = updates.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-    state = updates.groupBy("bucket").applyInPandasWithState(_updater(width), _GROUPS, "packed binary", "update", "NoTimeout")
-    out, checkpoint = new_path(spark, "dedup-state-rows"), new_path(spark, "dedup-stream")
-    spark.createDataFrame([], _GROUPS).write.parquet(out)
+    place = F.struct("run", "doc_id")
+    state = source.parquet(digests).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.min(place).alias("locator"), F.count("*").alias("n"))
+    if not exists(spark, updates):
+        spark.createDataFrame([], _UPDATES).write.parquet(f"{updates}/epoch=none")
 
     def sink(batch: DataFrame, epoch: int) -> None:
         few_files = max(8, partitions(spark) // 8)
-        batch.coalesce(few_files).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated epoch replaces itself
+        batch.coalesce(few_files).write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")  # a repeated epoch replaces itself
 
     store = "spark.sql.streaming.stateStore."
-    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "256", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s", "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
+    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "128", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s", "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
@@ -126,11 +72,8 @@ def stream_groups(digests: DataFrame, width: int = 32, files_per_trigger: int |
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    remove(spark, checkpoint)
-    rows = spark.read.schema(_GROUPS).parquet(out, recursiveFileLookup=True)
-    if files_per_trigger:  # several epochs may have updated a digest; the state only grows
-        rows = rows.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "n"), "n").alias("s")).select("digest", "s.*")
-    return rows
+    rows = spark.read.schema(_UPDATES).parquet(updates, recursiveFileLookup=True)
+    return rows.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "n"), "n").alias("s")).select("digest", "s.*")  # the state only grows
 
 
 def _normalised(batches):
@@ -139,31 +82,55 @@ def _normalised(batches):
         yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("digest"), pa.array(texts, pa.large_binary())], ["doc_id", "digest", "bytes"])
 
 
-def dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
-
-    digest_bytes shortens the key of the state (tests force collisions with it); the result stays the same.
-    """
-    rows = texts(docs)
-    digests = stage(rows.mapInArrow(_digests(digest_bytes), _DIGESTS), "dedup-digests")
-    groups = stream_groups(digests, digest_bytes, files_per_trigger)
+def _placed(docs: DataFrame, digest_bytes: int, files_per_trigger: int | None, state: str | None, run: str) -> DataFrame:
+    """Per row of docs: doc_id, mark, keep_id, n, text_sha256."""
+    spark = docs.sparkSession
+    if state and digest_bytes < 32:
+        raise ValueError("a state that is kept takes whole digests")
+    rows, root = _texts(docs), state or new_path(spark, "dedup")
+    path = f"{root}/digests/run={run}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows.mapInArrow(_digests(digest_bytes), _DIGESTS).write.mode("overwrite").parquet(path)
+    digests = spark.read.schema(_DIGESTS).parquet(path)
+    groups = _stream(spark, f"{root}/digests", f"{root}/updates", f"{root}/checkpoint", files_per_trigger)
+    if not state:
+        remove(spark, f"{root}/checkpoint")
     several = stage_small(groups.filter("n > 1"), "dedup-groups")
-    placed = lookup(digests, several, "digest")  # a digest of a single row keeps that row
-    hits = stage_small(placed.filter("n > 1").select("doc_id", "digest").distinct(), "dedup-hits")
-    same_id = F.expr("doc_id <=> hit_id")
-    keys = hits.select(F.col("doc_id").alias("hit_id"), "digest")
-    hit_texts = rows.join(F.broadcast(keys) if few(keys) else keys, same_id).select("doc_id", "digest", "text")
+    if state:
+        several = several.join(digests.select("digest").distinct(), "digest", "left_semi")
+    placed = lookup(digests, several.drop("locator"), "digest")  # a digest of a single row keeps that row
+    hits = stage_small(placed.filter("n > 1").select("doc_id", "mark", "digest").distinct(), "dedup-hits")
+    keys = hits.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "digest")
+    hit_texts = rows.join(F.broadcast(keys) if few(keys) else keys, F.expr("doc_id <=> hit_id and mark = hit_mark")).select("doc_id", "digest", "text")
+    if state:
+        hit_texts = hit_texts.unionByName(_kept_contents(spark, root, run).join(hits.select("digest").distinct(), "digest", "left_semi").select("doc_id", "digest", "text"))
     contents = hit_texts.mapInArrow(_normalised, "doc_id long, digest binary, bytes binary")
     clash = contents.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a <> b").select("digest")
     clash = stage_small(clash, "dedup-clashes")
-    if not clash.isEmpty():
+    if state:
+        if not clash.isEmpty():
+            raise ValueError("texts of equal SHA-256 differ")
+        _keep_contents(rows, digests, groups, root, run)
+    elif not clash.isEmpty():
         return _regroup(digests, groups, contents, clash)
     alone = F.col("n").isNull()
-    return _labelled(placed.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "n": F.when(alone, 1).otherwise(F.col("n")).cast("long")}))
+    return placed.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "n": F.when(alone, 1).otherwise(F.col("n")).cast("long")})
+
 
+def _kept_contents(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """Texts at the locators of earlier runs."""
+    schema = "doc_id long, digest binary, text string, run string"
+    found = spark.read.schema(schema).parquet(f"{root}/contents") if exists(spark, f"{root}/contents") else spark.createDataFrame([], schema)
+    return found.filter(F.col("run") != run)
 
-def _labelled(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+
+def _keep_contents(rows: DataFrame, digests: DataFrame, groups: DataFrame, root: str, run: str) -> None:
+    """Write the texts at the locators that lie in this run, one for each digest that it brought."""
+    own = groups.filter(F.col("locator.run") == run).select("digest", F.col("locator.doc_id").alias("at"))
+    first = digests.join(own, "digest").filter("doc_id <=> at").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    first = stage_small(first.select("digest", F.col("first.doc_id").alias("at"), F.col("first.mark").alias("at_mark")), "dedup-locators")
+    found = rows.join(first, F.expr("doc_id <=> at and mark = at_mark")).select("doc_id", "digest", "text")
+    found.write.mode("overwrite").parquet(f"{root}/contents/run={run}")
 
 
 def _regroup(digests: DataFrame, groups: DataFrame, contents: DataFrame, clash: DataFrame) -> DataFrame:
@@ -175,10 +142,24 @@ def _regroup(digests: DataFrame, groups: DataFrame, contents: DataFrame, clash:
     found = by_bytes.groupBy("bytes").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("n"))
     fixed = by_bytes.join(found, "bytes").select("id", F.col("text_sha256").alias("sum"), "keep_id", "n")
     again = digests.join(clash, "digest", "left_semi").join(fixed, F.expr("doc_id <=> id and text_sha256 = sum"))
-    return _labelled(plain.select("doc_id", "keep_id", "n", "text_sha256")).unionByName(_labelled(again.select("doc_id", "keep_id", "n", "text_sha256")))
+    cols = ["doc_id", "mark", "keep_id", "n", "text_sha256"]
+    return plain.select(cols).unionByName(again.select(cols))
+
+
+def dedup(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None = None, state: str | None = None, run: str = "only") -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+
+    digest_bytes shortens the key of the state (tests force collisions with it); the result stays the same.  With a
+    state folder, keep_id and group_size are over this and all earlier runs.
+    """
+    placed = _placed(docs, digest_bytes, files_per_trigger, state, run)
+    return placed.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
-def keep_unique(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs with the columns of docs, without those whose text an equal text with a larger doc_id replaces."""
-    dropped = stage_small(dedup(docs, **options).filter("not kept").select("doc_id").distinct(), "dedup-dropped")
-    return semi(docs, dropped, "doc_id", "left_anti")
+def keep_unique(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None = None, state: str | None = None, run: str = "only") -> DataFrame:
+    """Rows of docs with the columns of docs, one of each text: that with the largest doc_id."""
+    placed = _placed(docs, digest_bytes, files_per_trigger, state, run).filter("n > 1")
+    own = placed.groupBy("doc_id", "text_sha256", "mark").agg(F.max(F.expr("doc_id <=> keep_id")).alias("kept"), F.count("*").alias("rows"))
+    least = F.min("mark").over(Window.partitionBy("doc_id", "text_sha256"))  # texts of one id that differ in case
+    decided = own.withColumn("least", least).select("doc_id", "mark", F.expr("kept and mark = least").alias("stays"), "rows")
+    return rows_kept(docs, stage_small(decided.filter("not stays or rows > 1"), "dedup-decided"))

@@ -16,8 +16,9 @@ has most frequent tokens and, where that leaves several components, with all in
 whole sets.  Equal sets are one node from the start.
 
 Results rest on 64-bit hashes of shingles and sets.  Defined cases: no words (null, empty, blank): no shingles, own
-component; fewer than n words: one shingle, the whole sequence; repeated rows are members of one node; a null doc_id
-belongs to its node but names no component.
+component; fewer than n words: one shingle, the whole sequence; repeated rows are members of one node, of which
+keep_one keeps one; a null doc_id belongs to its node but names no component that has another row with an id; a
+doc_id on several texts is dropped only where its text is linked with a smaller one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, exists, few, lookup, lower_words, mix, narrow, new_path, pack, partitions, remove, semi, stage, stage_small, texts, unpack
+from .common import blocks, drop_stage, exists, few, lookup, lower_words, mark, mix, narrow, new_path, pack, partitions, remove, rows_kept, stage, stage_small, texts, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
@@ -116,7 +117,7 @@ def _split(data: bytes) -> list[bytes]:
 
 class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: tuple[int, int]):
-        self.docs = texts(docs)
+        self.docs = texts(docs).withColumn("mark", mark())
         self.spark, self.n = docs.sparkSession, n
         self.num, self.den = threshold
         self.bits = max(4, (partitions(self.spark) - 1).bit_length())
@@ -124,7 +125,7 @@ class _Join:
     # -- counts
 
     def scan(self) -> tuple[DataFrame, DataFrame]:
-        """Documents (doc_id, n, node), and packed token counts by shard."""
+        """Documents (doc_id, mark, n, node), and packed token counts by shard."""
         n, bits = self.n, self.bits
         shift = np.uint64(64 - bits - COUNTED_BITS)
 
@@ -136,16 +137,16 @@ class _Join:
             data = [pack(np.diff(low[edges[s] : edges[s + 1]], prepend=np.uint32(0))) for s in full]
             more = [pack(narrow(times[edges[s] : edges[s + 1]])) for s in full]
             none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([1] * len(full), pa.int32()), none, none, none, pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * len(full), pa.int32()), none, none, none, none, pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names)
 
-        names = ["kind", "doc_id", "n", "node", "shard", "data", "more"]
+        names = ["kind", "doc_id", "mark", "n", "node", "shard", "data", "more"]
 
         @_errstate
         def run(batches):
             held, size = [], 0
             for block, nodes, _, values, at in _sets(batches, n):
                 none = [pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary()), pa.nulls(len(nodes), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(nodes), pa.int32()), block.column("doc_id"), pa.array(np.diff(at)), pa.array(nodes, pa.int64()), *none], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(nodes), pa.int32()), block.column("doc_id"), block.column("mark"), pa.array(np.diff(at)), pa.array(nodes, pa.int64()), *none], names)
                 held.append(values)
                 size += len(values)
                 if size > _FLUSH:
@@ -154,12 +155,12 @@ class _Join:
             if size:
                 yield counted(held)
 
-        rows = self.docs.mapInArrow(run, "kind int, doc_id long, n long, node long, shard int, data binary, more binary")
+        rows = self.docs.mapInArrow(run, "kind int, doc_id long, mark long, n long, node long, shard int, data binary, more binary")
         path = new_path(self.spark, "jaccard-scan")
         rows.write.partitionBy("kind").parquet(path)
         self.scanned_path = path
         read = lambda kind, schema: self.spark.read.schema(schema).parquet(f"{path}/kind={kind}") if exists(self.spark, f"{path}/kind={kind}") else self.spark.createDataFrame([], schema)
-        return read(0, "doc_id long, n long, node long"), read(1, "shard int, data binary, more binary")
+        return read(0, "doc_id long, mark long, n long, node long"), read(1, "shard int, data binary, more binary")
 
     def frequent(self, counts: DataFrame) -> np.ndarray:
         """Sorted leading bits of the tokens in the frequent class."""
@@ -201,7 +202,7 @@ class _Join:
             edges = np.searchsorted(sig >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
             full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
             data = [_join([pack(a) for a in (np.diff(sig[i:j], prepend=np.uint64(0)), node[i:j], narrow(size[i:j]), share[i:j])]) for i, j in ((edges[s], edges[s + 1]) for s in full)]
-            local = [-1 - int(k) for k in np.random.default_rng(int(node[0]) & 0xFFFF).integers(0, 1 << 16, len(kin_rows))]  # any task will do
+            local = [-1 - int(k) for k in np.random.default_rng(int(node[0]) & 0xFFFF if len(node) else 0).integers(0, 1 << 16, len(kin_rows))]  # any task will do
             return pa.RecordBatch.from_arrays([pa.array(full + local, pa.int32()), pa.array(data + kin_rows, pa.binary())], ["shard", "data"])
 
         @_errstate
@@ -356,6 +357,7 @@ class _Join:
         return placed.groupBy("family", "o", "t").applyInPandas(run, "a long, b long")
 
     def run(self) -> DataFrame:
+        """doc_id, mark, n of every document, and of its component (if that has several rows) the best row: the smallest doc_id, then mark."""
         documents, counts = self.scan()
         frequent = self.frequent(counts)
         entries = self.entries(frequent)
@@ -379,13 +381,13 @@ class _Join:
             more = stage_small(self.across(placed, sets), "jaccard-links")
             roots = components(links.union(more))
         drop_stage(sets)
-        classes = documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+        classes = documents.filter("node is not null").groupBy("node").agg(best.alias("best"), F.count("*").alias("rows"))
         classes = stage_small(classes.join(roots, "node", "left").filter("rows > 1 or root is not null"), "jaccard-classes")  # the others are their own
         linked = classes.filter("root is not null")
-        least = stage_small(linked.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-least")
-        named = lookup(classes, least, "root", "node").select("node", F.coalesce("component_id", "first").alias("component_id"))
-        out = lookup(documents, stage_small(named, "jaccard-named"), "node")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        least = stage_small(linked.groupBy("root").agg(F.min("best").alias("least")), "jaccard-least")
+        named = lookup(classes, least, "root", "node").select("node", F.coalesce("least", "best").alias("best"))
+        return lookup(documents, stage_small(named, "jaccard-named"), "node")
 
 
 def _overlaps(left, right) -> np.ndarray:
@@ -411,10 +413,13 @@ def _overlaps(left, right) -> np.ndarray:
 
 def join_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id linked with it, itself included)."""
-    return _Join(docs, n, threshold).run()
+    found = _Join(docs, n, threshold).run()
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, all columns, without those that are linked with a smaller doc_id."""
-    found = join_components(docs, **options).filter("component_id < doc_id").select("doc_id").distinct()
-    return semi(docs, stage_small(found, "jaccard-dropped"), "doc_id", "left_anti")
+def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """Rows of docs, all columns, one of each component: that with the smallest doc_id (null after all others)."""
+    found = _Join(docs, n, threshold).run().filter("best is not null")
+    stays = F.expr("doc_id <=> best.doc_id and mark = best.mark")
+    decided = found.groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1")
+    return rows_kept(docs, stage_small(decided, "jaccard-decided"))

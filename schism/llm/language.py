@@ -2,10 +2,11 @@
 
 A text is the mean embedding of its words and their byte n-grams (2 to 4, with word borders); as the softmax is
 linear, scoring adds up class scores of buckets.  Temperature and rejection threshold are calibrated on a fifth of
-the sample.  The sample holds about `per_language` documents of each language (chosen by a hash of doc_id: a
-documented bound); scoring reads every text.
+the sample.  The sample holds at most `per_language` documents of each language (those with the smallest hash of
+doc_id and text among a share by that hash: a documented bound); scoring reads every text.
 
 Defined cases: null, or no letter: `und`, score 0, rejected.  Null lang teaches nothing.  No labelled row: `und`.
+Languages of equal score: the alphabetically first.  Repeated rows get the same result each.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _power_tables, blocks, mix, spans, text_bytes, texts, word_hashes
+from .common import _LOWER, blocks, eights, leading, mix, spans, text_bytes, texts, word_hashes
 from .quality import filtered
 
 _NGRAMS = (2, 3, 4)
@@ -51,14 +52,13 @@ def subwords(col: pa.Array, buckets: int):
     edge[at[:-1]] = edge[at[1:] - 1] = True
     framed[~edge] = raw[inner[~edge]]
     framed[at[:-1]] = 2
-    power, inverse = _power_tables(len(framed) + 8)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((framed.astype(np.uint64) + np.uint64(1)) * power[: len(framed)])])
+    view = eights(framed)
     owner = np.repeat(np.arange(len(index)), length)
     place, found = [np.arange(len(index))], [word_hashes(framed, at[:-1], at[1:])]
     for n in _NGRAMS:
         begin = np.arange(max(len(framed) - n + 1, 0))
         begin = begin[begin + n <= at[owner[begin] + 1]]
-        found.append(mix((sums[begin + n] - sums[begin]) * inverse[begin] + np.uint64(n)))
+        found.append(mix(leading(view, begin, np.full(1, n)) + (np.uint64(n) << np.uint64(56))))
         place.append(owner[begin])
     place, found = np.concatenate(place), np.concatenate(found)
     order = np.argsort(place, kind="stable")
@@ -81,14 +81,15 @@ def _class_sums(col: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def sample(docs: DataFrame, buckets: int, per_language: int):
     """Bucket shares of sampled documents, as lists on the driver, with their languages."""
     own = docs.filter("lang is not null and text is not null and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # one row per language
+    sizes = own.groupBy("lang").count().orderBy("lang").collect()  # one row per language
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return [], [], np.zeros(0, int)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    chosen = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang", "text")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.2 * per_language / r["count"])) for r in sizes], "lang string, share double")
+    place = F.xxhash64("doc_id", "text")
+    near = own.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(shares), "lang").filter(F.pmod("place", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", "text")  # of about 1.2 times the rows wanted, and repeated ones
+    chosen = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 
     def run(batches):
         for block in blocks(batches):

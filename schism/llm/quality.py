@@ -1,11 +1,12 @@
 """Quality classifier (7): factorisation machine.
 
-Hashed words, binned structure statistics and length enter a model with low-rank pairwise interactions, scored in
+Hashed words, binned structure statistics and metadata (the length in characters) enter a model with low-rank pairwise interactions, scored in
 linear time by sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2) / 2.  Fitted in numpy on the driver over at most
 `max_rows` labelled rows (those with the smallest hash of doc_id: a documented bound); scoring reads every text.
 
 Defined cases: null and empty texts have the statistics of an empty text and a score all the same; rows without a
-label, id or text don't teach; with no labelled row at all every score is 0.5.
+label, id or text, or whose labels contradict each other, don't teach; of several documents of a labelled id the least
+text teaches; with no labelled row at all every score is 0.5; repeated rows get the same score each.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, small_batches, spans, text_bytes, texts, word_hashes
+from .common import _LOWER, blocks, small_batches, spans, text_bytes, word_hashes
 
 #: Upper edges of the bins of each structure statistic.
 _SHARES = (0.001, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.55, 0.7, 0.85, 0.95)
@@ -26,7 +27,10 @@ STATS = {
     "upper": _SHARES, "digit": _SHARES, "punctuation": _SHARES, "symbol": _SHARES, "bar": _SHARES, "other_bytes": _SHARES,
     "distinct_words": _SHARES, "most_frequent_word": _SHARES, "repeated_next": _SHARES, "long_words": _SHARES, "short_words": _SHARES,
     "upper_words": _SHARES, "marked_words": _SHARES, "words": _SIZES, "lines": _SIZES, "mean_word": tuple(0.75 * k for k in range(3, 18)),
+    "chars": tuple(8.0 * x for x in _SIZES),
 }
+#: The metadata column that is an input: the length in characters as its source gives it; null, or no such column: counted.
+METADATA = "n_chars"
 _BINS = 16
 #: Byte kinds.
 _KIND = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in {"digit": b"0123456789", "punctuation": b".,;:!?'\"()-", "symbol": b"*$#%&@^~_=+<>{}[]\\/", "bar": b"|"}.items()}
@@ -60,8 +64,14 @@ def _per_row(weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(total[starts])
 
 
-def features(col: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) of every text, by row: unit-length hashed words, then one bin of each statistic."""
+def with_metadata(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the metadata column of documents."""
+    given = F.col(METADATA).cast("long") if METADATA in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", given.alias(METADATA))
+
+
+def features(col: pa.Array, buckets: int, chars: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of every text, by row: unit-length hashed words, then one bin of each statistic and of the metadata."""
     raw, offsets = text_bytes(col)
     n = len(offsets) - 1
     low = _LOWER[raw]
@@ -90,6 +100,8 @@ def features(col: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     stat |= {"long_words": _per_row(length > 14, first) / per_word, "short_words": _per_row(length < 3, first) / per_word}
     stat |= {"upper_words": _per_row(capital[ends] - capital[starts] > 1, first) / per_word, "marked_words": _per_row(odd[ends] > odd[starts], first) / per_word}
     stat |= {"words": words, "lines": _per_row(raw == 10, offsets) + 1, "mean_word": _per_row(length, first) / per_word}
+    counted = _per_row((raw & 0xC0) != 0x80, offsets)  # all bytes but continuations
+    stat["chars"] = counted if chars is None else np.where(chars.is_null().to_numpy(zero_copy_only=False), counted, chars.fill_null(0).to_numpy())
     bins = np.stack([np.digitize(stat[k], edges) for k, edges in STATS.items()], 1) + np.arange(len(STATS)) * _BINS + buckets
     row = np.concatenate([rows, np.repeat(np.arange(n), len(STATS))])
     order = np.argsort(row, kind="stable")
@@ -99,18 +111,20 @@ def features(col: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def training_rows(docs: DataFrame, labels: DataFrame, buckets: int, max_rows: int) -> tuple[list, np.ndarray]:
     known = labels.filter("quality is not null and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0")
-    chosen = known.select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"), F.max(F.col("quality").cast("int")).alias("other"))
+    chosen = known.filter("label = other").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(batches):
         for block in blocks(batches):
-            row, feature, value = features(block.column("text"), buckets)
+            row, feature, value = features(block.column("text"), buckets, block.column(METADATA))
             ends = np.searchsorted(row, np.arange(block.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("label"), pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))],
                 ["doc_id", "label", "feature", "value"],
             )
 
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # max_rows at most
+    rows = with_metadata(docs).filter("text is not null").join(F.broadcast(chosen), "doc_id")  # max_rows at most
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("text", METADATA)).alias("least")).select("doc_id", "label", "least.*")  # one row an id
     table = rows.mapInArrow(run, "doc_id long, label int, feature array<int>, value array<float>").toArrow().sort_by("doc_id")
     lists = [(np.asarray(f.values), np.asarray(v.values)) for f, v in zip(table["feature"], table["value"])]
     return lists, table["label"].to_numpy().astype(np.float64)
@@ -159,16 +173,22 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 
     def run(batches):
         for block in blocks(batches):
-            found = shared.value.score(*features(block.column("text"), shared.value.buckets), block.num_rows)
+            found = shared.value.score(*features(block.column("text"), shared.value.buckets, block.column(METADATA)), block.num_rows)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(found.astype(np.float64))], ["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return with_metadata(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Machine, least: float = 0.3) -> DataFrame:
     """Rows of docs, all columns, whose text scores at least `least`; scored in place, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return filtered(docs, lambda block: shared.value.score(*features(block.column("text"), shared.value.buckets), block.num_rows) >= least)
+
+    def wanted(block: pa.RecordBatch) -> np.ndarray:
+        chars = block.column(METADATA).cast(pa.int64()) if METADATA in block.schema.names else None
+        return shared.value.score(*features(block.column("text"), shared.value.buckets, chars), block.num_rows) >= least
+
+    return filtered(docs, wanted)
 
 
 def filtered(docs: DataFrame, wanted) -> DataFrame:

@@ -49,7 +49,7 @@ def op6_token_counts(spark, sf_dir):
 
 
 def op7_quality(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

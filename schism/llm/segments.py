@@ -53,9 +53,46 @@ def pretokens(pattern, text: str) -> list[str]:
     return pattern.findall(text)
 
 
+@functools.cache
+def _library_normal():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
+def _python_normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+@functools.cache
+def _unlike() -> set:
+    """Characters that the library's Unicode tables reorder or compose otherwise than Python's do."""
+    marks = [chr(c) for c in range(0x80, 0x110000) if unicodedata.combining(chr(c))]
+    asked = [("q\u0315" + c + "\u0334", c) for c in marks]
+    for c in range(0x80, 0x110000):
+        parts = unicodedata.decomposition(chr(c))
+        if parts and parts[0] != "<":
+            whole = "".join(chr(int(x, 16)) for x in parts.split())
+            asked.append((whole, whole))
+    found = _library_normal()("!".join(a for a, _ in asked)).split("!")
+    return {c for (a, own), f in zip(asked, found, strict=True) if f != _python_normal(a) for c in own}
+
+
+_alike: set = set(map(chr, range(128)))
+
+
 def normal_form(text: str) -> str:
-    """NFC and lower case, each character by itself (no final sigma)."""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    """NFC and lower case, each character by itself (no final sigma), by the tables of the tokenizers library.
+
+    Python's own functions serve where they agree with it; each new character is compared once."""
+    if text.isascii():
+        return text.lower()
+    if not _alike.issuperset(text):
+        new, unlike = set(text).difference(_alike), _unlike()
+        _alike.update(c for c in new if c not in unlike and _library_normal()(c) == _python_normal(c))
+        if not _alike.issuperset(text):
+            return _library_normal()(text)
+    return _python_normal(text)
 
 
 def byte_alphabet() -> list[str]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, new_path, spans, text_bytes, texts, word_hashes
+from .common import blocks, new_path, same_bytes, spans, text_bytes, texts, word_hashes
 from .segments import byte_alphabet, cached, normal_form, pretokens
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
@@ -84,10 +84,11 @@ class Encoder:
 
 
 class IdTable:
-    """Ids of the segments seen so far, by their 64-bit hash: sorted arrays, 25 bytes and the ids a segment.
+    """Ids of the segments seen so far, by their 64-bit hash: sorted arrays, 40 bytes, the segment and its ids each.
 
-    All segments of a block are looked up at once; of each new one the encoder is asked once.  At `most` segments the
-    table starts anew.
+    All segments of a block are looked up at once; of each new one the encoder is asked once.  Every hit is compared
+    byte by byte; a block with segments of equal hash and different bytes is encoded segment by segment.  At `most`
+    segments the table starts anew.
     """
 
     def __init__(self, encoder, most: int = 1_500_000):
@@ -98,6 +99,7 @@ class IdTable:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.held, self.places, self.lengths = np.zeros(1 << 16, np.uint8), 0, np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _add(self, at: np.ndarray, keys: np.ndarray, segments: list[bytes]) -> None:
         values = list(self.encoder(segments))
@@ -106,6 +108,12 @@ class IdTable:
         if self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(new)), np.uint32)])
         self.ids[self.used : self.used + len(new)] = new
+        text, lengths = np.frombuffer(b"".join(segments), np.uint8), np.fromiter(map(len, segments), np.int32, len(segments))
+        if self.held + len(text) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.held], np.zeros(max(len(self.bytes), len(text)), np.uint8)])
+        self.bytes[self.held : self.held + len(text)] = text
+        self.places, self.lengths = np.concatenate([self.places, self.held + np.cumsum(lengths) - lengths]), np.concatenate([self.lengths, lengths])
+        self.held += len(text)
         slots = np.arange(len(self.sizes), len(self.sizes) + len(keys), dtype=np.int32)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -116,12 +124,18 @@ class IdTable:
         """Ids of all texts, each with the end id behind it, and the borders between texts."""
         starts, ends, first = spans(raw, offsets)
         kinds, index, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        length, own = ends - starts, index[inverse]
+        if not ((length == length[own]).all() and same_bytes(raw, starts, raw, starts[own], length).all()):
+            return self._each(raw, starts, ends, first, end_id)
         if len(self.keys) > self.most:
             self.clear()
         at = np.searchsorted(self.keys, kinds)
         new = np.ones(len(kinds), bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != kinds[inside]
+        known, held = index[~new], self.slots[at[~new]]
+        if not ((length[known] == self.lengths[held]).all() and same_bytes(raw, starts[known], self.bytes[: self.held], self.places[held], length[known]).all()):
+            return self._each(raw, starts, ends, first, end_id)
         if new.any():
             data, which = raw.tobytes(), index[new]
             self._add(at[new], kinds[new], [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())])
@@ -133,6 +147,13 @@ class IdTable:
         borders = upto[first]
         return np.insert(ids, borders[1:], end_id), borders + np.arange(len(borders))
 
+    def _each(self, raw, starts, ends, first, end_id):
+        """As encode, without the table."""
+        data = raw.tobytes()
+        values = [np.frombuffer(v, "<u4") for v in self.encoder([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())])]
+        borders = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)[first]
+        return np.insert(np.concatenate(values), borders[1:], end_id), borders + np.arange(len(borders))
+
 
 def _encode(path: str, end_id: int):
     def run(batches):
@@ -151,7 +172,8 @@ def _encode(path: str, end_id: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, row_group: int = 16 << 20, page: int = 256 << 10, page_rows: int = 2_000) -> None:
     """Encode docs (doc_id, text) and write the files under path.  The texts, smaller than their ids, are what is shuffled."""
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    salt = F.xxhash64("text")  # rows of one id, or without one, can go to several files
+    ordered = texts(docs).withColumn("salt", salt).repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "text")
     ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(
         **{
             "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),

@@ -35,6 +35,63 @@ def test_bpe_round(text):
     assert found.tolist() == [*ids_of(text), 2, 2, *ids_of(text), 2] and borders.tolist() == [0, len(ids_of(text)) + 1, len(ids_of(text)) + 2, len(found)]
 
 
+@pytest.mark.parametrize("form", ["a%s1", "%s\u0301%s\u0334\u0315"])
+def test_every_code_point(form):
+    """Characters that Python's Unicode tables don't know, or know otherwise than the library's, are no exception."""
+    own = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x32000), *range(0x32000, 0x110000, 997)]]
+    texts = [form.replace("%s", c) for c in own]
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [OWN.encode(t) for t in texts] == want
+    found, borders = TABLE.encode(*text_bytes(pa.array(texts, pa.large_string())), 2)
+    assert found.tolist() == [i for ids in want for i in [*ids, 2]]
+
+
+def thue_morse(length):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+
+
+def test_words_that_polynomials_confuse():
+    from schism.llm.common import text_bytes, spans, word_hashes
+
+    for size in (16, 64, 65, 1024, 4096):
+        word = thue_morse(size)
+        twin = word.translate({97: "b", 98: "a"})
+        texts = pa.array([word, twin, f"{word} {twin} {word}x"], pa.large_string())
+        raw, offsets = text_bytes(texts)
+        assert len(set(word_hashes(raw, *spans(raw, offsets)[:2]).tolist())) == 3
+        found, _ = token_files.IdTable(token_files.Encoder(WORD_BPE)).encode(raw, offsets, 2)
+        assert found.tolist() == [i for t in texts.to_pylist() for i in [*ids_of(t), 2]]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_id_table_compares_bytes(monkeypatch, bits):
+    """Hashes of a few bits change nothing."""
+    real = token_files.word_hashes
+    monkeypatch.setattr(token_files, "word_hashes", lambda *a: real(*a) & np.uint64((1 << bits) - 1))
+    table = token_files.IdTable(token_files.Encoder(WORD_BPE))
+    for texts in (["one"], ["two"], ["one two three", "", "two " * 5 + thue_morse(200)], ["one one"]):
+        found, _ = table.encode(*text_bytes(pa.array(texts, pa.large_string())), 2)
+        assert found.tolist() == [i for t in texts for i in [*ids_of(t), 2]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab \0", max_size=80), max_size=12))
+def test_word_hashes(texts):
+    """Equal words have equal hashes, wherever they stand; different ones differ."""
+    from schism.llm.common import same_bytes, spans, word_hashes
+
+    raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
+    starts, ends, first = spans(raw, offsets)
+    words = [w for t in texts for w in t.encode().split()]
+    assert first[-1] == len(words)
+    hashes = word_hashes(raw, starts, ends).tolist()
+    assert len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    if words:
+        other = np.full(len(words), starts[0])
+        alike = same_bytes(raw, starts, raw, other, np.minimum(ends - starts, ends[0] - starts[0]))
+        assert alike.tolist() == [w[: len(words[0])] == words[0][: len(w)] for w in words]
+
+
 def test_bpe_digests(odd, none, small):
     for docs in (odd, small):
         text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
