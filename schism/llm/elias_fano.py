@@ -55,13 +55,17 @@ class EliasFano:
         return ((self.low[word] >> shift) | carry) & ((_ONE << np.uint64(self.l)) - _ONE)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        """Values at these positions."""
+        """Values at these positions, a piece of them at a time."""
         i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.rank, i, "right") - 1
-        left = i - self.rank[word].astype(np.int64)
-        spread = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        place = word * 64 + (np.cumsum(spread, 1) <= left[:, None]).sum(1)
-        return ((place - i).astype(np.uint64) << np.uint64(self.l)) | self._low(i)
+        out = np.empty(len(i), np.uint64)
+        for at in range(0, len(i), PIECE):
+            own = i[at : at + PIECE]
+            word = np.searchsorted(self.rank, own, "right") - 1
+            left = (own - self.rank[word].astype(np.int64)).astype(np.uint8)
+            spread = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            place = word * 64 + (np.cumsum(spread, 1, np.uint8) <= left[:, None]).sum(1)
+            out[at : at + PIECE] = ((place - own).astype(np.uint64) << np.uint64(self.l)) | self._low(own)
+        return out
 
     def decode(self, start: int, stop: int) -> np.ndarray:
         """Values from start to stop."""
@@ -156,7 +160,9 @@ class Trie:
     def build(u: np.ndarray, v: np.ndarray, w: np.ndarray, mu2: float, mu3: float) -> Trie:
         """From the word ids of every training trigram occurrence."""
         roots, root = np.unique(v, return_inverse=True)
-        top = np.int64(1) << np.int64(31)
+        top = np.int64(1) << np.int64(40)  # words; a shard has far fewer than 2**23 roots and pairs of words
+        if len(v) >> 23 or (len(v) and max(int(u.max()), int(w.max())) >= top):
+            raise ValueError("too many positions in a shard, or words")
         pairs, succ, n_succ = np.unique(root * top + w, return_inverse=True, return_counts=True)
         befores, ctx, n_ctx = np.unique(root * top + u, return_inverse=True, return_counts=True)
         parent = pairs // top

@@ -38,6 +38,8 @@ from .elias_fano import Trie
 _END = np.uint64(0x5EED0E0D0E0D5EED)
 #: Positions in a block, and most vocabulary shards (their table of 8 bytes a count code and shard is broadcast).
 BLOCK_POSITIONS, VOCABULARY_SHARDS = 1_500_000, 1024
+#: Sums of log10 probabilities travel as whole numbers of this many to one.
+_UNITS = 1e9
 #: Lower bounds of count codes: exact to 64, then in steps of 2 %.
 _COUNTS = np.unique(np.concatenate([np.arange(65), np.floor(64 * 1.02 ** np.arange(1, 1400)).astype(np.int64)]))
 
@@ -63,25 +65,35 @@ def _release() -> None:
         trim(0)
 
 
+def _scratch() -> str | None:
+    """A folder for a task's own file, which is gone before the task ends: the executor's local folder where Spark names one."""
+    return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
+
+
 def _rows(names: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names.split())
 
 
-_TOP = np.int64(1) << np.int64(32)
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (a, b) its number among the different ones, and for each of these the place of one; any 64-bit integers."""
+    x, y = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+    _, place, number = np.unique(x.astype(np.int64) * (int(y.max()) + 1 if len(y) else 1) + y, return_index=True, return_inverse=True)
+    return number, place
 
 
 def _grams(u: np.ndarray, v: np.ndarray, w: np.ndarray, train: np.ndarray, shards: int):
-    """Different n-grams of positions as pair and third (w + 2 of (u, v, w), 0 of (u, v), 1 of (v, w)), training counts, order by
-    shard, shards' edges in it, and for each position the places of its (u, v, w), (u, v) and (v, w)."""
-    befores, ctx = np.unique(v * _TOP + u, return_inverse=True)
-    pairs, succ = np.unique(v * _TOP + w, return_inverse=True)
-    triples, leaf = np.unique(ctx * _TOP + w, return_inverse=True)
-    pair = np.concatenate([befores[triples // _TOP], befores, pairs])
-    third = np.concatenate([triples % _TOP + 2, np.zeros(len(befores), np.int64), np.ones(len(pairs), np.int64)])
-    learned = np.concatenate([np.bincount(i[train], minlength=len(k)) for i, k in ((leaf, triples), (ctx, befores), (succ, pairs))])
-    shard = (mix(mix(pair.astype(np.uint64)) + third.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    """Different n-grams of positions as three numbers (u, v, w + 2; u, v, 0; v, w, 1), training counts, order by shard, shards'
+    edges in it, and for each position the places of its (u, v, w), (u, v) and (v, w)."""
+    ctx, at_ctx = _pairs(u, v)
+    succ, at_succ = _pairs(v, w)
+    leaf, at_leaf = _pairs(ctx, w)
+    first = np.concatenate([u[at_leaf], u[at_ctx], v[at_succ]])
+    second = np.concatenate([v[at_leaf], v[at_ctx], w[at_succ]])
+    third = np.concatenate([w[at_leaf] + 2, np.zeros(len(at_ctx), np.int64), np.ones(len(at_succ), np.int64)])
+    learned = np.concatenate([np.bincount(i[train], minlength=len(k)) for i, k in ((leaf, at_leaf), (ctx, at_ctx), (succ, at_succ))])
+    shard = (mix(mix(mix(first.astype(np.uint64)) + second.astype(np.uint64)) + third.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable").astype(np.int32)
-    return pair, third, learned, order, np.searchsorted(shard[order], np.arange(shards + 1)), (leaf, len(triples) + ctx, len(triples) + len(befores) + succ)
+    return (first, second, third, learned), order, np.searchsorted(shard[order], np.arange(shards + 1)), (leaf, len(at_leaf) + ctx, len(at_leaf) + len(at_ctx) + succ)
 
 
 class _Block:
@@ -95,13 +107,13 @@ class _Block:
             learned.append(c)
             total.append(t)
             place.append(p + starts[np.searchsorted(_COUNTS, c, "right") - 1, shard])
-        learned, total, place = np.concatenate(learned), np.concatenate(total), np.concatenate(place)
+        learned, total, place = narrow(np.concatenate(learned)), np.concatenate(total), np.concatenate(place)
         self.train = train.astype(bool)
         ends = np.cumsum(self.lengths)
         self.first = first = ends - self.lengths
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
         self.count = learned[number]
-        self.w = place[number].astype(np.uint32)
+        self.w = narrow(place)[number]
         end = number[ends[0] - 1]  # documents in all: positions with number 0 before them
         before = lambda x, start: self._before(x, start, first)
         self.v = before(self.w, 0)
@@ -231,10 +243,10 @@ class _Model:
                 i = b.cold[order[edges[s] : edges[s + 1]]]
                 sent = [b.v[i], b.u[i], b.w[i], narrow(np.diff(b.doc[i], prepend=0)), np.packbits(b.train), np.array([len(b.ids)])]
                 out.append((int(s), at, _join([pack(x) for x in sent])))
-            pair, third, learned, order, edges, _ = b.grams(shards)
+            columns, order, edges, _ = b.grams(shards)
             for s in np.flatnonzero(np.diff(edges)):
                 i = order[edges[s] : edges[s + 1]]
-                out.append((shards + int(s), at, _join([pack(pair[i]), pack(narrow(third[i])), pack(narrow(learned[i]))])))
+                out.append((shards + int(s), at, _join([pack(narrow(x[i])) for x in columns])))
             return _rows("shard block data", out)
 
         def ask_block(block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -246,9 +258,8 @@ class _Model:
         def add(frame: pd.DataFrame) -> pd.DataFrame:
             """Counts of n-grams over all blocks, for each block that asked."""
             parts = [[unpack(p) for p in _split(d)] for d in frame["data"]]
-            pair, third, learned = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in range(3))
-            number = np.unique(pair, return_inverse=True)[1]
-            number = np.unique(number * (2 * _TOP) + third, return_inverse=True)[1]
+            first, second, third, learned = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in range(4))
+            number = _pairs(_pairs(first, second)[0], third)[0]
             total = np.bincount(number, learned).astype(np.int64)[number]
             ends = np.cumsum([len(p[0]) for p in parts])
             return frame[["block", "shard"]].assign(data=[pack(narrow(x)) for x in np.split(total, ends[:-1])])
@@ -260,28 +271,28 @@ class _Model:
                 v, u, w, doc, train, n = (unpack(p) for p in _split(data))
                 doc = np.cumsum(doc.astype(np.int64))
                 train = np.unpackbits(train)[: int(n[0])].astype(bool)[doc]
-                columns.append((v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), doc, train))
+                columns.append((*(x.astype(np.int64) if x.dtype == np.uint64 else x for x in (v, u, w)), doc.astype(np.int32), train))
                 sizes.append(int(n[0]))
                 spans.append(len(v))
             v, u, w, doc, train = (np.concatenate(x) for x in zip(*columns))
             del columns
             trie = Trie.build(u[train], v[train], w[train], mu2, mu3)
-            fd, path = tempfile.mkstemp(suffix=".trie")
+            fd, path = tempfile.mkstemp(suffix=".trie", dir=_scratch())
             os.close(fd)
             try:
                 trie.save(path)
                 trie = Trie.load(path)
                 log = np.empty(len(v))
-                for at in range(0, len(v), 1 << 20):
-                    a, g = trie.interpolation(u[at : at + (1 << 20)], v[at : at + (1 << 20)], w[at : at + (1 << 20)])
-                    log[at : at + (1 << 20)] = np.log10(a + g * base(w[at : at + (1 << 20)]))
+                for at in range(0, len(v), 1 << 18):
+                    a, g = trie.interpolation(u[at : at + (1 << 18)], v[at : at + (1 << 18)], w[at : at + (1 << 18)])
+                    log[at : at + (1 << 18)] = np.minimum(np.log10(a + g * base(w[at : at + (1 << 18)])), 0.0)  # codes are rounded
             finally:
                 os.unlink(path)
             out, at = [], 0
             for block, shard, n, span in zip(frame["block"], frame["shard"], sizes, spans):
-                sums = np.bincount(doc[at : at + span], log[at : at + span], n).astype(np.float32)
+                sums = np.bincount(doc[at : at + span], log[at : at + span], n)
                 at += span
-                out.append((block, shard, pack(sums)))
+                out.append((block, shard, pack(narrow(np.rint(sums * -_UNITS).astype(np.int64)))))
             return _rows("block shard data", out)
 
         def finish(block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
@@ -293,7 +304,7 @@ class _Model:
             n = len(b.ids)
             score = np.bincount(b.doc[b.alone], logs[b.alone] - np.log10(denominator), n).astype(np.float64)
             for data in parts["data"][parts["shard"] < shards]:
-                score += unpack(data)
+                score -= unpack(data) / _UNITS
             if len(b.hot):
                 *_, order, _, (leaf, ctx, succ) = b.grams(shards)
                 found = np.empty(len(order))
