@@ -62,7 +62,7 @@ def _stream(spark: SparkSession, digests: str, updates: str, checkpoint: str, fi
         batch.coalesce(few_files).write.mode("overwrite").parquet(f"{updates}/epoch={epoch}")  # a repeated epoch replaces itself
 
     store = "spark.sql.streaming.stateStore."
-    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "128", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s", "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
+    names = {store + "providerClass": STATE_STORE, store + "rocksdb.changelogCheckpointing.enabled": "true", store + "rocksdb.boundedMemoryUsage": "true", store + "rocksdb.maxMemoryUsageMB": "64", store + "rocksdb.allowFAllocate": "false", store + "maintenanceInterval": "15s", "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, exists, few, lookup, lower_words, mark, mix, narrow, new_path, pack, partitions, remove, rows_kept, stage, stage_small, texts, unpack
+from .common import blocks, drop_stage, exists, few, lookup, lower_words, mark, mix, narrow, new_path, pack, partitions, released, remove, rows_kept, stage, stage_small, texts, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
@@ -175,7 +175,7 @@ class _Join:
             often = total >= FREQUENT
             return pd.DataFrame({"key": (int(frame["shard"].iloc[0]) << COUNTED_BITS) | low[edge][often].astype(np.int64), "n": total[often]})
 
-        found = counts.groupBy("shard").applyInPandas(run, "key long, n long").orderBy(F.desc("n"), "key").limit(LISTED).select("key")
+        found = counts.groupBy("shard").applyInPandas(released(run), "key long, n long").orderBy(F.desc("n"), "key").limit(LISTED).select("key")
         return np.sort(found.toArrow()["key"].to_numpy().astype(np.uint64))
 
     # -- index
@@ -282,7 +282,7 @@ class _Join:
             rows, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 5), np.int64), np.zeros(0, np.int64))
             return pd.DataFrame(rows, columns=["kind", "a", "b", "share_a", "share_b"]).assign(times=times)
 
-        return entries.groupBy("shard").applyInPandas(run, "kind long, a long, b long, share_a long, share_b long, times long")
+        return entries.groupBy("shard").applyInPandas(released(run), "kind long, a long, b long, share_a long, share_b long, times long")
 
     # -- comparison
 
@@ -354,7 +354,7 @@ class _Join:
                 got = got.drop_duplicates(["a", "root"])[["a", "b"]]
             return got if len(got) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-        return placed.groupBy("family", "o", "t").applyInPandas(run, "a long, b long")
+        return placed.groupBy("family", "o", "t").applyInPandas(released(run), "a long, b long")
 
     def run(self) -> DataFrame:
         """doc_id, mark, n of every document, and of its component (if that has several rows) the best row: the smallest doc_id, then mark."""

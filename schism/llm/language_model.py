@@ -21,7 +21,6 @@ documents each; with no training row every token has probability 1 / (0 + 0 + 1)
 
 from __future__ import annotations
 
-import ctypes
 import os
 import tempfile
 
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, stage, stage_small, texts, unpack
+from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, release, stage, stage_small, texts, unpack
 from .elias_fano import Trie
 
 _END = np.uint64(0x5EED0E0D0E0D5EED)
@@ -57,14 +56,6 @@ def _split(data: bytes) -> list[bytes]:
     return out
 
 
-def _release() -> None:
-    """Give freed memory back: a worker outlives its stage, and what its allocators hold counts beside the next one's."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _scratch() -> str | None:
     """A folder for a task's own file, which is gone before the task ends: the executor's local folder where Spark names one."""
     return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)), None)
@@ -252,7 +243,7 @@ class _Model:
         def ask_block(block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
             with np.errstate(over="ignore"):
                 out = ask(block, replies)
-            _release()
+            release()
             return out
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -317,12 +308,12 @@ class _Model:
         def finish_block(block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
             with np.errstate(over="ignore"):
                 out = finish(block, parts)
-            _release()
+            release()
             return out
 
         def answer_shard(frame: pd.DataFrame) -> pd.DataFrame:
             out = add(frame) if frame["shard"].iloc[0] >= shards else answer(frame)
-            _release()
+            release()
             return out
 
         own = scanned.filter("kind = 0").select("block", "data")
