@@ -62,9 +62,12 @@ def stage(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
-def stage_small(df: DataFrame, name: str) -> DataFrame:
-    """As stage, for tables of ids and links: an eighth of the shuffle's partitions, so fewer and larger files."""
-    return stage(df.coalesce(max(8, partitions(df.sparkSession) // 8)), name)
+def stage_small(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+    """As stage, for tables of ids and links: an eighth of the shuffle's partitions, so fewer and larger files.
+
+    heavy: what makes the rows is work for all tasks, so they are shuffled to the fewer ones only then."""
+    files = max(8, partitions(df.sparkSession) // 8)
+    return stage(df.repartition(files) if heavy else df.coalesce(files), name)
 
 
 def drop_stage(df: DataFrame) -> None:

@@ -120,7 +120,7 @@ class _Join:
         self.docs = texts(docs).withColumn("mark", mark())
         self.spark, self.n = docs.sparkSession, n
         self.num, self.den = threshold
-        self.bits = max(4, (partitions(self.spark) - 1).bit_length())
+        self.bits = max(4, (partitions(self.spark) - 1).bit_length() + 1)
 
     # -- counts
 
@@ -188,6 +188,7 @@ class _Join:
 
         def out(held):
             sig, node, size, share = (np.concatenate(x) for x in zip(*held))
+            sig = mix(sig)  # prefixes hold each set's least hashes: spread them over the shards
             order = np.lexsort((node, 255 - share, sig))
             sig, node, size, share = sig[order], node[order], size[order], share[order]
             kin, kin_rows = (share >= FAMILY), []
@@ -374,11 +375,11 @@ class _Join:
         nodes = todo.select(F.col("a").alias("node")).union(todo.select("b")).distinct()
         nodes = stage_small(documents.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-nodes")
         sets = stage(self.whole_sets(nodes), "jaccard-sets")
-        links = stage_small(self.linked(todo, sets), "jaccard-links")
+        links = stage_small(self.linked(todo, sets), "jaccard-links", heavy=True)
         roots = components(links)
         placed = stage_small(members.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")), "jaccard-members")
         if not placed.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").isEmpty():
-            more = stage_small(self.across(placed, sets), "jaccard-links")
+            more = stage_small(self.across(placed, sets), "jaccard-links", heavy=True)
             roots = components(links.union(more))
         drop_stage(sets)
         best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
