@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: English contractions and their expansions, in the order in which they apply.
@@ -14,6 +14,7 @@ CONTRACTIONS = (
     (r"(\b)([Cc]a)n't", "$1$2n not"),
     (r"(\b)([Ii])'m", "$1$2 am"),
     (r"(\b)([Ll]et)'s", "$1$2 us"),
+    (r"(\b)([Tt]here)'s", "$1$2 is"),
     (r"(\b)([Ww])on't", "$1$2ill not"),
     (r"(\b)([Ss])han't", "$1$2hall not"),
     (r"(\b)([Yy])(?:'all|a'll)", "$1$2ou all"),
@@ -28,9 +29,9 @@ def _c(c) -> Column:
 
 
 def normalise_quotes(c) -> Column:
-    """Curly quotes and long dashes to plain ones; double backticks to two apostrophes."""
+    """Curly quotes and long dashes to plain ones; double backticks to two apostrophes, single ones to one."""
     c = F.replace(_c(c), F.lit("``"), F.lit("''"))
-    return F.translate(F.regexp_replace(c, "[“”]", '"'), "‘’–—", "''--")
+    return F.translate(c, "`‘’“”–—", "'''\"\"--")
 
 
 def expand_contractions(c) -> Column:
@@ -96,10 +97,15 @@ def char_count(c, char: str) -> Column:
     return F.length(_c(c)) - F.length(F.replace(_c(c), F.lit(char), F.lit("")))
 
 
-def punctuation_counts(c, marks: str = ".,;:!?") -> dict[str, Column]:
+#: The 32 punctuation characters of ASCII, in their order.
+MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
+
+
+def punctuation_counts(c, marks: str = MARKS) -> dict[str, Column]:
     """A count per mark and their sum, fresh for every row."""
     out = {f"pnc_{i}": char_count(c, m) for i, m in enumerate(marks)}
-    return out | {"pnc_total": sum(out.values(), F.lit(0))}
+    other = "[^" + "".join("\\" + m for m in marks) + "]"
+    return out | {"pnc_total": F.length(F.regexp_replace(_c(c), other, ""))}
 
 
 def title_slug(c) -> Column:
@@ -155,34 +161,80 @@ def wiki_links(c) -> Column:
     return F.flatten(F.transform(inner, lambda x: F.split(x, r"\|")))
 
 
-def readability(c) -> dict[str, Column]:
-    """Readability indices from counts of sentences, words, letters and vowel groups."""
-    c = F.coalesce(_c(c), F.lit(""))
-    sentences = F.greatest(F.regexp_count(c, F.lit(r"[.!?]+")), F.lit(1)).cast("double")
-    n = F.size(words(c)).cast("double")
-    letters = F.regexp_count(c, F.lit("[A-Za-z]")).cast("double")
-    syllables = F.regexp_count(F.lower(c), F.lit("[aeiouy]+")).cast("double")
-    many = F.size(F.filter(words(F.lower(c)), lambda w: F.regexp_count(w, F.lit("[aeiouy]+")) >= 3)).cast("double")
+def readability(docs: DataFrame, text: str = "text", easy=STOP_WORDS) -> DataFrame:
+    """Readability indices (ri_) from counts of sentences, words, letters and vowel groups.
+
+    Difficult words have two vowel groups and aren't in `easy`; linsear looks at the first hundred words."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    base = docs.withColumn("__w", words(F.lower(c)))
+    groups = F.transform("__w", lambda w: F.regexp_count(w, F.lit("[aeiouy]+")))  # once for each word
+    base = base.withColumns({"__g": groups, "__s": F.greatest(F.regexp_count(c, F.lit(r"[.!?]+")), F.lit(1)), "__l": F.length(F.regexp_replace(c, "[^A-Za-z]", ""))})
+    some = lambda a, f: F.size(F.filter(a, f)).cast("double")
+    hard = F.size(F.filter(F.zip_with("__w", "__g", lambda w, g: (g >= 2) & ~w.isin(*easy)), lambda x: x))
+    head = F.slice("__g", 1, 100)
+    ends = F.greatest(F.regexp_count(F.array_join(F.slice("__w", 1, 100), " "), F.lit(r"[.!?]+")), F.lit(1))
+    base = base.select(
+        *docs.columns, F.size("__w").cast("double").alias("__n"), F.col("__s").cast("double").alias("__s"), F.col("__l").cast("double").alias("__l"), F.aggregate("__g", F.lit(0), lambda a, g: a + g).alias("__y"),
+        some("__g", lambda g: g >= 3).alias("__many"), hard.alias("__hard"), some("__w", lambda w: F.length(w) > 6).alias("__long"), ((F.size(head) + 2 * some(head, lambda g: g >= 3)) / ends).alias("__lw"),
+    )
+    n, s, letters, y, many, long, lw = (F.col(f"__{k}") for k in ("n", "s", "l", "y", "many", "long", "lw"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    per_sentence, per_word = ratio(n, sentences), ratio(syllables, n)
-    return {
-        "ri_flesch_ease": 206.835 - 1.015 * per_sentence - 84.6 * per_word, "ri_flesch_grade": 0.39 * per_sentence + 11.8 * per_word - 15.59,
-        "ri_fog": 0.4 * (per_sentence + 100 * ratio(many, n)), "ri_ari": 4.71 * ratio(letters, n) + 0.5 * per_sentence - 21.43,
-        "ri_coleman_liau": 0.0588 * 100 * ratio(letters, n) - 0.296 * 100 * ratio(sentences, n) - 15.8, "ri_smog": 1.043 * F.sqrt(30 * ratio(many, sentences)) + 3.1291,
-        "ri_lix": per_sentence + 100 * ratio(F.size(F.filter(words(c), lambda w: F.length(w) > 6)).cast("double"), n),
-    }
+    per_sentence, per_word, share = n / s, ratio(y.cast("double"), n), 100 * ratio(F.col("__hard").cast("double"), n)
+    return base.select(
+        *docs.columns, y.alias("ri_syllables"), (206.835 - 1.015 * per_sentence - 84.6 * per_word).alias("ri_flesch_ease"), (1.043 * F.sqrt(30 * many / s) + 3.1291).alias("ri_smog"),
+        (0.39 * per_sentence + 11.8 * per_word - 15.59).alias("ri_flesch_grade"), (5.88 * ratio(letters, n) - 29.6 * ratio(s, n) - 15.8).alias("ri_coleman_liau"), (4.71 * ratio(letters, n) + 0.5 * per_sentence - 21.43).alias("ri_ari"),
+        (0.1579 * share + 0.0496 * per_sentence + F.when(share > 5, 3.6365).otherwise(0.0)).alias("ri_dale_chall"), F.col("__hard").alias("ri_difficult_words"), F.when(lw > 20, lw / 2).otherwise((lw - 2) / 2).alias("ri_linsear"),
+        (0.4 * (per_sentence + 100 * ratio(many, n))).alias("ri_fog"), (per_sentence + 100 * ratio(long, n)).alias("ri_lix"),
+    )
+
+
+def surface(docs: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> DataFrame:
+    """18 surface features (sf_): counts, shares of characters in words, and means over the sentences (pieces between . ! ? and line ends that hold a word).
+
+    Words lose the punctuation around them; each sentence counts one stop word more than it has; no sentence counts as one."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    around = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+    pieces = F.transform(F.split(c, r"[.!?\n]+"), lambda s: F.filter(F.transform(F.split(s, r"\s+"), lambda w: F.regexp_replace(w, around, "")), lambda w: w != ""))
+    rows = docs.withColumns({"__lines": char_count(c, "\n") + 1, "__ws": F.filter(pieces, lambda ws: F.size(ws) > 0)})
+    left = lambda ws, drop: F.length(F.regexp_replace(F.array_join(ws, ""), drop, ""))
+    count = lambda ws, f: F.size(F.filter(ws, f))
+
+    def measured(ws):
+        return F.struct(
+            F.size(ws).alias("n"), F.length(F.array_join(ws, "")).alias("chars"), left(ws, "[^A-Za-z]").alias("alpha"), left(ws, "[^A-Z]").alias("upper"), left(ws, "[^0-9]").alias("digit"),
+            count(ws, lambda w: w.rlike("[A-Z]") & ~w.rlike("[a-z]")).alias("caps"), count(ws, lambda w: w.rlike("^[a-z]")).alias("low"), count(ws, lambda w: w.rlike("^[A-Z]") & w.rlike("[a-z]")).alias("up"),
+            (count(ws, lambda w: w.isin(*stop_words)) + 1).alias("stops"),
+        )
+
+    rows = rows.withColumn("__m", F.transform("__ws", measured)).drop("__ws")
+    total = lambda k: F.aggregate(F.col(f"__m.{k}"), F.lit(0), lambda a, x: a + x)
+    rows = rows.withColumns({f"__{k}": total(k) for k in ("n", "chars", "alpha", "upper", "digit", "caps", "low", "up", "stops")})
+    sentences = F.greatest(F.size("__m"), F.lit(1))
+    mean = lambda k: F.aggregate("__m", F.lit(0.0), lambda a, m: a + m[k] / m["n"]) / sentences
+    share = lambda k: F.coalesce(F.try_divide(F.col(f"__{k}").cast("double"), F.col("__chars").cast("double")), F.lit(0.0))
+    own = {"sf_sentences": sentences, "sf_words": F.col("__n"), "sf_chars": F.col("__chars"), "sf_begin_upper": F.col("__up"), "sf_begin_lower": F.col("__low"), "sf_all_caps": F.col("__caps"), "sf_stop_words": F.col("__stops"), "sf_lines": F.col("__lines")}
+    own |= {"sf_alphabetic": share("alpha"), "sf_uppercase": share("upper"), "sf_digit": share("digit"), "sf_chars_per_word": mean("chars"), "sf_words_per_sentence": F.col("__n") / sentences, "sf_chars_per_sentence": F.col("__chars") / sentences}
+    own |= {f"sf_{k}_per_sentence": mean(v) for k, v in (("begin_upper", "up"), ("begin_lower", "low"), ("all_caps", "caps"), ("stop_words", "stops"))}
+    return rows.select(*docs.columns, *(v.alias(k) for k, v in own.items()))
+
+
+def ngram_spans(c, n: int, stop_words=STOP_WORDS) -> Column:
+    """Array of (ngram, from, to): n tokens (words, or single marks) as they stand in the text, offsets with exclusive ends; grams of marks alone or of stop words alone are left out."""
+    c = F.coalesce(_c(c), F.lit(""))
+    token = F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<token:string,from:int,to:int>>").alias("out"))
 
+    def place(acc, w):
+        at = F.call_function("locate", w, c, acc["at"])
+        return F.struct((at + F.length(w)).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(w.alias("token"), (at - 1).alias("from"), (at - 1 + F.length(w)).alias("to")))).alias("out"))
 
-def surface(c) -> dict[str, Column]:
-    """Counts and shapes of words, sentences and lines."""
-    c = F.coalesce(_c(c), F.lit(""))
-    w = words(c)
-    n = F.size(w)
-    count = lambda f: F.size(F.filter(w, f))
-    sentences = F.greatest(F.regexp_count(c, F.lit(r"[.!?]+")), F.lit(1))
-    ratio = lambda a: F.coalesce(F.try_divide(a.cast("double"), n.cast("double")), F.lit(0.0))
-    upper, lower, caps = count(lambda x: x.rlike("^[A-Z]")), count(lambda x: x.rlike("^[a-z]")), count(lambda x: x.rlike("^[A-Z]{2,}$"))
-    return {
-        "sf_words": n, "sf_chars": F.length(c), "sf_sentences": sentences, "sf_lines": char_count(c, "\n") + 1, "sf_begin_upper": upper, "sf_begin_lower": lower, "sf_all_caps": caps,
-        "sf_upper_ratio": ratio(upper), "sf_lower_ratio": ratio(lower), "sf_caps_ratio": ratio(caps), "sf_words_per_sentence": F.try_divide(n.cast("double"), sentences.cast("double")),
-    }
+    placed = F.aggregate(token, empty, place, lambda acc: acc["out"])
+    starts = F.when(F.size(placed) >= n, F.sequence(F.lit(1), F.size(placed) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(starts, lambda i: F.slice(placed, i, n))
+    kept = F.filter(grams, lambda g: F.exists(g, lambda w: w["token"].rlike(r"\w")) & F.exists(g, lambda w: ~w["token"].isin(*stop_words)))
+    return F.transform(kept, lambda g: F.struct(F.substr(c, g[0]["from"] + 1, g[n - 1]["to"] - g[0]["from"]).alias("ngram"), g[0]["from"].alias("from"), g[n - 1]["to"].alias("to")))
+
+
+def contains(items, item) -> Column:
+    """Whether a list holds an item; false for null."""
+    return F.coalesce(F.array_contains(_c(items), _c(item) if isinstance(item, Column) else F.lit(item)), F.lit(False))

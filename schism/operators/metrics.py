@@ -32,3 +32,12 @@ def auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
 def lookup(names: DataFrame, vectors: DataFrame, key: str = "name") -> DataFrame:
     """L2: vectors by name; unknown names have none."""
     return names.join(vectors, key, "left")
+
+
+def embedding_matrix(words: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """Word, row (0.. by name), vector of every different word; zeros for a word without one (vectors: word, vector)."""
+    from .ranges import running_sum
+
+    numbered = running_sum(words.select("word").distinct().withColumn("one", F.lit(1)), ["word"], "one", "row")
+    zero = F.array_repeat(F.lit(0.0), size)
+    return numbered.join(vectors, "word", "left").select("word", F.col("row").cast("int").alias("row"), F.coalesce("vector", zero).alias("vector"))

@@ -136,6 +136,36 @@ def complexity(tree) -> dict[str, float]:
     return out
 
 
+def complexities(rows: DataFrame, column: str = "parse", most: int = 70) -> DataFrame:
+    """X27 on bracketed parses, a string or an array with one for each sentence: adds depth, np_count, np_depth, vp_count, vp_depth.
+
+    Means over the sentences; sentences of over `most` words aren't measured: with no other, all are null.  No parse gives 0."""
+    names = ("depth", "np_count", "np_depth", "vp_count", "vp_depth")
+    single = dict(rows.dtypes)[column] == "string"
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(parses: pd.Series) -> pd.DataFrame:
+        out = []
+        for own in parses:
+            trees = [read_tree(p) for p in ([own] if single else own if own is not None else []) if p and p.strip()]
+            short = [complexity(t) for t in trees if len(leaves(t)) <= most]
+            out.append([float(np.mean([c[n] for c in short])) if short else None if trees else 0.0 for n in names])
+        return pd.DataFrame(out, columns=list(names), dtype=object).astype("float64")
+
+    return rows.withColumn("__c", run(column)).select(*rows.columns, "__c.*")
+
+
+def tree_places(rows: DataFrame, column: str, path: tuple[int, ...]) -> DataFrame:
+    """X33 on bracketed parses: adds the leaves left and right of the node at a path of child numbers, and the tree's structural hash."""
+
+    @F.pandas_udf("left int, right int, shape long")
+    def run(parses: pd.Series) -> pd.DataFrame:
+        trees = [read_tree(p) for p in parses]
+        return pd.DataFrame([(*leaves_beside(t, path), tree_hash(t)) for t in trees], columns=["left", "right", "shape"])
+
+    return rows.withColumn("__p", run(column)).select(*rows.columns, "__p.*")
+
+
 def leaves(tree) -> list[str]:
     return [x for c in tree[1:] for x in leaves(c)] if isinstance(tree, list) else [tree]
 
@@ -175,3 +205,22 @@ def arborescence_stats(edges: list[tuple[int, int]], root: int) -> dict[str, flo
     for p, c in edges:
         depth[c] = depth[p] + 1
     return {"height": float(max(depth.values())), "leaves": float(sum(x not in parents for x in depth)), "mean_distance": float(np.mean([abs(p - c) for p, c in edges])) if edges else 0.0}
+
+
+def group_arborescences(rows: DataFrame, key: str, position: str, vector: str, most: int = 1_000) -> DataFrame:
+    """G21 for sentences: per key (at most `most` tokens, by position; longer ones are refused) the arborescence of the tokens' cosines from the first one.
+
+    One row per edge: key, parent, child, and the tree's height, leaves and mean distance."""
+    kind = dict(rows.dtypes)[key]
+    if not rows.groupBy(key).count().filter(F.col("count") > most).isEmpty():
+        raise ValueError(f"a sentence of over {most} tokens")
+
+    def run(name: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(position, ignore_index=True)
+        m = np.stack([np.asarray(v, float) for v in frame[vector]])
+        m = m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None]
+        edges = arborescence(m @ m.T, 0)
+        stats = arborescence_stats(edges, 0)
+        return pd.DataFrame([(name[0], p, c, *stats.values()) for p, c in edges], columns=[key, "parent", "child", *stats])
+
+    return rows.select(key, position, vector).groupBy(key).applyInPandas(run, f"{key} {kind}, parent int, child int, height double, leaves double, mean_distance double")

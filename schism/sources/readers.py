@@ -24,6 +24,11 @@ GDELT_SCHEMA = " ".join(_GDELT.split())
 ARTICLE = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "images" else T.StringType()) for n in ("url", "uid", "images", "publication-date", "text", "title", "top-image")])
 
 
+def gdelt_columns() -> list[str]:
+    """Names of the event columns in file order."""
+    return [c.split()[0] for c in GDELT_SCHEMA.split(",")]
+
+
 def gdelt(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated event files without a header, plain or gzip."""
     return spark.read.schema(GDELT_SCHEMA).option("sep", "\t").csv(path)
@@ -60,6 +65,10 @@ def decode_article(c):
     return F.from_json(F.when(F.trim(c).startswith('"'), twice).otherwise(c), ARTICLE)
 
 
+#: English abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "Gen", "Sen", "Rep", "Gov", "Col", "Lt", "vs", "etc", "No", "e\\.g", "i\\.e", "U\\.S", "U\\.K", "a\\.m", "p\\.m")
+
+
 class _Page(HTMLParser):
     """Title, paragraphs, images, publication date of a page; scripts, styles, menus and footers are left out."""
 
@@ -141,6 +150,16 @@ def category_dictionary(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def _lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines of a lexicon file, which the driver reads as a whole: small by nature."""
+    return [x for r in spark.read.option("wholetext", True).text(path).collect() for x in r["value"].split("\n")]
+
+
+def category_dictionary_file(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern, category of a dictionary file."""
+    return spark.createDataFrame(category_dictionary(_lines(spark, path)), "pattern string, category string")
+
+
 def word_list(spark: SparkSession, path: str, comment: str = "#", sep: str | None = None) -> DataFrame:
     """One term per line, trimmed and in lower case; comments, empty lines and lines of several columns dropped."""
     c = F.trim("value")
@@ -172,10 +191,56 @@ def nested_lexicon(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def read_yaml(lines: list[str]) -> dict:
+    """Nested mappings with lists of plain or quoted words, as blocks (- word) or in brackets; the part of YAML that lexicons use."""
+    rows = []
+    for line in lines:
+        text = line.split(" #")[0].rstrip()
+        if text.strip() and not text.lstrip().startswith("#"):
+            rows.append((len(text) - len(text.lstrip()), text.strip()))
+    plain = lambda x: x.strip().strip("\"'")
+
+    def block(at: int, indent: int):
+        """Value of the rows from `at` that stand at least at this indent, and the row behind them."""
+        if at < len(rows) and rows[at][1].startswith("-"):
+            items = []
+            while at < len(rows) and rows[at][0] >= indent and rows[at][1].startswith("-"):
+                items.append(plain(rows[at][1][1:]))
+                at += 1
+            return items, at
+        out, own = {}, rows[at][0] if at < len(rows) else indent
+        while at < len(rows) and rows[at][0] == own and own >= indent:
+            name, _, value = rows[at][1].partition(":")
+            value, at = value.strip(), at + 1
+            if value:
+                out[plain(name)] = [plain(x) for x in value[1:-1].split(",") if x.strip()] if value.startswith("[") else plain(value)
+            else:
+                below = at < len(rows) and (rows[at][0] > own or rows[at][1].startswith("-"))
+                out[plain(name)], at = block(at, own if below and rows[at][1].startswith("-") else own + 1) if below else ([], at)
+        return out, at
+
+    return block(0, 0)[0] if rows else {}
+
+
+def nested_lexicon_file(spark: SparkSession, path: str) -> DataFrame:
+    """Category, term of a YAML lexicon."""
+    return spark.createDataFrame(nested_lexicon(read_yaml(_lines(spark, path))), "category string, term string")
+
+
+def write_topics(rows: DataFrame, path: str) -> None:
+    """Topics (topic_id, pos, np, clean_np, similarity) as gzip JSON, an object of one topic a line."""
+    own = F.array_sort(F.collect_list(F.struct("pos", "np", "clean_np", "similarity")))
+    body = F.struct(F.col("o.np").alias("noun_phrases"), F.col("o.clean_np").alias("pre_processed"), F.col("o.similarity").alias("similarity_scores"))
+    rows.groupBy("topic_id").agg(own.alias("o")).select(F.to_json(F.create_map("topic_id", body)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
 def topics(spark: SparkSession, path: str) -> DataFrame:
-    """Topics from JSON (gzip too): one object of id -> {noun_phrases, pre_processed, similarity_scores}, as long rows."""
+    """Topics from JSON (gzip too): objects of id -> {noun_phrases, pre_processed, similarity_scores}, one a file or one a line, as long rows."""
     kind = "map<string, struct<noun_phrases: array<string>, pre_processed: array<string>, similarity_scores: array<double>>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)).alias("topic_id", "t"))
+    whole = spark.read.option("wholetext", True).text(path)
+    one = F.from_json("value", kind)
+    lines = F.when(F.rtrim("value", F.lit("\n")).contains("}\n{"), F.split(F.rtrim("value", F.lit("\n")), "(?<=\\})\n(?=\\{)")).otherwise(F.array("value"))
+    raw = whole.select(F.explode(lines).alias("value")).select(F.explode(one).alias("topic_id", "t"))
     zipped = F.arrays_zip(F.col("t.noun_phrases").alias("np"), F.col("t.pre_processed").alias("clean_np"), F.col("t.similarity_scores").alias("similarity"))
     return raw.select("topic_id", F.posexplode(zipped).alias("pos", "x")).select("topic_id", "pos", "x.*")
 
@@ -185,6 +250,28 @@ def write_fellowships(groups: DataFrame, path: str) -> None:
     groups.groupBy("fid").agg(F.array_sort(F.collect_list("entity")).alias("members")).write.mode("overwrite").json(path)
 
 
+def write_graph(path: str, edges: DataFrame, dipoles: DataFrame) -> None:
+    """A graph as tables: edges (e1, e2, weight), ids of its entities, dipoles."""
+    from ..operators.graph import node_ids
+
+    for name, df in (("edges", edges), ("ids", node_ids(edges)), ("dipoles", dipoles)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """S10."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("edges", "ids", "dipoles")}
+
+
+def attitude_table(spark: SparkSession, path: str) -> DataFrame:
+    """Attitudes of a stage, with the columns that every such table has."""
+    found = spark.read.parquet(path)
+    missing = {"uid", "sent_ix", "attitude"}.difference(found.columns)
+    if missing:
+        raise ValueError(f"no attitude table: {path} lacks {sorted(missing)}")
+    return found
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """S11."""
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -198,8 +285,9 @@ def write_edge_list(edges: DataFrame, path: str, sep: str = "\t") -> None:
 
 
 def sentences(articles: DataFrame, text: str = "text") -> DataFrame:
-    """Uid, sent_ix, sentence, from, to: lines cut after . ! or ?, offsets into the text (ends exclusive)."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+"), F.lit(0))
+    """Uid, sent_ix, sentence, from, to: lines cut after . ! or ? (and the quotes behind) but not after abbreviations and initials; offsets into the text (ends exclusive)."""
+    ending = r"[^\n]*?(?<!\b(?:" + "|".join(ABBREVIATIONS) + r"|[A-Z]))[.!?]+[\"')\]]*(?=\s|$)|[^\n]+"
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ending), F.lit(0))
     lengths = F.aggregate(parts, F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<sentence:string,from:int,to:int>>").alias("out")), lambda acc, s: _place(acc, s, text), lambda acc: acc["out"])
     rows = articles.select("uid", F.posexplode(F.filter(lengths, lambda s: F.trim(s["sentence"]) != "")).alias("sent_ix", "s"))
     return rows.select("uid", "sent_ix", "s.sentence", "s.from", "s.to")
