@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,20 +222,26 @@ def surface(docs: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> DataF
 
 
 def ngram_spans(c, n: int, stop_words=STOP_WORDS) -> Column:
-    """Array of (ngram, from, to): n tokens (words, or single marks) as they stand in the text, offsets with exclusive ends; grams of marks alone or of stop words alone are left out."""
-    c = F.coalesce(_c(c), F.lit(""))
-    token = F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
-    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<token:string,from:int,to:int>>").alias("out"))
-
-    def place(acc, w):
-        at = F.call_function("locate", w, c, acc["at"])
-        return F.struct((at + F.length(w)).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(w.alias("token"), (at - 1).alias("from"), (at - 1 + F.length(w)).alias("to")))).alias("out"))
-
-    placed = F.aggregate(token, empty, place, lambda acc: acc["out"])
-    starts = F.when(F.size(placed) >= n, F.sequence(F.lit(1), F.size(placed) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.slice(placed, i, n))
-    kept = F.filter(grams, lambda g: F.exists(g, lambda w: w["token"].rlike(r"\w")) & F.exists(g, lambda w: ~w["token"].isin(*stop_words)))
-    return F.transform(kept, lambda g: F.struct(F.substr(c, g[0]["from"] + 1, g[n - 1]["to"] - g[0]["from"]).alias("ngram"), g[0]["from"].alias("from"), g[n - 1]["to"].alias("to")))
+    """Array of (ngram, from, to): n tokens (words, or single marks) as they stand in the text, offsets with exclusive ends; grams of marks alone or of stop words alone are left out.
+
+    In Arrow batches: no built-in function gives the places of matches in linear time."""
+    token = re.compile(r"\w+|[^\w\s]")
+
+    @F.pandas_udf("array<struct<ngram:string,from:int,to:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            found = [(m.start(), m.end(), m.group()) for m in token.finditer(text or "")]
+            kind = [(w in stop_words, w[0].isalnum() or w[0] == "_") for _, _, w in found]
+            rows = []
+            for i in range(len(found) - n + 1):
+                if any(word for _, word in kind[i : i + n]) and not all(stop for stop, _ in kind[i : i + n]):
+                    a, b = found[i][0], found[i + n - 1][1]
+                    rows.append({"ngram": text[a:b], "from": a, "to": b})
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    return run(_c(c))
 
 
 def contains(items, item) -> Column:

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
-
-
 def ancestors(tree: DataFrame) -> DataFrame:
-    """name, ancestor, up (0: itself) of every node of a tree (name, parent; the root's is null), as a recursive query."""
-    tree.createOrReplaceTempView("__emotions")
-    return tree.sparkSession.sql(
-        f"""WITH RECURSIVE up(name, ancestor, up) AS (SELECT name, name, 0 FROM __emotions
-        UNION ALL SELECT u.name, e.parent, u.up + 1 FROM up u JOIN __emotions e ON e.name = u.ancestor WHERE e.parent IS NOT NULL AND u.up < {MAX_DEPTH}) SELECT name, ancestor, up FROM up"""
-    )
+    """name, ancestor, up (0: itself) of every node of a tree (name, parent; the root's is null): a join for each level, however many.
+
+    Raises on a cycle."""
+    from ..sources.stages import stage
+
+    tree = stage(tree.select("name", "parent"), "tree")
+    parents = tree.filter("parent is not null").select(F.col("name").alias("ancestor"), "parent")
+    out = front = tree.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("up"))
+    most = tree.count()
+    for up in itertools.count(1):
+        front = stage(front.join(parents, "ancestor").select("name", F.col("parent").alias("ancestor"), F.lit(up).alias("up")), "ancestors")
+        if front.isEmpty():
+            return out
+        if up > most:
+            raise ValueError("the tree has a cycle")
+        out = out.unionByName(front)
 
 
 def at_level(tree: DataFrame, level: int) -> DataFrame:

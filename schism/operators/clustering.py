@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 BROADCAST_CENTRES = 20_000
 
 
+def chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Adds `chunk`, 0 to n - 1 in a total order, of sizes that differ by one at most; numbered range by range."""
+    from .ranges import running_sum
+
+    total = df.agg(F.count("*").alias("__n"))
+    numbered = running_sum(df.withColumn("__one", F.lit(1)), order, "__one", "__i").crossJoin(F.broadcast(total))  # one row
+    return numbered.withColumn("chunk", F.floor(F.col("__i") * n / F.col("__n")).cast("int")).drop("__one", "__i", "__n")
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = 2_000) -> DataFrame:
     """Pairs (a < b) of cosine at least the threshold: blocks of rows against blocks of rows, one matrix product each.
 
@@ -36,10 +45,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     return rows.groupBy("x", "y").applyInPandas(run, "a long, b long, similarity double")
 
 
-def take_clusters(pairs: DataFrame, min_size: int = 3, rounds: int = 1_000) -> DataFrame:
+def take_clusters(pairs: DataFrame, min_size: int = 3) -> DataFrame:
     """clusters = a head with its neighbours, by size (ties: smaller id), each member once, of at least min_size.
 
-    Rounds of DataFrame steps: a head is taken when no larger (or equal and smaller-id) cluster shares a member.
+    Rounds of DataFrame steps until none is left: a head is taken when no larger (or equal and smaller-id) cluster shares a member.
     Returns head, member, similarity.
     """
     from ..sources.stages import stage
@@ -48,9 +57,7 @@ def take_clusters(pairs: DataFrame, min_size: int = 3, rounds: int = 1_000) -> D
     near = pairs.select(F.col("a").alias("head"), F.col("b").alias("member"), "similarity").union(pairs.select("b", "a", "similarity")).union(ids.select("id", "id", F.lit(1.0)))
     left = stage(near.join(near.groupBy("head").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size), "head"), "clusters")
     out = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         rank = F.struct((-F.col("size")).alias("s"), F.col("head").alias("h"))
         best = left.groupBy("member").agg(F.min(rank).alias("best"))
         blocked = left.join(best, "member").filter(F.col("best.h") != F.col("head")).select("head").distinct()
@@ -69,25 +76,26 @@ def reorder(clusters: DataFrame, threshold: float) -> DataFrame:
     return clusters.filter((F.col("similarity") > threshold) | (F.col("head") == F.col("member"))).withColumn("pos", F.row_number().over(w) - 1)
 
 
-def nearest_head(vectors: DataFrame, heads: DataFrame, threshold: float, block: int = 4_096) -> DataFrame:
-    """Nearest head (head, v) of each vector at a cosine of at least the threshold; vectors in blocks against blocks of heads."""
+def nearest_head(vectors: DataFrame, heads: DataFrame, threshold: float, block: int = 4_096, key: str = "vec_id") -> DataFrame:
+    """Nearest head (head, v) of each vector at a cosine of at least the threshold, ties to the smaller head; vectors in blocks against blocks of heads."""
+    kinds = dict(vectors.dtypes)[key], dict(heads.dtypes)["head"]
     vp, hp = max(1, -(-vectors.count() // block)), max(1, -(-heads.count() // block))
-    a = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("x", F.pmod(F.xxhash64("vec_id"), F.lit(vp))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(hp - 1))))
+    a = vectors.select(key, F.col("embedding").cast("array<double>").alias("v")).withColumn("x", F.pmod(F.xxhash64(key), F.lit(vp))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(hp - 1))))
     b = heads.select("head", F.col("v").cast("array<double>").alias("v")).withColumn("y", F.pmod(F.xxhash64("head"), F.lit(hp))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(vp - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "head": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+            return pd.DataFrame({key: left[key][:0], "head": right["head"][:0], "similarity": np.zeros(0)})
         right = right.sort_values("head", ignore_index=True)
         m, h = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         with np.errstate(divide="ignore", invalid="ignore"):
             c = np.nan_to_num((m @ h.T) / np.sqrt((m * m).sum(1))[:, None] / np.sqrt((h * h).sum(1))[None], nan=-2)
         best = c.argmax(1)
-        return pd.DataFrame({"vec_id": left["vec_id"], "head": right["head"].to_numpy()[best], "similarity": c[np.arange(len(c)), best]})
+        return pd.DataFrame({key: left[key], "head": right["head"].to_numpy()[best], "similarity": c[np.arange(len(c)), best]})
 
-    each = a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(run, "vec_id long, head long, similarity double")
-    top = each.groupBy("vec_id").agg(F.max_by(F.struct("head", "similarity"), F.struct("similarity", (-F.col("head")).alias("o"))).alias("t"))
-    return top.select("vec_id", "t.*").filter(F.col("similarity") >= threshold)
+    each = a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(run, f"{key} {kinds[0]}, head {kinds[1]}, similarity double")
+    top = each.groupBy(key).agg(F.min_by(F.struct("head", "similarity"), F.struct((-F.col("similarity")).alias("s"), "head")).alias("t"))
+    return top.select(key, "t.*").filter(F.col("similarity") >= threshold)
 
 
 def online_clusters(vectors: DataFrame, create: float = 0.8, assign: float = 0.75, min_size: int = 3, iterations: int = 10) -> DataFrame:

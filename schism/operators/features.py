@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, words
 
 
+def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", terms=None) -> DataFrame:
+    """key, word, k: the different lower-case words of each row (a key has one row), counted within the row, so without a shuffle.
+
+    `terms`: another column of lists to count than the words."""
+    listed = docs.select(key, F.array_sort(words(F.lower(F.col(text))) if terms is None else terms).alias("s"))
+    edges = F.filter(F.transform("s", lambda w, i: F.when((i == 0) | (w != F.col("s")[F.greatest(i - 1, F.lit(0))]), i)), lambda i: i.isNotNull())
+    rows = listed.withColumn("at", edges).select(key, "s", "at", F.size("s").alias("n"), F.size("at").alias("kinds"))
+    each = F.transform("at", lambda a, j: F.struct(F.col("s")[a].alias("word"), (F.when(j + 1 < F.col("kinds"), F.col("at")[F.least(j + 1, F.col("kinds") - 1)]).otherwise(F.col("n")) - a).cast("long").alias("k")))
+    return rows.select(key, F.explode(each).alias("w")).select(key, "w.word", "w.k")
+
+
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word: one row per lower-case word."""
     return docs.select(key, F.explode(words(F.lower(F.col(text)))).alias("word"))
@@ -15,7 +27,7 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def vocabulary_richness(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Richness measures from word counts; 0 for texts without words.  A word of two occurrences counts both in dis-hapax."""
-    per_word = tokens(docs, key).groupBy(key, "word").agg(F.count("*").alias("k"))
+    per_word = word_counts(docs, key)
     when = lambda c, x: F.sum(F.when(c, x).otherwise(0))
     k = F.col("k")
     s = per_word.groupBy(key).agg(F.sum("k").alias("n"), F.count("*").alias("v"), when(k == 1, 1).alias("v1"), when(k == 2, 2).alias("dis"), when(k >= 2, 1).alias("v2"), F.sum(k * k).alias("m2"))
@@ -29,11 +41,17 @@ def vocabulary_richness(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def lexicon_counts(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document and category tokens that the lexicon (term, category) lists, distinct terms, share of all tokens; pre-aggregated per word."""
-    per_word = tokens(docs, key).groupBy(key, "word").agg(F.count("*").alias("k"))
-    size = per_word.groupBy(key).agg(F.sum("k").alias("words"))
-    found = per_word.join(lexicon.select(F.col("term").alias("word"), "category").distinct(), "word").groupBy(key, "category").agg(F.sum("k").alias("hits"), F.count("*").alias("terms"))
-    return found.join(size, key).select(key, "category", "hits", "terms", (F.col("hits") / F.col("words")).alias("share"))
+    """Per document and category tokens that the lexicon (term, category) lists, distinct terms, share of all tokens; counted within the row."""
+    per_word = _with_size(docs, key)
+    found = per_word.join(lexicon.select(F.col("term").alias("word"), "category").distinct(), "word").groupBy(key, "category")
+    found = found.agg(F.sum("k").alias("hits"), F.count("*").alias("terms"), F.max("words").alias("words"))
+    return found.select(key, "category", "hits", "terms", (F.col("hits") / F.col("words")).alias("share"))
+
+
+def _with_size(docs: DataFrame, key: str) -> DataFrame:
+    """key, word, k, and words: all tokens of the row."""
+    sized = docs.withColumn("__n", F.struct(F.col(key).alias("key"), F.size(words(F.lower(F.col("text")))).alias("words")))
+    return word_counts(sized, "__n").select(F.col("__n.key").alias(key), "word", "k", F.col("__n.words").alias("words"))
 
 
 def phrase_presence(text, terms, whole_words: bool = True):
@@ -45,7 +63,7 @@ def phrase_presence(text, terms, whole_words: bool = True):
 
 def lexicon_score(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean score of the lexicon terms (term, score) that occur in a document."""
-    present = tokens(docs, key).distinct().join(lexicon.select(F.col("term").alias("word"), "score"), "word")
+    present = word_counts(docs, key).join(lexicon.select(F.col("term").alias("word"), "score"), "word")
     return present.groupBy(key).agg(F.avg("score").alias("score"))
 
 
@@ -54,25 +72,38 @@ def pattern_categories(docs: DataFrame, patterns: DataFrame, key: str = "doc_id"
 
     Tokens meet patterns by equality of their prefixes of the lengths that occur, an equi-join.
     """
-    per_word = tokens(docs, key).groupBy(key, "word").agg(F.count("*").alias("k"))
-    size = per_word.groupBy(key).agg(F.sum("k").alias("n"))
+    per_word = _with_size(docs, key)
     p = patterns.select(F.regexp_replace("pattern", r"\*$", "").alias("stem"), F.col("pattern").endswith("*").alias("wild"), "category")
     vocabulary = per_word.select("word").distinct()
     heads = vocabulary.withColumn("l", F.explode(F.sequence(F.lit(1), F.length("word")))).withColumn("stem", F.expr("substring(word, 1, l)"))
     hits = heads.join(p, "stem").filter((F.col("wild")) | (F.col("l") == F.length("word")))
     rank = F.rank().over(Window.partitionBy("word").orderBy(F.when(F.col("wild"), F.col("l")).otherwise(F.lit(1 << 20))))
     best = hits.withColumn("r", rank).filter("r = 1").select("word", "category").distinct()
-    return per_word.join(best, "word").groupBy(key, "category").agg(F.sum("k").alias("hits")).join(size, key).select(key, "category", (F.col("hits") / F.col("n") * 100).alias("percent"))
+    found = per_word.join(best, "word").groupBy(key, "category").agg(F.sum("k").alias("hits"), F.max("words").alias("n"))
+    return found.select(key, "category", (F.col("hits") / F.col("n") * 100).alias("percent"))
+
 
+def tfidf(docs: DataFrame, n: int | tuple[int, int] = 1, min_df: int = 5, max_df: float = 0.8, key: str = "doc_id", text: str = "text", unit: str = "word") -> DataFrame:
+    """Terms of n (or n to m) words, or characters (unit="char"), with tf * (ln((1 + N) / (1 + df)) + 1), unit length per document.
 
-def tfidf(docs: DataFrame, n: int = 1, min_df: int = 5, max_df: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """Terms of n words with tf * (ln((1 + N) / (1 + df)) + 1), unit length per document; terms of too few or too many documents left out."""
-    grams = docs.select(key, F.explode(ngrams(words(F.lower(F.col("text"))), n)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    Terms of too few or too many documents are left out.  Terms are counted within the row and staged once; POS and
+    stop-word sequences are texts like others, punctuation sequences go by characters."""
+    from ..sources.stages import stage
+
+    low, high = (n, n) if isinstance(n, int) else n
+    if unit == "char":
+        chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != "")
+        gram = lambda k: F.transform(ngrams("__t", k), lambda g: F.replace(g, F.lit(" "), F.lit("")))
+    else:
+        chars, gram = words(F.lower(F.col(text))), lambda k: ngrams("__t", k)
+    split = docs.select(key, chars.alias("__t")).select(key, F.concat(*(gram(k) for k in range(low, high + 1))).alias("__g"))
+    grams = stage(word_counts(split, key, terms=F.col("__g")).withColumnsRenamed({"word": "term", "k": "tf"}), "grams")
     total = docs.agg(F.count("*").alias("docs"))
     df = grams.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))  # one row
-    weight = grams.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    length = weight.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weight.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("tfidf"))
+    idf = df.select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weight = grams.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weight.select(key, "term", (F.col("w") / length).alias("tfidf"))
 
 
 def keywords(docs: DataFrame, top: int = 10, key: str = "doc_id", **options) -> DataFrame:
@@ -90,7 +121,23 @@ def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def prune_subsequences(paths: list[list]) -> list[list]:
     """By descending length, a list stays unless it is a subsequence of one that stayed."""
     kept: list[list] = []
-    for p in sorted(paths, key=lambda p: (-len(p), p)):
-        if not any(all(x in it for x in p) for it in map(iter, kept)):
-            kept.append(p)
+    for path in sorted(paths, key=lambda p: (-len(p), p)):
+        for longer in kept:
+            at = 0  # how much of the path has been found in order
+            for x in longer:
+                at += at < len(path) and x == path[at]
+            if at == len(path):
+                break
+        else:
+            kept.append(path)
     return kept
+
+
+def pruned(column, kind: str = "array<array<string>>"):
+    """U5 over a column of lists of lists."""
+
+    @F.pandas_udf(kind)
+    def run(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: prune_subsequences([list(p) for p in c]))
+
+    return run(column)

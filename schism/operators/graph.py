@@ -183,6 +183,60 @@ def closeness(edges: DataFrame) -> DataFrame:
     return seen.groupBy(F.col("source").alias("entity")).agg(F.coalesce(F.try_divide((F.count("*") - 1).cast("double"), F.sum("d").cast("double")), F.lit(0.0)).alias("closeness"))
 
 
+#: Most edges of a graph that each task of `betweenness` holds (8 bytes a direction).
+BETWEENNESS_EDGES = 2_000_000
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """M8: share of shortest paths between other nodes that pass a node, over all ordered pairs.
+
+    Sources are dealt to tasks; each holds the adjacency (a broadcast of checked size; larger graphs are refused), goes
+    breadth first from its sources and hands on one sum per node."""
+    import numpy as np
+    import pandas as pd
+
+    if edges.limit(BETWEENNESS_EDGES + 1).count() > BETWEENNESS_EDGES:
+        raise ValueError(f"over {BETWEENNESS_EDGES} edges")
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["e1"]
+    table = adjacency(edges).select("node", "other").toPandas()
+    names, index = np.unique(np.concatenate([table["node"], table["other"]]), return_inverse=True)
+    start, end = index[: len(table)], index[len(table) :]
+    order = np.argsort(start, kind="stable")
+    shared = spark.sparkContext.broadcast((np.searchsorted(start[order], np.arange(len(names) + 1)), end[order].astype(np.int32)))
+    n = len(names)
+
+    def run(frames):
+        first, near = shared.value
+        total = np.zeros(n)
+        for frame in frames:
+            for s in frame["id"]:
+                depth, paths, levels = np.full(n, -1), np.zeros(n), [np.array([s])]
+                depth[s], paths[s] = 0, 1
+                hops = []
+                while len(levels[-1]):
+                    own = levels[-1]
+                    a = np.repeat(own, first[own + 1] - first[own])
+                    b = np.concatenate([near[first[x] : first[x + 1]] for x in own]) if len(own) else near[:0]
+                    onward = (depth[b] < 0) | (depth[b] == len(levels))
+                    a, b = a[onward], b[onward]
+                    depth[b] = len(levels)
+                    paths += np.bincount(b, paths[a], n)
+                    hops.append((a, b))
+                    levels.append(np.unique(b))
+                share = np.zeros(n)
+                for a, b in reversed(hops):
+                    share += np.bincount(a, paths[a] / np.maximum(paths[b], 1) * (1 + share[b]), n)
+                share[s] = 0
+                total += share
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"i": at, "share": total[at]})
+
+    sums = spark.range(n).mapInPandas(run, "i long, share double").groupBy("i").agg(F.sum("share").alias("share"))
+    named = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "entity": names}), f"i long, entity {kind}") if n else spark.createDataFrame([], f"i long, entity {kind}")
+    pairs = float(max((n - 1) * (n - 2), 1))
+    return named.join(sums, "i", "left").select("entity", (F.coalesce("share", F.lit(0.0)) / pairs).alias("betweenness"))
+
+
 def group_density(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """A21 (structure): per fellowship, edges in both directions, densities of all, positive and negative edges."""
     e = group_edges(edges, groups)

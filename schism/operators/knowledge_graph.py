@@ -68,6 +68,42 @@ def neighbours(edges: DataFrame, node_table: DataFrame, kind: str | None = None)
     return (found.filter(F.col("type") == kind) if kind else found).select("node", F.col("id").alias("neighbour"), "type")
 
 
+#: Accessors by name, with the types of the node and of the neighbour that it gives.
+ACCESSORS = {
+    "fellowship_members": ("Fellowship", "Entity"), "fellowship_dipoles": ("Fellowship", "Dipole"), "dipole_fellowships": ("Dipole", "Fellowship"),
+    "entity_fellowship": ("Entity", "Fellowship"), "entity_topics": ("Entity", "Topic"), "dipole_topics": ("Dipole", "Topic"),
+}
+
+
+def accessor(edges: DataFrame, node_table: DataFrame, name: str) -> DataFrame:
+    """Node, neighbour of one of ACCESSORS, for all nodes of its type."""
+    own, other = ACCESSORS[name]
+    return neighbours(edges, node_table, other).join(of_type(node_table, own).select(F.col("id").alias("node")), "node", "left_semi").select("node", "neighbour")
+
+
+def signed_neighbours(edges: DataFrame, positive: bool) -> DataFrame:
+    """Entities (node, neighbour) joined by an attitude of that sign."""
+    both = edges.filter("type = 'Attitude' and not startswith(dst, 'T:') and not startswith(src, 'F')")
+    return both.filter(F.col("weight") > 0 if positive else F.col("weight") < 0).select(F.col("src").alias("node"), F.col("dst").alias("neighbour"))
+
+
+def entity_topic_attitudes(edges: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """Node, topic, label of attitudes to topics (all, or those listed: topic)."""
+    found = edges.filter("type = 'Attitude' and startswith(dst, 'T:')").select(F.col("src").alias("node"), F.col("dst").alias("topic"), "label")
+    return found if topics is None else found.join(topics.select("topic").distinct(), "topic", "left_semi").select("node", "topic", "label")
+
+
+def article_fellowships(nodes_of: DataFrame, edges: DataFrame) -> DataFrame:
+    """Uid, fellowship of the entities (uid, id) of an article."""
+    return nodes_of.join(members(edges).select(F.col("entity").alias("id"), "fellowship"), "id").select("uid", "fellowship").distinct()
+
+
+def article_dipoles(fellowships: DataFrame, edges: DataFrame) -> DataFrame:
+    """Uid, dipole of the pairs of an article's fellowships that are a dipole of the graph: through its parts, no pairs are formed."""
+    parts = edges.filter("type = 'PartOf'").select(F.col("src").alias("fellowship"), F.col("dst").alias("dipole"))
+    return fellowships.join(parts, "fellowship").groupBy("uid", "dipole").agg(F.count_distinct("fellowship").alias("n")).filter("n = 2").select("uid", "dipole")
+
+
 def attitudes(edges: DataFrame, src: DataFrame | None = None) -> DataFrame:
     """Attitude edges, of given sources (id)."""
     found = edges.filter("type = 'Attitude'")
@@ -138,15 +174,29 @@ def label_from_path(c: str = "path"):
     return F.when(F.col(c).contains("Unreliable"), 1).when(F.col(c).contains("Reliable"), 0)
 
 
+#: Cells of the hash by which rows of a label are counted before the few at a border are ordered.
+_CELLS = 4096
+
+
+def _ranked(rows: DataFrame, label: str, key: str) -> DataFrame:
+    """Adds __r, a row's number within its label in the order of a hash of its key: no task sees a whole label.
+
+    Cells of the hash are counted (4,096 rows a label), added up, and rows numbered within their cell."""
+    place = F.crc32(F.col(key).cast("string").cast("binary"))
+    placed = rows.withColumns({"__h": place, "__c": F.floor(place / (2**32 / _CELLS)).cast("int")})
+    cells = placed.groupBy(label, "__c").agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(label).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(label, "__c").orderBy("__h", key))
+    return placed.withColumn("__i", own).join(cells.select(label, "__c", before.alias("__b")), [label, "__c"]).withColumn("__r", F.col("__i") + F.col("__b")).drop("__h", "__c", "__i", "__b")
+
+
 def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
     """As many rows of each label as of the rarest, those with the smallest hash of their key."""
     least = rows.groupBy(label).count().agg(F.min("count").alias("least"))
-    order = Window.partitionBy(label).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
-    return rows.withColumn("__r", F.row_number().over(order)).crossJoin(F.broadcast(least)).filter("__r <= least").drop("__r", "least")  # one row
+    return _ranked(rows, label, key).crossJoin(F.broadcast(least)).filter("__r <= least").drop("__r", "least").select(*rows.columns)  # one row
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test_ratio: float = 0.2) -> DataFrame:
     """Column test: the first share of each label by a hash of the key."""
     total = rows.groupBy(label).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(label).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
-    return rows.withColumn("__r", F.row_number().over(order)).join(F.broadcast(total), label).withColumn("test", F.col("__r") <= F.col("__n") * test_ratio).drop("__r", "__n")  # a row per label
+    return _ranked(rows, label, key).join(total, label).withColumn("test", F.col("__r") <= F.col("__n") * test_ratio).select(*rows.columns, "test")

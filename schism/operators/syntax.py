@@ -58,6 +58,27 @@ def pos_counts(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(total, keys).select(*keys, "tag", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+#: Derived counts of X20: sums of tags, and forms of pronouns.
+_TENSES = {"future": ("MD",), "past": ("VBN", "VBD"), "present": ("VBZ", "VBG", "VBP")}
+_PRONOUNS = {"i": ("i",), "we": ("we",), "you": ("you",), "he_she": ("he", "she")}
+
+
+def derived_counts(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key words of future, past and present tense, pronouns, quotation marks and quoted passages (half of the marks, rounded up)."""
+    t = parsed.select(*keys, F.explode("tokens").alias("t")).select(*keys, "t.pos", F.lower("t.text").alias("text"))
+    count = lambda c: F.sum(c.cast("int"))
+    quotes = count(F.col("text").isin('"', "''", "``", "“", "”"))
+    out = {f"pos_{k}_tense": count(F.col("pos").isin(*v)) for k, v in _TENSES.items()}
+    out |= {f"pos_{k}": count((F.col("pos") == "PRP") & F.col("text").isin(*v)) for k, v in _PRONOUNS.items()}
+    out |= {"quotes": quotes, "quoted": F.ceil(quotes / 2)}
+    return t.groupBy(*keys).agg(*(v.alias(k) for k, v in out.items()))
+
+
+def tag_sequence(parsed: DataFrame) -> DataFrame:
+    """Adds `tags`, the tags of the tokens as a text."""
+    return parsed.withColumn("tags", F.array_join("tokens.pos", " "))
+
+
 def paths_between(tokens, source: list[int], target: list[int], expand=("ccomp", "compound", "conj"), stop=STOP_WORDS) -> list[list[str]]:
     """Texts on the simple paths of the undirected dependency graph from source to target tokens, ends and stop words left out.
 
@@ -81,12 +102,12 @@ def paths_between(tokens, source: list[int], target: list[int], expand=("ccomp",
     return out
 
 
-def _simple_paths(near, start, goal, most: int = 64):
-    found, stack = 0, [(start, [start])]
-    while stack and found < most:
+def _simple_paths(near, start, goal):
+    """All of them; every token has one head, so a tree has one."""
+    stack = [(start, [start])]
+    while stack:
         x, path = stack.pop()
         if x == goal:
-            found += 1
             yield path
             continue
         stack += [(y, [*path, y]) for y in sorted(near[x], reverse=True) if y not in path]

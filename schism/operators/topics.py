@@ -77,14 +77,16 @@ def top_topics(ranked: DataFrame, relevant: DataFrame | None = None, n: int = 25
     return ranked.orderBy(F.desc("score"), "topic").limit(n)
 
 
-def entity_topic_weights(obs: DataFrame, value: str, scale: float = 1.0) -> DataFrame:
-    """Median attitude of an entity towards a topic."""
-    return obs.groupBy("entity", "topic").agg((F.median(value) / scale).alias("weight"), F.count("*").alias("observations"))
+def entity_topic_weights(obs: DataFrame, value: str, scale: float = 1.0, times: str | None = None) -> DataFrame:
+    """Median attitude of an entity towards a topic; times: a column that says how often a row was observed."""
+    k = F.lit(1) if times is None else F.col(times)
+    return obs.groupBy("entity", "topic").agg((F.percentile(value, 0.5, k) / scale).alias("weight"), F.sum(k).cast("long").alias("observations"))
 
 
-def group_topic_weights(obs: DataFrame, groups: DataFrame, value: str, scale: float = 1.0) -> DataFrame:
-    """Mean of the pooled attitudes of a fellowship's members."""
-    pooled = obs.join(groups, "entity").groupBy("fid", "topic").agg(F.sum(value).alias("t"), F.count("*").alias("observations"))
+def group_topic_weights(obs: DataFrame, groups: DataFrame, value: str, scale: float = 1.0, times: str | None = None) -> DataFrame:
+    """Mean of the pooled attitudes of a fellowship's members; times as in A13."""
+    k = F.lit(1) if times is None else F.col(times)
+    pooled = obs.join(groups, "entity").groupBy("fid", "topic").agg(F.sum(F.col(value) * k).alias("t"), F.sum(k).cast("long").alias("observations"))
     return pooled.select("fid", "topic", (F.col("t") / (F.col("observations") * F.lit(scale))).alias("weight"), "observations")
 
 
@@ -102,11 +104,12 @@ def relevance(topics: DataFrame, seeds: DataFrame, key: str = "topic", vector: s
 
 
 def nearest_topic(phrases: DataFrame, centres: DataFrame, most: float = 0.2, key: str = "np") -> DataFrame:
-    """Nearest centroid within a cosine distance; centres are topics, few by nature, and checked before the broadcast."""
-    from .clustering import BROADCAST_CENTRES
+    """Nearest centroid within a cosine distance; centres are counted before the broadcast, and more go in blocks."""
+    from .clustering import BROADCAST_CENTRES, nearest_head
 
     if centres.limit(BROADCAST_CENTRES + 1).count() > BROADCAST_CENTRES:
-        raise ValueError(f"over {BROADCAST_CENTRES} topic centres: use clustering.nearest_in_blocks")
+        heads = centres.select(F.col("topic").alias("head"), F.col("centroid").alias("v"))
+        return nearest_head(phrases, heads, 1 - most, key=key).select(key, F.col("head").alias("topic"), (1 - F.col("similarity")).alias("distance"))
     near = phrases.crossJoin(F.broadcast(centres)).select(key, "topic", (1 - cosine("embedding", "centroid")).alias("distance")).filter(F.col("distance") <= most)
     return near.groupBy(key).agg(F.min_by(F.struct("topic", "distance"), F.struct("distance", "topic")).alias("t")).select(key, "t.*")
 

@@ -107,7 +107,7 @@ def m8_degree(spark, sf):
     return graph.degree(t.sag(spark, sf))
 
 
-@query(sql(""", reach(source, node, d) AS (SELECT DISTINCT node, node, 0 FROM adj UNION SELECT source, other, d + 1 FROM reach r JOIN adj a ON a.node = r.node WHERE d < 4),
+@query(sql(""", reach(source, node, d) AS (SELECT DISTINCT node, node, 0 FROM adj UNION SELECT source, other, d + 1 FROM reach r JOIN adj a ON a.node = r.node WHERE d < (SELECT count(DISTINCT node) FROM adj)),
 near AS (SELECT source, node, min(d) AS d FROM reach GROUP BY ALL)
 SELECT source AS entity, round(coalesce((count(*) - 1) / nullif(CAST(sum(d) AS DOUBLE), 0), 0), 6) AS closeness FROM near GROUP BY source""", "adj", recursive=True))
 def m8_closeness(spark, sf):
@@ -336,11 +336,11 @@ def m6_centroids(spark, sf):
     return c.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", _r("x"))
 
 
-@query("WITH" + _UNNEST[1:] + """, c AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL), cn AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label), sn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e WHERE vec_id % 50 = 0 GROUP BY vec_id)
-SELECT label AS topic, round(avg(d), 6) AS relevance FROM (SELECT c.label, s.vec_id, sum(c.x * s.x) / any_value(cn.n * sn.n) AS d FROM c JOIN e s ON s.pos = c.pos AND s.vec_id % 50 = 0 JOIN cn ON cn.label = c.label JOIN sn ON sn.vec_id = s.vec_id GROUP BY ALL) GROUP BY label""")
+@query("WITH" + _UNNEST[1:] + """, c AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY ALL), cn AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label), sn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY vec_id)
+SELECT label AS topic, round(avg(d), 6) AS relevance FROM (SELECT c.label, s.vec_id, sum(c.x * s.x) / any_value(cn.n * sn.n) AS d FROM c JOIN e s ON s.pos = c.pos JOIN cn ON cn.label = c.label JOIN sn ON sn.vec_id = s.vec_id GROUP BY ALL) GROUP BY label ORDER BY relevance DESC, topic""")
 def m7_t7_relevance(spark, sf):
     e = table(spark, sf, "embeddings")
-    return topics.relevance(e.withColumnRenamed("label", "topic"), e.filter("vec_id % 50 = 0")).select("topic", _r("relevance"))
+    return topics.relevance(e.withColumnRenamed("label", "topic"), e).select("topic", _r("relevance")).orderBy(F.desc("relevance"), "topic")
 
 
 @query("SELECT a, b, round(similarity, 5) AS similarity FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE similarity >= 0.4")
@@ -377,14 +377,13 @@ def m10_s1_days(spark, sf):
     return spark.range(1).select(F.explode(N.day_sequence("2023-11-16", "2023-12-05")).alias("day"))
 
 
-_TYPES = ", s AS (SELECT DISTINCT l_suppkey % 40 AS k, l_partkey % 97 AS p FROM lineitem), z AS (SELECT k, count(*) AS n FROM s GROUP BY k)"
-
-
-@query("WITH" + _TYPES[1:] + " SELECT x.k AS a, y.k AS b, round(count(*) FILTER (WHERE true) / CAST(any_value(zx.n + zy.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s x JOIN s y ON x.p = y.p AND x.k < y.k JOIN z zx ON zx.k = x.k JOIN z zy ON zy.k = y.k GROUP BY ALL")
+@query("""WITH s AS (SELECT l_suppkey, list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R') AS r, list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'A') AS a FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey AS entity, round(len(list_intersect(r, a)) / CAST(len(list_distinct(list_concat(r, a))) AS DOUBLE), 6) AS jaccard FROM s""")
 def u1_jaccard(spark, sf):
-    sets = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 40).alias("k"), (F.col("l_partkey") % 97).alias("p")).distinct().groupBy("k").agg(F.collect_set("p").alias("s"))
-    pairs = sets.alias("x").join(sets.alias("y"), F.col("x.k") < F.col("y.k"))  # 40 sets
-    return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.round(N.jaccard("x.s", "y.s"), 6).alias("jaccard")).filter("jaccard > 0")
+    """Two sets of parts of each supplier: returned and accepted."""
+    of = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_partkey")))
+    sets = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(of("R").alias("r"), of("A").alias("a"))
+    return sets.select("entity", F.round(N.jaccard("r", "a"), 6).alias("jaccard"))
 
 
 # -- knowledge graph
@@ -394,28 +393,28 @@ def _graph(spark, sf):
     labels = N.sign_label("weight").alias("label")
     sag, groups = t.sag_table(spark, sf), t.groups(spark, sf)
     obs = stage(t.et(spark, sf).groupBy("entity", "topic", "tone").agg(F.count("*").alias("k")), "observed")
-    long = obs.select("entity", "topic", "tone", F.explode(F.array_repeat(F.lit(1), F.col("k").cast("int"))))
-    et = topics.entity_topic_weights(long, "tone", 5).select("*", labels)
-    gt = topics.group_topic_weights(long, groups, "tone", 5.0).select("*", labels)
-    d = stage(graph.dipole_candidates(sag, groups).filter("negative_ratio >= 0.5").withColumn("f_g", F.lit(None).cast("double")), "dipoles")
+    et = topics.entity_topic_weights(obs, "tone", 5, "k").select("*", labels)
+    gt = topics.group_topic_weights(obs, groups, "tone", 5.0, "k").select("*", labels)
+    d = stage(communities.dipoles(sag, groups, f_g_thr=float("-inf")), "dipoles")  # G5 with G4's figure, none left out by it
     scores = stage(t.dipole_topics(spark, sf, d), "dipole-topics")
     return stage(knowledge_graph.assemble(sag, et, groups, gt, d, topics.polarization_labels(scores)), "graph")
 
 
-_GRAPH = """, ew AS (SELECT entity, topic, median(tone) / 5 AS w, count(*) AS o FROM et GROUP BY ALL), gw AS (SELECT fid, topic, sum(tone) / (count(*) * CAST(5 AS DOUBLE)) AS w, count(*) AS o FROM et JOIN fellows USING (entity) GROUP BY ALL),
+_GRAPH = """, span AS (SELECT min(pi) AS lo, max(pi) AS hi FROM dtop), lab AS (SELECT dtop.*, 'Polarization' || CASE WHEN pi < hi OR lo = hi THEN CAST(least(floor((pi - (CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END)) / ((CASE WHEN lo = hi THEN 1 ELSE hi - lo END) / 10)) + 1, 10) AS INT) ELSE 0 END AS label FROM dtop, span),
+ew AS (SELECT entity, topic, median(tone) / 5 AS w, count(*) AS o FROM et GROUP BY ALL), gw AS (SELECT fid, topic, sum(tone) / (count(*) * CAST(5 AS DOUBLE)) AS w, count(*) AS o FROM et JOIN fellows USING (entity) GROUP BY ALL),
 kg AS (SELECT CAST(node AS VARCHAR) AS src, CAST(other AS VARCHAR) AS dst, 'Attitude' AS type, CASE WHEN weight > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS predicate, CAST(weight AS DOUBLE) AS weight, NULL AS observations FROM adj
 UNION ALL SELECT CAST(entity AS VARCHAR), 'T:' || topic, 'Attitude', CASE WHEN w >= -1 AND w < CAST(-0.02 AS DOUBLE) THEN 'NEGATIVE' WHEN w >= CAST(0.02 AS DOUBLE) AND w < 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END, w, o FROM ew
 UNION ALL SELECT CAST(entity AS VARCHAR), 'F' || fid, 'MemberOf', NULL, NULL, NULL FROM fellows
 UNION ALL SELECT 'F' || fid, 'T:' || topic, 'Attitude', CASE WHEN w >= -1 AND w < CAST(-0.02 AS DOUBLE) THEN 'NEGATIVE' WHEN w >= CAST(0.02 AS DOUBLE) AND w < 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END, w, o FROM gw
 UNION ALL SELECT 'F' || f1, 'F' || f2, 'Conflict', NULL, NULL, NULL FROM dip
 UNION ALL SELECT 'F' || f1, 'D' || f1 || '_' || f2, 'PartOf', NULL, NULL, NULL FROM dip UNION ALL SELECT 'F' || f2, 'D' || f1 || '_' || f2, 'PartOf', NULL, NULL, NULL FROM dip
-UNION ALL SELECT 'D' || f1 || '_' || f2, 'T:' || topic, 'Polarization', '?', pi, observations FROM dtop)
+UNION ALL SELECT 'D' || f1 || '_' || f2, 'T:' || topic, 'Polarization', label, pi, observations FROM lab)
 """
 
 
-@query(sql(_GRAPH + "SELECT src, dst, type, CASE type WHEN 'Polarization' THEN NULL ELSE predicate END AS predicate, round(weight, 6) AS weight, CAST(observations AS BIGINT) AS observations FROM kg", "adj", "et", "fellows", "dtop"))
+@query(sql(_GRAPH + "SELECT src, dst, type, predicate, round(weight, 6) AS weight, CAST(observations AS BIGINT) AS observations FROM kg", "adj", "et", "fellows", "dtop"))
 def g9_j12_graph_edges(spark, sf):
-    return _graph(spark, sf).select("src", "dst", "type", F.when(F.col("type") != "Polarization", F.col("predicate")).alias("predicate"), _r("weight"), "observations")
+    return _graph(spark, sf).select("src", "dst", "type", "predicate", _r("weight"), "observations")
 
 
 @query(sql(_GRAPH + ", ids AS (SELECT src AS id FROM kg UNION SELECT dst FROM kg)\nSELECT id, CASE WHEN id LIKE 'T:%' THEN 'Topic' WHEN id LIKE 'D%' THEN 'Dipole' WHEN id LIKE 'F%' THEN 'Fellowship' ELSE 'Entity' END AS type FROM ids", "adj", "et", "fellows", "dtop"))
@@ -429,15 +428,15 @@ def j13_neighbours(spark, sf):
     return knowledge_graph.neighbours(g, knowledge_graph.nodes(g), "Fellowship").groupBy("node").agg(F.count("*").alias("fellowships"))
 
 
-@query(sql(_GRAPH + "SELECT src AS subject, upper(coalesce(predicate, type)) AS predicate, dst AS object FROM kg WHERE type <> 'Polarization' AND upper(coalesce(predicate, type)) <> 'NEUTRAL'", "adj", "et", "fellows", "dtop"))
+@query(sql(_GRAPH + "SELECT src AS subject, upper(coalesce(predicate, type)) AS predicate, dst AS object FROM kg WHERE upper(coalesce(predicate, type)) <> 'NEUTRAL'", "adj", "et", "fellows", "dtop"))
 def g16_triples(spark, sf):
-    return knowledge_graph.triples(_graph(spark, sf).filter("type <> 'Polarization'"))
+    return knowledge_graph.triples(_graph(spark, sf))
 
 
-@query("""WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 50 AS VARCHAR) AS o, l_returnflag AS r FROM lineitem WHERE CAST(l_suppkey AS VARCHAR) <> CAST(l_partkey % 50 AS VARCHAR)), b AS (SELECT s, o, r FROM p UNION ALL SELECT o, s, r FROM p)
+@query("""WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey AS VARCHAR) AS o, l_returnflag AS r FROM lineitem WHERE l_suppkey <> l_partkey), b AS (SELECT s, o, r FROM p UNION ALL SELECT o, s, r FROM p)
 SELECT s AS src, o AS dst, max(r) AS label, 1 AS weight FROM b GROUP BY ALL""")
 def g17_u4_generic_graph(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("subject"), F.col("l_returnflag").alias("predicate"), (F.col("l_partkey") % 50).cast("string").alias("object"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").cast("string").alias("object"))
     return knowledge_graph.generic_graph(rows)
 
 
@@ -449,22 +448,80 @@ def j17_known_triples(spark, sf):
     return knowledge_graph.known_triples(rows, names, relations).groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"))
 
 
-@query(sql("""SELECT sent AS uid, CAST(e1 AS VARCHAR) AS src, CAST(e2 AS VARCHAR) AS dst, round(sum(tone2) / (count(*) * 10.0), 6) AS weight FROM ee GROUP BY ALL
-UNION ALL SELECT sent, CAST(entity AS VARCHAR), 'T:' || topic, round(sum(tone * 2) / (count(*) * 10.0), 6) FROM et GROUP BY ALL""", "ee", "et"))
-def g15_article_graphs(spark, sf):
+_OWN = """, own AS (SELECT sent AS uid, CAST(e1 AS VARCHAR) AS src, CAST(e2 AS VARCHAR) AS dst, round(sum(tone2) / (count(*) * 10.0), 6) AS weight FROM ee GROUP BY ALL
+UNION ALL SELECT sent, CAST(entity AS VARCHAR), 'T:' || topic, round(sum(tone * 2) / (count(*) * 10.0), 6) FROM et GROUP BY ALL), ids AS (SELECT uid, src AS id FROM own UNION SELECT uid, dst FROM own)
+"""
+
+
+def _article(spark, sf):
     ee = t.ee(spark, sf).select(F.col("sent").alias("uid"), "e1", "e2", F.col("tone2").alias("num"))
-    et = t.et(spark, sf).select(F.col("sent").alias("uid"), "entity", "topic", (F.col("tone") * 2).alias("num"))
-    none = spark.createDataFrame([], knowledge_graph.EDGE)
-    return knowledge_graph.article_graphs(ee, et, none, 10.0).select("uid", "src", "dst", _r("weight"))
+    return ee, t.et(spark, sf).select(F.col("sent").alias("uid"), "entity", "topic", (F.col("tone") * 2).alias("num"))
+
+
+@query(sql(_GRAPH + _OWN + "SELECT uid, src, dst, weight FROM own UNION ALL SELECT a.uid, src, dst, round(weight, 6) FROM kg JOIN ids a ON a.id = src JOIN ids b ON b.id = dst AND b.uid = a.uid WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.uid = a.uid AND o.src = kg.src AND o.dst = kg.dst)", "adj", "ee", "et", "fellows", "dtop"))
+def g15_article_graphs(spark, sf):
+    """Each article's own attitudes, and the global graph's edges among its nodes."""
+    return knowledge_graph.article_graphs(*_article(spark, sf), _graph(spark, sf), 10.0).select("uid", "src", "dst", _r("weight"))
+
+
+@query(sql(_GRAPH + _OWN + """, f AS (SELECT DISTINCT uid, dst AS fellowship FROM ids JOIN kg ON src = id AND type = 'MemberOf')
+SELECT uid, fellowship AS found FROM f UNION ALL SELECT uid, p.dst FROM f JOIN kg p ON p.src = fellowship AND p.type = 'PartOf' GROUP BY ALL HAVING count(DISTINCT fellowship) = 2""", "adj", "ee", "et", "fellows", "dtop"))
+def j18_article_groups(spark, sf):
+    """Fellowships of each article's entities, and the graph's dipoles among them."""
+    g = _graph(spark, sf)
+    own = stage(knowledge_graph.article_graphs(*_article(spark, sf), g, 10.0).select("uid", F.explode(F.array("src", "dst")).alias("id")).distinct(), "article-nodes")
+    found = stage(knowledge_graph.article_fellowships(own, g), "article-fellowships")
+    return found.select("uid", F.col("fellowship").alias("found")).union(knowledge_graph.article_dipoles(found, g))
+
+
+@query(sql(_GRAPH + """, k AS (SELECT src AS node, dst AS neighbour, type, weight, predicate FROM kg), b AS (SELECT node, neighbour, type FROM k UNION SELECT neighbour, node, type FROM k),
+t AS (SELECT id, CASE WHEN id LIKE 'T:%' THEN 'Topic' WHEN id LIKE 'D%' THEN 'Dipole' WHEN id LIKE 'F%' THEN 'Fellowship' ELSE 'Entity' END AS kind FROM (SELECT node AS id FROM b)), u AS (SELECT DISTINCT * FROM t),
+a(accessor, own, other) AS (VALUES ('fellowship_members', 'Fellowship', 'Entity'), ('fellowship_dipoles', 'Fellowship', 'Dipole'), ('dipole_fellowships', 'Dipole', 'Fellowship'), ('entity_fellowship', 'Entity', 'Fellowship'), ('entity_topics', 'Entity', 'Topic'), ('dipole_topics', 'Dipole', 'Topic'))
+SELECT DISTINCT accessor, node, neighbour FROM (SELECT DISTINCT node, neighbour FROM b) JOIN u x ON x.id = node JOIN u y ON y.id = neighbour JOIN a ON x.kind = own AND y.kind = other
+UNION ALL SELECT 'positive', node, neighbour FROM k WHERE type = 'Attitude' AND neighbour NOT LIKE 'T:%' AND weight > 0 UNION ALL SELECT 'negative', node, neighbour FROM k WHERE type = 'Attitude' AND neighbour NOT LIKE 'T:%' AND weight < 0
+UNION ALL SELECT predicate, node, neighbour FROM k WHERE type = 'Attitude' AND neighbour LIKE 'T:%'""", "adj", "et", "fellows", "dtop"))
+def g10_accessors(spark, sf):
+    """All accessors of neighbours by type and by sign, and attitudes to topics, for every node at once."""
+    g = _graph(spark, sf)
+    kinds = stage(knowledge_graph.nodes(g), "nodes")
+    rows = [knowledge_graph.accessor(g, kinds, name).withColumn("accessor", F.lit(name)) for name in knowledge_graph.ACCESSORS]
+    rows += [knowledge_graph.signed_neighbours(g, sign).withColumn("accessor", F.lit(name)) for name, sign in (("positive", True), ("negative", False))]
+    rows.append(knowledge_graph.entity_topic_attitudes(g).select("node", F.col("topic").alias("neighbour"), F.col("label").alias("accessor")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("accessor", "node", "neighbour")
+
+
+@query()
+def m8_betweenness(spark, sf):
+    """Shortest paths through each entity; unit tests hold it against counting paths."""
+    return graph.betweenness(t.sag_table(spark, sf)).select("entity", _r("betweenness"))
+
+
+@query(sql(_SSA + """, b AS (SELECT e1 AS entity, ssa FROM ssa UNION ALL SELECT e2, ssa FROM ssa), s AS (SELECT entity, round(round(sum(ssa), 5) / (1 - any_value(2 * least(pos, neg) / CAST(pos + neg AS DOUBLE)) + 1e-9), 3) AS score FROM b JOIN seen USING (entity) WHERE pos <> neg GROUP BY entity)
+SELECT * FROM (SELECT 'protagonist' AS role, entity, score FROM s ORDER BY score DESC, entity LIMIT 5) UNION ALL SELECT * FROM (SELECT 'antagonist', entity, score FROM s ORDER BY score, entity LIMIT 5)""", "commons", "seen"))
+def t3_protagonists(spark, sf):
+    """The five entities of highest score, and of lowest; those with as many positive as negative edges (whose score is no figure) apart."""
+    e = t.sag_table(spark, sf)
+    mixed = graph.signed_association_totals(e).join(graph.polarity_mix(e).filter("pos <> neg"), "entity")
+    scores = stage(mixed.select("entity", F.round(N.entity_score(F.round("ssa", 5), "mu"), 3).alias("score")), "scores")
+    top = lambda role, order: scores.orderBy(order, "entity").limit(5).select(F.lit(role).alias("role"), "entity", "score")
+    return top("protagonist", F.desc("score")).union(top("antagonist", F.asc("score")))
+
+
+@query("SELECT event_id, CAST(floor((row_number() OVER (ORDER BY value, event_id) - 1) * 7 / (SELECT count(*) FROM events)) AS INT) AS chunk FROM events")
+def m11_chunks(spark, sf):
+    return clustering.chunks(table(spark, sf, "events").select("event_id", "value"), ["value", "event_id"], 7).select("event_id", "chunk")
 
 
-_SAMPLE = """WITH s AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey % 50 AS VARCHAR) AS o FROM lineitem), n AS (SELECT path, s AS node FROM s UNION SELECT path, o FROM s), r AS (SELECT path, node, row_number() OVER (PARTITION BY path ORDER BY node) - 1 AS i FROM n)
+_SAMPLE = """WITH s AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_suppkey AS VARCHAR) AS s, CAST(l_partkey AS VARCHAR) AS o FROM lineitem), n AS (SELECT path, s AS node FROM s UNION SELECT path, o FROM s), r AS (SELECT path, node, row_number() OVER (PARTITION BY path ORDER BY node) - 1 AS i FROM n)
 SELECT path, (SELECT string_agg(node, ',' ORDER BY node) FROM n WHERE n.path = p.path) AS nodes, (SELECT string_agg(e, ';' ORDER BY i, j) FROM (SELECT DISTINCT a.i, b.i AS j, a.i || '-' || b.i AS e FROM s JOIN r a ON a.path = s.path AND a.node = s.s JOIN r b ON b.path = s.path AND b.node = s.o WHERE s.path = p.path AND s.s <> s.o)) AS edges FROM (SELECT DISTINCT path FROM s) p"""
 
 
 @query(_SAMPLE)
 def g18_tensors(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.lit(1).alias("label"), F.col("l_suppkey").cast("string").alias("s"), (F.col("l_partkey") % 50).cast("string").alias("o"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.lit(1).alias("label"), F.col("l_suppkey").cast("string").alias("s"), F.col("l_partkey").cast("string").alias("o"))
     edges = F.array_join(F.transform("edge_index", lambda e: F.concat_ws("-", e["i"].cast("string"), e["j"].cast("string"))), ";")
     return knowledge_graph.tensors(rows, size=4).select("path", F.array_join("nodes", ",").alias("nodes"), edges.alias("edges"))
 
@@ -554,9 +611,9 @@ def x4_clean_phrase(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.clean_phrase("p_name").alias("clean"))
 
 
-@query(f"SELECT item_id, len(list_filter({_WORDS.format(_stripped('text'))}, lambda x: x NOT IN {_STOP})) > 0 AS has_content FROM benchmark")
+@query(f"SELECT doc_id, len(list_filter({_WORDS.format(_stripped('text'))}, lambda x: x NOT IN {_STOP})) > 0 AS has_content FROM documents")
 def x5_has_content(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", X.phrase_has_content("text").alias("has_content"))
+    return table(spark, sf, "documents").select("doc_id", X.phrase_has_content("text").alias("has_content"))
 
 
 @query(f"SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM (SELECT {_WORDS.format('lower(text)')} AS w FROM benchmark)) GROUP BY g")
@@ -564,9 +621,9 @@ def x7_ngrams(spark, sf):
     return table(spark, sf, "benchmark").select(F.explode(X.ngrams(X.words(F.lower("text")), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
 
-@query("SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed, regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g') AS marks, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS folded FROM benchmark")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed, regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g') AS marks, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents")
 def x8_x13_x35_sequences(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", X.collapse("text").alias("collapsed"), X.punctuation_sequence("text").alias("marks"), X.ascii_fold("text").alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", X.collapse("text").alias("collapsed"), X.punctuation_sequence("text").alias("marks"), X.ascii_fold("text").alias("folded"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter({_WORDS.format('lower(text)')}, lambda x: x IN {_STOP}), ' ') AS stops FROM documents")
@@ -792,15 +849,15 @@ def f10_transform_entities(spark, sf):
     return kept.select("p_partkey", F.explode("e").alias("x")).select("p_partkey", "x.title")
 
 
-@query("SELECT item_id, '[SOURCE]' || substring(text, 4, 5) || '[TARGET]' || substring(text, 12) AS masked FROM benchmark WHERE len(text) >= 20")
+@query("SELECT doc_id, '[SOURCE]' || substring(text, 4, 5) || '[TARGET]' || substring(text, 12) AS masked FROM documents")
 def f17_x9_masked(spark, sf):
     spans = F.array(F.struct(F.lit(0).alias("begin"), F.lit(3).alias("end"), F.lit("[SOURCE]").alias("by")), F.struct(F.lit(8).alias("begin"), F.lit(11).alias("end"), F.lit("[TARGET]").alias("by")))
-    return table(spark, sf, "benchmark").filter(F.length("text") >= 20).select("item_id", X.replace_spans("text", spans, lambda s: s["by"]).alias("masked"))
+    return table(spark, sf, "documents").select("doc_id", X.replace_spans("text", spans, lambda s: s["by"]).alias("masked"))
 
 
-@query("SELECT item_id, instr(text, 'the') - 1 AS begin, instr(text, 'the') + 2 AS \"end\" FROM benchmark WHERE instr(text, 'the') > 0")
+@query("SELECT doc_id, instr(text, 'the') - 1 AS begin, instr(text, 'the') + 2 AS \"end\" FROM documents WHERE instr(text, 'the') > 0")
 def x10_first_span(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", X.first_span("text", "the").alias("s")).filter("s is not null").select("item_id", "s.begin", "s.end")
+    return table(spark, sf, "documents").select("doc_id", X.first_span("text", "the").alias("s")).filter("s is not null").select("doc_id", "s.begin", "s.end")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 3")
@@ -821,24 +878,30 @@ def g10_polarization_edges(spark, sf):
 
 @query()
 def x20_pos_counts(spark, sf):
-    """By the default tagger; any other can be plugged in."""
-    return syntax.pos_counts(syntax.parse(table(spark, sf, "benchmark"), column="text"), ["item_id"])
+    """By the default tagger; any other can be plugged in.  Tests hold both to a loop."""
+    return syntax.pos_counts(syntax.parse(table(spark, sf, "documents").select("doc_id", "text"), column="text"), ["doc_id"])
+
+
+@query()
+def x20_derived_counts(spark, sf):
+    return syntax.derived_counts(syntax.parse(table(spark, sf, "documents").select("doc_id", "text"), column="text"), ["doc_id"])
 
 
 @query()
 def x34_attitude_paths(spark, sf):
-    rows = syntax.parse(table(spark, sf, "benchmark"), column="text").filter(F.size("tokens") > 8)
-    return syntax.attitude_paths(rows.withColumns({"source": F.array(F.lit(1)), "target": F.array(F.lit(7))})).select("item_id", "paths")
+    """From the first to the last token of every sentence of the conversations."""
+    rows = syntax.parse(table(spark, sf, "conversations").select("conv_id", "turn", "text"), column="text").filter(F.size("tokens") > 1)
+    return syntax.attitude_paths(rows.withColumns({"source": F.array(F.lit(0)), "target": F.array(F.size("tokens") - 1)})).select("conv_id", "turn", "paths")
 
 
 @query()
 def l1_triple_embeddings(spark, sf):
-    return learning.embed_triples(knowledge_graph.triples(_graph(spark, sf).filter("type = 'MemberOf'")), 8, 2)[0]
+    return learning.embed_triples(knowledge_graph.triples(_graph(spark, sf)), 8)[0]
 
 
 @query()
 def s26_noun_phrases(spark, sf):
-    return readers.noun_phrases(readers.sentences(table(spark, sf, "benchmark").withColumn("uid", F.col("item_id").cast("string"))))
+    return readers.noun_phrases(readers.sentences(table(spark, sf, "documents").withColumn("uid", F.col("doc_id").cast("string"))))
 
 
 _PHRASES = ("of the", "and", "the", "in the", "de la")

@@ -317,7 +317,8 @@ def noun_phrases(sentence_rows: DataFrame) -> DataFrame:
     """S26 default: runs of words between stop words and punctuation, with offsets into the sentence."""
     from ..functions.text import STOP_WORDS
 
-    pattern = r"(?i)\b(?!(?:" + "|".join(STOP_WORDS) + r")\b)[\p{L}\p{N}-]+(?:[ ](?!(?:" + "|".join(STOP_WORDS) + r")\b)[\p{L}\p{N}-]+)*"
-    rows = sentence_rows.withColumn("ngram", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)))))
+    cut = F.regexp_replace("sentence", r"(?i)\b(?:" + "|".join(STOP_WORDS) + r")\b|\s{2,}|[^\p{L}\p{N} -]", "\u0001")
+    runs = F.transform(F.regexp_extract_all(cut, F.lit(r"[\p{L}\p{N}-][\p{L}\p{N} -]*"), F.lit(0)), lambda x: F.rtrim(x))  # no nested repetition: long runs need no stack
+    rows = sentence_rows.withColumn("ngram", F.explode(F.array_distinct(runs)))
     begin = F.call_function("locate", F.col("ngram"), F.col("sentence")) - 1
     return rows.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("ngram")).select("uid", "sent_ix", "ngram", "begin", "end")
