@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import token_counts
 from .common import blocks, spans, stage, text_bytes, texts
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -99,5 +100,11 @@ def pack_lengths(lengths: DataFrame, capacities=CAPACITIES, cost=cost, shard_row
     return pieces.groupBy("shard").applyInPandas(run, SCHEMA)
 
 
-def pack_documents(docs: DataFrame, **options) -> DataFrame:
-    return pack_lengths(word_lengths(docs), **options)
+def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and n_tokens: pieces of a sentencepiece vocabulary and one end token."""
+    return token_counts.counts(docs, tokenizer, cover=True).select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
+    """Documents in sequences: lengths in tokens of a tokenizer's vocabulary file, or in words without one."""
+    return pack_lengths(token_lengths(docs, tokenizer) if tokenizer else word_lengths(docs), **options)

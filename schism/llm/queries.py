@@ -12,7 +12,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -28,11 +29,11 @@ def op1_language_model(spark, sf_dir):
 
 
 def op2_packing(spark, sf_dir):
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op3_token_ids(spark, sf_dir):
-    return token_files.encode_and_check(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_files.encode_and_check(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op4_ngram_jaccard(spark, sf_dir):
@@ -45,7 +46,7 @@ def op5_neighbours(spark, sf_dir):
 
 
 def op6_token_counts(spark, sf_dir):
-    return token_counts.counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), cover=True)
+    return token_counts.counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), cover=True)
 
 
 def op7_quality(spark, sf_dir):
@@ -61,7 +62,7 @@ def op8_language(spark, sf_dir):
 
 
 def op9_bpe(spark, sf_dir):
-    return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -203,6 +203,49 @@ def test_pack(sizes):
     assert sum(map(packing.cost, capacity)) <= sum(map(packing.cost, alone))
 
 
+def slow_pack(sizes, capacities):
+    """Best fit by looking at every bin each time; the bin to open is the one of least cost less what its rest is worth."""
+    cheapest = min(packing.cost(c) / c for c in capacities)
+    bins, place, left, filled = [], [None] * len(sizes), 1.0, 1.0
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fit = [(b["room"], -b["late"], k) for k, b in enumerate(bins) if b["room"] >= sizes[i]]
+        if fit:
+            k = min(fit)[2]
+            filled += sizes[i]
+        else:
+            worth = cheapest * min(1.0, filled / left)
+            size = min((c for c in capacities if c >= sizes[i]), key=lambda c: (packing.cost(c) - worth * (c - sizes[i]), c))
+            left += size - sizes[i]
+            k = len(bins)
+            bins.append({"room": size, "used": 0, "late": 0})
+        place[i] = (k, bins[k]["used"])
+        bins[k]["room"] -= sizes[i]
+        bins[k]["used"] += sizes[i]
+        bins[k]["late"] = 1 + max(b["late"] for b in bins)
+    return [p[0] for p in place], [p[1] for p in place], [min(c for c in capacities if c >= b["used"]) for b in bins]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_pack_against_slow(sizes):
+    assert packing.pack(sizes, (16, 32, 64)) == slow_pack(sizes, (16, 32, 64))
+
+
+def test_pack_tokens(odd, small):
+    """Lengths of a tokenizer, very long texts in pieces, null and repeated ids dealt like others."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    own = set(token_counts.whole_pieces(model)[0])
+    for docs in (odd, small):
+        want = sorted((-1 if r.doc_id is None else r.doc_id, 1 + sum(slow_whole(w.decode(), own)[0] for w in (r.text or "").encode().split())) for r in docs.select("doc_id", "text").collect())
+        out = packing.pack_documents(docs, tokenizer=model).toPandas()
+        out["doc_id"] = out["doc_id"].fillna(-1)
+        first = out[out["piece"] == 0]
+        assert len(first) == len(want) and out["n_tokens"].sum() == sum(n for _, n in want) and (out["n_tokens"] <= 4096).all()
+        unique = {d: n for d, n in want if sum(x == d for x, _ in want) == 1}
+        got = out.groupby("doc_id")["n_tokens"].sum().to_dict()
+        assert all(got[d] == n for d, n in unique.items())
+
+
 def test_pack_documents(odd, none, small):
     for docs in (odd, small):
         lengths = sorted((r.doc_id or -1, len((r.text or "").encode().split()) + 1) for r in docs.select("doc_id", "text").collect())
