@@ -30,3 +30,29 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert sorted(packed.collect()) == sorted(corpus_pipeline.run(spark, SF).collect())
+
+
+def test_odd_tables(spark, odd, none):
+    """Null and repeated ids, null, blank and very long texts, clashing columns, an empty table: through all stages."""
+    again = odd.union(odd.filter("doc_id in (1, 10) or doc_id is null"))
+    for docs in (again, none):
+        before, kept = docs, docs
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            kept = function(spark, before, "/root/testdata/sf0.001").cache()
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+            rows, own = before.collect(), kept.collect()
+            assert set(map(str, own)) <= set(map(str, rows))
+            if name == "exact dedup":
+                texts = [(r.text or "").encode().lower() for r in own]
+                assert len(set(texts)) == len(texts) and set(texts) == {(r.text or "").encode().lower() for r in rows}
+            before = kept
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001")
+        assert packed.filter("piece = 0").count() == kept.count()
+
+
+def test_filters_of_an_empty_table(spark, odd, none):
+    from schism.llm import language, quality
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert quality.keep(none, quality.fit(docs, labels)).count() == 0 and language.keep(none, language.fit(docs)).count() == 0
