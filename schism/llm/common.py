@@ -136,10 +136,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, if what they are read from gives less than half as many tasks (a small table in one file)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() <= cores else docs
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of documents, to go to Python in small batches."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def release() -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, exists, few, lookup, mark, new_path, partitions, remove, rows_kept, small_batches, stage, stage_small
+from .common import blocks, exists, few, lookup, mark, new_path, partitions, remove, rows_kept, small_batches, spread, stage_small
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DIGESTS = "doc_id long, mark long, digest binary, text_sha256 string"
@@ -44,7 +44,7 @@ def _digests(width: int):
 
 def _texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark().alias("mark"))
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark().alias("mark"))
 
 
 def _stream(spark: SparkSession, digests: str, updates: str, checkpoint: str, files_per_trigger: int | None) -> DataFrame:

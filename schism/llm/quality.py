@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, small_batches, spans, text_bytes, word_hashes
+from .common import _LOWER, blocks, small_batches, spans, spread, text_bytes, word_hashes
 
 #: Upper edges of the bins of each structure statistic.
 _SHARES = (0.001, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.55, 0.7, 0.85, 0.95)
@@ -67,7 +67,7 @@ def _per_row(weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def with_metadata(docs: DataFrame) -> DataFrame:
     """doc_id, text and the metadata column of documents."""
     given = F.col(METADATA).cast("long") if METADATA in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", given.alias(METADATA))
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", given.alias(METADATA))
 
 
 def features(col: pa.Array, buckets: int, chars: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def filtered(docs: DataFrame, wanted) -> DataFrame:
     """Rows of docs, all columns as they were, for which `wanted` (a block of rows to a boolean array) holds."""
     small_batches(docs.sparkSession)
     keep, null = (next(n for n in (f"{base}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("keep_", "null_"))
-    plain = docs.withColumn(null, F.col("text").isNull())
+    plain = spread(docs).withColumn(null, F.col("text").isNull())
 
     def run(batches):
         for block in blocks(batches):
