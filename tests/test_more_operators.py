@@ -53,3 +53,31 @@ def test_learning(spark):
     masked = spark.createDataFrame([("good",), ("bad",)], "masked string")
     out = {r.masked: r.proba for r in learning.infer_attitudes(masked, lambda: lambda texts: [[0, 0, 5] if t == "good" else [5, 0, 0] for t in texts]).collect()}
     assert out["good"].positive > 0.9 and out["bad"].negative > 0.9
+
+
+def test_averages_of_a_long_series(spark, monkeypatch):
+    """A series that lies in several ranges and blocks has the averages of a loop over it."""
+    from schism.operators import moving
+
+    monkeypatch.setattr(moving, "BLOCK", 7)
+    random = np.random.default_rng(3)
+    names = ["a"] * 200 + ["b", "b", None, None, None] + ["c"] * 40
+    rows = [(k, i, float(x)) for i, (k, x) in enumerate(zip(names, random.normal(0, 5, len(names))))]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, i int, x double").repartition(5)
+        assert moving._ranges(df, ["k"], ["i"]).filter("k = 'a'").select("__range").distinct().count() > 2
+        args = (df, ["k"], ["i"], "x")
+        found = {f: {r.i: r[c] for r in d.collect()} for f, d, c in (("s", moving.simple(*args, 5), "sma"), ("c", moving.cumulative(*args), "cma"), ("w", moving.weighted(*args, 4), "wma"), ("e", moving.exponential(*args, 0.2), "ema"), ("n", moving.simple(*args, 5, -1, partial=False), "sma"))}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for name in ("a", "b", None, "c"):
+        own, ema = [r for r in rows if r[0] == name], None
+        for j, (_, i, x) in enumerate(own):
+            xs = [r[2] for r in own[: j + 1]]
+            ema = x if ema is None else 0.2 * x + 0.8 * ema
+            tail = xs[-4:]
+            want = {"s": np.mean(xs[-5:]), "c": np.mean(xs), "w": sum(v * (q + 1) for q, v in enumerate(tail)) / sum(range(1, len(tail) + 1)), "e": ema, "n": np.mean(xs[-5:]) if j >= 4 else -1}
+            assert all(abs(found[f][i] - want[f]) < 1e-9 for f in want), (name, j)
+    empty = spark.createDataFrame([], "k string, i int, x double")
+    assert [f(empty, ["k"], ["i"], "x", *more).count() for f, more in ((moving.simple, (3,)), (moving.cumulative, ()), (moving.weighted, (3,)), (moving.exponential, (0.5,)))] == [0] * 4
