@@ -1,4 +1,4 @@
-"""The signed attitude graph and what is measured on it (ids G1, A17, A24-A26, J8-J15, M2-M4, M8, U2)."""
+"""The signed attitude graph and what is measured on it (ids G1, G11, A17, A24-A26, J8-J15, M2-M4, M8, U2)."""
 
 from __future__ import annotations
 
@@ -237,6 +237,46 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return named.join(sums, "i", "left").select("entity", (F.coalesce("share", F.lit(0.0)) / pairs).alias("betweenness"))
 
 
+#: Most edges that are handed to a scorer of whole graphs.
+SCORED_EDGES = 2_000_000
+
+
+def _scored(edges: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` makes of the whole edge list (of checked size), sorted, with the nodes numbered by name."""
+    import numpy as np
+    import pandas as pd
+
+    if edges.limit(SCORED_EDGES + 1).count() > SCORED_EDGES:
+        raise ValueError(f"over {SCORED_EDGES} edges")
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        names, index = np.unique(np.concatenate([frame["e1"], frame["e2"]]), return_inverse=True)
+        ends = np.sort(index.reshape(2, -1), axis=0).tolist()
+        return run(names, sorted(zip(*ends, frame["weight"].tolist())))
+
+    return edges.groupBy(F.lit(0).alias("graph")).applyInPandas(whole, schema)
+
+
+def node_scores(edges: DataFrame, score=None) -> DataFrame:
+    """Entity, pole: what a scorer that is plugged in gives each node: (number of nodes, [(u, v, weight)]) -> a value per node number.
+
+    Without a scorer every value is null."""
+    import pandas as pd
+
+    kind = dict(edges.dtypes)["e1"]
+    if score is None:
+        return edges.select(F.explode(F.array("e1", "e2")).alias("entity")).distinct().withColumn("pole", F.lit(None).cast("double"))
+    return _scored(edges, lambda names, rows: pd.DataFrame({"entity": names, "pole": pd.Series(list(score(len(names), rows)), dtype="float64")}), f"entity {kind}, pole double")
+
+
+def graph_score(edges: DataFrame, score, without=None) -> DataFrame:
+    """One row, pole: the scorer's value of the graph, or of what is left without a node; no row if no edge is left."""
+    import pandas as pd
+
+    left = edges if without is None else edges.filter((F.col("e1") != F.lit(without)) & (F.col("e2") != F.lit(without)))
+    return _scored(left, lambda names, rows: pd.DataFrame({"pole": [float(score(len(names), rows))]}), "pole double")
+
+
 def group_density(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """A21 (structure): per fellowship, edges in both directions, densities of all, positive and negative edges."""
     e = group_edges(edges, groups)

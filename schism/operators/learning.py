@@ -1,4 +1,4 @@
-"""Models on graphs and pairs (ids L1, L3, L4, L8, M12): embeddings of triples, a classifier of pooled features, pluggable attitude models."""
+"""Models on graphs and pairs (ids L1, L3, L4, L6, L8, M12): embeddings of triples, a classifier of pooled features, pluggable attitude models."""
 
 from __future__ import annotations
 
@@ -66,6 +66,16 @@ def classifier(rows: DataFrame, folds: int = 3, penalties=(0.01, 0.1), seed: int
     return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed).fit(ready), ready
 
 
+def text_classifier(rows: DataFrame, load=None, column: str = "text", **options):
+    """`label` from a text: a cross-validated logistic regression (L4) over what an encoder that is plugged in (L11; hashed words by default) makes of it.
+
+    Returns the fitted model and the encoded rows; rows without a label have no part in the fit and are left out."""
+    from ..sources.annotators import encode, hashed_words
+
+    encoded = encode(rows.filter("label IS NOT NULL"), load or hashed_words, column).withColumnRenamed("embedding", "features")
+    return classifier(encoded, **options)
+
+
 def infer_attitudes(pairs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], column: str = "masked") -> DataFrame:
     """`proba` of masked sentences by a model that `load` brings up once per task; scores (negative, neutral, positive) pass a softmax."""
     schema = f"{pairs.schema.simpleString()[7:-1]}, proba:struct<negative:double,neutral:double,positive:double>"

@@ -209,14 +209,21 @@ def tree_hash(tree) -> int:
 
 
 def arborescence(scores: np.ndarray, root: int) -> list[tuple[int, int]]:
-    """Greedy spanning arborescence: from the root the best edge (parent, child) to a new node, again and again."""
-    n, inside, edges = len(scores), [root], []
-    while len(inside) < n:
-        rest = [i for i in range(n) if i not in inside]
-        part = scores[np.ix_(inside, rest)]
-        a, b = divmod(int(part.argmax()), len(rest))
-        edges.append((inside[a], rest[b]))
-        inside.append(rest[b])
+    """Greedy spanning arborescence: from the root the best edge (parent, child) to a new node, again and again.
+
+    Ties: the parent that was reached first, then the smaller child.  Every node keeps its best edge so far, so a step costs a row."""
+    n, edges = len(scores), []
+    best, parent, reached = np.array(scores[root], float), np.full(n, root), np.zeros(n, int)
+    outside = np.ones(n, bool)
+    outside[root] = False
+    for turn in range(1, n):
+        rest = np.flatnonzero(outside)
+        top = rest[best[rest] == best[rest].max()]
+        child = int(top[reached[parent[top]].argmin()])
+        edges.append((int(parent[child]), child))
+        outside[child], reached[child] = False, turn
+        nearer = outside & (scores[child] > best)
+        best[nearer], parent[nearer] = scores[child][nearer], child
     return edges
 
 
@@ -245,3 +252,29 @@ def group_arborescences(rows: DataFrame, key: str, position: str, vector: str, m
         return pd.DataFrame([(name[0], p, c, *stats.values()) for p, c in edges], columns=[key, "parent", "child", *stats])
 
     return rows.select(key, position, vector).groupBy(key).applyInPandas(run, f"{key} {kind}, parent int, child int, height double, leaves double, mean_distance double")
+
+
+def adjacent_scores(tokens: list[str]) -> np.ndarray:
+    """Default of L7: the nearer two tokens stand, the likelier is an edge between them."""
+    at = np.arange(len(tokens))
+    return 1 / (1 + np.abs(at[:, None] - at[None, :]))
+
+
+def scored_trees(rows: DataFrame, load=lambda: adjacent_scores, column: str = "tokens", root: int = 0) -> DataFrame:
+    """Adds heads, per token the position of its parent (-1 for the root): the arborescence of the scores (parent, child) that a model gives a list of tokens.
+
+    `load` brings the model up once per task.  Null and empty lists have no heads."""
+    schema = f"{rows.schema.simpleString()[7:-1]}, heads:array<int>"
+
+    def heads(model, tokens) -> list[int]:
+        out = [-1] * len(tokens)
+        for parent, child in arborescence(np.asarray(model(tokens), float), root) if len(tokens) else ():
+            out[child] = parent
+        return out
+
+    def run(frames):
+        model = load()
+        for frame in frames:
+            yield frame.assign(heads=pd.Series([heads(model, list(t) if t is not None else []) for t in frame[column]], index=frame.index, dtype=object))
+
+    return rows.mapInPandas(run, schema)

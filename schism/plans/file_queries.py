@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import attitudes, communities, entities, features, learning, metrics, syntax
+from ..operators import attitudes, communities, entities, features, graph, learning, metrics, syntax
 from ..sources import annotators, readers
 from ..sources.stages import shared_folder
 from . import tables as t
@@ -319,6 +319,41 @@ def l4_classifier(spark, sf):
     return model.transform(ready).select("path", "label", "prediction")
 
 
+@query()
+def l6_text_classifier(spark, sf):
+    """Quality of the labelled texts from hashed words; unit tests hold it to separable texts."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    model, ready = learning.text_classifier(table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id"), folds=2)
+    return model.transform(ready).select("doc_id", "label", "prediction")
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN '' ELSE array_to_string(list_transform(range(len(string_split(text, ' '))), lambda i: CAST(CAST(i AS BIGINT) - 1 AS VARCHAR)), ',') END AS heads FROM conversations")
+def l7_scored_trees(spark, sf):
+    """With the default scores, each token hangs on the one before it."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("tokens"))
+    return syntax.scored_trees(rows).select("conv_id", "turn", F.array_join(F.col("heads").cast("array<string>"), ",").alias("heads"))
+
+
+@query(sql("SELECT CAST(entity AS VARCHAR) AS entity, round(neg / CAST(pos + neg AS DOUBLE), 6) AS pole FROM seen UNION ALL SELECT 'graph', round(avg((weight < 0)::INT), 6) FROM sag UNION ALL SELECT 'without 1', round(avg((weight < 0)::INT), 6) FROM sag WHERE e1 <> 1 AND e2 <> 1", "seen"))
+def g11_scored(spark, sf):
+    """A scorer (share of negative edges) plugged in for nodes, the graph, and the graph without a node."""
+    e = t.sag_table(spark, sf)
+
+    def share(n, rows):
+        pos, neg = [0] * n, [0] * n
+        for u, v, w in rows:
+            for x in (u, v):
+                pos[x] += w > 0
+                neg[x] += w < 0
+        return [b / (a + b) for a, b in zip(pos, neg)]
+
+    whole = lambda n, rows: sum(w < 0 for _, _, w in rows) / len(rows)
+    out = graph.node_scores(e, share).select(F.col("entity").cast("string").alias("entity"), _r("pole"))
+    for name, without in (("graph", None), ("without 1", 1)):
+        out = out.union(graph.graph_score(e, whole, without).select(F.lit(name).alias("entity"), _r("pole")))
+    return out
+
+
 @query("SELECT conv_id, turn, round(exp(len(text) / 100.0 - 2) / (1 + exp(1) + exp(len(text) / 100.0 - 2)), 6) AS positive, round(1 / (1 + exp(1) + exp(len(text) / 100.0 - 2)), 6) AS negative FROM conversations WHERE len(text) < 2000")
 def l8_l9_attitudes(spark, sf):
     """A model that scores the length of a text, plugged in as any other."""

@@ -81,3 +81,50 @@ def test_averages_of_a_long_series(spark, monkeypatch):
             assert all(abs(found[f][i] - want[f]) < 1e-9 for f in want), (name, j)
     empty = spark.createDataFrame([], "k string, i int, x double")
     assert [f(empty, ["k"], ["i"], "x", *more).count() for f, more in ((moving.simple, (3,)), (moving.cumulative, ()), (moving.weighted, (3,)), (moving.exponential, (0.5,)))] == [0] * 4
+
+
+def test_scorers_and_trees(spark):
+    """Plugged-in scorers of graphs (G11), trees from plugged-in scores (L7), and a classifier of texts."""
+    from schism.operators import graph
+
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", -1), ("a", "c", -1), ("c", "d", 1)], "e1 string, e2 string, weight int")
+    given = []
+    degree = lambda n, rows: given.append(rows) or [sum(x in r[:2] for r in rows) for x in range(n)]
+    assert {r.entity: r.pole for r in graph.node_scores(edges, degree).collect()} == {"a": 2, "b": 2, "c": 3, "d": 1}
+    assert {r.entity: r.pole for r in graph.node_scores(edges).collect()} == dict.fromkeys("abcd")
+    total = lambda n, rows: n + sum(w for _, _, w in rows)
+    assert [graph.graph_score(edges, total, without).collect() for without in (None, "c", "zz")] == [[(4.0,)], [(3.0,)], [(4.0,)]]
+    assert graph.graph_score(edges.filter("e1 = 'c'"), total, "c").collect() == [] == graph.node_scores(edges.limit(0), degree).collect()
+    rows = spark.createDataFrame([(1, ["x", "y", "z"]), (2, []), (3, None)], "i int, tokens array<string>")
+    assert {r.i: r.heads for r in syntax.scored_trees(rows).collect()} == {1: [-1, 0, 1], 2: [], 3: []}
+    star = lambda: lambda tokens: np.eye(len(tokens))[[1] * len(tokens)].T
+    assert {r.i: r.heads for r in syntax.scored_trees(rows, star, root=1).collect()}[1] == [1, -1, 1]
+    texts = spark.createDataFrame([(i, f"good fine {i}" if i % 2 else f"bad poor {i}", float(i % 2)) for i in range(60)] + [(99, "good", None)], "i int, text string, label double")
+    model, ready = learning.text_classifier(texts, folds=2)
+    found = model.transform(ready).select("label", "prediction").collect()
+    assert len(found) == 60 and all(r.label == r.prediction for r in found)
+
+
+def test_consensus_distances():
+    """Jaccard distances and Ward's merges equal a loop over pairs, whatever the size of a portion."""
+    from schism.operators import communities
+
+    random = np.random.default_rng(2)
+    sets = [set(map(int, random.integers(0, 12, int(k)))) for k in random.integers(1, 9, 30)]
+    want = [[0 if i == j else 1 - len(a & b) / len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for most in (1, 7, 1 << 22):
+        assert np.allclose(communities._jaccard_distance(sets, most), want)
+    d, members = np.array(want) ** 2, [[k] for k in range(len(sets))]
+    size = np.ones(len(sets))
+    while True:  # every pair looked at before every merge
+        pairs = [(d[i, j], i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if members[i] and members[j]]
+        low, i, j = min(pairs)
+        if low**0.5 > 0.6:
+            break
+        for k in range(len(sets)):
+            if members[k] and k not in (i, j):
+                d[i, k] = d[k, i] = ((size[i] + size[k]) * d[i, k] + (size[j] + size[k]) * d[j, k] - size[k] * low) / (size[i] + size[j] + size[k])
+        size[i] += size[j]
+        members[i], members[j] = members[i] + members[j], []
+    label = communities.ward(np.array(want), 0.6)
+    assert {tuple(sorted(m)) for m in members if m} == {tuple(np.flatnonzero(label == c)) for c in range(label.max() + 1)}
