@@ -79,6 +79,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size: that of its files where it is read from files.  Only ever steers how work is divided."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most this many rows, so that it may be broadcast."""
     return df.limit(most + 1).count() <= most

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_stage, exists, few, lookup, lower_words, mark, mix, narrow, new_path, pack, partitions, released, remove, rows_kept, stage, stage_small, texts, unpack
+from .common import blocks, drop_stage, exists, few, input_bytes, lookup, lower_words, mark, mix, narrow, new_path, pack, partitions, released, remove, rows_kept, stage, stage_small, texts, unpack
 from .components import components
 
 #: Documents with a token from which on it is frequent, and entries of the broadcast list of such tokens (8 bytes
@@ -40,6 +40,9 @@ FREQUENT, LISTED = 16, 1_000_000
 #: Rare tokens by which a prefix is extended beyond the first e + 1, so that a pair has to share one more for each;
 #: bits of a token's hash that are counted in a shard.
 EXTRA, COUNTED_BITS = 4, 26
+#: Bytes of documents whose tokens and entries make up a shard, and most bits of a shard's number: beyond those
+#: (2**20 shards) shards grow.  Neither changes a result.
+SHARD_BYTES, MOST_BITS = 32 << 20, 20
 #: Members of an index entry from which on it makes a family instead of pairs; sets in a tile.
 PAIRED, TILE = 256, 512
 #: In an entry: below this the extra tokens of a prefix, from it on a combination and the share of frequent tokens.
@@ -120,7 +123,8 @@ class _Join:
         self.docs = texts(docs).withColumn("mark", mark())
         self.spark, self.n = docs.sparkSession, n
         self.num, self.den = threshold
-        self.bits = max(4, (partitions(self.spark) - 1).bit_length() + 1)
+        shards = max(8, 2 * partitions(self.spark) - 1, -(-input_bytes(docs) // SHARD_BYTES))  # as many as the input asks for
+        self.bits = max(4, min((shards - 1).bit_length(), MOST_BITS))
 
     # -- counts
 
@@ -132,7 +136,7 @@ class _Join:
         def counted(held):
             keys, times = np.unique(np.concatenate(held) >> shift, return_counts=True)
             edges = np.searchsorted(keys >> np.uint64(COUNTED_BITS), np.arange((1 << bits) + 1).astype(np.uint64))
-            full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
+            full = np.flatnonzero(np.diff(edges)).tolist()
             low = (keys & np.uint64((1 << COUNTED_BITS) - 1)).astype(np.uint32)
             data = [pack(np.diff(low[edges[s] : edges[s + 1]], prepend=np.uint32(0))) for s in full]
             more = [pack(narrow(times[edges[s] : edges[s + 1]])) for s in full]
@@ -201,7 +205,7 @@ class _Join:
             keep = ~kin | (head == np.arange(len(sig)))
             sig, node, size, share = sig[keep], node[keep], size[keep], share[keep]
             edges = np.searchsorted(sig >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
-            full = [s for s in range(1 << bits) if edges[s + 1] > edges[s]]
+            full = np.flatnonzero(np.diff(edges)).tolist()
             data = [_join([pack(a) for a in (np.diff(sig[i:j], prepend=np.uint64(0)), node[i:j], narrow(size[i:j]), share[i:j])]) for i, j in ((edges[s], edges[s + 1]) for s in full)]
             local = [-1 - int(k) for k in np.random.default_rng(int(node[0]) & 0xFFFF if len(node) else 0).integers(0, 1 << 16, len(kin_rows))]  # any task will do
             return pa.RecordBatch.from_arrays([pa.array(full + local, pa.int32()), pa.array(data + kin_rows, pa.binary())], ["shard", "data"])

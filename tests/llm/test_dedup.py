@@ -40,6 +40,17 @@ def test_join_small_table(spark, small, n, threshold):
     assert got(jaccard_join.join_components(small, n, threshold)) == brute_components(rows, n, *threshold)
 
 
+def test_join_shards_follow_input(spark, small, monkeypatch):
+    """More input gives more shards, up to a bound; the links stay the same."""
+    want = got(jaccard_join.join_components(small))
+    few = jaccard_join._Join(small, 5, (80, 100)).bits
+    monkeypatch.setattr(jaccard_join, "SHARD_BYTES", 64)
+    many = jaccard_join._Join(small, 5, (80, 100)).bits
+    assert few < many <= jaccard_join.MOST_BITS
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 8)
+    assert jaccard_join._Join(small, 5, (80, 100)).bits == 8 and got(jaccard_join.join_components(small)) == want
+
+
 @pytest.mark.parametrize("frequent,paired,tile", [(2, 256, 512), (3, 2, 3), (1000, 3, 4)])
 def test_join_groups_of_copies(spark, monkeypatch, frequent, paired, tile):
     """Large groups of near copies, some linked through one text only, whatever the classes and tiles are."""
