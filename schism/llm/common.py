@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches  # noqa: F401 (for the operators)
+
 #: Bytes of text that a Python worker turns into arrays at a time; a longer single text is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Rows below which a list of keys may be broadcast (8 to 16 bytes each); larger lists are joined by a shuffle.
@@ -128,19 +130,6 @@ def lookup(left: DataFrame, right: DataFrame, on: str, row: str = "doc_id") -> D
     return left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"], "left").drop("__salt")
 
 
-#: Most bytes and rows of an Arrow batch: both sides hold a batch at a time outside the heap, whole texts in it.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless they already are smaller."""
-    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key)
-        if not now.isdigit() or int(now) <= 0 or int(now) > most:
-            spark.conf.set(key, str(most))
-
-
 def spread(docs: DataFrame) -> DataFrame:
     """docs over all cores, if what they are read from gives less than half as many tasks (a small table in one file)."""
     cores = docs.sparkSession.sparkContext.defaultParallelism

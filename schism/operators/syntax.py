@@ -10,12 +10,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.batches import pieces, small_batches, structs
 from ..functions.text import STOP_WORDS
 
 TOKEN = "array<struct<text:string,lemma:string,pos:string,head:int,dep:string>>"
+TOKEN_TYPE = ArrayType(StructType([StructField(c, IntegerType() if c == "head" else StringType()) for c in ("text", "lemma", "pos", "head", "dep")]))
 #: Closed classes of English by Penn tag, and endings of open ones in the order they are tried.
 _CLOSED = {"DT": ("the", "a", "an", "this", "that"), "IN": ("of", "in", "for", "on", "with", "at", "by", "from"), "CC": ("and", "or", "but"), "PRP": ("he", "she", "it", "they", "we", "i", "you"), "TO": ("to",), "MD": ("will", "can", "may", "must")}
 _ENDINGS = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("ous", "JJ"), ("ful", "JJ"), ("able", "JJ"), ("s", "NNS"))
@@ -41,14 +46,20 @@ def tag(word: str) -> str:
 
 
 def parse(sentences: DataFrame, parser: Callable[[str], list[tuple]] = chain_parser, column: str = "sentence") -> DataFrame:
-    """Adds `tokens` by a parser, in Arrow batches."""
+    """Adds `tokens` by a parser, a bounded piece of text at a time: a batch of whole tokens would grow with the rows of a task."""
+    small_batches(sentences.sparkSession)
+    rows = sentences.drop("tokens")
+    schema = StructType([*rows.schema.fields, StructField("tokens", TOKEN_TYPE)])
+    kind = to_arrow_type(schema["tokens"].dataType)
 
-    @F.pandas_udf(TOKEN)
-    def run(texts: pd.Series) -> pd.Series:
-        names = ("text", "lemma", "pos", "head", "dep")
-        return texts.map(lambda s: [dict(zip(names, t)) for t in parser(s)])
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column))
+            for start, stop in pieces(texts):
+                found = structs([parser(s) for s in texts.slice(start, stop - start).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, found], [*batch.schema.names, "tokens"])
 
-    return sentences.withColumn("tokens", run(column))
+    return rows.mapInArrow(run, schema)
 
 
 def pos_counts(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,9 +127,15 @@ def _simple_paths(near, start, goal):
 def attitude_paths(pairs: DataFrame) -> DataFrame:
     """X34 on rows with tokens, source and target (arrays of token numbers): adds `paths`."""
 
-    @F.pandas_udf("array<array<string>>")
-    def run(tokens: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([paths_between(list(t), list(s), list(g)) for t, s, g in zip(tokens, source, target)])
+    small_batches(pairs.sparkSession)
+
+    @F.arrow_udf("array<array<string>>")
+    def run(tokens: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.list_(pa.list_(pa.string())))]
+        for start, stop in pieces(tokens, 1 << 14):
+            own = (c.slice(start, stop - start).to_pylist() for c in (tokens, source, target))
+            out.append(pa.array([paths_between(t, s, g) for t, s, g in zip(*own)], out[0].type))
+        return pa.concat_arrays(out)
 
     return pairs.withColumn("paths", run("tokens", "source", "target"))
 
