@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces, structs
+
 #: English contractions and their expansions, in the order in which they apply.
 CONTRACTIONS = (
     (r"(\b)([Aa]re|[Cc]ould|[Dd]id|[Dd]oes|[Dd]o|[Hh]ad|[Hh]as|[Hh]ave|[Ii]s|[Mm]ight|[Mm]ust|[Ss]hould|[Ww]ere|[Ww]ould)n't", "$1$2 not"),
@@ -224,22 +226,25 @@ def surface(docs: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> DataF
 def ngram_spans(c, n: int, stop_words=STOP_WORDS) -> Column:
     """Array of (ngram, from, to): n tokens (words, or single marks) as they stand in the text, offsets with exclusive ends; grams of marks alone or of stop words alone are left out.
 
-    In Arrow batches: no built-in function gives the places of matches in linear time."""
+    In Arrow batches, a bounded piece of text at a time: no built-in function gives the places of matches in linear time."""
     token = re.compile(r"\w+|[^\w\s]")
 
-    @F.pandas_udf("array<struct<ngram:string,from:int,to:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            found = [(m.start(), m.end(), m.group()) for m in token.finditer(text or "")]
-            kind = [(w in stop_words, w[0].isalnum() or w[0] == "_") for _, _, w in found]
-            rows = []
-            for i in range(len(found) - n + 1):
-                if any(word for _, word in kind[i : i + n]) and not all(stop for stop, _ in kind[i : i + n]):
-                    a, b = found[i][0], found[i + n - 1][1]
-                    rows.append({"ngram": text[a:b], "from": a, "to": b})
-            out.append(rows)
-        return pd.Series(out, dtype=object)
+    kind = pa.list_(pa.struct([("ngram", pa.string()), ("from", pa.int32()), ("to", pa.int32())]))
+
+    def grams(text) -> list[tuple]:
+        found = [(m.start(), m.end(), m.group()) for m in token.finditer(text or "")]
+        mark = [(w in stop_words, w[0].isalnum() or w[0] == "_") for _, _, w in found]
+        rows = []
+        for i in range(len(found) - n + 1):
+            if any(word for _, word in mark[i : i + n]) and not all(stop for stop, _ in mark[i : i + n]):
+                a, b = found[i][0], found[i + n - 1][1]
+                rows.append((text[a:b], a, b))
+        return rows
+
+    @F.arrow_udf("array<struct<ngram:string,from:int,to:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(start, stop - start).to_pylist() for start, stop in pieces(texts))
+        return pa.concat_arrays([pa.array([], kind), *(structs([grams(t) for t in own], kind) for own in parts)])
 
     return run(_c(c))
 

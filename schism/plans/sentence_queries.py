@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.batches import small_batches
 from ..operators import features, syntax
 from .registry import query
 from .tables import table
@@ -13,6 +14,7 @@ from .tables import table
 @query()
 def x7_ngram_spans(spark, sf):
     """Two tokens each, as they stand in the text; tests hold them against a loop over the text."""
+    small_batches(spark)
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(X.ngram_spans("text", 2)).alias("g"))
     return rows.select("conv_id", "turn", "g.*")
 
