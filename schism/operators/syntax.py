@@ -174,6 +174,51 @@ def complexity(tree) -> dict[str, float]:
     return out
 
 
+def measured(text: str) -> tuple[int, dict[str, float]]:
+    """Number of words of a bracketed parse and its complexity, in one pass over the text (no tree, no recursion).
+
+    As in a tree, what stands first within a bracket is its label and isn't measured."""
+    parts = text.replace("(", " ( ").replace(")", " ) ").split()
+    count = {"NP": 0, "VP": 0}
+    total = {"NP": 0, "VP": 0}
+    words, top, above = 0, None, []  # above: of each open bracket the label (None before it is read), the height of its children, the counts before it
+    label, height = None, -1
+    for part in parts:
+        if part == "(":
+            above.append((label, height, words, *count.values(), *total.values()))
+            label, height = None, 0
+        elif part == ")":
+            if not above:
+                break
+            done = height + 1
+            if label in count:
+                count[label] += 1
+                total[label] += done
+            label, height, *before = above.pop()
+            if not above:
+                top = done
+                break
+            if label is None:  # a bracket in the place of a label
+                words, count["NP"], count["VP"], total["NP"], total["VP"] = before
+                label = ""
+            elif done > height:
+                height = done
+        elif not above:
+            words, top = 1, 0
+            break
+        elif label is None:
+            label = part
+        else:
+            words += 1
+    if top is None:
+        tree = read_tree(text)
+        return len(leaves(tree)), complexity(tree)
+    out = {"depth": float(top)}
+    for kind, n in count.items():
+        out |= {f"{kind.lower()}_count": float(n), f"{kind.lower()}_depth": total[kind] / n if n else 0.0}
+    return words, out
+
+
 def complexities(rows: DataFrame, column: str = "parse", most: int = 70) -> DataFrame:
     """X27 on bracketed parses, a string or an array with one for each sentence: adds depth, np_count, np_depth, vp_count, vp_depth.
 
@@ -185,8 +230,8 @@ def complexities(rows: DataFrame, column: str = "parse", most: int = 70) -> Data
     def run(parses: pd.Series) -> pd.DataFrame:
         out = []
         for own in parses:
-            trees = [read_tree(p) for p in ([own] if single else own if own is not None else []) if p and p.strip()]
-            short = [complexity(t) for t in trees if len(leaves(t)) <= most]
+            trees = [measured(p) for p in ([own] if single else own if own is not None else []) if p and p.strip()]
+            short = [c for words, c in trees if words <= most]
             out.append([float(np.mean([c[n] for c in short])) if short else None if trees else 0.0 for n in names])
         return pd.DataFrame(out, columns=list(names), dtype=object).astype("float64")
 

@@ -11,7 +11,7 @@ from ..sources import annotators, readers
 from ..sources.stages import shared_folder
 from . import tables as t
 from .registry import _r, query
-from .tables import sql, table
+from .tables import spread, sql, table
 
 
 def _folder(spark, name: str) -> str:
@@ -262,7 +262,7 @@ def x12_propagated(spark, sf):
 def _parses(spark, sf):
     """A bracketed parse of each part: a noun phrase in it for every point of its size, a verb phrase around all."""
     deep = F.concat(F.repeat(F.lit("(NP "), F.col("p_size")), F.lit("(NN x)"), F.repeat(F.lit(")"), F.col("p_size")))
-    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("(S (NP (NN y)) (VP (VB is) "), deep, F.lit("))")).alias("parse"))
+    return spread(table(spark, sf, "part")).select("p_partkey", F.concat(F.lit("(S (NP (NN y)) (VP (VB is) "), deep, F.lit("))")).alias("parse"))
 
 
 @query("SELECT p_partkey, CAST(p_size + 3 AS DOUBLE) AS depth, CAST(p_size + 1 AS DOUBLE) AS np_count, round((2 + p_size * (p_size + 3) / 2.0) / (p_size + 1), 6) AS np_depth, CAST(1 AS DOUBLE) AS vp_count, CAST(p_size + 2 AS DOUBLE) AS vp_depth FROM part")

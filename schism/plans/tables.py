@@ -14,8 +14,14 @@ from ..sources.stages import stage
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; texts go over all cores where their file gives less than half as many tasks, as work on them is long."""
-    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name == "documents" and 2 * rows.rdd.getNumPartitions() <= cores else rows
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if what they are read from gives less than half as many tasks: for long work on each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 def mentions(spark, sf) -> DataFrame:
