@@ -303,16 +303,21 @@ def _place(acc, s, text):
 def gazetteer_entities(sentence_rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """S21/S25 default: names of a gazetteer (name, title) that occur in a sentence as a run of its words, first occurrence.
 
-    Runs of up to as many words as occur in the gazetteer meet it by an equi-join."""
+    Runs of up to as many words as occur in the gazetteer meet it by an equi-join: the runs, many times their sentences, are never the broadcast side."""
     from ..functions.text import ngrams, words
 
     longest = gazetteer.agg(F.max(F.size(words("name")))).first()[0] or 1
     grams = F.flatten(F.array(*(ngrams(words(F.regexp_replace("sentence", r"[^\p{L}\p{N}\s]", "")), n) for n in range(1, longest + 1))))
-    hit = sentence_rows.withColumn("name", F.explode(F.array_distinct(grams))).join(gazetteer, "name")
+    hit = sentence_rows.withColumn("name", F.explode(F.array_distinct(grams))).join(_never_the_left(gazetteer), "name")
     begin = F.call_function("locate", F.col("name"), F.col("sentence")) - 1
     return hit.withColumn("begin", begin).filter("begin >= 0").withColumn("end", F.col("begin") + F.length("name")).select("uid", "sent_ix", "title", "name", "begin", "end")
 
 
+def _never_the_left(right: DataFrame, most: int = 100_000) -> DataFrame:
+    """A list to join, broadcast after a count, else by a merge join: a size that Spark doesn't know (a list from the driver) would have it broadcast the rows instead."""
+    return F.broadcast(right) if right.limit(most + 1).count() <= most else right.hint("merge")
+
+
 def noun_phrases(sentence_rows: DataFrame) -> DataFrame:
     """S26 default: runs of words between stop words and punctuation, with offsets into the sentence."""
     from ..functions.text import STOP_WORDS
