@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most triples that are fitted in the driver's numpy.
@@ -43,24 +43,41 @@ def embed_triples(triples: DataFrame, size: int = 32, epochs: int = 20, rate: fl
     return frame(names, e), frame(relations, w)
 
 
+#: Most numbers of all vectors that may be broadcast.
+BROADCAST_NUMBERS = 4_000_000
+
+
 def pooled_features(samples: DataFrame, vectors: DataFrame) -> DataFrame:
-    """L3 stand-in: path, label, features: mean vector of a sample's nodes, its edges and nodes (samples: path, label, s, o)."""
-    ends = samples.select("path", F.col("s").alias("name")).union(samples.select("path", "o")).distinct()
-    long = ends.join(vectors, "name").select("path", F.posexplode("vector").alias("pos", "x")).groupBy("path", "pos").agg(F.avg("x").alias("x"))
-    mean = long.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))
-    size = ends.groupBy("path").agg(F.count("*").cast("double").alias("nodes"))
-    edges = samples.groupBy("path").agg(F.max("label").alias("label"), F.count("*").cast("double").alias("edges"))
-    return edges.join(size, "path").join(mean, "path").select("path", "label", F.concat("mean", F.array(F.log1p("nodes"), F.log1p("edges"))).alias("features"))
+    """L3 stand-in: path, label, features: mean vector of a sample's nodes, its edges and nodes (samples: path, label, s, o).
+
+    Samples are dealt by path once, into as many parts as their size asks for, so that no task's tables grow with the input; the means take a column per dimension."""
+    from ..sources.stages import parts
+
+    held = vectors.agg(F.sum(F.size("vector")).alias("n"), F.max(F.size("vector")).alias("size")).first()
+    numbered = vectors.filter("vector is not null").select("name", "vector", F.row_number().over(Window.partitionBy("name").orderBy("name")).alias("copy"))
+    dealt = samples.filter("path is not null").select("path", "label", "s", "o").repartition(parts(samples), "path")
+    both = F.array(F.struct(F.col("s").alias("name"), F.lit(1).alias("edges")), F.struct(F.col("o").alias("name"), F.lit(0).alias("edges")))
+    nodes = dealt.select("path", "label", F.explode(both).alias("e")).groupBy("path", "e.name").agg(F.max("label").alias("label"), F.sum("e.edges").alias("edges"))
+    found = nodes.join(F.broadcast(numbered) if (held["n"] or 0) <= BROADCAST_NUMBERS else numbered.hint("merge"), "name", "left")
+    one = F.coalesce(F.col("copy"), F.lit(1)) == 1  # a name of several vectors is one node
+    mean = [F.avg(F.get("vector", F.lit(i))).alias(f"m{i}") for i in range(held["size"] or 0)]
+    out = found.groupBy("path").agg(F.max("label").alias("label"), F.sum(F.when(one, F.col("edges"))).cast("double").alias("edges"), F.sum(F.when(one, 1)).cast("double").alias("nodes"), F.max(F.size("vector")).alias("size"), *mean)
+    own = F.slice(F.array(*(f"m{i}" for i in range(len(mean)))).cast("array<double>"), 1, F.col("size"))
+    return out.filter("size > 0").select("path", "label", F.concat(own, F.array(F.log1p("nodes"), F.log1p("edges"))).alias("features"))
 
 
 def classifier(rows: DataFrame, folds: int = 3, penalties=(0.01, 0.1), seed: int = 11):
-    """L4: cross-validated logistic regression over `features` (array) and `label`; returns the fitted model and its rows' vector form."""
+    """L4: cross-validated logistic regression over `features` (array) and `label`; returns the fitted model and its rows' vector form.
+
+    The rows are staged: every pass of every fit reads them."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    ready = rows.withColumn("features", array_to_vector("features"))
+    from ..sources.stages import stage
+
+    ready = stage(rows, "features").withColumn("features", array_to_vector("features"))
     model = LogisticRegression(maxIter=30)
     grid = ParamGridBuilder().addGrid(model.regParam, list(penalties)).build()
     return CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed).fit(ready), ready

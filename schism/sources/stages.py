@@ -28,6 +28,13 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(df: DataFrame, most: int = 4 << 20) -> int:
+    """Into how many parts to deal df so that one holds a bounded share of its input: one for each `most` bytes read, as many as there are shuffle partitions at least."""
+    read = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-read // most)) if read < 1 << 50 else least  # a size that Spark doesn't know
+
+
 def new_rows(df: DataFrame, done: DataFrame, key: str = "uid") -> DataFrame:
     """Incremental stages: rows whose key isn't in the stage table yet."""
     return df.join(done.select(key).distinct(), key, "left_anti")
