@@ -20,13 +20,18 @@ def chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return numbered.withColumn("chunk", F.floor(F.col("__i") * n / F.col("__n")).cast("int")).drop("__one", "__i", "__n")
 
 
+#: Blocks that similar vectors are dealt into while a block holds at most the second figure of rows.
+BLOCKS, BLOCK_ROWS = 8, 32_768
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = 2_000) -> DataFrame:
-    """Pairs (a < b) of cosine at least the threshold: blocks of rows against blocks of rows, one matrix product each.
+    """Pairs (a < b) of cosine at least the threshold: blocks of rows against blocks of rows, products of at most `block` rows each side.
 
     All pairs are compared (a threshold far from 1 leaves no sound filter), but only blocks are dealt and only pairs
-    over the threshold leave a task.
+    over the threshold leave a task.  A row is sent once for each block, so the blocks stay few and grow with the rows, up to BLOCK_ROWS.
     """
-    parts = max(1, -(-vectors.count() // block))
+    n = vectors.count()
+    parts = max(1, min(-(-n // block), BLOCKS), -(-n // BLOCK_ROWS))
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("id", "v", "p", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
 
@@ -34,13 +39,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
         m = np.stack(frame["v"].to_numpy())
         norm = np.sqrt((m * m).sum(1))
         ids, part = frame["id"].to_numpy(), frame["p"].to_numpy()
-        a, b = np.flatnonzero(part == tile[0]), np.flatnonzero(part == tile[1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = (m[a] @ m[b].T) / norm[a][:, None] / norm[b][None]
-        i, j = np.nonzero(cosine >= threshold)
-        x, y = ids[a[i]], ids[b[j]]
-        ok = (x < y) if tile[0] == tile[1] else x != y
-        return pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok], "similarity": cosine[i, j][ok]})
+        first, second = np.flatnonzero(part == tile[0]), np.flatnonzero(part == tile[1])
+        out = []
+        for at in range(0, len(first), block):
+            for to in range(0, len(second), block):
+                a, b = first[at : at + block], second[to : to + block]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = (m[a] @ m[b].T) / norm[a][:, None] / norm[b][None]
+                i, j = np.nonzero(cosine >= threshold)
+                x, y = ids[a[i]], ids[b[j]]
+                ok = (x < y) if tile[0] == tile[1] else x != y
+                out.append((np.minimum(x, y)[ok], np.maximum(x, y)[ok], cosine[i, j][ok]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [ids[:0], ids[:0], norm[:0]]
+        return pd.DataFrame(dict(zip(("a", "b", "similarity"), columns)))
 
     return rows.groupBy("x", "y").applyInPandas(run, "a long, b long, similarity double")
 
