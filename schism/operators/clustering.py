@@ -64,6 +64,7 @@ def take_clusters(pairs: DataFrame, min_size: int = 3) -> DataFrame:
     """
     from ..sources.stages import stage
 
+    pairs = stage(pairs, "pairs")  # read three times
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     near = pairs.select(F.col("a").alias("head"), F.col("b").alias("member"), "similarity").union(pairs.select("b", "a", "similarity")).union(ids.select("id", "id", F.lit(1.0)))
     left = stage(near.join(near.groupBy("head").agg(F.count("*").alias("size")).filter(F.col("size") >= min_size), "head"), "clusters")
