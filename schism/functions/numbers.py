@@ -23,9 +23,11 @@ def bin_label(c, bins, default: str = "NEUTRAL", last: bool = False) -> Column:
     return out
 
 
-def equal_width_bin(c, lo, hi, n: int = 10) -> Column:
-    """Number (from 1) of the equal-width bin; the last one is closed; a single-valued range is widened by a half."""
+def equal_width_bin(c, lo, hi, n: int = 10, widen: bool = True) -> Column:
+    """Number (from 1) of the equal-width bin; the last one is closed; a single-valued range is widened by a half, or else lies in the last bin."""
     c, lo, hi = _c(c), _c(lo), _c(hi)
+    if not widen:
+        return F.least(F.floor(F.try_divide(c - lo, (hi - lo) / n)).cast("int") + 1, F.lit(n))
     left = F.when(lo == hi, lo - 0.5).otherwise(lo)
     right = F.when(lo == hi, hi + 0.5).otherwise(hi)
     return F.least(F.floor((c - left) / ((right - left) / n)).cast("int") + 1, F.lit(n))

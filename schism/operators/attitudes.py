@@ -102,9 +102,9 @@ def dynamic_threshold(df: DataFrame, value: Column) -> DataFrame:
     return df.agg(F.median(F.when(value > 0, value)).alias("mp"), F.median(F.when(value < 0, value)).alias("mn")).select(((F.col("mp") + F.col("mn")) / 2).alias("threshold"))
 
 
-def histogram(df: DataFrame, value: str, n: int = 10) -> DataFrame:
-    """Counts in n equal-width bins over [min, max]; the range is one row that joins each."""
+def histogram(df: DataFrame, value: str, n: int = 10, widen: bool = True) -> DataFrame:
+    """Counts in n equal-width bins over [min, max]; the range is one row that joins each.  A single-valued range is widened, or lies in the last bin."""
     from ..functions.numbers import equal_width_bin
 
     span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return df.crossJoin(F.broadcast(span)).groupBy(equal_width_bin(value, "lo", "hi", n).alias("bin")).agg(F.count("*").alias("n"))  # one row
+    return df.crossJoin(F.broadcast(span)).groupBy(equal_width_bin(value, "lo", "hi", n, widen).alias("bin")).agg(F.count("*").alias("n"))  # one row
