@@ -99,9 +99,19 @@ def article_fellowships(nodes_of: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def article_dipoles(fellowships: DataFrame, edges: DataFrame) -> DataFrame:
-    """Uid, dipole of the pairs of an article's fellowships that are a dipole of the graph: through its parts, no pairs are formed."""
-    parts = edges.filter("type = 'PartOf'").select(F.col("src").alias("fellowship"), F.col("dst").alias("dipole"))
-    return fellowships.join(parts, "fellowship").groupBy("uid", "dipole").agg(F.count_distinct("fellowship").alias("n")).filter("n = 2").select("uid", "dipole")
+    """Uid, dipole of the pairs of an article's fellowships that are a dipole of the graph: an article's list of fellowships
+    meets, for each of them, the list of those that it has a dipole with, so neither pairs nor the dipoles of one side become rows."""
+    ends = edges.filter("type = 'PartOf'").select(F.col("src").alias("fellowship"), F.col("dst").alias("dipole")).distinct()
+    pairs = ends.join(ends.withColumnRenamed("fellowship", "other"), "dipole").filter("fellowship < other").select("fellowship", "other", "dipole")
+    sides = pairs.groupBy("fellowship").agg(F.collect_set("other").alias("others"))
+    own = fellowships.groupBy("uid").agg(F.collect_set("fellowship").alias("own")).filter("uid is not null and size(own) > 1")
+    met = _small(own.select("uid", "own", F.explode("own").alias("fellowship")), sides, "fellowship").select("uid", "fellowship", F.explode(F.array_intersect("own", "others")).alias("other"))
+    return _small(met, pairs, "fellowship", "other").select("uid", "dipole")
+
+
+def _small(rows: DataFrame, few: DataFrame, *on: str, most: int = 100_000) -> DataFrame:
+    """rows joined with a list, broadcast after a count, else by a shuffle: a size that Spark can't tell beforehand would have the rows shuffled by a few keys."""
+    return rows.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, list(on))
 
 
 def attitudes(edges: DataFrame, src: DataFrame | None = None) -> DataFrame:
@@ -142,18 +152,35 @@ def known_triples(triple_table: DataFrame, entities: DataFrame, relations: DataF
     return triple_table.join(relations.select(F.col("name").alias("predicate")), "predicate", "left_semi") if relations is not None else triple_table
 
 
+def article_nodes(ee: DataFrame, et: DataFrame) -> DataFrame:
+    """Uid, id of the entities and topics of an article; the global edges among them add none, so no graph is formed."""
+    pairs = ee.select("uid", F.explode(F.array(F.col("e1").cast("string"), F.col("e2").cast("string"))).alias("id"))
+    return pairs.union(et.select("uid", F.explode(F.array(F.col("entity").cast("string"), F.concat(F.lit("T:"), F.col("topic").cast("string"))))).distinct()).distinct()
+
+
 def article_graphs(ee: DataFrame, et: DataFrame, edges: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Per article (uid) mean attitudes of its pairs and topics, and the global edges among its nodes not already there."""
+    """Per article (uid) mean attitudes of its pairs and topics, and the global edges among its nodes not already there.
+
+    An article's rows are dealt by uid once; each of its nodes is staged with its own ends and with the other nodes of the
+    article, and meets the global edges by both ends at once: never all edges of its entities."""
     from ..functions.numbers import sign_label
+    from ..sources.stages import stage
 
     mean = (F.sum("num") / (F.count("*") * F.lit(scale))).alias("weight")
-    own = ee.groupBy("uid", F.col("e1").cast("string").alias("src"), F.col("e2").cast("string").alias("dst")).agg(mean)
-    own = own.union(et.groupBy("uid", F.col("entity").cast("string"), F.concat(F.lit("T:"), F.col("topic").cast("string"))).agg(mean))
-    own = own.select("uid", "src", "dst", F.lit("Attitude").alias("type"), sign_label("weight").alias("label"), "weight")
-    ids = own.select("uid", F.col("src").alias("id")).union(own.select("uid", "dst")).distinct()
-    ends = lambda c: ids.select("uid", F.col("id").alias(c))
-    near = edges.join(ends("src"), "src").join(ends("dst"), ["uid", "dst"]).select("uid", "src", "dst", "type", "label", "weight")
-    return own.unionByName(near.join(own.select("uid", "src", "dst"), ["uid", "src", "dst"], "left_anti"))
+    own = ee.repartition("uid").groupBy("uid", F.col("e1").cast("string").alias("src"), F.col("e2").cast("string").alias("dst")).agg(mean)
+    own = own.union(et.repartition("uid").groupBy("uid", F.col("entity").cast("string"), F.concat(F.lit("T:"), F.col("topic").cast("string"))).agg(mean))
+    out = F.struct(F.col("src").alias("src"), F.struct("dst", "weight").alias("to"))
+    ends = own.select("uid", F.explode(F.array(out, F.struct(F.col("dst").alias("src"), F.lit(None).alias("to")))).alias("e")).select("uid", "e.*")
+    listed = ends.groupBy("uid", "src").agg(F.collect_list("to").alias("own"))
+    topic = F.col("src").startswith("T:")
+    kinds = edges.agg(*(F.coalesce(F.max(c), F.lit(False)).alias(name) for name, c in (("loops", F.col("src") == F.col("dst")), ("topics", topic))))
+    others = F.array_except(F.collect_list("src").over(Window.partitionBy("uid")), F.concat(F.col("own.dst"), F.when(F.col("loops"), F.array().cast("array<string>")).otherwise(F.array("src"))))
+    meets = F.col("uid").isNotNull() & F.col("src").isNotNull() & (F.col("topics") | ~topic)
+    nodes = listed.crossJoin(F.broadcast(kinds)).withColumn("others", F.when(meets, others)).select("uid", "src", "own", "others")  # one row
+    nodes = stage(nodes.filter("size(own) > 0 or size(others) > 0"), "article-nodes")
+    own = nodes.select("uid", "src", F.explode("own").alias("to")).select("uid", "src", "to.dst", F.lit("Attitude").alias("type"), sign_label("to.weight").alias("label"), "to.weight")
+    near = nodes.select("uid", "src", F.explode("others").alias("dst")).join(edges.select("src", "dst", "type", "label", "weight"), ["src", "dst"])
+    return own.unionByName(near)
 
 
 def tensors(samples: DataFrame, vectors: DataFrame | None = None, size: int = 200) -> DataFrame:
