@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, words
+from ..functions.batches import pieces, small_batches
+from ..functions.text import words
+
+
+def counted(text, n: tuple[int, int] = (1, 1), unit: str = "word"):
+    """Array of (word, k, n): the different words of a text, or its runs of n[0] to n[1] words (characters, with unit="char"), how often each occurs, and all together.
+
+    In Arrow batches, a bounded piece of text at a time: bytes.split cuts at the white space of the regular expression \\s."""
+    low, high = n
+    kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64()), ("n", pa.int32())]))
+
+    def grams(text: bytes) -> Counter:
+        if unit == "char":
+            chars = text.decode("utf-8", "surrogatepass")
+            return Counter(chars[i : i + k].replace(" ", "").encode("utf-8", "surrogatepass") for k in range(low, high + 1) for i in range(len(chars) - k + 1))
+        ws = text.split()
+        if high == 1:
+            return Counter(ws)
+        return Counter(itertools.chain.from_iterable(ws if k == 1 else map(b" ".join, zip(*(ws[j:] for j in range(k)))) for k in range(low, high + 1)))
+
+    def listed(texts: pa.Array) -> pa.Array:
+        own = [grams(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+        words, ks = (pa.array([x for c in own for x in part(c)], type_) for part, type_ in ((Counter.keys, pa.binary()), (Counter.values, pa.int64())))
+        totals = np.repeat(np.array([sum(c.values()) for c in own], np.int32), [len(c) for c in own])
+        ends = pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32))
+        fields = list(kind.value_type)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words.view(pa.string()), ks, pa.array(totals)], fields=fields))
+
+    @F.arrow_udf("array<struct<word:string,k:bigint,n:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], kind), *(listed(texts.slice(start, stop - start)) for start, stop in pieces(texts))])
+
+    return run(F.col(text) if isinstance(text, str) else text)
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", terms=None) -> DataFrame:
     """key, word, k: the different lower-case words of each row (a key has one row), counted within the row, so without a shuffle.
 
-    `terms`: another column of lists to count than the words."""
-    listed = docs.select(key, F.array_sort(words(F.lower(F.col(text))) if terms is None else terms).alias("s"))
-    edges = F.filter(F.transform("s", lambda w, i: F.when((i == 0) | (w != F.col("s")[F.greatest(i - 1, F.lit(0))]), i)), lambda i: i.isNotNull())
-    rows = listed.withColumn("at", edges).select(key, "s", "at", F.size("s").alias("n"), F.size("at").alias("kinds"))
-    each = F.transform("at", lambda a, j: F.struct(F.col("s")[a].alias("word"), (F.when(j + 1 < F.col("kinds"), F.col("at")[F.least(j + 1, F.col("kinds") - 1)]).otherwise(F.col("n")) - a).cast("long").alias("k")))
-    return rows.select(key, F.explode(each).alias("w")).select(key, "w.word", "w.k")
+    `terms`: another column of counts than those of the words (see `counted`)."""
+    small_batches(docs.sparkSession)
+    own = counted(F.lower(F.col(text))) if terms is None else terms
+    return docs.select(key, own.alias("__c")).select(key, F.explode("__c").alias("w")).select(key, "w.word", "w.k")
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,8 +85,9 @@ def lexicon_counts(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") ->
 
 def _with_size(docs: DataFrame, key: str) -> DataFrame:
     """key, word, k, and words: all tokens of the row."""
-    sized = docs.withColumn("__n", F.struct(F.col(key).alias("key"), F.size(words(F.lower(F.col("text")))).alias("words")))
-    return word_counts(sized, "__n").select(F.col("__n.key").alias(key), "word", "k", F.col("__n.words").alias("words"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(key, counted(F.lower(F.col("text"))).alias("__c")).select(key, F.explode("__c").alias("w"))
+    return rows.select(key, "w.word", "w.k", F.col("w.n").alias("words"))
 
 
 def phrase_presence(text, terms, whole_words: bool = True):
@@ -70,16 +106,18 @@ def lexicon_score(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> D
 def pattern_categories(docs: DataFrame, patterns: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per category the percentage of tokens that match; a pattern ending in * is a prefix, the shortest prefix of a token wins over longer ones and over equality.
 
-    Tokens meet patterns by equality of their prefixes of the lengths that occur, an equi-join.
+    The different tokens meet patterns by equality of their prefixes, up to the longest pattern, an equi-join; those that match meet the rows.
     """
-    per_word = _with_size(docs, key)
+    from ..sources.stages import small, stage
+
     p = patterns.select(F.regexp_replace("pattern", r"\*$", "").alias("stem"), F.col("pattern").endswith("*").alias("wild"), "category")
-    vocabulary = per_word.select("word").distinct()
-    heads = vocabulary.withColumn("l", F.explode(F.sequence(F.lit(1), F.length("word")))).withColumn("stem", F.expr("substring(word, 1, l)"))
-    hits = heads.join(p, "stem").filter((F.col("wild")) | (F.col("l") == F.length("word")))
+    longest = p.agg(F.coalesce(F.max(F.length("stem")), F.lit(1)).alias("most"))
+    vocabulary = _with_size(docs, key).select("word").distinct().crossJoin(F.broadcast(longest))  # one row
+    heads = vocabulary.filter("most > 0").withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), "most")))).withColumn("stem", F.expr("substring(word, 1, l)"))
+    hits = small(heads, p, "stem").filter((F.col("wild")) | (F.col("l") == F.length("word")))
     rank = F.rank().over(Window.partitionBy("word").orderBy(F.when(F.col("wild"), F.col("l")).otherwise(F.lit(1 << 20))))
-    best = hits.withColumn("r", rank).filter("r = 1").select("word", "category").distinct()
-    found = per_word.join(best, "word").groupBy(key, "category").agg(F.sum("k").alias("hits"), F.max("words").alias("n"))
+    best = stage(hits.withColumn("r", rank).filter("r = 1").select("word", "category").distinct(), "matches")
+    found = small(_with_size(docs, key), best, "word").groupBy(key, "category").agg(F.sum("k").alias("hits"), F.max("words").alias("n"))
     return found.select(key, "category", (F.col("hits") / F.col("n") * 100).alias("percent"))
 
 
@@ -88,20 +126,15 @@ def tfidf(docs: DataFrame, n: int | tuple[int, int] = 1, min_df: int = 5, max_df
 
     Terms of too few or too many documents are left out.  Terms are counted within the row and staged once; POS and
     stop-word sequences are texts like others, punctuation sequences go by characters."""
-    from ..sources.stages import stage
-
-    low, high = (n, n) if isinstance(n, int) else n
-    if unit == "char":
-        chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != "")
-        gram = lambda k: F.transform(ngrams("__t", k), lambda g: F.replace(g, F.lit(" "), F.lit("")))
-    else:
-        chars, gram = words(F.lower(F.col(text))), lambda k: ngrams("__t", k)
-    split = docs.select(key, chars.alias("__t")).select(key, F.concat(*(gram(k) for k in range(low, high + 1))).alias("__g"))
-    grams = stage(word_counts(split, key, terms=F.col("__g")).withColumnsRenamed({"word": "term", "k": "tf"}), "grams")
+    from ..sources.stages import small, stage
+
+    span = (n, n) if isinstance(n, int) else n
+    terms = counted(F.col(text) if unit == "char" else F.lower(F.col(text)), span, unit)
+    grams = stage(word_counts(docs, key, terms=terms).withColumnsRenamed({"word": "term", "k": "tf"}), "grams")
     total = docs.agg(F.count("*").alias("docs"))
     df = grams.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))  # one row
-    idf = df.select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = grams.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = stage(df.select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    weight = small(grams, idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weight.select(key, "term", (F.col("w") / length).alias("tfidf"))
 

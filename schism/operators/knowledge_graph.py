@@ -101,17 +101,14 @@ def article_fellowships(nodes_of: DataFrame, edges: DataFrame) -> DataFrame:
 def article_dipoles(fellowships: DataFrame, edges: DataFrame) -> DataFrame:
     """Uid, dipole of the pairs of an article's fellowships that are a dipole of the graph: an article's list of fellowships
     meets, for each of them, the list of those that it has a dipole with, so neither pairs nor the dipoles of one side become rows."""
+    from ..sources.stages import small
+
     ends = edges.filter("type = 'PartOf'").select(F.col("src").alias("fellowship"), F.col("dst").alias("dipole")).distinct()
     pairs = ends.join(ends.withColumnRenamed("fellowship", "other"), "dipole").filter("fellowship < other").select("fellowship", "other", "dipole")
     sides = pairs.groupBy("fellowship").agg(F.collect_set("other").alias("others"))
     own = fellowships.groupBy("uid").agg(F.collect_set("fellowship").alias("own")).filter("uid is not null and size(own) > 1")
-    met = _small(own.select("uid", "own", F.explode("own").alias("fellowship")), sides, "fellowship").select("uid", "fellowship", F.explode(F.array_intersect("own", "others")).alias("other"))
-    return _small(met, pairs, "fellowship", "other").select("uid", "dipole")
-
-
-def _small(rows: DataFrame, few: DataFrame, *on: str, most: int = 100_000) -> DataFrame:
-    """rows joined with a list, broadcast after a count, else by a shuffle: a size that Spark can't tell beforehand would have the rows shuffled by a few keys."""
-    return rows.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, list(on))
+    met = small(own.select("uid", "own", F.explode("own").alias("fellowship")), sides, "fellowship").select("uid", "fellowship", F.explode(F.array_intersect("own", "others")).alias("other"))
+    return small(met, pairs, "fellowship", "other").select("uid", "dipole")
 
 
 def attitudes(edges: DataFrame, src: DataFrame | None = None) -> DataFrame:

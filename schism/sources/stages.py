@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +36,11 @@ def parts(df: DataFrame, most: int = 4 << 20) -> int:
     return max(least, -(-read // most)) if read < 1 << 50 else least  # a size that Spark doesn't know
 
 
+def small(rows: DataFrame, few: DataFrame, *on: str, most: int = 100_000) -> DataFrame:
+    """rows joined with a list, broadcast after a count, else by a shuffle: a size that Spark can't tell beforehand would have the rows shuffled."""
+    return rows.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, list(on))
+
+
 def new_rows(df: DataFrame, done: DataFrame, key: str = "uid") -> DataFrame:
     """Incremental stages: rows whose key isn't in the stage table yet."""
     return df.join(done.select(key).distinct(), key, "left_anti")
