@@ -182,15 +182,21 @@ def article_graphs(ee: DataFrame, et: DataFrame, edges: DataFrame, scale: float
 
 def tensors(samples: DataFrame, vectors: DataFrame | None = None, size: int = 200) -> DataFrame:
     """Samples (path, label, s, o) to sorted nodes, sorted index pairs without self loops, and features (zero vectors where unknown)."""
-    ends = samples.select("path", F.col("s").alias("node")).union(samples.select("path", "o")).distinct()
-    ranked = ends.withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("node")) - 1)
+    rows = samples.filter("path is not null").repartition("path")  # dealt by path once: all that follows but the vectors stays there
+    both = F.array(F.struct(F.lit(True).alias("first"), F.col("s").alias("node")), F.struct(F.lit(False).alias("first"), F.col("o").alias("node")))
+    placed = rows.select("path", "label", "s", "o", F.explode(both).alias("e")).withColumn("i", F.dense_rank().over(Window.partitionBy("path").orderBy("e.node")) - 1)
+    at = lambda first: F.max(F.when(F.col("e.first") == first, F.col("i")))
+    pairs = placed.groupBy("path", "s", "o").agg(F.max("label").alias("label"), at(True).alias("i1"), at(False).alias("i2"))
+    node = lambda i, c: F.collect_set(F.struct(F.col(i).alias("i"), F.col(c).alias("node")))
+    edges = F.collect_set(F.when(F.col("s") != F.col("o"), F.struct(F.col("i1").alias("i"), F.col("i2").alias("j"))))
+    found = pairs.groupBy("path").agg(F.max("label").alias("label"), F.array_sort(F.array_union(node("i1", "s"), node("i2", "o"))).alias("n"), F.array_sort(edges).alias("e"))
+    out = [F.col("n.node").alias("nodes"), F.when(F.size("e") > 0, F.col("e")).alias("edge_index")]
     zero = F.array_repeat(F.lit(0.0).cast("float"), size)
-    ranked = ranked.join(vectors.select(F.col("name").alias("node"), "vector"), "node", "left").withColumn("x", F.coalesce("vector", zero)) if vectors is not None else ranked.withColumn("x", zero)
-    at = lambda a, b: ranked.select("path", F.col("node").alias(a), F.col("i").alias(b))
-    pairs = samples.filter("s <> o").join(at("s", "i1"), ["path", "s"]).join(at("o", "i2"), ["path", "o"]).groupBy("path").agg(F.array_sort(F.collect_set(F.struct(F.col("i1").alias("i"), F.col("i2").alias("j")))).alias("edge_index"))
-    own = ranked.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "node", "x"))).alias("n"))
-    labels = samples.groupBy("path").agg(F.max("label").alias("label"))
-    return labels.join(own, "path").join(pairs, "path", "left").select("path", "label", F.col("n.node").alias("nodes"), F.col("n.x").alias("x"), "edge_index")
+    if vectors is None:
+        return found.select("path", "label", out[0], F.transform("n", lambda _: zero).alias("x"), out[1])
+    known = found.select("path", F.explode("n").alias("m")).select("path", "m.*").join(vectors.select(F.col("name").alias("node"), "vector"), "node", "left")
+    known = known.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("vector", zero).alias("x")))).alias("v"))
+    return found.join(known, "path").select("path", "label", out[0], F.col("v.x").alias("x"), out[1])
 
 
 def label_from_path(c: str = "path"):
