@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import small_batches
+
 #: Columns of the GDELT 1.0 event export and their types, in file order.
 _GDELT = """
 globaleventid bigint, day string, monthyear int, year int, fractiondate double,
@@ -285,19 +290,27 @@ def write_edge_list(edges: DataFrame, path: str, sep: str = "\t") -> None:
 
 
 def sentences(articles: DataFrame, text: str = "text") -> DataFrame:
-    """Uid, sent_ix, sentence, from, to: lines cut after . ! or ? (and the quotes behind) but not after abbreviations and initials; offsets into the text (ends exclusive)."""
-    ending = r"[^\n]*?(?<!\b(?:" + "|".join(ABBREVIATIONS) + r"|[A-Z]))[.!?]+[\"')\]]*(?=\s|$)|[^\n]+"
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ending), F.lit(0))
-    lengths = F.aggregate(parts, F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<sentence:string,from:int,to:int>>").alias("out")), lambda acc, s: _place(acc, s, text), lambda acc: acc["out"])
-    rows = articles.select("uid", F.posexplode(F.filter(lengths, lambda s: F.trim(s["sentence"]) != "")).alias("sent_ix", "s"))
-    return rows.select("uid", "sent_ix", "s.sentence", "s.from", "s.to")
+    """Uid, sent_ix, sentence, from, to: lines cut after . ! or ? (and the quotes behind) but not after abbreviations and initials; offsets into the text (ends exclusive).
 
-
-def _place(acc, s, text):
-    stripped = F.ltrim(s)
-    at = F.call_function("locate", stripped, F.col(text), acc["at"])
-    found = F.struct(stripped.alias("sentence"), (at - 1).alias("from"), (at - 1 + F.length(stripped)).alias("to"))
-    return F.struct((at + F.length(stripped)).cast("int").alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    The ends of lines are parts too, so that a part's place is the sum of the lengths before it; only a mark asks what is before it."""
+    small_batches(articles.sparkSession)
+    ending = r"[^\n]*?(?=[.!?])(?<!\b(?:" + "|".join(ABBREVIATIONS) + r"|[A-Z]))[.!?]+[\"')\]]*(?=\s|$)|[^\n]+|\n+"
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ending), F.lit(0))
+    placed = F.arrow_udf(_placed, "array<struct<sentence:string,from:int,to:int>>")
+    rows = articles.select("uid", F.posexplode(placed(parts)).alias("sent_ix", "s"))  # a column of its own would be worked out twice: Spark asks first whether it is empty
+    return rows.select("uid", "sent_ix", "s.*")
+
+
+def _placed(parts: pa.Array) -> pa.Array:
+    """Parts that follow one another as (sentence, from, to): without spaces before them, ends of lines and what is blank."""
+    flat, ends = parts.flatten(), np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)))
+    own = pc.utf8_ltrim(flat, " ")
+    at = np.append(0, np.cumsum(pc.utf8_length(flat).to_numpy()))
+    left = pc.utf8_length(own).to_numpy()
+    to = at[1:] - np.repeat(at[ends[:-1]], np.diff(ends))
+    kept = (left > 0) & ~pc.starts_with(flat, "\n").to_numpy(zero_copy_only=False)
+    columns = [own.filter(pa.array(kept)), pa.array((to - left)[kept], pa.int32()), pa.array(to[kept], pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept))[ends], pa.int32()), pa.StructArray.from_arrays(columns, ["sentence", "from", "to"]))
 
 
 def gazetteer_entities(sentence_rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
