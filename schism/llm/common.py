@@ -19,6 +19,9 @@ BLOCK_BYTES = 1 << 20
 #: Rows below which a list of keys may be broadcast (8 to 16 bytes each); larger lists are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Most rows of a batch that is read from a stage of blocks.
+READ_ROWS = 64
+
 #: Longest word, in bytes, that is hashed eight bytes at a time; longer ones are hashed as a whole by BLAKE2b.
 CHUNKED = 64
 _HASH_KEY = b"schism word hash"
@@ -54,11 +57,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+#: A local shared folder is written without checksum files: for each file's permission Hadoop starts a process, in which the whole executor's memory shows once more until it begins.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, so a lost executor costs at most one stage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**_PLAIN, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -130,6 +137,13 @@ def lookup(left: DataFrame, right: DataFrame, on: str, row: str = "doc_id") -> D
     return left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"], "left").drop("__salt")
 
 
+def small_reads(spark: SparkSession) -> None:
+    """Bound the rows that Parquet's reader turns into columns at once, unless fewer already: where a row is a block of megabytes, it holds all of them in one array that grows by doubling."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """docs over all cores, if what they are read from gives less than half as many tasks (a small table in one file)."""
     cores = docs.sparkSession.sparkContext.defaultParallelism

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, release, stage, stage_small, texts, unpack
+from .common import blocks, crc_mod, lower_words, mix, narrow, pack, partitions, release, released, small_reads, stage, stage_small, texts, unpack
 from .elias_fano import Trie
 
 _END = np.uint64(0x5EED0E0D0E0D5EED)
@@ -132,6 +132,7 @@ class _Model:
     def __init__(self, docs: DataFrame, held_modulus: int, held_remainder: int, mu2: float, mu3: float, shard_positions: int):
         self.docs = texts(docs)
         self.spark = docs.sparkSession
+        small_reads(self.spark)
         self.held, self.mu2, self.mu3, self.shard_positions = (held_modulus, held_remainder), mu2, mu3, shard_positions
         self.bits = max(1, min((partitions(self.spark) - 1).bit_length(), VOCABULARY_SHARDS.bit_length() - 1))
 
@@ -166,6 +167,8 @@ class _Model:
                         held, size, block = [], 0, block + 1
                 if held:
                     yield out(block, held)
+            del held
+            release()
 
         return stage(self.docs.mapInArrow(run, "kind int, block long, shard int, data binary"), "lm-blocks")
 
@@ -192,7 +195,7 @@ class _Model:
             out.append((None, shard, pack(narrow(sizes)), int((learned > 0).sum()), int(learned.sum())))
             return _rows("block shard data kinds tokens", out)
 
-        return stage_small(questions.groupBy("shard").applyInPandas(run, "block long, shard int, data binary, kinds long, tokens long"), "lm-vocabulary")
+        return stage_small(questions.groupBy("shard").applyInPandas(released(run), "block long, shard int, data binary, kinds long, tokens long"), "lm-vocabulary")
 
     def numbering(self, answers: DataFrame) -> None:
         """First word number of every count code and shard (a table of fixed most size), corpus totals."""

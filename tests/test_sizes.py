@@ -1,5 +1,6 @@
 """Steps whose memory, shuffle or time must not grow faster than their input, and results on odd rows."""
 
+import os
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schism.functions import batches
 from schism.functions import text as X
+from schism.llm import common, language_model
 from schism.operators import syntax
 from schism.sources import readers
 
@@ -301,3 +303,27 @@ def test_sentences_of_long_texts(spark):
     assert found[0] == [(0, "One.", 0, 4), (1, "Two.", 5, 9), (2, "One.", 13, 17), (3, "é 𝒳!", 22, 26), (4, "x", 27, 28)]
     assert [s for _, s, _, _ in found[4]] == ["\tNo. 5 is it.", "U.S. law?", "yes"]
     assert [(a, b) for _, _, a, b in found[5]] == [(18 * i, 18 * i + 17) for i in range(20_000)] and set(found) == {0, 4, 5}
+
+
+def test_stage_without_checksum_files(spark):
+    """op1: a stage in a local folder is its Parquet files alone, so one process less is started for each, and for each file's permission."""
+    df = spark.range(100, numPartitions=3).select("id", F.col("id").cast("string").alias("s"))
+    staged = common.stage(df, "plain", **{"parquet.block.size": 1 << 20})
+    files = [f for _, _, names in os.walk(staged._staged_path.removeprefix("file://")) for f in names]
+    assert sum(f.endswith(".parquet") for f in files) == 3 and not any(f.endswith(".crc") for f in files)
+    assert staged.columns == df.columns and sorted(staged.collect()) == sorted(df.collect())
+    common.drop_stage(staged)
+    assert not common.exists(spark, staged._staged_path)
+
+
+def test_small_reads(spark):
+    """op1: few blocks at once become columns; a smaller bound stays."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        for most, expected in (("4096", common.READ_ROWS), ("16", 16)):
+            spark.conf.set(key, most)
+            language_model._Model(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 7, 2, 200.0, 4.0, 1000)
+            assert int(spark.conf.get(key)) == expected
+    finally:
+        spark.conf.set(key, before)
