@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.batches import small_batches  # noqa: F401 (for the operators)
+from ..functions.batches import PIECE, small_batches  # noqa: F401 (for the operators)
 
 #: Bytes of text that a Python worker turns into arrays at a time; a longer single text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -144,6 +144,14 @@ def small_reads(spark: SparkSession) -> None:
         spark.conf.set(key, str(READ_ROWS))
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Have every executor collect its garbage: a heap that one step has grown else keeps that size, beside the workers of the next.
+
+    A task for each idle executor, which the scheduler deals out one by one; an executor that gets none merely stays as it is."""
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is counted too
+    spark.range(0, executors, 1, executors).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """docs over all cores, if what they are read from gives less than half as many tasks (a small table in one file)."""
     cores = docs.sparkSession.sparkContext.defaultParallelism

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, eights, leading, mix, spans, text_bytes, texts, word_hashes
+from .common import _LOWER, PIECE, blocks, eights, leading, mix, spans, text_bytes, texts, word_hashes
 from .quality import filtered
 
 _NGRAMS = (2, 3, 4)
@@ -92,7 +92,7 @@ def sample(docs: DataFrame, buckets: int, per_language: int):
     chosen = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).select("doc_id", "lang", "text")
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=PIECE):
             first, kind, start, bucket = subwords(block.column("text"), buckets)
             for i in range(block.num_rows):
                 kinds, times = np.unique(kind[first[i] : first[i + 1]], return_counts=True)
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=PIECE):
             names, best, rejected = _predict(block, shared.value)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(names, pa.string()), pa.array(best), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 

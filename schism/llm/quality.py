@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, blocks, small_batches, spans, spread, text_bytes, word_hashes
+from .common import _LOWER, PIECE, blocks, small_batches, spans, spread, text_bytes, word_hashes
 
 #: Upper edges of the bins of each structure statistic.
 _SHARES = (0.001, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.55, 0.7, 0.85, 0.95)
@@ -115,7 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, buckets: int, max_rows: in
     chosen = known.filter("label = other").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=PIECE):
             row, feature, value = features(block.column("text"), buckets, block.column(METADATA))
             ends = np.searchsorted(row, np.arange(block.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=PIECE):
             found = shared.value.score(*features(block.column("text"), shared.value.buckets, block.column(METADATA)), block.num_rows)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(found.astype(np.float64))], ["doc_id", "score"])
 
@@ -198,7 +198,7 @@ def filtered(docs: DataFrame, wanted) -> DataFrame:
     plain = spread(docs).withColumn(null, F.col("text").isNull())
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=PIECE):
             yield _utf8(pa.RecordBatch.from_arrays([pa.array(wanted(block))] + block.columns, [keep] + block.schema.names))
 
     schema = f"`{keep}` boolean, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
